@@ -85,3 +85,196 @@ def q_rule_hit_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("n_hits"),
         F.count_if(F.col("h.trigger_score") > F.col("blended_score")).alias("n_above_model"),
     )
+
+
+# ---------------------------------------------------------------- milestone 2
+
+from ..operators import alerts as AL  # noqa: E402
+from ..operators import analytics as AN  # noqa: E402
+from ..sources.fixtures import alert_updates, ingest_requests  # noqa: E402
+
+
+def alert_store(spark, sf_dir):
+    return AL.materialize_alerts(scored(spark, sf_dir))
+
+
+def workflow(spark, sf_dir):
+    alerts, logs = alert_store(spark, sf_dir)
+    routed, rejected = AL.route_updates(alert_updates(Tables(spark, sf_dir)), alerts)
+    valid, invalid = AL.validate_status(routed)
+    after, update_logs = AL.apply_updates(alerts, valid)
+    return alerts, logs, after, update_logs, rejected
+
+
+def _alert_out(a):
+    return a.select("id", "transaction_id", "sender_id", "receiver_id", round6("amount").alias("amount"),
+                    F.col("risk_score").cast("bigint").alias("risk_score"), "risk_tier", "severity", "status",
+                    "reason", "timestamp", "assigned_to")
+
+
+@register("alerts_materialized")
+def q_alerts_materialized(spark, sf_dir):
+    """Alerts created from the scored batch."""
+    alerts, _ = alert_store(spark, sf_dir)
+    return _alert_out(alerts)
+
+
+@register("alert_telemetry")
+def q_alert_telemetry(spark, sf_dir):
+    """A1–A4 dashboard telemetry after the workflow updates."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    t = AN.telemetry(after)
+    return t.select(*[round6(c).alias(c) if c == "average_risk_rating" else F.col(c) for c in t.columns])
+
+
+@register("alert_workflow_state")
+def q_alert_workflow_state(spark, sf_dir):
+    """Alert status and assignee after the ordered updates."""
+    alerts, logs, after, update_logs, _ = workflow(spark, sf_dir)
+    n_logs = logs.unionByName(update_logs).groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
+    return after.join(n_logs, after["id"] == n_logs["alert_id"], "left").select(
+        "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),
+        F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
+
+
+@register("alert_workflow_logs")
+def q_alert_workflow_logs(spark, sf_dir):
+    """The audit-log rows the updates append, in long form."""
+    _, _, _, update_logs, _ = workflow(spark, sf_dir)
+    return update_logs.select("alert_id", "log_seq", "operator", "action", "timestamp")
+
+
+@register("update_rejections")
+def q_update_rejections(spark, sf_dir):
+    """J1 left_anti: updates whose account has no alert (the 404 set)."""
+    _, _, _, _, rejected = workflow(spark, sf_dir)
+    return rejected.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+@register("alert_view")
+def q_alert_view(spark, sf_dir):
+    """Analyst projection (type classifier, confidence, priority)."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    v = AN.alert_view(after)
+    return v.select("id", "account_number", "type", F.col("risk_score").cast("bigint").alias("risk_score"),
+                    "confidence", F.col("confidence_val").cast("bigint").alias("confidence_val"), "status",
+                    "holder_name", round6("balance").alias("balance"), round6("ytd_inflows").alias("ytd_inflows"),
+                    "prio", "assigned_to")
+
+
+@register("dashboard_kpis")
+def q_dashboard_kpis(spark, sf_dir):
+    """risk/category distribution, exposure, KPI counts."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    k = AN.dashboard_kpis(AN.alert_view(after))
+    money = ("total_risk_amount", "total_target_amount")
+    return k.select(*[F.round(c, 2).alias(c) if c in money else round6(c).alias(c) if c in ("mean_confidence",
+                      "mitigation_rate") else F.col(c).cast("bigint").alias(c) for c in k.columns])
+
+
+@register("queue_counts")
+def q_queue_counts(spark, sf_dir):
+    """Per-status tab counts and All (ROLLUP)."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    return AN.queue_counts(AN.alert_view(after))
+
+
+@register("alert_list_open_critical")
+def q_alert_list(spark, sf_dir):
+    """GET /alerts?status=open&severity=critical (limit 1000)."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    lst = AL.list_alerts(after, status="open", severity="critical", limit=1000)
+    return lst.select("id", F.col("risk_score").cast("bigint").alias("risk_score"), "status", "severity",
+                      F.col("queue_position").cast("bigint").alias("queue_position"), "alerts_count")
+
+
+@register("critical_recent")
+def q_critical_recent(spark, sf_dir):
+    """The three newest alerts scoring above 80."""
+    alerts, _ = alert_store(spark, sf_dir)
+    return AL.critical_recent(alerts).select("id", F.col("risk_score").cast("bigint").alias("risk_score"), "seq")
+
+
+@register("explorer_page")
+def q_explorer_page(spark, sf_dir):
+    """Explorer search 'acc-1', band 90+, page 2 of 5 rows."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    v = AN.band_filter(AN.search(AN.alert_view(after), "acc-1", ["id", "account_number", "holder_name"]), "90+")
+    p = AL.page(v, [F.col("risk_score").desc(), F.col("id")], 2)
+    return p.select("id", "account_number", F.col("risk_score").cast("bigint").alias("risk_score"),
+                    F.col("showing_from").cast("bigint").alias("showing_from"),
+                    F.col("showing_to").cast("bigint").alias("showing_to"),
+                    F.col("showing_of").cast("bigint").alias("showing_of"),
+                    F.col("n_pages").cast("bigint").alias("n_pages"))
+
+
+@register("outlier_points")
+def q_outlier_points(spark, sf_dir):
+    """Outlier table rows and scatter coordinates."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    o = AN.outlier_points(AN.alert_view(after))
+    return o.select("id", "account_number", F.col("risk_score").cast("bigint").alias("risk_score"),
+                    round6("x").alias("x"), round6("y").alias("y"), "label")
+
+
+@register("case_narratives")
+def q_case_narratives(spark, sf_dir):
+    """Per-alert narrative, indicator and confidence text."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    return AN.case_narrative(AN.alert_view(after))
+
+
+@register("alert_backfill")
+def q_alert_backfill(spark, sf_dir):
+    """Backfill alerts from the scored-batch rows."""
+    batch = AL.batch_risk_scores(scored(spark, sf_dir))
+    alerts, logs = AL.backfill_alerts(batch)
+    n_logs = logs.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
+    return _alert_out(alerts).join(n_logs, F.col("id") == F.col("alert_id")).drop("alert_id") \
+        .withColumn("n_logs", F.col("n_logs").cast("bigint"))
+
+
+@register("alert_ingest")
+def q_alert_ingest(spark, sf_dir):
+    """Manual ingest with derived tier/severity and status validation."""
+    alerts, _, rejected = AL.ingest_alerts(ingest_requests(Tables(spark, sf_dir)))
+    acc = alerts.groupBy("status", "risk_tier", "severity").agg(F.count(F.lit(1)).alias("n_alerts"))
+    rej = rejected.groupBy(F.lit("REJECTED").alias("status")).agg(F.count(F.lit(1)).alias("n_alerts")) \
+        .select("status", F.lit(None).cast("string").alias("risk_tier"), F.lit(None).cast("string").alias("severity"),
+                "n_alerts")
+    return acc.unionByName(rej)
+
+
+@register("rule_exception_kpis")
+def q_rule_exception_kpis(spark, sf_dir):
+    """A5/A6 re-aimed: share of scored rows with a rule hit; alert precision vs label."""
+    s = scored(spark, sf_dir)
+    alert = F.col("final_risk_score") > F.lit(25)
+    y = F.col("F3924") == 1
+    r = s.agg(
+        F.avg((F.size("rule_hits") > 0).cast("double")).alias("rule_exception_rate"),
+        F.count_if(alert & y).alias("tp"), F.count_if(alert & ~y).alias("fp"),
+    )
+    return r.select(round6("rule_exception_rate").alias("rule_exception_rate"), "tp", "fp",
+                    round6(F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)))
+                    .alias("classification_precision"))
+
+
+@register("weekday_trend")
+def q_weekday_trend(spark, sf_dir):
+    """A35 re-aimed: transactions per weekday with the spike flag."""
+    return AN.weekday_trend(transactions(Tables(spark, sf_dir))).select(
+        F.col("dow").cast("bigint").alias("dow"), "day", "n", "is_spike")
+
+
+@register("notes_merge")
+def q_notes_merge(spark, sf_dir):
+    """Local notes (error events) merged with log notes, deduped on content."""
+    alerts, logs, after, update_logs, _ = workflow(spark, sf_dir)
+    routed, _ = AL.route_updates(alert_updates(Tables(spark, sf_dir)), alerts)
+    local = routed.filter(F.col("event_type") == "error").select(
+        "alert_id", F.lit("Analyst (local)").alias("author"), AL.clock_utc("ts").alias("timestamp"),
+        F.col("notes").alias("content"))
+    m = AN.merge_notes(local, update_logs)
+    return m.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_notes"),
+                                     F.count_if(F.col("log_seq") >= 0).alias("n_from_log"))

@@ -39,3 +39,235 @@ FROM (
   UNION ALL
   SELECT '{K.RULE_A03_ID}', {K.RULE_SCORES[K.RULE_A03_ID][0]}, blended_score FROM scored WHERE hit_a03
 ) h GROUP BY rule_id"""
+
+
+# ---------------------------------------------------------------- milestone 2
+from .sql_fixtures import alert_view_cte, alerts_cte, workflow_cte  # noqa: E402
+
+
+def _alerts() -> str:
+    return with_ctes(transactions_cte(), scored_cte(), alerts_cte())
+
+
+def _workflow() -> str:
+    return with_ctes(transactions_cte(), scored_cte(), alerts_cte(), workflow_cte())
+
+
+def _view() -> str:
+    return with_ctes(transactions_cte(), scored_cte(), alerts_cte(), workflow_cte(), alert_view_cte())
+
+
+ALERT_OUT = """id, transaction_id, sender_id, receiver_id, round(amount, 6) AS amount, CAST(risk_score AS BIGINT) AS risk_score,
+       risk_tier, severity, status, reason, timestamp, assigned_to"""
+
+ORACLE["alerts_materialized"] = _alerts() + f"\nSELECT {ALERT_OUT} FROM alerts"
+
+ORACLE["alert_telemetry"] = _workflow() + """
+SELECT count(*) AS total_incidents_recorded, round(coalesce(avg(risk_score), 0.0), 6) AS average_risk_rating,
+       CAST(coalesce(max(risk_score), 0) AS BIGINT) AS maximum_index_severity,
+       count(*) FILTER (WHERE status = 'Open') AS status_open,
+       count(*) FILTER (WHERE status = 'Investigating') AS status_investigating,
+       count(*) FILTER (WHERE status = 'Escalated') AS status_escalated,
+       count(*) FILTER (WHERE status = 'Closed') AS status_closed,
+       count(*) FILTER (WHERE coalesce(severity, 'Medium') = 'Critical') AS severity_critical,
+       count(*) FILTER (WHERE coalesce(severity, 'Medium') = 'High') AS severity_high,
+       count(*) FILTER (WHERE coalesce(severity, 'Medium') = 'Medium') AS severity_medium,
+       count(*) FILTER (WHERE coalesce(severity, 'Medium') = 'Low') AS severity_low
+FROM after"""
+
+ORACLE["alert_workflow_state"] = _workflow() + """,
+n_logs AS (SELECT alert_id, count(*) AS n FROM (SELECT id AS alert_id FROM alerts UNION ALL SELECT alert_id FROM update_logs) x GROUP BY alert_id)
+SELECT a.id, a.status, a.assigned_to, CAST(a.n_updates AS BIGINT) AS n_updates, CAST(coalesce(n.n, 0) AS BIGINT) AS n_logs
+FROM after a LEFT JOIN n_logs n ON n.alert_id = a.id"""
+
+ORACLE["alert_workflow_logs"] = _workflow() + "\nSELECT alert_id, CAST(log_seq AS BIGINT) AS log_seq, operator, action, timestamp FROM update_logs"
+
+ORACLE["update_rejections"] = _workflow() + "\nSELECT event_type, count(*) AS n_rejected FROM rejected GROUP BY event_type"
+
+ORACLE["alert_view"] = _view() + """
+SELECT id, account_number, type, CAST(risk_score AS BIGINT) AS risk_score,
+       CASE WHEN risk_score >= 80 THEN 'High' WHEN risk_score >= 60 THEN 'Medium' ELSE 'Low' END
+         || ' (' || CAST(confidence_val AS VARCHAR) || '%)' AS confidence,
+       confidence_val, status, holder_name, round(balance, 6) AS balance, round(ytd_inflows, 6) AS ytd_inflows,
+       prio, assigned_to
+FROM view"""
+
+
+def _js_round(x: str) -> str:
+    return f"CAST(floor({x} + CAST(0.5 AS DOUBLE)) AS BIGINT)"
+
+
+ORACLE["dashboard_kpis"] = _view() + f""",
+k AS (
+  SELECT count(*) AS n,
+         count(*) FILTER (WHERE risk_score < 50) AS low_count,
+         count(*) FILTER (WHERE risk_score >= 50 AND risk_score < 75) AS med_count,
+         count(*) FILTER (WHERE contains(lower(type), 'mule') OR contains(lower(type), 'target') OR contains(lower(type), 'fraud')) AS mule_count,
+         count(*) FILTER (WHERE NOT (contains(lower(type), 'mule') OR contains(lower(type), 'target') OR contains(lower(type), 'fraud'))
+                          AND (contains(lower(type), 'network') OR contains(lower(type), 'ip') OR contains(lower(type), 'proxy')
+                               OR contains(lower(type), 'sanction') OR contains(lower(type), 'ofac'))) AS network_count,
+         coalesce(sum(balance) FILTER (WHERE risk_score >= 75), 0.0) AS total_risk_amount,
+         coalesce(sum(balance) FILTER (WHERE type = 'Mule Account'), 0.0) AS total_target_amount,
+         count(*) FILTER (WHERE risk_score >= 50) AS n_score_50,
+         count(*) FILTER (WHERE risk_score >= 75) AS n_score_75,
+         avg(confidence_val) AS mean_confidence,
+         avg(CASE WHEN status <> 'Open' THEN 1.0 ELSE 0.0 END) AS mitigation_rate,
+         count(*) FILTER (WHERE starts_with(id, 'ALT-TGT-') OR risk_score >= 50) AS n_target,
+         count(*) FILTER (WHERE starts_with(id, 'ALT-DS-')) AS n_dataset
+  FROM view
+),
+k2 AS (SELECT *, CAST(greatest(n, 1) AS DOUBLE) AS total, n - mule_count - network_count AS velocity_count FROM k)
+SELECT n AS total_alerts,
+       {_js_round('low_count / total * CAST(100.0 AS DOUBLE)')} AS low_pct,
+       {_js_round('med_count / total * CAST(100.0 AS DOUBLE)')} AS med_pct,
+       100 - {_js_round('low_count / total * CAST(100.0 AS DOUBLE)')} - {_js_round('med_count / total * CAST(100.0 AS DOUBLE)')} AS high_pct,
+       CASE WHEN n = 0 THEN {_js_round('total * CAST(0.15 AS DOUBLE)')} ELSE mule_count END AS mule_count,
+       CASE WHEN n = 0 THEN {_js_round('total * CAST(0.25 AS DOUBLE)')} ELSE network_count END AS network_count,
+       CASE WHEN n = 0 THEN 1 - {_js_round('total * CAST(0.15 AS DOUBLE)')} - {_js_round('total * CAST(0.25 AS DOUBLE)')} ELSE velocity_count END AS velocity_count,
+       {_js_round('velocity_count / total * CAST(100.0 AS DOUBLE)')} AS velocity_pct,
+       {_js_round('network_count / total * CAST(100.0 AS DOUBLE)')} AS network_pct,
+       100 - {_js_round('velocity_count / total * CAST(100.0 AS DOUBLE)')} - {_js_round('network_count / total * CAST(100.0 AS DOUBLE)')} AS mule_pct,
+       round(total_risk_amount, 2) AS total_risk_amount, round(total_target_amount, 2) AS total_target_amount,
+       n_score_50, n_score_75, round(mean_confidence, 6) AS mean_confidence, round(mitigation_rate, 6) AS mitigation_rate,
+       n_target, n_dataset
+FROM k2"""
+
+ORACLE["queue_counts"] = _view() + """
+SELECT status AS tab, count(*) AS n_alerts FROM view GROUP BY status
+UNION ALL SELECT 'All', count(*) FROM view"""
+
+ORACLE["alert_list_open_critical"] = _workflow() + """,
+f AS (SELECT * FROM after WHERE lower(status) = 'open' AND lower(severity) = 'critical')
+SELECT id, CAST(risk_score AS BIGINT) AS risk_score, status, severity, queue_position, alerts_count
+FROM (SELECT *, row_number() OVER (ORDER BY seq DESC, id) AS queue_position, count(*) OVER () AS alerts_count FROM f) x
+WHERE queue_position <= 1000"""
+
+ORACLE["critical_recent"] = _alerts() + """
+SELECT id, CAST(risk_score AS BIGINT) AS risk_score, seq FROM alerts WHERE risk_score > 80 ORDER BY seq DESC, id LIMIT 3"""
+
+ORACLE["explorer_page"] = _view() + """,
+f AS (SELECT * FROM view
+      WHERE (contains(lower(id), 'acc-1') OR contains(lower(account_number), 'acc-1') OR contains(lower(holder_name), 'acc-1'))
+        AND risk_score >= 90),
+n AS (SELECT count(*) AS n FROM f),
+p AS (SELECT CAST(greatest(1, ceil(n / 5.0)) AS BIGINT) AS pages, n FROM n),
+pg AS (SELECT least(2, pages) AS page_no, pages, n FROM p)
+SELECT id, account_number, CAST(risk_score AS BIGINT) AS risk_score,
+       CAST(CASE WHEN pg.n > 0 THEN (page_no - 1) * 5 + 1 ELSE 0 END AS BIGINT) AS showing_from,
+       CAST(least((page_no - 1) * 5 + 5, pg.n) AS BIGINT) AS showing_to, CAST(pg.n AS BIGINT) AS showing_of,
+       CAST(pages AS BIGINT) AS n_pages
+FROM (SELECT *, row_number() OVER (ORDER BY risk_score DESC, id) AS rn FROM f) r, pg
+WHERE rn > (page_no - 1) * 5 AND rn <= page_no * 5"""
+
+ORACLE["outlier_points"] = _view() + """
+SELECT id, account_number, CAST(risk_score AS BIGINT) AS risk_score,
+       round(least(balance / CAST(200000.0 AS DOUBLE) * CAST(280.0 AS DOUBLE) + CAST(20.0 AS DOUBLE), CAST(290.0 AS DOUBLE)), 6) AS x,
+       round(CAST(220.0 AS DOUBLE) - risk_score / CAST(100.0 AS DOUBLE) * CAST(180.0 AS DOUBLE), 6) AS y,
+       CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'High' ELSE 'Low' END AS label
+FROM view WHERE risk_score >= 50"""
+
+
+def _case(expr: str, table: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {expr} = '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _narratives() -> str:
+    from ..operators.analytics import CONFIDENCE_TEXT, INDICATOR_TEXT, PREDICTION_TEXT
+
+    band = "CASE WHEN risk_score >= 75 THEN 'critical' WHEN risk_score >= 50 THEN 'high' ELSE 'low' END"
+    cval = "coalesce(nullif(confidence_val, 0), 50)"
+    cband = f"CASE WHEN {cval} >= 85 THEN 'high' WHEN {cval} >= 60 THEN 'moderate' ELSE 'marginal' END"
+    return _view() + f"""
+SELECT id, {_case(band, INDICATOR_TEXT)} AS indicator,
+       CASE WHEN length(coalesce(reason, '')) > 0 THEN reason ELSE {_case(band, PREDICTION_TEXT)} END AS narrative,
+       {_case(cband, CONFIDENCE_TEXT)} AS confidence_text
+FROM view"""
+
+
+ORACLE["case_narratives"] = _narratives()
+
+
+def _backfill() -> str:
+    from ..operators.alerts import BACKFILL_REASONS
+
+    def tmpl(t):
+        head, rest = t.split("{row}")
+        mid, tail = rest.split("{ml}")
+        return f"'{head}' || CAST(seq AS VARCHAR) || '{mid}' || printf('%.4f', ml_risk) || '{tail}'"
+
+    return with_ctes(transactions_cte(), scored_cte()) + f""",
+batch AS (
+  SELECT transaction_id, seq, p * CAST(100.0 AS DOUBLE) AS ml_risk,
+         CAST({K.ML_WEIGHT} AS DOUBLE) * (p * CAST(100.0 AS DOUBLE)) + CAST({K.ANOMALY_WEIGHT} AS DOUBLE) * CAST(0.0 AS DOUBLE) AS final_risk
+  FROM scored
+),
+sample AS (
+  SELECT *, row_number() OVER (ORDER BY seq, transaction_id) AS n,
+         greatest(CAST(round_even(final_risk, 0) AS BIGINT), 2) AS score
+  FROM batch WHERE substr(md5(transaction_id), 1, 1) IN ('0', '1', '2', '3')
+)
+SELECT printf('ALT-DS-%03d', n) AS id, 'TXN_DS_' || CAST(seq + 1000 AS VARCHAR) AS transaction_id,
+       printf('ACC-DS-%03d', n) AS sender_id, printf('ACC-REC-%03d', n) AS receiver_id,
+       round(CAST(150 + (seq * 7919) % 1650 AS DOUBLE), 6) AS amount, CAST(score AS BIGINT) AS risk_score,
+       CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium' ELSE 'Low' END AS risk_tier,
+       CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium' ELSE 'Low' END AS severity,
+       CASE WHEN (n - 1) % 2 = 1 THEN 'Closed' ELSE 'Open' END AS status,
+       CASE WHEN score >= 50 THEN {tmpl(BACKFILL_REASONS['high'])}
+            WHEN score >= 25 THEN {tmpl(BACKFILL_REASONS['medium'])}
+            ELSE {tmpl(BACKFILL_REASONS['low'])} END AS reason,
+       '2026-05-30T14:00:00Z' AS timestamp,
+       CASE WHEN (n - 1) % 2 = 1 THEN '{K.ADMIN_OPERATOR}' ELSE '{K.UNASSIGNED}' END AS assigned_to,
+       CAST(CASE WHEN (n - 1) % 2 = 1 THEN 3 ELSE 1 END AS BIGINT) AS n_logs
+FROM sample"""
+
+
+ORACLE["alert_backfill"] = _backfill()
+
+
+def _ingest() -> str:
+    from ..sources.fixtures import INGEST_STATUS
+    from .sql_fixtures import _tier_sql
+
+    st = _case("o_orderpriority", INGEST_STATUS)
+    band = "CAST(round_even(greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), risk_score / CAST(100.0 AS DOUBLE))) * CAST(100.0 AS DOUBLE), 0) AS BIGINT)"
+    states = "(" + ", ".join(f"'{s}'" for s in K.ALERT_STATUSES) + ")"
+    return f"""
+WITH req AS (
+  SELECT CAST(floor(o_totalprice) AS BIGINT) % 101 AS risk_score,
+         CASE WHEN o_orderstatus = 'F' THEN 'High' END AS given_tier,
+         upper(substr(coalesce({st}, 'Open'), 1, 1)) || lower(substr(coalesce({st}, 'Open'), 2)) AS cap
+  FROM orders
+),
+t AS (SELECT *, {band} AS band FROM req)
+SELECT cap AS status, coalesce(given_tier, {_tier_sql('band')}) AS risk_tier, {_tier_sql('band')} AS severity,
+       count(*) AS n_alerts
+FROM t WHERE cap IN {states} GROUP BY ALL
+UNION ALL
+SELECT 'REJECTED', NULL, NULL, count(*) FROM t WHERE cap NOT IN {states}"""
+
+
+ORACLE["alert_ingest"] = _ingest()
+
+ORACLE["rule_exception_kpis"] = _scored() + f"""
+SELECT round(avg(CASE WHEN triggered_rules_count > 0 THEN 1.0 ELSE 0.0 END), 6) AS rule_exception_rate,
+       count(*) FILTER (WHERE final_risk_score > {K.ALERT_THRESHOLD} AND {K.TARGET_COLUMN} = 1) AS tp,
+       count(*) FILTER (WHERE final_risk_score > {K.ALERT_THRESHOLD} AND {K.TARGET_COLUMN} <> 1) AS fp,
+       round(coalesce(
+         CAST(count(*) FILTER (WHERE final_risk_score > {K.ALERT_THRESHOLD} AND {K.TARGET_COLUMN} = 1) AS DOUBLE)
+         / nullif(count(*) FILTER (WHERE final_risk_score > {K.ALERT_THRESHOLD}), 0), 0.0), 6) AS classification_precision
+FROM scored"""
+
+ORACLE["weekday_trend"] = with_ctes(transactions_cte()) + """
+SELECT dow, day, n, n = max(n) OVER () AS is_spike
+FROM (SELECT CAST(dayofweek(ts) + 1 AS BIGINT) AS dow, strftime(ts, '%a') AS day, count(*) AS n
+      FROM transactions GROUP BY ALL) g"""
+
+ORACLE["notes_merge"] = _workflow() + """,
+local AS (SELECT alert_id, notes AS content FROM routed WHERE event_type = 'error'),
+log_notes AS (
+  SELECT DISTINCT alert_id, substr(action, 24) AS content FROM update_logs
+  WHERE starts_with(action, 'Appended Analyst Note: ')
+),
+new AS (SELECT l.* FROM log_notes l WHERE NOT EXISTS (SELECT 1 FROM local x WHERE x.alert_id = l.alert_id AND x.content = l.content)),
+u AS (SELECT alert_id, 0 AS from_log FROM local UNION ALL SELECT alert_id, 1 FROM new)
+SELECT alert_id, count(*) AS n_notes, count(*) FILTER (WHERE from_log = 1) AS n_from_log FROM u GROUP BY alert_id"""

@@ -137,3 +137,111 @@ def _rule_tier_sql(c: str) -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+
+def alerts_cte() -> str:
+    """R13 alerts from the scored CTE (needs ``scored``)."""
+    g01, v02, a03 = K.RULE_G01_REASON, K.RULE_V02_REASON, K.RULE_A03_REASON
+    v_head, v_tail = v02.split("${amount}")
+    a_head, a_tail = a03.split("{age}")
+    return f"""
+alerts AS (
+  SELECT 'ALT-' || upper(substr(md5(transaction_id), 1, 4)) || '-' || upper(substr(md5(transaction_id), 5, 4)) AS id,
+         transaction_id,
+         coalesce(sender_id, '{K.DEFAULT_SENDER_ID}') AS sender_id,
+         coalesce(receiver_id, '{K.DEFAULT_RECEIVER_ID}') AS receiver_id,
+         amt AS amount, final_risk_score AS risk_score, risk_tier, alert_severity AS severity,
+         'Open' AS status,
+         risk_tier || '{K.REASON_TRIGGERED}' || CASE WHEN triggered_rules_count > 0
+           THEN '{K.REASON_RULES}' || concat_ws('; ',
+                CASE WHEN hit_g01 THEN '{g01}' END,
+                CASE WHEN hit_v02 THEN '{v_head}$' || format('{{:,.2f}}', amt) || '{v_tail}' END,
+                CASE WHEN hit_a03 THEN '{a_head}' || printf('%.0f', age) || '{a_tail}' END)
+           ELSE '{K.REASON_DRIVERS}' || coalesce(driver_features, '') END AS reason,
+         strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+         '{K.UNASSIGNED}' AS assigned_to, seq
+  FROM scored WHERE final_risk_score > {K.ALERT_THRESHOLD}
+)"""
+
+
+def workflow_cte() -> str:
+    """C4 updates, J1 routing and the R16 fold (needs ``alerts``)."""
+    return f"""
+updates AS (
+  SELECT 'ACC-' || CAST(user_id * 13 + 1 AS VARCHAR) AS account_id, event_id AS update_seq, ts, event_type,
+         CASE event_type WHEN 'view' THEN 'Investigating' WHEN 'error' THEN 'Escalated' WHEN 'purchase' THEN 'Closed' END AS new_status,
+         CASE WHEN event_type IN ('click', 'error') THEN 'Event ' || event_type || ' value ' || format('{{:,.2f}}', value) END AS notes,
+         CASE WHEN event_type = 'signup' THEN 'Analyst ' || CAST(user_id % 7 AS VARCHAR) END AS assigned_to
+  FROM events
+),
+newest AS (SELECT sender_id AS account_id, arg_max(id, seq) AS alert_id FROM alerts GROUP BY sender_id),
+routed AS (SELECT u.*, n.alert_id FROM updates u JOIN newest n ON n.account_id = u.account_id),
+rejected AS (SELECT u.* FROM updates u WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.account_id = u.account_id)),
+folded AS (
+  SELECT r.*, a.status AS init_status, coalesce(a.assigned_to, '{K.UNASSIGNED}') AS init_assignee,
+         last_value(r.new_status IGNORE NULLS) OVER w AS status_before,
+         last_value(r.assigned_to IGNORE NULLS) OVER w AS assignee_before
+  FROM routed r JOIN alerts a ON a.id = r.alert_id
+  WINDOW w AS (PARTITION BY r.alert_id ORDER BY r.ts, r.update_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+steps AS (
+  SELECT *, coalesce(status_before, init_status) AS old_status,
+         coalesce(new_status, status_before, init_status) AS status_after,
+         coalesce(assignee_before, init_assignee) AS old_assignee,
+         strftime(ts, '%H:%M:%S') || ' UTC' AS log_time
+  FROM folded
+),
+update_logs AS (
+  SELECT alert_id, update_seq * 4 + 1 AS log_seq, '{K.ADMIN_OPERATOR}' AS operator,
+         'Changed status from ' || old_status || ' to ' || status_after AS action, log_time AS timestamp FROM steps
+  UNION ALL
+  SELECT alert_id, update_seq * 4 + 2, '{K.ADMIN_OPERATOR}', 'Appended Analyst Note: ' || notes, log_time
+  FROM steps WHERE length(coalesce(notes, '')) > 0
+  UNION ALL
+  SELECT alert_id, update_seq * 4 + 3, '{K.ADMIN_OPERATOR}', 'Reassigned case from ' || old_assignee || ' to ' || assigned_to, log_time
+  FROM steps WHERE assigned_to IS NOT NULL
+),
+last_step AS (
+  SELECT alert_id, status_after, n_updates,
+         coalesce(assigned_to, assignee_before, init_assignee) AS assignee_after
+  FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY ts DESC, update_seq DESC) AS rn,
+               count(*) OVER (PARTITION BY alert_id) AS n_updates FROM steps) x
+  WHERE rn = 1
+),
+after AS (
+  SELECT a.id, a.transaction_id, a.sender_id, a.receiver_id, a.amount, a.risk_score, a.risk_tier, a.severity,
+         a.reason, a.timestamp, a.seq,
+         coalesce(l.status_after, a.status) AS status,
+         coalesce(l.assignee_after, a.assigned_to) AS assigned_to,
+         coalesce(l.n_updates, 0) AS n_updates
+  FROM alerts a LEFT JOIN last_step l ON l.alert_id = a.id
+)"""
+
+
+def alert_view_cte(src: str = "after") -> str:
+    """P17–P20 analyst view (needs ``src``)."""
+    return f"""
+view AS (
+  SELECT id, seq,
+         coalesce(sender_id, '{K.DEFAULT_RECEIVER_ID}') AS account_number,
+         CASE WHEN starts_with(id, 'ALT-TGT-') OR coalesce(risk_score, 0) >= 50 THEN 'Mule Account'
+              WHEN length(coalesce(reason, '')) > 0 AND contains(reason, 'Dataset Target Fraud Account') THEN 'Mule Account'
+              WHEN length(coalesce(reason, '')) > 0 AND contains(reason, 'Low Risk Dataset Account') THEN 'Normal Account Profile'
+              WHEN length(coalesce(reason, '')) > 0 AND contains(reason, 'triggered') THEN
+                   CASE WHEN length(trim(split_part(reason, 'triggered', 1))) > 0 THEN trim(split_part(reason, 'triggered', 1))
+                        ELSE 'Policy Trigger Exception' END
+              WHEN length(coalesce(reason, '')) > 0 THEN
+                   CASE WHEN length(split_part(reason, '.', 1)) > 35 THEN substr(split_part(reason, '.', 1), 1, 35) || '...'
+                        ELSE split_part(reason, '.', 1) END
+              ELSE 'Rapid Fund Transfer (Mule)' END AS type,
+         reason,
+         coalesce(risk_score, 0) AS risk_score,
+         CAST(floor(CAST(50.0 AS DOUBLE) + coalesce(risk_score, 0) / CAST(2.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS confidence_val,
+         coalesce(status, 'Open') AS status, severity,
+         CASE WHEN receiver_id IS NOT NULL THEN 'Beneficiary: ' || receiver_id ELSE 'Robert P. Jenkins' END AS holder_name,
+         coalesce(amount, CAST(0.0 AS DOUBLE)) AS balance,
+         coalesce(amount, CAST(0.0 AS DOUBLE)) * CAST(1.2 AS DOUBLE) AS ytd_inflows,
+         CASE WHEN severity = 'Critical' THEN 'P1 - Immediate' WHEN severity = 'High' THEN 'P2 - Review' ELSE 'P3 - Monitor' END AS prio,
+         coalesce(assigned_to, '{K.UNASSIGNED}') AS assigned_to
+  FROM {src}
+)"""

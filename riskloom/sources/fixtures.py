@@ -125,7 +125,7 @@ UPDATE_STATUS = {"view": "Investigating", "error": "Escalated", "purchase": "Clo
 def alert_updates(t: Tables) -> DataFrame:
     """C4: ``events`` as workflow update requests (D6), keyed by account.
 
-    ``user_id`` u addresses account ``ACC-<u+1>``; the workflow operator routes
+    ``user_id`` u addresses account ``ACC-<13u+1>`` (some have no alert); the workflow operator routes
     the request to that account's newest alert (J1) and rejects it when the
     account has none.  Event types map to statuses (view → Investigating,
     error → Escalated, purchase → Closed); ``click`` and ``signup`` keep the
@@ -138,7 +138,7 @@ def alert_updates(t: Tables) -> DataFrame:
         F.lit(None).cast("string"),
     )
     return ev.select(
-        F.concat(F.lit("ACC-"), (F.col("user_id") + F.lit(1)).cast("string")).alias("account_id"),
+        F.concat(F.lit("ACC-"), (F.col("user_id") * F.lit(13) + F.lit(1)).cast("string")).alias("account_id"),
         F.col("event_id").alias("update_seq"),
         F.col("ts"),
         F.col("event_type"),
@@ -150,3 +150,33 @@ def alert_updates(t: Tables) -> DataFrame:
                F.concat(F.lit("Analyst "), (F.col("user_id") % F.lit(7)).cast("string")))
         .alias("assigned_to"),
     )
+
+
+# order priority -> status text of a legacy alert feed; '5-LOW' carries a
+# status the store does not know, so those requests are rejected (P25)
+INGEST_STATUS = {"1-URGENT": "escalated", "2-HIGH": "investigating", "3-MEDIUM": "OPEN",
+                 "4-NOT SPECIFIED": "closed", "5-LOW": "pending"}
+
+
+def ingest_requests(t: Tables) -> DataFrame:
+    """Manual alert-ingest requests (A6) derived from ``orders``.
+
+    Score is ``floor(o_totalprice) mod 101``; finished orders (status F) carry
+    an explicit tier, the others leave tier/severity to be derived.
+    """
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    status = F.coalesce(*[F.when(F.col("o_orderpriority") == k, F.lit(v)) for k, v in INGEST_STATUS.items()])
+    return o.select(
+        F.concat(F.lit("LEG-"), F.col("o_orderkey").cast("string")).alias("transaction_id"),
+        F.concat(F.lit("ACC-"), F.col("o_custkey").cast("string")).alias("sender_id"),
+        F.lit(None).cast("string").alias("receiver_id"),
+        F.col("o_totalprice").alias("amount"),
+        (F.floor("o_totalprice") % F.lit(101)).cast("int").alias("risk_score"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("High")).alias("risk_tier"),
+        F.lit(None).cast("string").alias("severity"),
+        status.alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.lit(None).cast("string").alias("assigned_to"),
+        F.col("o_orderkey").alias("seq"),
+    )
