@@ -278,3 +278,106 @@ def q_notes_merge(spark, sf_dir):
     m = AN.merge_notes(local, update_logs)
     return m.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_notes"),
                                      F.count_if(F.col("log_seq") >= 0).alias("n_from_log"))
+
+
+# ---------------------------------------------------------------- milestone 3
+
+from ..operators import profiling as PR  # noqa: E402
+from ..operators import selection as SE  # noqa: E402
+from ..operators.preprocess import GovernancePreprocessor  # noqa: E402
+from ..sources.fixtures import feature_matrix  # noqa: E402
+from ..sources.tables import split_columns  # noqa: E402
+
+TARGET = "F3924"
+
+
+def features(spark, sf_dir):
+    return feature_matrix(Tables(spark, sf_dir))
+
+
+def feature_columns(df):
+    return [c for c in df.columns if c not in ("vec_id", TARGET)]
+
+
+def collinear_columns(df):
+    num, _ = split_columns(df.select(*feature_columns(df)))
+    return [c for c in num if c != "F12_excess_missing"]
+
+
+@register("missing_profile")
+def q_missing_profile(spark, sf_dir):
+    """Missing count, fraction and dtype per feature column."""
+    fm = features(spark, sf_dir)
+    p = PR.missing_profile(fm, feature_columns(fm))
+    return p.select("feature", F.col("missing_count").cast("bigint").alias("missing_count"),
+                    round6("missing_percentage").alias("missing_percentage"), "dtype")
+
+
+@register("numeric_profile")
+def q_numeric_profile(spark, sf_dir):
+    """var_pop, mean, min, max, median, guarded target correlation."""
+    fm = features(spark, sf_dir)
+    num, _ = split_columns(fm.select(*feature_columns(fm)))
+    p = PR.numeric_profile(fm, num, TARGET, median="exact")
+    return p.select("feature", F.col("n").cast("bigint").alias("n"),
+                    *[round6(c).alias(c) for c in ("var_pop", "mean", "min", "max", "median", "corr_target")])
+
+
+@register("categorical_profile")
+def q_categorical_profile(spark, sf_dir):
+    """Distinct ≤ 1 test and deterministic mode per text column."""
+    fm = features(spark, sf_dir)
+    _, cat = split_columns(fm.select(*feature_columns(fm)))
+    p = PR.categorical_profile(fm, cat)
+    return p.select("feature", F.col("n").cast("bigint").alias("n"), "n_distinct_le1", "mode")
+
+
+@register("separator_test")
+def q_separator_test(spark, sf_dir):
+    """Deterministic categorical separators of the target."""
+    fm = features(spark, sf_dir)
+    _, cat = split_columns(fm.select(*feature_columns(fm)))
+    return PR.separator_test(fm, cat, TARGET)
+
+
+@register("leakage_audit")
+def q_leakage_audit(spark, sf_dir):
+    """Name-overlap, high-correlation and separator findings."""
+    fm = features(spark, sf_dir).drop("vec_id")
+    a = PR.leakage_audit(fm, TARGET)
+    return a.select("feature", "rule", round6("value").alias("value"), "reason")
+
+
+@register("preprocess_report")
+def q_preprocess_report(spark, sf_dir):
+    """Decision per column and the fitted fill value."""
+    fm = features(spark, sf_dir)
+    model = GovernancePreprocessor(median="exact").fit(fm, TARGET, exclude=["vec_id"])
+    r = model.report(spark)
+    return r.select("feature", F.col("position").cast("bigint").alias("position"), "decision", "reason",
+                    F.when(F.col("decision") == "kept", F.col("impute_value")).alias("impute_value_raw")) \
+        .withColumn("impute_numeric", round6(F.col("impute_value_raw").try_cast("double"))) \
+        .withColumn("impute_text", F.when(F.col("impute_value_raw").try_cast("double").isNull(), F.col("impute_value_raw"))) \
+        .drop("impute_value_raw")
+
+
+@register("preprocessed_matrix")
+def q_preprocessed_matrix(spark, sf_dir):
+    """P4/G7 transform: fitted columns, imputed, per row (numeric rounded)."""
+    fm = features(spark, sf_dir)
+    model = GovernancePreprocessor(median="exact").fit(fm, TARGET, exclude=["vec_id"])
+    out = model.transform(fm)
+    long = out.select("vec_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 (round6(PR.q(c)) if c in model.numeric_features else F.lit(None).cast("double")).alias("value_numeric"),
+                 (PR.q(c) if c in model.categorical_features else F.lit(None).cast("string")).alias("value_text"))
+        for c in model.output_columns])))
+    return long
+
+
+@register("collinear_pairs")
+def q_collinear_pairs(spark, sf_dir):
+    """Upper-triangle pairs above 0.95 |Pearson|."""
+    fm = features(spark, sf_dir)
+    p = SE.collinear_pairs(fm, collinear_columns(fm))
+    return p.select("col_i", "col_j", round6("abs_corr").alias("abs_corr"))

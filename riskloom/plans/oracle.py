@@ -271,3 +271,160 @@ log_notes AS (
 new AS (SELECT l.* FROM log_notes l WHERE NOT EXISTS (SELECT 1 FROM local x WHERE x.alert_id = l.alert_id AND x.content = l.content)),
 u AS (SELECT alert_id, 0 AS from_log FROM local UNION ALL SELECT alert_id, 1 FROM new)
 SELECT alert_id, count(*) AS n_notes, count(*) FILTER (WHERE from_log = 1) AS n_from_log FROM u GROUP BY alert_id"""
+
+
+# ---------------------------------------------------------------- milestone 3
+from .sql_fixtures import CATEGORICAL_FAULTS, feature_columns, features_cte, numeric_feature_columns  # noqa: E402
+
+T = K.TARGET_COLUMN
+
+
+def _qi(c: str) -> str:
+    return f'"{c}"'
+
+
+def _nstats_cte() -> str:
+    cols = feature_columns()
+    parts = []
+    for c in numeric_feature_columns():
+        x = _qi(c)
+        xp = f"CASE WHEN {T} IS NOT NULL THEN {x} END"
+        yp = f"CASE WHEN {x} IS NOT NULL THEN CAST({T} AS DOUBLE) END"
+        parts.append(
+            f"SELECT '{c}' AS feature, {cols.index(c)} AS position, count({x}) AS n, var_pop({x}) AS var_pop, "
+            f"avg({x}) AS mean, min({x}) AS min, max({x}) AS max, median({x}) AS median, "
+            f"CASE WHEN stddev_pop({xp}) * stddev_pop({yp}) = 0 THEN NULL "
+            f"ELSE covar_pop({xp}, {yp}) / (stddev_pop({xp}) * stddev_pop({yp})) END AS corr_target FROM features")
+    return "nstats AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def _long_cat_cte() -> str:
+    parts = [f"SELECT vec_id, {T}, '{c}' AS feature, {_qi(c)} AS value FROM features" for c in CATEGORICAL_FAULTS]
+    return "catlong AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def _cstats_cte() -> str:
+    cols = feature_columns()
+    parts = [f"SELECT '{c}' AS feature, {cols.index(c)} AS position, count({_qi(c)}) AS n, "
+             f"coalesce(min({_qi(c)}) = max({_qi(c)}), true) AS n_distinct_le1 FROM features" for c in CATEGORICAL_FAULTS]
+    return f"""cbase AS ({' UNION ALL '.join(parts)}),
+catcounts AS (SELECT feature, value, count(*) AS cnt FROM catlong WHERE value IS NOT NULL GROUP BY feature, value),
+modes AS (SELECT feature, arg_min(value, (-cnt, value)) AS mode FROM catcounts GROUP BY feature),
+cstats AS (SELECT b.*, m.mode FROM cbase b LEFT JOIN modes m USING (feature)),
+seps AS (
+  SELECT feature, count(*) AS n_categories, bool_and(pure) AND count(*) > 1 AS is_separator
+  FROM (SELECT feature, value, min({T}) = max({T}) AS pure FROM catlong
+        WHERE value IS NOT NULL AND {T} IS NOT NULL GROUP BY feature, value) g
+  GROUP BY feature
+)"""
+
+
+def _gov() -> str:
+    return with_ctes(features_cte(), _nstats_cte(), _long_cat_cte(), _cstats_cte())
+
+
+def _missing() -> str:
+    cols = feature_columns()
+    parts = [f"SELECT '{c}' AS feature, count(*) - count({_qi(c)}) AS missing_count, "
+             f"(count(*) - count({_qi(c)})) / count(*) AS missing_percentage, "
+             f"'{'string' if c in CATEGORICAL_FAULTS else 'double'}' AS dtype FROM features" for c in cols]
+    return with_ctes(features_cte()) + "\nSELECT feature, missing_count, round(missing_percentage, 6) AS missing_percentage, dtype FROM (" + \
+        "\nUNION ALL ".join(parts) + ") m"
+
+
+ORACLE["missing_profile"] = _missing()
+
+ORACLE["numeric_profile"] = _gov() + """
+SELECT feature, n, round(var_pop, 6) AS var_pop, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max,
+       round(median, 6) AS median, round(corr_target, 6) AS corr_target FROM nstats"""
+
+ORACLE["categorical_profile"] = _gov() + "\nSELECT feature, n, n_distinct_le1, mode FROM cstats"
+
+ORACLE["separator_test"] = _gov() + "\nSELECT feature, n_categories, is_separator FROM seps"
+
+
+def _name_leak_sql(col: str) -> str:
+    t = T.lower()
+    markers = " OR ".join(f"contains(lower(trim({col})), '{m}')" for m in K.LEAK_NAME_MARKERS)
+    return f"(contains(lower(trim({col})), '{t}') AND ({markers}))"
+
+
+def _cols_cte() -> str:
+    vals = ", ".join(f"('{c}', {i})" for i, c in enumerate(feature_columns()))
+    return f"cols AS (SELECT * FROM (VALUES {vals}) t(feature, position))"
+
+
+ORACLE["leakage_audit"] = _gov() + f""", {_cols_cte()}
+SELECT feature, 'name_overlap' AS rule, CAST(NULL AS DOUBLE) AS value,
+       'Name similarity indicating target derivation: ''' || feature || ''' contains ''{T}''' AS reason
+FROM cols WHERE {_name_leak_sql('feature')}
+UNION ALL
+SELECT feature, 'high_correlation', round(abs(corr_target), 6),
+       'Absolute correlation score of ' || printf('%.5f', abs(corr_target)) || ' is >= threshold {K.LEAKAGE_CORRELATION}'
+FROM nstats WHERE abs(corr_target) >= {K.LEAKAGE_CORRELATION}
+UNION ALL
+SELECT feature, 'deterministic_separator', NULL,
+       'Perfect partition. Category values perfectly separate target state (post-facto metadata leak risk).'
+FROM seps WHERE is_separator"""
+
+
+def _decisions_cte() -> str:
+    return f"""{_cols_cte()},
+nrows AS (SELECT count(*) AS n_rows FROM features),
+allstats AS (
+  SELECT c.feature, c.position, coalesce(n.n, s.n) AS n, n.var_pop, n.median, n.corr_target,
+         s.n_distinct_le1, s.mode, n.feature IS NOT NULL AS is_num, coalesce(p.is_separator, false) AS is_sep
+  FROM cols c LEFT JOIN nstats n USING (feature) LEFT JOIN cstats s USING (feature) LEFT JOIN seps p USING (feature)
+),
+dec AS (
+  SELECT a.*, (n_rows - n) / n_rows > {K.MISSING_THRESHOLD} AS drop_missing,
+         {_name_leak_sql('feature')} AS r_name,
+         is_num AND coalesce(abs(corr_target) >= {K.LEAKAGE_CORRELATION}, false) AS r_corr,
+         NOT is_num AND is_sep AS r_sep,
+         CASE WHEN is_num THEN var_pop IS NULL OR isnan(var_pop) OR var_pop <= {K.VARIANCE_THRESHOLD} ELSE n_distinct_le1 END AS low_var
+  FROM allstats a, nrows
+),
+decided AS (
+  SELECT *, CASE WHEN drop_missing THEN 'dropped' WHEN r_name OR r_corr OR r_sep THEN 'dropped'
+                 WHEN low_var THEN 'dropped' ELSE 'kept' END AS decision,
+         CASE WHEN drop_missing THEN 'missing_threshold'
+              WHEN r_name OR r_corr OR r_sep THEN 'target_leakage:' || concat_ws(',', CASE WHEN r_name THEN 'name_overlap' END,
+                   CASE WHEN r_corr THEN 'high_correlation' END, CASE WHEN r_sep THEN 'deterministic_separator' END)
+              WHEN low_var THEN 'low_variance' WHEN is_num THEN 'numeric' ELSE 'categorical' END AS reason
+  FROM dec
+)"""
+
+
+ORACLE["preprocess_report"] = _gov() + ", " + _decisions_cte() + """
+SELECT feature, CAST(position AS BIGINT) AS position, decision, reason,
+       CASE WHEN decision = 'kept' AND is_num THEN round(coalesce(median, 0.0), 6) END AS impute_numeric,
+       CASE WHEN decision = 'kept' AND NOT is_num THEN coalesce(mode, 'UNKNOWN') END AS impute_text
+FROM decided"""
+
+
+def _feature_long() -> str:
+    parts = [f"SELECT vec_id, '{c}' AS feature, CAST({_qi(c)} AS DOUBLE) AS num, NULL AS txt FROM features"
+             for c in numeric_feature_columns()]
+    parts += [f"SELECT vec_id, '{c}', NULL, {_qi(c)} FROM features" for c in CATEGORICAL_FAULTS]
+    return "flong AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+ORACLE["preprocessed_matrix"] = _gov() + ", " + _decisions_cte() + ", " + _feature_long() + """
+SELECT f.vec_id, f.feature,
+       CASE WHEN d.is_num THEN round(coalesce(CASE WHEN isnan(f.num) THEN NULL ELSE f.num END, coalesce(d.median, 0.0)), 6) END AS value_numeric,
+       CASE WHEN NOT d.is_num THEN coalesce(CASE WHEN f.txt IN ('nan', 'None') THEN NULL ELSE f.txt END, coalesce(d.mode, 'UNKNOWN')) END AS value_text
+FROM flong f JOIN decided d USING (feature) WHERE d.decision = 'kept'"""
+
+
+def _collinear() -> str:
+    cols = [c for c in numeric_feature_columns() if c != "F12_excess_missing"]
+    parts = [f"SELECT vec_id, '{c}' AS feature, {i} AS pos, CAST({_qi(c)} AS DOUBLE) AS v FROM features"
+             for i, c in enumerate(cols)]
+    return with_ctes(features_cte()) + ", lf AS (" + "\nUNION ALL ".join(parts) + f""")
+SELECT col_i, col_j, round(c, 6) AS abs_corr FROM (
+  SELECT a.feature AS col_i, b.feature AS col_j, abs(corr(a.v, b.v)) AS c
+  FROM lf a JOIN lf b ON a.vec_id = b.vec_id AND a.pos < b.pos GROUP BY a.feature, b.feature
+) x WHERE c IS NOT NULL AND NOT isnan(c) AND c > {K.COLLINEAR_THRESHOLD}"""
+
+
+ORACLE["collinear_pairs"] = _collinear()

@@ -245,3 +245,33 @@ view AS (
          coalesce(assigned_to, '{K.UNASSIGNED}') AS assigned_to
   FROM {src}
 )"""
+
+
+FAULT_COLUMNS_SQL = {
+    "F12_excess_missing": "CASE WHEN vec_id % 10 < 4 THEN F5 END",
+    "F34_constant": "CAST(3.924 AS DOUBLE)",
+    "F56_leak_target": "CAST(F3924 AS DOUBLE) + CAST(1e-4 AS DOUBLE) * F2",
+    "F3924_derived_rule": "CAST(F3924 AS DOUBLE)",
+    "F_collinear_a": "CAST(1.5 AS DOUBLE) * F1",
+    "F_collinear_b": "CAST(1.5 AS DOUBLE) * F1 + CAST(1e-3 AS DOUBLE) * F2",
+    "F_cat_deterministic_leak": "CASE WHEN F3924 = 1 THEN 'FLAG_APPROVED' ELSE 'FLAG_PENDING' END",
+    "F_cat_ok": "'C' || CAST(vec_id % 3 AS VARCHAR)",
+    "F_highly_predictive": "CAST(2.0 AS DOUBLE) * CAST(F3924 AS DOUBLE) + F3",
+}
+CATEGORICAL_FAULTS = ["F_cat_deterministic_leak", "F_cat_ok"]
+
+
+def features_cte() -> str:
+    dims = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS F{i}" for i in range(64))
+    faults = ", ".join(f"{e} AS \"{c}\"" for c, e in FAULT_COLUMNS_SQL.items())
+    return f"""
+fm AS (SELECT vec_id, CAST(label = 0 AS INTEGER) AS {K.TARGET_COLUMN}, {dims} FROM embeddings),
+features AS (SELECT *, {faults} FROM fm)"""
+
+
+def feature_columns() -> list[str]:
+    return [f"F{i}" for i in range(64)] + list(FAULT_COLUMNS_SQL)
+
+
+def numeric_feature_columns() -> list[str]:
+    return [c for c in feature_columns() if c not in CATEGORICAL_FAULTS]
