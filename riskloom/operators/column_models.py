@@ -31,6 +31,10 @@ class ColumnModel:
     def probability(self, x: Mapping[str, Column]) -> Column:  # pragma: no cover - protocol
         raise NotImplementedError
 
+    def depends_on(self) -> set[str]:
+        """Features the probability actually reads (others perturb to a zero marginal)."""
+        return set(self.features)
+
     def importance_weights(self) -> dict[str, float]:
         """Uniform unless the model knows better."""
         n = len(self.features)
@@ -61,6 +65,11 @@ class ProxyModel(ColumnModel):
         mean = sum((x[f] for f in present[1:]), x[present[0]]) / F.lit(float(len(present)))
         return sigmoid(mean)
 
+    def depends_on(self) -> set[str]:
+        if self.mode == "f115":
+            return {"F115"} & set(self.features)
+        return {f for f in self.features if f in K.HIGHLIGHTED_FEATURES}
+
     def parity_background(self) -> tuple[dict[str, float], float]:
         """Background means and expected value of the untrained state."""
         means = {f: 0.0 for f in self.features}

@@ -88,48 +88,50 @@ def resolve_features(df: DataFrame, features: list[str], means: Mapping[str, flo
     return out
 
 
-def attribution_array(model: ColumnModel, x: Mapping[str, Column], p: Column,
-                      background: Background) -> Column:
-    """E1 for Column models: array<struct<feature, position, value>> in one row.
+def with_attributions(df: DataFrame, model: ColumnModel, x: Mapping[str, Column], p: Column,
+                      background: Background, name: str = "attributions") -> DataFrame:
+    """E1 for Column models: ``array<struct<feature, position, value, raw_value>>`` per row.
 
     marginal_j = p − p(x with x_j ← mean_j); zero attributions when the total
     shift is under 1e-7; rescaled so they sum to the shift when the marginals
     sum above 1e-4; otherwise the shift spread by importance weights.
+    Shift, marginal sum and the marginals of the features the model reads are
+    staged as columns first, so the array refers to them instead of repeating
+    whole expression trees (keeps planning and code generation small).
     """
-    shift = p - F.lit(background.expected_value)
     weights = model.importance_weights()
-    marginals = []
-    for f in model.features:
-        if f in background.means:
-            perturbed = dict(x)
-            perturbed[f] = F.lit(float(background.means[f]))
-            marginals.append(p - model.probability(perturbed))
-        else:
-            marginals.append(F.lit(0.0))
-    total = marginals[0]
-    for m in marginals[1:]:
-        total = total + m
+    used = [f for f in model.features if f in background.means and f in model.depends_on()]
+    marg = {}
+    for f in used:
+        perturbed = dict(x)
+        perturbed[f] = F.lit(float(background.means[f]))
+        marg[f] = (p - model.probability(perturbed)).alias(f"__m_{f}")
+    total = None
+    for f in used:
+        total = F.col(f"__m_{f}") if total is None else total + F.col(f"__m_{f}")
+    staged = df.select("*", (p - F.lit(background.expected_value)).alias("__shift"), *marg.values())
+    staged = staged.select("*", (total if total is not None else F.lit(0.0)).alias("__total"))
+    shift, tot = F.col("__shift"), F.col("__total")
+    zero = F.abs(shift) < F.lit(K.ATTR_ZERO_SHIFT)
+    scaled = F.abs(tot) > F.lit(K.ATTR_SCALE_MIN)
     items = []
-    for pos, (f, m) in enumerate(zip(model.features, marginals)):
-        v = (
-            F.when(F.abs(shift) < F.lit(K.ATTR_ZERO_SHIFT), F.lit(0.0))
-            .when(F.abs(total) > F.lit(K.ATTR_SCALE_MIN), m * (shift / total))
-            .otherwise(shift * F.lit(weights.get(f, 1.0 / len(model.features))))
-        )
+    for pos, f in enumerate(model.features):
+        m = F.col(f"__m_{f}") if f in marg else F.lit(0.0)
+        v = (F.when(zero, F.lit(0.0)).when(scaled, m * (shift / tot))
+             .otherwise(shift * F.lit(weights.get(f, 1.0 / len(model.features)))))
         items.append(F.struct(F.lit(f).alias("feature"), F.lit(pos).alias("position"),
                               v.alias("value"), x[f].alias("raw_value")))
-    return F.array(*items)
+    drop = ["__shift", "__total"] + [f"__m_{f}" for f in used]
+    return staged.select("*", F.array(*items).alias(name)).drop(*drop)
 
 
 def key_drivers(attrs: Column) -> Column:
     """Signed value descending (stable), skip |v| < 1e-4, first three."""
     kept = F.filter(attrs, lambda a: F.abs(a["value"]) >= F.lit(K.DRIVER_MIN_ABS))
-    ordered = F.array_sort(
-        kept,
-        lambda l, r: F.when(l["value"] > r["value"], F.lit(-1))
-        .when(l["value"] < r["value"], F.lit(1))
-        .otherwise(l["position"] - r["position"]),
-    )
+    keyed = F.transform(kept, lambda a: F.struct((-a["value"]).alias("k"), a["position"].alias("p"),
+                                                 a["feature"].alias("feature"), a["value"].alias("value"),
+                                                 a["raw_value"].alias("raw_value")))
+    ordered = F.sort_array(keyed, asc=True)
     return F.transform(
         F.slice(ordered, 1, K.DRIVER_TOP_N),
         lambda a: F.struct(
@@ -219,8 +221,8 @@ def score_transactions(
         .otherwise(F.col("blended_decision")).alias("action_decision"),
     )
     if with_attribution:
-        attrs = attribution_array(model, xs, pcol, background)
-        out = out.withColumn("attributions", attrs).withColumn("key_drivers", key_drivers(F.col("attributions")))
+        out = with_attributions(out, model, xs, pcol, background)
+        out = out.withColumn("key_drivers", key_drivers(F.col("attributions")))
     return out
 
 
