@@ -94,3 +94,26 @@ def last_non_null_before(
         *[c for c in df.columns],
         *[F.coalesce(F.col(f"__loc_{v}"), F.col(f"__car_{v}")).alias(f"{v}{suffix}") for v in values],
     )
+
+
+def prefix_sum(df: DataFrame, order: list[Column], values: list[str], suffix: str = "_before",
+               partitions: int | None = None) -> DataFrame:
+    """Exclusive running sums of ``values`` along a total ``order``, distributed.
+
+    Range partitioning on the order key spreads the rows; each partition's
+    totals (one row per partition) give its offset, and a window partitioned
+    by the partition id adds the local running sum.  The partitioned frame is
+    checkpointed so the totals and the rows agree on the boundaries.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}")
+                                       for v in values])
+    w_loc = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.coalesce(F.sum(v).over(w_loc), F.lit(0)).alias(f"__l_{v}") for v in values])
+    out = local.join(F.broadcast(offsets), "__pid")
+    return out.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__l_{v}")).alias(f"{v}{suffix}") for v in values])

@@ -381,3 +381,50 @@ def q_collinear_pairs(spark, sf_dir):
     fm = features(spark, sf_dir)
     p = SE.collinear_pairs(fm, collinear_columns(fm))
     return p.select("col_i", "col_j", round6("abs_corr").alias("abs_corr"))
+
+
+# ---------------------------------------------------------------- milestone 4
+
+from ..operators import evaluate as EV  # noqa: E402
+
+
+def scored_labels(spark, sf_dir):
+    return scored(spark, sf_dir).select("seq", "probability", F.col(TARGET).alias("y"))
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    """Class counts and fractions of the transaction label."""
+    d = EV.class_distribution(scored_labels(spark, sf_dir), "y")
+    return d.select(F.col("label").cast("bigint").alias("label"), "n", round6("fraction").alias("fraction"))
+
+
+@register("confusion_metrics")
+def q_confusion_metrics(spark, sf_dir):
+    """Confusion matrix and derived rates at p ≥ 0.5."""
+    c = EV.confusion_metrics(scored_labels(spark, sf_dir), "y", EV.predicted_label("probability"))
+    return c.select("tn", "fp", "fn", "tp", *[round6(x).alias(x) for x in (
+        "accuracy", "precision", "recall", "f1", "fpr_pct", "tnr_pct", "tpr_pct", "fnr_pct")])
+
+
+@register("roc_pr_auc")
+def q_roc_pr_auc(spark, sf_dir):
+    """Tie-aware ROC AUC and step-wise average precision."""
+    r = EV.roc_pr_auc(scored_labels(spark, sf_dir), "probability", "y")
+    return r.select("n_pos", "n_neg", round6("roc_auc").alias("roc_auc"), round6("pr_auc").alias("pr_auc"))
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    """5 stratified folds and a 20 % stratified hold-out."""
+    a = EV.stratified_assign(scored_labels(spark, sf_dir), "y", "seq", k=5, test_fraction=0.2)
+    return a.groupBy(F.col("fold").cast("bigint").alias("fold"), F.col("y").cast("bigint").alias("label"), "is_test") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    """Mean and population std of per-fold ROC AUC."""
+    a = EV.stratified_assign(scored_labels(spark, sf_dir), "y", "seq", k=5)
+    s = EV.cv_summary(a, "probability", "y", 5)
+    return s.select(round6("cv_auc_mean").alias("cv_auc_mean"), round6("cv_auc_std").alias("cv_auc_std"), "n_folds")

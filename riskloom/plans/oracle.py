@@ -428,3 +428,70 @@ SELECT col_i, col_j, round(c, 6) AS abs_corr FROM (
 
 
 ORACLE["collinear_pairs"] = _collinear()
+
+
+# ---------------------------------------------------------------- milestone 4
+
+
+def _labels() -> str:
+    return _scored() + f", lab AS (SELECT seq, p, {T} AS y FROM scored)"
+
+
+ORACLE["class_distribution"] = _labels() + """
+SELECT CAST(y AS BIGINT) AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM lab), 6) AS fraction
+FROM lab GROUP BY y"""
+
+ORACLE["confusion_metrics"] = _labels() + """,
+c AS (SELECT count(*) FILTER (WHERE y <> 1 AND p < 0.5) AS tn, count(*) FILTER (WHERE y <> 1 AND p >= 0.5) AS fp,
+             count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp FROM lab),
+d AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS prec,
+                coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS rec FROM c)
+SELECT tn, fp, fn, tp,
+       round(coalesce((tp + tn) / nullif(CAST(tn + fp + fn + tp AS DOUBLE), 0), 0.0), 6) AS accuracy,
+       round(prec, 6) AS precision, round(rec, 6) AS recall,
+       round(CASE WHEN prec + rec > 0 THEN 2.0 * prec * rec / (prec + rec) ELSE 0.0 END, 6) AS f1,
+       round(coalesce(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 0.0) * 100, 6) AS fpr_pct,
+       round(coalesce(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 0.0) * 100, 6) AS tnr_pct,
+       round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) * 100, 6) AS tpr_pct,
+       round(coalesce(fn / nullif(CAST(fn + tp AS DOUBLE), 0), 0.0) * 100, 6) AS fnr_pct
+FROM d"""
+
+
+def _auc_sql(src: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""
+counts AS (SELECT {g}p AS s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM {src} GROUP BY {g}p),
+cum AS (
+  SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before,
+         coalesce(sum(pos) OVER ({part}ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_above,
+         coalesce(sum(neg) OVER ({part}ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_above
+  FROM counts
+),
+auc AS (
+  SELECT {g}sum(pos) AS n_pos, sum(neg) AS n_neg,
+         CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (neg_before + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS roc_auc,
+         CASE WHEN sum(pos) > 0 THEN coalesce(sum(CASE WHEN pos > 0 THEN pos * (pos_above + pos) / CAST(pos_above + pos + neg_above + neg AS DOUBLE) END), 0.0) / sum(pos) END AS pr_auc
+  FROM cum {'GROUP BY ' + group if group else ''}
+)"""
+
+
+ORACLE["roc_pr_auc"] = _labels() + "," + _auc_sql("lab") + """
+SELECT CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM auc"""
+
+
+def _folds() -> str:
+    return _labels() + """,
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(seq AS VARCHAR) || '|42'), seq) AS class_rank,
+         count(*) OVER (PARTITION BY y) AS n_class
+  FROM lab
+),
+assigned AS (SELECT *, (class_rank - 1) % 5 AS fold, class_rank <= ceil(n_class * 0.2) AS is_test FROM ranked)"""
+
+
+ORACLE["stratified_folds"] = _folds() + """
+SELECT CAST(fold AS BIGINT) AS fold, CAST(y AS BIGINT) AS label, is_test, count(*) AS n FROM assigned GROUP BY ALL"""
+
+ORACLE["cv_summary"] = _folds() + "," + _auc_sql("assigned", "fold") + """
+SELECT round(avg(roc_auc), 6) AS cv_auc_mean, round(stddev_pop(roc_auc), 6) AS cv_auc_std, count(*) AS n_folds FROM auc"""
