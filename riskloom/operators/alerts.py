@@ -189,7 +189,7 @@ def apply_updates(alerts: DataFrame, updates: DataFrame, bucket_seconds: int = 3
     )
     logs = s.select(
         "alert_id", "update_seq", "ts", when.alias("timestamp"),
-        F.explode(F.array_compact(entries)).alias("e"),
+        F.explode_outer(F.array_compact(entries)).alias("e"),  # never empty: status entry always present
     ).select(
         "alert_id",
         (F.col("update_seq") * F.lit(4) + F.col("e.k") + F.lit(1)).cast("bigint").alias("log_seq"),
@@ -319,7 +319,7 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
     )
     logs = alerts.select(
         F.col("id").alias("alert_id"),
-        F.explode(F.array_compact(F.array(
+        F.explode_outer(F.array_compact(F.array(
             F.struct(F.lit(0).cast("bigint").alias("log_seq"), F.lit(K.SYSTEM_OPERATOR).alias("operator"),
                      F.lit(K.AUTO_EVAL_ACTION).alias("action"), F.lit("14:00:00 UTC").alias("timestamp")),
             F.when(F.col("status") == "Closed", F.struct(

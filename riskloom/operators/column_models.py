@@ -35,6 +35,16 @@ class ColumnModel:
         """Features the probability actually reads (others perturb to a zero marginal)."""
         return set(self.features)
 
+    def logit_terms(self, x: Mapping[str, Column]) -> tuple[Column, float, dict[str, float]] | None:
+        """Additive-logit form ``z = (offset_sum) / scale`` when the model has one.
+
+        Returns ``(sum_column, scale, weights)`` with ``z = sum / scale`` and
+        ``sum = b + Σ w_f·x_f``; perturbing feature f to m changes the sum by
+        ``w_f·(m − x_f)``, which keeps each perturbed probability an O(1)
+        expression over a staged sum.  ``None`` for models without that form.
+        """
+        return None
+
     def importance_weights(self) -> dict[str, float]:
         """Uniform unless the model knows better."""
         n = len(self.features)
@@ -65,6 +75,17 @@ class ProxyModel(ColumnModel):
         mean = sum((x[f] for f in present[1:]), x[present[0]]) / F.lit(float(len(present)))
         return sigmoid(mean)
 
+    def logit_terms(self, x):
+        if self.mode == "f115":
+            return (x["F115"], 1.0, {"F115": 1.0}) if "F115" in self.features else None
+        present = [f for f in self.features if f in K.HIGHLIGHTED_FEATURES]
+        if not present:
+            return None
+        s = x[present[0]]
+        for f in present[1:]:
+            s = s + x[f]
+        return s, float(len(present)), {f: 1.0 for f in present}
+
     def depends_on(self) -> set[str]:
         if self.mode == "f115":
             return {"F115"} & set(self.features)
@@ -94,6 +115,12 @@ class LinearModel(ColumnModel):
             z = z + F.lit(float(w)) * x[f]
         return sigmoid(z)
 
+    def logit_terms(self, x):
+        z = F.lit(float(self.intercept))
+        for f, w in zip(self.features, self.coefficients):
+            z = z + F.lit(float(w)) * x[f]
+        return z, 1.0, dict(zip(self.features, [float(w) for w in self.coefficients]))
+
     def importance_weights(self) -> dict[str, float]:
         a = [abs(w) for w in self.coefficients]
         total = sum(a) if sum(a) > 0 else 1.0

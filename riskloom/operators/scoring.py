@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.bands import engine_decision, engine_tier, probability_to_score
-from ..functions.scalar import clamp, hashed_txn_id, inverted_anomaly_risk, upper_strip
+from ..functions.scalar import clamp, hashed_txn_id, inverted_anomaly_risk, sigmoid, upper_strip
 from .column_models import ColumnModel, ProxyModel
 from .rules import Rule, default_rules, max_rule, rule_hits
 
@@ -95,34 +95,62 @@ def with_attributions(df: DataFrame, model: ColumnModel, x: Mapping[str, Column]
     marginal_j = p − p(x with x_j ← mean_j); zero attributions when the total
     shift is under 1e-7; rescaled so they sum to the shift when the marginals
     sum above 1e-4; otherwise the shift spread by importance weights.
-    Shift, marginal sum and the marginals of the features the model reads are
-    staged as columns first, so the array refers to them instead of repeating
-    whole expression trees (keeps planning and code generation small).
+
+    For additive-logit models the whole computation is one higher-order
+    expression over ``arrays_zip(x, mean, weight, used)`` with the logit sum
+    staged as a column, so the expression size does not grow with the
+    feature count (a per-feature expression tree would be inlined by the
+    optimizer into every consumer and blow past code-generation limits).
     """
-    weights = model.importance_weights()
-    used = [f for f in model.features if f in background.means and f in model.depends_on()]
-    marg = {}
-    for f in used:
-        perturbed = dict(x)
-        perturbed[f] = F.lit(float(background.means[f]))
-        marg[f] = (p - model.probability(perturbed)).alias(f"__m_{f}")
-    total = None
-    for f in used:
-        total = F.col(f"__m_{f}") if total is None else total + F.col(f"__m_{f}")
-    staged = df.select("*", (p - F.lit(background.expected_value)).alias("__shift"), *marg.values())
-    staged = staged.select("*", (total if total is not None else F.lit(0.0)).alias("__total"))
-    shift, tot = F.col("__shift"), F.col("__total")
-    zero = F.abs(shift) < F.lit(K.ATTR_ZERO_SHIFT)
-    scaled = F.abs(tot) > F.lit(K.ATTR_SCALE_MIN)
-    items = []
-    for pos, f in enumerate(model.features):
-        m = F.col(f"__m_{f}") if f in marg else F.lit(0.0)
-        v = (F.when(zero, F.lit(0.0)).when(scaled, m * (shift / tot))
-             .otherwise(shift * F.lit(weights.get(f, 1.0 / len(model.features)))))
-        items.append(F.struct(F.lit(f).alias("feature"), F.lit(pos).alias("position"),
-                              v.alias("value"), x[f].alias("raw_value")))
-    drop = ["__shift", "__total"] + [f"__m_{f}" for f in used]
-    return staged.select("*", F.array(*items).alias(name)).drop(*drop)
+    feats = list(model.features)
+    n = len(feats)
+    imp = model.importance_weights()
+    dep = model.depends_on()
+    used = [f in background.means and f in dep for f in feats]
+    terms = model.logit_terms(x)
+    lit_arr = lambda vals, t: F.array(*[F.lit(v).cast(t) for v in vals])
+    # Lambdas below read element fields only: per-row scalars travel inside the
+    # zipped array (array_repeat is evaluated once per row).  A lambda that
+    # referenced an outer column would get that column's whole definition
+    # inlined by the optimizer and re-evaluated for every element.
+    row_scalars = F.struct(p.alias("p"), (terms[0] if terms is not None else F.lit(0.0)).alias("lsum"))
+    zipped = F.arrays_zip(
+        F.array(*[x[f].cast("double") for f in feats]).alias("x"),
+        lit_arr([float(background.means.get(f, 0.0)) for f in feats], "double").alias("mean"),
+        lit_arr([float(terms[2].get(f, 0.0)) if terms is not None else 0.0 for f in feats], "double").alias("w"),
+        lit_arr(used, "boolean").alias("used"),
+        lit_arr(feats, "string").alias("feature"),
+        lit_arr(list(range(n)), "int").alias("position"),
+        lit_arr([float(imp.get(f, 1.0 / n)) for f in feats], "double").alias("imp"),
+        F.array_repeat(row_scalars, n).alias("r"),
+    )
+    if terms is not None:
+        scale = F.lit(float(terms[1]))
+        margs = F.transform(zipped, lambda e: e.withField("m", F.when(
+            e["used"], e["r"]["p"] - sigmoid((e["r"]["lsum"] + e["w"] * (e["mean"] - e["x"])) / scale))
+            .otherwise(F.lit(0.0))))
+    else:
+        per = []
+        for i, f in enumerate(feats):
+            if used[i]:
+                perturbed = dict(x)
+                perturbed[f] = F.lit(float(background.means[f]))
+                per.append(p - model.probability(perturbed))
+            else:
+                per.append(F.lit(0.0))
+        margs = F.transform(F.arrays_zip(zipped.alias("e"), F.array(*per).alias("m")),
+                            lambda t: t["e"].withField("m", t["m"]))
+    staged = df.select("*", margs.alias("__z"), (p - F.lit(background.expected_value)).alias("__shift"))
+    staged = staged.select("*", F.aggregate("__z", F.lit(0.0), lambda acc, e: acc + e["m"]).alias("__total"))
+    per_row = F.array_repeat(F.struct(F.col("__shift").alias("shift"), F.col("__total").alias("total")), n)
+    attrs = F.transform(F.arrays_zip(F.col("__z").alias("e"), per_row.alias("s")), lambda t: F.struct(
+        t["e"]["feature"].alias("feature"), t["e"]["position"].alias("position"),
+        F.when(F.abs(t["s"]["shift"]) < F.lit(K.ATTR_ZERO_SHIFT), F.lit(0.0))
+        .when(F.abs(t["s"]["total"]) > F.lit(K.ATTR_SCALE_MIN), t["e"]["m"] * (t["s"]["shift"] / t["s"]["total"]))
+        .otherwise(t["s"]["shift"] * t["e"]["imp"]).alias("value"),
+        t["e"]["x"].alias("raw_value")))
+    out = staged.select("*", attrs.alias(name))
+    return out.drop("__z", "__shift", "__total")
 
 
 def key_drivers(attrs: Column) -> Column:

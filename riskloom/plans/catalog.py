@@ -80,7 +80,7 @@ def q_blended_tiers(spark, sf_dir):
 def q_rule_hit_counts(spark, sf_dir):
     """Hits per rule and how often each rule elevated the score."""
     s = scored(spark, sf_dir)
-    hits = s.select(F.explode("rule_hits").alias("h"), "blended_score")
+    hits = s.select(F.explode_outer("rule_hits").alias("h"), "blended_score").filter(F.col("h").isNotNull())
     return hits.groupBy(F.col("h.rule_id").alias("rule_id")).agg(
         F.count(F.lit(1)).alias("n_hits"),
         F.count_if(F.col("h.trigger_score") > F.col("blended_score")).alias("n_above_model"),
@@ -428,3 +428,59 @@ def q_cv_summary(spark, sf_dir):
     a = EV.stratified_assign(scored_labels(spark, sf_dir), "y", "seq", k=5)
     s = EV.cv_summary(a, "probability", "y", 5)
     return s.select(round6("cv_auc_mean").alias("cv_auc_mean"), round6("cv_auc_std").alias("cv_auc_std"), "n_folds")
+
+
+# ---------------------------------------------------------------- milestone 5
+
+from ..operators import attribution as AT  # noqa: E402
+from ..operators.column_models import ProxyModel  # noqa: E402
+
+
+def _z(c):
+    """Round to 6 dp and turn -0.0 into 0.0 (same on the SQL side)."""
+    return round6(c) + F.lit(0.0)
+
+
+def explained(spark, sf_dir):
+    txn = transactions(Tables(spark, sf_dir))
+    model = ProxyModel(mode="highlighted_mean")
+    bg = AT.background_from_data(txn, model)
+    return AT.explain(txn, model, bg, "transaction_id"), bg
+
+
+@register("local_attributions")
+def q_local_attributions(spark, sf_dir):
+    """Perturbation attributions per transaction and feature (long form)."""
+    ex, _ = explained(spark, sf_dir)
+    return AT.attribution_long(ex).select("row_id", "feature", _z("value").alias("value"),
+                                          _z("raw_value").alias("raw_value"))
+
+
+@register("waterfall_steps")
+def q_waterfall_steps(spark, sf_dir):
+    """Base, top-8 steps, Other bucket and final probability per row."""
+    ex, bg = explained(spark, sf_dir)
+    w = AT.waterfall(ex, bg)
+    return w.select("row_id", F.col("step").cast("bigint").alias("step"), "feature", _z("value").alias("value"),
+                    _z("cumulative").alias("cumulative"), "type")
+
+
+@register("global_importance")
+def q_global_importance(spark, sf_dir):
+    """Top-15 mean |attribution| with catalog names and relative %."""
+    ex, _ = explained(spark, sf_dir)
+    imp = AT.global_importance(AT.attribution_long(ex))
+    top = AT.relative_importance(AT.catalog_enrich(AT.top_features(imp, 15)))
+    return top.select("feature", _z("mean_abs_attribution").alias("mean_abs_attribution"), "name", "type",
+                      _z("relative_pct").alias("relative_pct"))
+
+
+@register("beeswarm_points")
+def q_beeswarm_points(spark, sf_dir):
+    """Top-10 features × every row: value, 0–1 scale, attribution."""
+    ex, _ = explained(spark, sf_dir)
+    long = AT.attribution_long(ex)
+    top = AT.top_features(AT.global_importance(long), 10)
+    b = AT.beeswarm(long, top)
+    return b.select("row_id", "feature", _z("val").alias("val"), _z("normalized_val").alias("normalized_val"),
+                    _z("shap_val").alias("shap_val"))

@@ -495,3 +495,101 @@ SELECT CAST(fold AS BIGINT) AS fold, CAST(y AS BIGINT) AS label, is_test, count(
 
 ORACLE["cv_summary"] = _folds() + "," + _auc_sql("assigned", "fold") + """
 SELECT round(avg(roc_auc), 6) AS cv_auc_mean, round(stddev_pop(roc_auc), 6) AS cv_auc_std, count(*) AS n_folds FROM auc"""
+
+
+# ---------------------------------------------------------------- milestone 5
+
+
+def _explained() -> str:
+    feats = list(K.HIGHLIGHTED_FEATURES)
+    data = {"F115", "F321", "F527", "F670"}
+    n = len(feats)
+    xs = {f: (f"coalesce(m_{f}, bg_{f})" if f in data else "CAST(0.0 AS DOUBLE)") for f in feats}
+
+    def prob(over: dict) -> str:
+        terms = [over[f] for f in feats]
+        s = terms[0]
+        for t in terms[1:]:
+            s = f"({s} + {t})"
+        return f"CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({s} / CAST({float(n)} AS DOUBLE))))"
+
+    bg = ", ".join(f"avg(m_{f}) AS bg_{f}" for f in sorted(data))
+    xcols = ", ".join(f"{xs[f]} AS x_{f}" for f in feats)
+    xref = {f: f"x_{f}" for f in feats}
+    ssum = xref[feats[0]]
+    for f in feats[1:]:
+        ssum = f"({ssum} + {xref[f]})"
+    margs = []
+    for f in feats:
+        mean = f"bgv_{f}" if f in data else "CAST(0.0 AS DOUBLE)"
+        z = f"(({ssum} + CAST(1.0 AS DOUBLE) * ({mean} - x_{f})) / CAST({float(n)} AS DOUBLE))"
+        margs.append(f"p - CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-{z})) AS mg_{f}")
+    total = "mg_" + feats[0]
+    for f in feats[1:]:
+        total = f"({total} + mg_{f})"
+    bgv = ", ".join(f"bg_{f} AS bgv_{f}" for f in sorted(data))
+    attrs = " UNION ALL ".join(
+        f"SELECT row_id, '{f}' AS feature, {i} AS position, "
+        f"CASE WHEN abs(shift) < {K.ATTR_ZERO_SHIFT!r} THEN CAST(0.0 AS DOUBLE) "
+        f"WHEN abs(total) > {K.ATTR_SCALE_MIN!r} THEN mg_{f} * (shift / total) "
+        f"ELSE shift * CAST({1.0 / n!r} AS DOUBLE) END AS value, x_{f} AS raw_value, p FROM marg"
+        for i, f in enumerate(feats))
+    return with_ctes(transactions_cte()) + f""",
+bgm AS (SELECT {bg} FROM transactions),
+resolved AS (SELECT transaction_id AS row_id, {xcols} FROM transactions, bgm),
+probs AS (SELECT *, {prob(xref)} AS p FROM resolved),
+ev AS (SELECT avg(p) AS ev FROM probs),
+marg0 AS (SELECT probs.*, p - ev AS shift, {bgv}, {', '.join(margs)} FROM probs, ev, bgm),
+marg AS (SELECT *, {total} AS total FROM marg0),
+attrs AS ({attrs})"""
+
+
+def _z(x: str) -> str:
+    return f"round({x}, 6) + CAST(0.0 AS DOUBLE)"
+
+
+ORACLE["local_attributions"] = _explained() + f"""
+SELECT row_id, feature, {_z('value')} AS value, {_z('raw_value')} AS raw_value FROM attrs"""
+
+ORACLE["waterfall_steps"] = _explained() + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, position) AS rk,
+                  count(*) OVER (PARTITION BY row_id) AS nf FROM attrs),
+steps AS (
+  SELECT row_id, rk AS step, feature, value, CASE WHEN value >= 0 THEN 'positive' ELSE 'negative' END AS type
+  FROM ranked WHERE rk <= {K.WATERFALL_TOP_K}
+  UNION ALL
+  SELECT row_id, {K.WATERFALL_TOP_K + 1}, 'Other (' || CAST(max(nf) - {K.WATERFALL_TOP_K} AS VARCHAR) || ' marginal features)',
+         sum(value), CASE WHEN sum(value) >= 0 THEN 'positive' ELSE 'negative' END
+  FROM ranked WHERE rk > {K.WATERFALL_TOP_K} GROUP BY row_id
+),
+cum AS (SELECT s.*, (SELECT ev FROM ev) + sum(value) OVER (PARTITION BY row_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative FROM steps s)
+SELECT row_id, CAST(step AS BIGINT) AS step, feature, {_z('value')} AS value, {_z('cumulative')} AS cumulative, type FROM cum
+UNION ALL
+SELECT row_id, 0, '{K.BASE_STEP_LABEL}', CAST(0.0 AS DOUBLE), {_z('(SELECT ev FROM ev)')}, 'base' FROM probs
+UNION ALL
+SELECT row_id, {K.WATERFALL_TOP_K + 2}, '{K.FINAL_STEP_LABEL}', CAST(0.0 AS DOUBLE), {_z('p')}, 'total' FROM probs"""
+
+
+def _importance() -> str:
+    from ..operators.attribution import FEATURE_DESCRIPTIONS
+
+    cat = ", ".join(f"('{k}', '{v}')" for k, v in FEATURE_DESCRIPTIONS.items())
+    return _explained() + f""",
+imp AS (SELECT feature, position, avg(abs(value)) AS score FROM attrs GROUP BY feature, position),
+cat AS (SELECT * FROM (VALUES {cat}) t(feature, name))"""
+
+
+ORACLE["global_importance"] = _importance() + f""",
+top AS (SELECT * FROM imp ORDER BY round(score, 12) DESC, position LIMIT 15)
+SELECT t.feature, {_z('t.score')} AS mean_abs_attribution, coalesce(c.name, 'Anonymized Feature ' || t.feature) AS name,
+       'Model Feature' AS type, {_z('t.score / max(t.score) OVER () * 100.0')} AS relative_pct
+FROM top t LEFT JOIN cat c ON c.feature = t.feature"""
+
+ORACLE["beeswarm_points"] = _importance() + f""",
+top AS (SELECT * FROM imp ORDER BY round(score, 12) DESC, position LIMIT 10),
+pts AS (SELECT a.* FROM attrs a JOIN top USING (feature)),
+st AS (SELECT feature, min(raw_value) AS vmin, max(raw_value) AS vmax FROM pts GROUP BY feature)
+SELECT row_id, feature, {_z('raw_value')} AS val,
+       {_z('CASE WHEN vmax - vmin > 0 THEN (raw_value - vmin) / (vmax - vmin) ELSE 0.5 END')} AS normalized_val,
+       {_z('value')} AS shap_val
+FROM pts JOIN st USING (feature)"""
