@@ -484,3 +484,31 @@ def q_beeswarm_points(spark, sf_dir):
     b = AT.beeswarm(long, top)
     return b.select("row_id", "feature", _z("val").alias("val"), _z("normalized_val").alias("normalized_val"),
                     _z("shap_val").alias("shap_val"))
+
+
+# ---------------------------------------------------------------- milestone 6
+
+from ..operators import mutual_info as MI  # noqa: E402
+
+
+def mi_features(fm):
+    num, _ = split_columns(fm.select(*feature_columns(fm)))
+    return num
+
+
+@register("mutual_information")
+def q_mutual_information(spark, sf_dir):
+    """k=3 nearest-neighbour mutual information of every numeric feature with the target."""
+    fm = features(spark, sf_dir)
+    mi = MI.mutual_information(fm, mi_features(fm), TARGET, "vec_id")
+    return mi.select("feature", "n", round6("mi").alias("mi"), round6("mi_raw").alias("mi_raw"))
+
+
+@register("mi_top_features")
+def q_mi_top_features(spark, sf_dir):
+    """The 40 highest-MI features (ties in column order) with their rank."""
+    fm = features(spark, sf_dir)
+    mi = MI.mutual_information(fm, mi_features(fm), TARGET, "vec_id")
+    top = MI.top_k_features(mi, 40)
+    return top.select("feature", F.col("position").cast("bigint").alias("position"),
+                      F.col("mi_rank").cast("bigint").alias("mi_rank"), round6("mi").alias("mi"))

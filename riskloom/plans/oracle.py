@@ -593,3 +593,59 @@ SELECT row_id, feature, {_z('raw_value')} AS val,
        {_z('CASE WHEN vmax - vmin > 0 THEN (raw_value - vmin) / (vmax - vmin) ELSE 0.5 END')} AS normalized_val,
        {_z('value')} AS shap_val
 FROM pts JOIN st USING (feature)"""
+
+
+# ---------------------------------------------------------------- milestone 6
+
+
+def _digamma_sql(n: str) -> str:
+    from ..operators.mutual_info import EULER_GAMMA, EXACT_DIGAMMA_MAX
+
+    h = [0.0]
+    for j in range(1, EXACT_DIGAMMA_MAX):
+        h.append(h[-1] + 1.0 / j)
+    cases = " ".join(f"WHEN {n} = {m} THEN CAST({(-EULER_GAMMA + h[m - 1])!r} AS DOUBLE)" for m in range(1, EXACT_DIGAMMA_MAX + 1))
+    x = f"CAST({n} AS DOUBLE)"
+    asym = (f"ln({x}) - CAST(0.5 AS DOUBLE) / {x} - CAST({1.0 / 12!r} AS DOUBLE) / ({x} * {x}) "
+            f"+ CAST({1.0 / 120!r} AS DOUBLE) / pow({x}, 4) - CAST({1.0 / 252!r} AS DOUBLE) / pow({x}, 6)")
+    return f"(CASE {cases} ELSE {asym} END)"
+
+
+def _mi() -> str:
+    cols = numeric_feature_columns()
+    lf = " UNION ALL ".join(
+        f"SELECT CAST(vec_id AS VARCHAR) AS rid, CAST({T} AS INTEGER) AS y, '{c}' AS feature, {i} AS position, "
+        f"CAST({_qi(c)} AS DOUBLE) AS x FROM features WHERE {_qi(c)} IS NOT NULL AND NOT isnan({_qi(c)}) AND {T} IS NOT NULL"
+        for i, c in enumerate(cols))
+    return with_ctes(features_cte()) + f""",
+lf AS ({lf}),
+p AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, y) AS n_class FROM lf) t WHERE n_class > 1),
+pairs AS (
+  SELECT a.feature, a.rid, CASE WHEN b.x > a.x THEN b.x - a.x ELSE a.x - b.x END AS dist
+  FROM p a JOIN p b ON a.feature = b.feature AND a.y = b.y AND a.rid <> b.rid
+),
+ranked_pairs AS (SELECT *, row_number() OVER (PARTITION BY feature, rid ORDER BY dist) AS rn FROM pairs),
+kd AS (
+  SELECT pt.feature, pt.position, pt.rid, pt.x, pt.n_class, least(3, pt.n_class - 1) AS k_i, r.dist AS d
+  FROM p pt JOIN ranked_pairs r ON r.feature = pt.feature AND r.rid = pt.rid AND r.rn = least(3, pt.n_class - 1)
+),
+mm AS (
+  SELECT kd.*, (SELECT count(*) FROM p o WHERE o.feature = kd.feature AND
+                 ((kd.d > 0 AND o.x > kd.x - kd.d AND o.x < kd.x + kd.d) OR (kd.d = 0 AND o.x = kd.x))) AS m
+  FROM kd
+),
+agg AS (
+  SELECT feature, position, count(*) AS n, avg({_digamma_sql('k_i')}) AS psi_k, avg({_digamma_sql('n_class')}) AS psi_ny,
+         avg({_digamma_sql('m')}) AS psi_m
+  FROM mm GROUP BY feature, position
+),
+mi AS (SELECT feature, position, n, {_digamma_sql('n')} + psi_k - psi_ny - psi_m AS mi_raw FROM agg)"""
+
+
+ORACLE["mutual_information"] = _mi() + """
+SELECT feature, n, round(greatest(mi_raw, 0.0), 6) AS mi, round(mi_raw, 6) AS mi_raw FROM mi"""
+
+ORACLE["mi_top_features"] = _mi() + """
+SELECT feature, CAST(position AS BIGINT) AS position, CAST(mi_rank AS BIGINT) AS mi_rank, round(greatest(mi_raw, 0.0), 6) AS mi
+FROM (SELECT *, row_number() OVER (ORDER BY round(greatest(mi_raw, 0.0), 12) DESC, position) AS mi_rank FROM mi) r
+WHERE mi_rank <= 40"""
