@@ -512,3 +512,39 @@ def q_mi_top_features(spark, sf_dir):
     top = MI.top_k_features(mi, 40)
     return top.select("feature", F.col("position").cast("bigint").alias("position"),
                       F.col("mi_rank").cast("bigint").alias("mi_rank"), round6("mi").alias("mi"))
+
+
+# ---------------------------------------------------------------- milestone 9 (streaming)
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import scorecard_stream as ST  # noqa: E402
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """Transactions replayed as a file stream (with duplicates), scored,
+    deduplicated and sunk as alerts; must equal the batch alerts."""
+    txn = transactions(Tables(spark, sf_dir))
+    src = scratch_path(spark, "txn-stream-src")
+    sink = scratch_path(spark, "alert-stream-sink")
+    ST.stage_transactions(txn, src)
+    schema = spark.read.parquet(src).schema
+    ST.run_alert_stream(spark, src, schema, sink)
+    a = spark.read.parquet(sink)
+    return a.groupBy("risk_tier", "severity").agg(F.count(F.lit(1)).alias("n_alerts"),
+                                                 F.countDistinct("transaction_id").alias("n_transactions"),
+                                                 F.sum("risk_score").cast("bigint").alias("sum_score"))
+
+
+@register("stream_telemetry")
+def q_stream_telemetry(spark, sf_dir):
+    """30-day event-time windows × tier counts from the stream."""
+    txn = transactions(Tables(spark, sf_dir))
+    src = scratch_path(spark, "txn-tele-src")
+    out = scratch_path(spark, "telemetry-out")
+    ST.stage_transactions(txn, src, replay_year=None)
+    schema = spark.read.parquet(src).schema
+    ST.run_telemetry_stream(spark, src, schema, out)
+    t = spark.read.parquet(out)
+    return t.select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), "risk_tier", "n",
+                    round6("avg_score").alias("avg_score"))

@@ -649,3 +649,16 @@ ORACLE["mi_top_features"] = _mi() + """
 SELECT feature, CAST(position AS BIGINT) AS position, CAST(mi_rank AS BIGINT) AS mi_rank, round(greatest(mi_raw, 0.0), 6) AS mi
 FROM (SELECT *, row_number() OVER (ORDER BY round(greatest(mi_raw, 0.0), 12) DESC, position) AS mi_rank FROM mi) r
 WHERE mi_rank <= 40"""
+
+
+# ---------------------------------------------------------------- milestone 9 (streaming)
+
+ORACLE["stream_alerts"] = _alerts() + """
+SELECT risk_tier, severity, count(*) AS n_alerts, count(DISTINCT transaction_id) AS n_transactions,
+       CAST(sum(risk_score) AS BIGINT) AS sum_score
+FROM alerts GROUP BY risk_tier, severity"""
+
+ORACLE["stream_telemetry"] = _scored() + """
+SELECT strftime(time_bucket(INTERVAL '30 days', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start,
+       risk_tier, count(*) AS n, round(avg(final_risk_score), 6) AS avg_score
+FROM scored GROUP BY ALL"""
