@@ -548,3 +548,63 @@ def q_stream_telemetry(spark, sf_dir):
     t = spark.read.parquet(out)
     return t.select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), "risk_tier", "n",
                     round6("avg_score").alias("avg_score"))
+
+
+# ---------------------------------------------------------------- milestone 7 (models)
+
+from ..operators import models as MD  # noqa: E402
+
+
+def training_frame(spark, sf_dir):
+    fm = features(spark, sf_dir)
+    pre = GovernancePreprocessor(median="exact").fit(fm, TARGET, exclude=["vec_id"])
+    out = pre.transform(fm)
+    return out, pre.numeric_features
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """Train on the stratified 80 %, evaluate on the 20 % hold-out."""
+    data, feats = training_frame(spark, sf_dir)
+    a = EV.stratified_assign(data, TARGET, "vec_id", k=5, test_fraction=0.2)
+    train, test = a.filter(~F.col("is_test")), a.filter(F.col("is_test"))
+    models = MD.fit(train, feats, TARGET)
+    recs = []
+    for name, m in models.items():
+        recs.append(MD.evaluation_record(MD.positive_probability(m, test, "p"), "p", TARGET, name))
+    ens = MD.soft_vote(test, {k: models[k] for k in ("xgboost", "lightgbm", "randomforest")})
+    recs.append(MD.evaluation_record(ens, "p_ensemble", TARGET, "ensemble"))
+    from functools import reduce as _r
+
+    out = _r(lambda x, y: x.unionByName(y), recs)
+    return out.select("model", *[round6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")],
+                      "tn", "fp", "fn", "tp")
+
+
+@register("oversampled_classes")
+def q_oversampled_classes(spark, sf_dir):
+    """Class counts after random oversampling of the minority (equal classes)."""
+    data, _ = training_frame(spark, sf_dir)
+    bal = MD.random_oversample(data, TARGET)
+    return bal.groupBy(F.col(TARGET).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rfe_selection")
+def q_rfe_selection(spark, sf_dir):
+    """MI top-40 pre-prune, then RFE-CV with L1 logistic regression."""
+    data, feats = training_frame(spark, sf_dir)
+    mi = MI.mutual_information(data, feats, TARGET, "vec_id")
+    top = [r["feature"] for r in MI.top_k_features(mi, 40).orderBy("position").collect()]
+    ranking = MD.rfe_cv(data, top, TARGET, "vec_id", step=0.05, min_features=12, folds=3)
+    rows = [(f, r, s) for f, r, s in ranking]
+    selected = SE.force_include([f for f, _, s in rows if s], feats)
+    rows = [(f, r, f in selected) for f, r, _ in rows]
+    return spark.createDataFrame(rows, "feature string, ranking int, selected boolean")
+
+
+@register("hyper_parameters")
+def q_hyper_parameters(spark, sf_dir):
+    """The hyper-parameter record of each classifier (n from the training rows)."""
+    data, _ = training_frame(spark, sf_dir)
+    n = data.count()
+    return spark.createDataFrame(MD.hyper_parameters(int(n * 0.8)), "model string, parameter string, value string")
