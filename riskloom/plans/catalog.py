@@ -608,3 +608,34 @@ def q_hyper_parameters(spark, sf_dir):
     data, _ = training_frame(spark, sf_dir)
     n = data.count()
     return spark.createDataFrame(MD.hyper_parameters(int(n * 0.8)), "model string, parameter string, value string")
+
+
+# ---------------------------------------------------------------- milestone 8 (anomaly)
+
+from ..operators import isolation as IF  # noqa: E402
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, sf_dir):
+    """Isolation-forest decision scores and ±1 labels for every feature-matrix row."""
+    data, feats = training_frame(spark, sf_dir)
+    model = IF.fit(data, feats, "vec_id", n_trees=100, psi=256, contamination=0.018)
+    lab = IF.label(IF.score(data, model, "vec_id"), model["offset"])
+    return lab.select("vec_id", round6("decision").alias("decision"), "anomaly_label")
+
+
+@register("scorecard_with_anomaly")
+def q_scorecard_with_anomaly(spark, sf_dir):
+    """Transactions scored with the forest's decision score blended in and rule U04."""
+    txn = transactions(Tables(spark, sf_dir))
+    feats = ["F115", "F321", "F527", "F670"]
+    flat = txn.select("*", *[F.coalesce(F.try_element_at("custom_metrics", F.lit(f)), F.lit(0.0)).alias(f"m_{f}")
+                             for f in feats])
+    mfeats = [f"m_{f}" for f in feats]
+    model = IF.fit(flat, mfeats, "seq", n_trees=100, psi=256, contamination=0.018)
+    lab = IF.label(IF.score(flat, model, "seq"), model["offset"])
+    b = IF.bounds(lab).first()
+    joined = txn.join(lab.select("seq", F.col("decision").alias("anomaly_score"), "anomaly_label"), "seq")
+    s = score_transactions(joined, bounds=(b["anomaly_score_min"], b["anomaly_score_max"]), with_attribution=False)
+    return s.groupBy("risk_tier", "is_unsupervised_outlier").agg(F.count(F.lit(1)).alias("n"),
+                                                                round6(F.avg("anomaly_risk")).alias("avg_anomaly_risk"))
