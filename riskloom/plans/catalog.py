@@ -639,3 +639,51 @@ def q_scorecard_with_anomaly(spark, sf_dir):
     s = score_transactions(joined, bounds=(b["anomaly_score_min"], b["anomaly_score_max"]), with_attribution=False)
     return s.groupBy("risk_tier", "is_unsupervised_outlier").agg(F.count(F.lit(1)).alias("n"),
                                                                 round6(F.avg("anomaly_risk")).alias("avg_anomaly_risk"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+from ..sources import io as IO  # noqa: E402
+
+
+@register("alert_snapshot_roundtrip")
+def q_alert_snapshot_roundtrip(spark, sf_dir):
+    """Workflow state written as a JSON snapshot, read back with a fixed schema."""
+    alerts, logs, after, update_logs, _ = workflow(spark, sf_dir)
+    path = scratch_path(spark, "alert-snapshot")
+    IO.write_alert_snapshot(after, logs.unionByName(update_logs), path)
+    a, lg = IO.read_alert_snapshot(spark, path)
+    n_logs = lg.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
+    upd = update_logs.groupBy("alert_id").agg(F.countDistinct(F.floor(F.col("log_seq") / 4)).alias("n_updates"))
+    return a.join(n_logs, a["id"] == n_logs["alert_id"], "left").drop("alert_id") \
+        .join(upd, a["id"] == upd["alert_id"], "left").select(
+            "id", "status", "assigned_to", F.coalesce(F.col("n_updates"), F.lit(0)).cast("bigint").alias("n_updates"),
+            F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
+
+
+@register("risk_scores_csv_roundtrip")
+def q_risk_scores_csv(spark, sf_dir):
+    """Scored-batch CSV written and scanned back; per-band sums."""
+    batch = AL.batch_risk_scores(scored(spark, sf_dir))
+    path = scratch_path(spark, "risk-scores-csv")
+    IO.write_risk_scores(batch, path)
+    r = IO.read_risk_scores(spark, path)
+    band = F.when(F.col("Final_Risk_Score") >= 75, "Critical").when(F.col("Final_Risk_Score") >= 50, "High") \
+        .when(F.col("Final_Risk_Score") >= 25, "Medium").otherwise("Low")
+    return r.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"),
+                                              round6(F.avg("ML_Risk")).alias("avg_ml_risk"),
+                                              round6(F.avg("Final_Risk_Score")).alias("avg_final"))
+
+
+@register("feature_csv_scan")
+def q_feature_csv_scan(spark, sf_dir):
+    """Feature matrix through CSV (index column, leakage column, text numerics) and back."""
+    fm = features(spark, sf_dir).withColumn("F3912", F.col("F0") * F.lit(2.0)) \
+        .withColumn("F7", F.col("F7").cast("string"))
+    path = scratch_path(spark, "feature-csv")
+    IO.write_feature_csv(fm, path)
+    raw = IO.read_feature_csv(spark, [scratch_path(spark, "missing"), path])
+    clean, t = IO.clean_feature_frame(raw, TARGET)
+    p = PR.missing_profile(clean, [c for c in clean.columns if c not in ("vec_id", t)])
+    return p.select("feature", F.col("missing_count").cast("bigint").alias("missing_count"),
+                    round6("missing_percentage").alias("missing_percentage"))

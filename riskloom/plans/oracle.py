@@ -662,3 +662,24 @@ ORACLE["stream_telemetry"] = _scored() + """
 SELECT strftime(time_bucket(INTERVAL '30 days', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start,
        risk_tier, count(*) AS n, round(avg(final_risk_score), 6) AS avg_score
 FROM scored GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+ORACLE["alert_snapshot_roundtrip"] = ORACLE["alert_workflow_state"]
+
+ORACLE["risk_scores_csv_roundtrip"] = _scored() + f"""
+, b AS (SELECT p * CAST(100.0 AS DOUBLE) AS ml, CAST({K.ML_WEIGHT} AS DOUBLE) * (p * CAST(100.0 AS DOUBLE)) + CAST({K.ANOMALY_WEIGHT} AS DOUBLE) * CAST(0.0 AS DOUBLE) AS fin FROM scored)
+SELECT CASE WHEN fin >= 75 THEN 'Critical' WHEN fin >= 50 THEN 'High' WHEN fin >= 25 THEN 'Medium' ELSE 'Low' END AS band,
+       count(*) AS n, round(avg(ml), 6) AS avg_ml_risk, round(avg(fin), 6) AS avg_final
+FROM b GROUP BY 1"""
+
+
+def _csv_missing() -> str:
+    cols = feature_columns()
+    parts = [f"SELECT '{c}' AS feature, count(*) - count({_qi(c)}) AS missing_count, "
+             f"round((count(*) - count({_qi(c)})) / count(*), 6) AS missing_percentage FROM features" for c in cols]
+    return with_ctes(features_cte()) + "\n" + "\nUNION ALL ".join(parts)
+
+
+ORACLE["feature_csv_scan"] = _csv_missing()
