@@ -236,3 +236,18 @@ def merge_notes(local_notes: DataFrame, logs: DataFrame) -> DataFrame:
                                F.lit(False).alias("is_system"), F.lit(-1).cast("bigint").alias("log_seq"))
     new = from_logs.join(local.select("alert_id", "content"), ["alert_id", "content"], "left_anti")
     return local.unionByName(new)
+
+
+RANGE_DAYS = {"7d": 7, "30d": 30, "quarter": 90}
+
+
+def time_range(df: DataFrame, selection: str, ts: str = "ts") -> DataFrame:
+    """P22 re-aimed: keep rows within the selected range of the latest timestamp.
+
+    The latest timestamp is one global aggregate (one row) broadcast back;
+    the filter is then a narrow predicate.
+    """
+    days = RANGE_DAYS[selection]
+    latest = df.agg(F.max(ts).alias("__latest"))
+    return df.crossJoin(F.broadcast(latest)).filter(
+        F.col(ts) >= F.col("__latest") - F.expr(f"INTERVAL {days} DAYS")).drop("__latest")

@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -149,8 +150,10 @@ def rfe_cv(df: DataFrame, features: list[str], label: str, key: str, step: float
             lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False,
                                     maxIter=200, featuresCol="features", labelCol=label)
             pipe = Pipeline(stages=[VectorAssembler(inputCols=remaining, outputCol="features"), lr]).fit(tr)
-            p = positive_probability(pipe, te, "__p")
-            aucs.append(roc_pr_auc(p, "__p", label).first()["roc_auc"] or 0.5)
+            # exact (numBins=0) ROC AUC from MLlib for the inner loop; no checkpoints per fold
+            ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label,
+                                               metricName="areaUnderROC", numBins=0)
+            aucs.append(ev.evaluate(pipe.transform(te.withColumn(label, F.col(label).cast("double")))))
             c = [abs(v) for v in pipe.stages[-1].coefficients.toArray()]
             coefs = c if coefs is None else [a + b for a, b in zip(coefs, c)]
         history.append((list(remaining), sum(aucs) / len(aucs)))

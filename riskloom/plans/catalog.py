@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.scalar import round6
 from ..operators.scoring import score_transactions
 from ..sources.fixtures import transactions
@@ -99,7 +100,17 @@ def alert_store(spark, sf_dir):
 
 
 def workflow(spark, sf_dir):
+    from ..session import ensure_checkpoint_dir
+
     alerts, logs = alert_store(spark, sf_dir)
+    # four consumers (routing, initial state, final state, logs) read the alert
+    # table: materialise it once in the shared checkpoint folder (lineage cut,
+    # survives executor loss, not shared with other queries like a cache)
+    ensure_checkpoint_dir(spark)
+    alerts = alerts.checkpoint(eager=True)
+    logs = alerts.select(F.col("id").alias("alert_id"), F.lit(0).cast("bigint").alias("log_seq"),
+                         F.lit(K.SYSTEM_OPERATOR).alias("operator"), F.lit(K.AUTO_EVAL_ACTION).alias("action"),
+                         F.col("timestamp"))
     routed, rejected = AL.route_updates(alert_updates(Tables(spark, sf_dir)), alerts)
     valid, invalid = AL.validate_status(routed)
     after, update_logs = AL.apply_updates(alerts, valid)
@@ -687,3 +698,30 @@ def q_feature_csv_scan(spark, sf_dir):
     p = PR.missing_profile(clean, [c for c in clean.columns if c not in ("vec_id", t)])
     return p.select("feature", F.col("missing_count").cast("bigint").alias("missing_count"),
                     round6("missing_percentage").alias("missing_percentage"))
+
+
+@register("stream_workflow_state")
+def q_stream_workflow_state(spark, sf_dir):
+    """Update requests streamed week by week and folded onto versioned
+    alert snapshots; must equal the batch fold (alert_workflow_state)."""
+    from ..streaming import workflow_stream as WS
+
+    alerts, logs = alert_store(spark, sf_dir)
+    base = scratch_path(spark, "workflow-state")
+    WS.write_version(alerts.withColumn("n_updates", F.lit(0).cast("long")), logs, base, 0)
+    src = scratch_path(spark, "workflow-updates")
+    WS.stage_updates(alert_updates(Tables(spark, sf_dir)), src)
+    WS.run_workflow_stream(spark, src, spark.read.parquet(src).schema, base)
+    a, lg, _ = WS.read_latest(spark, base)
+    n_logs = lg.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
+    return a.join(n_logs, a["id"] == n_logs["alert_id"], "left").select(
+        "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),
+        F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
+
+
+@register("recent_quarter_tiers")
+def q_recent_quarter_tiers(spark, sf_dir):
+    """Scorecard tiers over the last quarter (90 days) before the latest transaction."""
+    s = AN.time_range(scored(spark, sf_dir), "quarter")
+    return s.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n"),
+                                      F.min("ts").cast("string").alias("first_ts"))

@@ -683,3 +683,9 @@ def _csv_missing() -> str:
 
 
 ORACLE["feature_csv_scan"] = _csv_missing()
+
+ORACLE["stream_workflow_state"] = ORACLE["alert_workflow_state"]
+
+ORACLE["recent_quarter_tiers"] = _scored() + """
+SELECT risk_tier, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts
+FROM scored WHERE ts >= (SELECT max(ts) FROM scored) - INTERVAL 90 DAYS GROUP BY risk_tier"""
