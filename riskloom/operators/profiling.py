@@ -1,6 +1,6 @@
 """Column profiling and leakage audit.
 
-Wide tables (thousands of columns) are profiled in chunks of ``CHUNK``
+Wide tables (thousands of columns) are profiled in chunks of ``CHUNK`` (50)
 columns per aggregate: parquet reads each chunk's columns only, so the total
 bytes scanned equal one full scan, and each generated aggregate stays under
 the code-generation size limits.  Every statistic is a mergeable aggregate
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..sources.tables import split_columns
 
-CHUNK = 200
+CHUNK = 50
 EXACT_MEDIAN_MAX_ROWS = 5_000_000
 
 
