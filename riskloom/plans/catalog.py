@@ -557,7 +557,9 @@ def q_stream_telemetry(spark, sf_dir):
     schema = spark.read.parquet(src).schema
     ST.run_telemetry_stream(spark, src, schema, out)
     t = spark.read.parquet(out)
-    return t.select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), "risk_tier", "n",
+    # window start rendered in UTC regardless of the session time zone
+    start = F.date_format(F.to_utc_timestamp("w.start", spark.conf.get("spark.sql.session.timeZone")), "yyyy-MM-dd")
+    return t.select(start.alias("window_start"), "risk_tier", "n",
                     round6("avg_score").alias("avg_score"))
 
 
