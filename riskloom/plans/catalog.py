@@ -727,3 +727,15 @@ def q_recent_quarter_tiers(spark, sf_dir):
     s = AN.time_range(scored(spark, sf_dir), "quarter")
     return s.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n"),
                                       F.min("ts").cast("string").alias("first_ts"))
+
+
+@register("tree_shap_importance")
+def q_tree_shap_importance(spark, sf_dir):
+    """Exact TreeSHAP of the boosted-tree model on every row; mean |φ| per feature."""
+    from ..operators import tree_shap as TS
+
+    data, feats = training_frame(spark, sf_dir)
+    gbt = MD.fit(data, feats, TARGET, names=["xgboost"])["xgboost"].stages[-1]
+    ex = TS.explain_trees(data, gbt, feats, "vec_id")
+    return ex.groupBy("feature").agg(round6(F.avg(F.abs("shap"))).alias("mean_abs_shap"),
+                                     round6(F.avg("shap")).alias("mean_shap"))

@@ -53,3 +53,18 @@ def test_isolation_forest_contamination(spark, fm):
     lab = IF.label(IF.score(fm, model, "vec_id"), model["offset"])
     share = lab.filter(F.col("anomaly_label") == -1).count() / fm.count()
     assert 0.0 < share <= 0.1
+
+
+def test_tree_shap_additivity(spark, fm):
+    from pyspark.ml.functions import vector_to_array
+
+    from riskloom.operators import tree_shap as TS
+
+    feats = [f"F{i}" for i in range(6)] + ["F_highly_predictive"]
+    model = MD.fit(fm, feats, "F3924", names=["xgboost"])["xgboost"]
+    gbt = model.stages[-1]
+    ev = TS.expected_value(TS.extract_trees(gbt))
+    sums = TS.explain_trees(fm, gbt, feats, "vec_id").groupBy("vec_id").agg(F.sum("shap").alias("s"))
+    raw = model.transform(fm).select("vec_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    err = sums.join(raw, "vec_id").agg(F.max(F.abs(F.col("s") + F.lit(ev) - F.col("margin")))).first()[0]
+    assert err < 1e-9
