@@ -739,3 +739,13 @@ def q_tree_shap_importance(spark, sf_dir):
     ex = TS.explain_trees(data, gbt, feats, "vec_id")
     return ex.groupBy("feature").agg(round6(F.avg(F.abs("shap"))).alias("mean_abs_shap"),
                                      round6(F.avg("shap")).alias("mean_shap"))
+
+
+@register("smote_classes")
+def q_smote_classes(spark, sf_dir):
+    """Class counts after SMOTE (exact band-join k-NN among the minority)."""
+    from ..operators import smote as SM
+
+    data, feats = training_frame(spark, sf_dir)
+    out = SM.smote(data, feats, TARGET)
+    return out.groupBy(F.col(TARGET).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -68,3 +68,25 @@ def test_tree_shap_additivity(spark, fm):
     raw = model.transform(fm).select("vec_id", vector_to_array("rawPrediction")[1].alias("margin"))
     err = sums.join(raw, "vec_id").agg(F.max(F.abs(F.col("s") + F.lit(ev) - F.col("margin")))).first()[0]
     assert err < 1e-9
+
+
+def test_smote_knn_is_exact_and_balances(spark, fm):
+    import numpy as np
+
+    from riskloom.operators import smote as SM
+    from riskloom.operators.ranking import global_row_number
+
+    feats = [f"F{i}" for i in range(16)]
+    mino = global_row_number(fm.filter("F3924 = 1").select(*feats),
+                             [F.xxhash64(*feats)] + [F.col(f) for f in feats], "__i")
+    got = {}
+    for r in SM.knn_minority(mino, feats, 3).collect():
+        got.setdefault(r["__i"], []).append((r["rank"], r["dist"]))
+    pdf = mino.toPandas()
+    X, ids = pdf[feats].to_numpy(), pdf["__i"].to_numpy()
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    for a, i in enumerate(ids):
+        assert np.allclose([d for _, d in sorted(got[i])], np.sort(D[a])[:3])
+    counts = {r["F3924"]: r["count"] for r in SM.smote(fm, feats, "F3924").groupBy("F3924").count().collect()}
+    assert counts[0] == counts[1]
