@@ -269,6 +269,12 @@ def batch_risk_scores(scored: DataFrame) -> DataFrame:
                  + F.lit(K.ANOMALY_WEIGHT) * F.coalesce(F.col("Anomaly_Risk"), F.lit(0.0)))
 
 
+# FIXED VALUES — backfill alert texts and times
+BACKFILL_TIMESTAMP = "2026-05-30T14:00:00Z"
+BACKFILL_OPEN_TIME = "14:00:00 UTC"
+BACKFILL_CLOSE_TIME = "15:00:00 UTC"
+BACKFILL_CLOSE_ACTION = "Changed status from Open to Closed"
+BACKFILL_CLOSE_NOTE = "Appended Analyst Note: System auto-resolve. Confirmed normal customer transfers."
 BACKFILL_REASONS = {
     "high": "Dataset Target Fraud Account (Row {row}, Label F3924 = 1). ML probability: {ml}.",
     "medium": "Dataset Medium Risk Account (Row {row}). Moderate risk characteristics. ML score: {ml}.",
@@ -313,7 +319,7 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
         score.alias("risk_score"), tier.alias("risk_tier"), tier.alias("severity"),
         F.when(closed, F.lit("Closed")).otherwise(F.lit("Open")).alias("status"),
         reason.alias("reason"),
-        F.lit("2026-05-30T14:00:00Z").alias("timestamp"),
+        F.lit(BACKFILL_TIMESTAMP).alias("timestamp"),
         F.when(closed, F.lit(K.ADMIN_OPERATOR)).otherwise(F.lit(K.UNASSIGNED)).alias("assigned_to"),
         F.col("seq"),
     )
@@ -321,14 +327,14 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
         F.col("id").alias("alert_id"),
         F.explode_outer(F.array_compact(F.array(
             F.struct(F.lit(0).cast("bigint").alias("log_seq"), F.lit(K.SYSTEM_OPERATOR).alias("operator"),
-                     F.lit(K.AUTO_EVAL_ACTION).alias("action"), F.lit("14:00:00 UTC").alias("timestamp")),
+                     F.lit(K.AUTO_EVAL_ACTION).alias("action"), F.lit(BACKFILL_OPEN_TIME).alias("timestamp")),
             F.when(F.col("status") == "Closed", F.struct(
                 F.lit(1).cast("bigint").alias("log_seq"), F.lit(K.ADMIN_OPERATOR).alias("operator"),
-                F.lit("Changed status from Open to Closed").alias("action"), F.lit("15:00:00 UTC").alias("timestamp"))),
+                F.lit(BACKFILL_CLOSE_ACTION).alias("action"), F.lit(BACKFILL_CLOSE_TIME).alias("timestamp"))),
             F.when(F.col("status") == "Closed", F.struct(
                 F.lit(2).cast("bigint").alias("log_seq"), F.lit(K.ADMIN_OPERATOR).alias("operator"),
-                F.lit("Appended Analyst Note: System auto-resolve. Confirmed normal customer transfers.").alias("action"),
-                F.lit("15:00:00 UTC").alias("timestamp"))),
+                F.lit(BACKFILL_CLOSE_NOTE).alias("action"),
+                F.lit(BACKFILL_CLOSE_TIME).alias("timestamp"))),
         ))).alias("l"),
     ).select("alert_id", "l.*")
     if store is not None:
