@@ -113,6 +113,9 @@ def workflow(spark, sf_dir):
                          F.col("timestamp"))
     routed, rejected = AL.route_updates(alert_updates(Tables(spark, sf_dir)), alerts)
     valid, invalid = AL.validate_status(routed)
+    # the routed updates feed three consumers (final state, local scan,
+    # bucket summary): materialise once instead of re-scanning and re-joining
+    valid = valid.checkpoint(eager=True)
     after, update_logs = AL.apply_updates(alerts, valid)
     return alerts, logs, after, update_logs, rejected
 
