@@ -607,14 +607,19 @@ def q_oversampled_classes(spark, sf_dir):
 
 @register("rfe_selection")
 def q_rfe_selection(spark, sf_dir):
-    """MI top-40 pre-prune, then RFE-CV with L1 logistic regression."""
-    data, feats = training_frame(spark, sf_dir)
+    """G8→G9→G10 (G11) + U4: drop collinear columns, MI top-40 pre-prune, RFE-CV with
+    L1 logistic regression, then append categorical columns and forced features."""
+    data, feats_all = training_frame(spark, sf_dir)
+    dropped = {r["col_j"] for r in SE.collinear_dropped(SE.collinear_pairs(data, feats_all)).collect()}
+    feats = [f for f in feats_all if f not in dropped]
     mi = MI.mutual_information(data, feats, TARGET, "vec_id")
     top = [r["feature"] for r in MI.top_k_features(mi, 40).orderBy("position").collect()]
     ranking = MD.rfe_cv(data, top, TARGET, "vec_id", step=0.05, min_features=12, folds=3)
     rows = [(f, r, s) for f, r, s in ranking]
-    selected = SE.force_include([f for f, _, s in rows if s], feats)
-    rows = [(f, r, f in selected) for f, r, _ in rows]
+    _, cats = split_columns(data.select(*[c for c in data.columns if c not in ("vec_id", TARGET)]))
+    selected = SE.force_include([f for f, _, s in rows if s] + cats, feats_all)
+    rows = [(f, r, f in selected) for f, r, _ in rows] + [(c, 1, True) for c in cats] \
+        + [(c, 0, False) for c in sorted(dropped)]
     return spark.createDataFrame(rows, "feature string, ranking int, selected boolean")
 
 
