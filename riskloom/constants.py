@@ -46,6 +46,9 @@ RULE_SCORES = {
 # engine bands on the 0..100 integer score: upper bounds of Low, Medium, High
 ENGINE_BANDS = [(25, "Low", "Approve"), (50, "Medium", "Review"), (75, "High", "Escalate"), (100, "Critical", "Block")]
 
+ENGINE_VERSION = "v1.0.0-beta"
+PROXY_MODEL_NAME = "MOCK_SCORING_PROXY"
+
 PREDICTION_FALLBACK = 0.12       # probability when the classifier fails
 CLASS_THRESHOLD = 0.50
 ML_WEIGHT = 0.8                  # blend: 0.8 * ML risk + 0.2 * anomaly risk

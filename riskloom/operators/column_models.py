@@ -62,7 +62,7 @@ class ProxyModel(ColumnModel):
 
     features: list[str] = field(default_factory=lambda: list(K.HIGHLIGHTED_FEATURES))
     mode: str = "f115"
-    name: str = "MOCK_SCORING_PROXY"
+    name: str = K.PROXY_MODEL_NAME
 
     def probability(self, x: Mapping[str, Column]) -> Column:
         if self.mode == "f115":

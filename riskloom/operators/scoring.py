@@ -298,12 +298,12 @@ def score_transactions(
     return out
 
 
-def scorecard_struct(scored: DataFrame, model_name: str = "MOCK_SCORING_PROXY") -> Column:
+def scorecard_struct(scored: DataFrame, model_name: str = K.PROXY_MODEL_NAME) -> Column:
     """The nested scorecard record."""
     return F.struct(
         F.col("transaction_id_n").alias("transaction_id"),
         F.struct(
-            F.lit("v1.0.0-beta").alias("engine_version"),
+            F.lit(K.ENGINE_VERSION).alias("engine_version"),
             F.lit(model_name).alias("selected_model"),
             F.col("is_override_applied"),
             F.col("is_unsupervised_outlier"),

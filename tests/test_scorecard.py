@@ -65,3 +65,15 @@ def test_disabled_rules(spark):
     df = spark.createDataFrame([("T1", 165000.0, "US", "KP", 1, True, None)], PAYLOAD)
     out = score_transactions(df, rules_enabled=False).first()
     assert out["triggered_rules_count"] == 0 and out["final_risk_score"] == 40
+
+
+def test_scorecard_struct(spark):
+    from riskloom.operators.scoring import scorecard_struct
+
+    df = spark.createDataFrame([("T1", 165000.0, "US", "KP", 1, True, None)], PAYLOAD)
+    s = score_transactions(df)
+    rec = s.select(scorecard_struct(s).alias("sc")).first()["sc"]
+    assert rec["processing_metadata"]["engine_version"] == "v1.0.0-beta"
+    assert rec["scores"]["final_risk_score"] == 99
+    assert rec["rules_audit"]["triggered_rules_count"] == 3
+    assert [o["rule_id"] for o in rec["rules_audit"]["overrides"]][0] == "RULE-G01-SANCTION"
