@@ -39,7 +39,8 @@ class Words:
     """Words of a run of texts, in order.
 
     ``first[i]:first[i+1]`` are the words of text ``i``; ``start``/``end`` are
-    byte offsets into ``data`` (lower-cased), ``hash`` is each word's hash.
+    byte offsets into ``data`` (lower-cased), ``hash`` is each word's hash,
+    ``text_start`` where each text begins.
     """
 
     data: np.ndarray
@@ -47,6 +48,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    text_start: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -119,7 +121,7 @@ def scan(texts: pa.Array) -> Words:
         at += 8
         more = more[left > 8]
     first = np.searchsorted(start, off)
-    return Words(data, first, start, end, h)
+    return Words(data, first, start, end, h, off[:-1])
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
