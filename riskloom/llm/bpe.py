@@ -22,9 +22,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# entries of each of a worker's memo tables; a full table is emptied, which costs
-# time only
-MEMO = 250_000
+# most entries of a worker's memo tables; a full table is emptied, which costs time only
+MEMO_PIECES, MEMO_PAIRS = 1_000_000, 1_000_000
+# texts whose new pieces are encoded together
+TOGETHER = 1024
 
 
 class Vocabulary:
@@ -33,7 +34,10 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {r: b for b, r in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
+        # the longest token that ends in given three bytes; shorter ones have at most 2
+        self.reach: dict[bytes, int] = {}
+        for b in ranks:
+            self.reach[b[-3:]] = max(len(b), self.reach.get(b[-3:], 2))
         self._pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
@@ -97,7 +101,7 @@ class Vocabulary:
         key = left << 32 | right
         ok = self._pairs.get(key)
         if ok is None:
-            if len(self._pairs) >= 4 * MEMO:
+            if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
             ok = self.halves(left) is not None and self.halves(right) is not None
             if ok:
@@ -126,9 +130,9 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         v, last = self.v, self.last
         self.data += more
-        data, get, known = bytes(self.data), v.ranks.get, v._pairs.get
+        data, get, known, reach = bytes(self.data), v.ranks.get, v._pairs.get, v.reach.get
         for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
+            for begin in range(max(0, end - reach(data[max(0, end - 3):end], 2)), end):
                 token = get(data[begin:end])
                 if token is None:
                     continue
@@ -145,10 +149,13 @@ class PrefixTable:
             else:
                 raise ValueError(f"no token ends at byte {end}: the ranks lack a single byte")
 
+    def truncate(self, n: int) -> None:
+        del self.data[n:], self.last[n:]
+
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Replace bytes ``start:stop``; prefixes before ``start`` keep their entries."""
         tail = bytes(self.data[stop:])
-        del self.data[start:], self.last[start:]
+        self.truncate(start)
         self.append(new + tail)
 
     def tokens(self) -> list[int]:
@@ -165,50 +172,50 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v = vocabulary
         self.split = regex.compile(pattern).findall
-        self._ids: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.v.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self.v, data).tokens())
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """Split texts into pieces and encode the pieces not met before.
+
+        In sorted order each piece reuses the table of the beginning that it shares
+        with the one before.
+        """
+        split = [self.split(t) for t in texts]
+        if len(self.ids) >= MEMO_PIECES:
+            self.ids.clear()
+        new = set().union(*split)
+        new.difference_update(self.ids)
+        table, before = PrefixTable(self.v), b""
+        for data in sorted(p.encode() for p in new):
+            whole = self.v.ranks.get(data)
+            if whole is not None:
+                self.ids[data.decode()] = (whole,)
+                continue
+            same = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                same += 1
+            table.truncate(same)
+            table.append(data[same:])
+            self.ids[data.decode()] = tuple(table.tokens())
+            before = data
+        return split
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for p in self.split(text):
-            ids = self._ids.get(p)
-            if ids is None:
-                if len(self._ids) >= MEMO:
-                    self._ids.clear()
-                ids = self._ids[p] = self.piece(p)
-            out.extend(ids)
-        return out
+        return [i for p in self.learn([text])[0] for i in self.ids[p]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.token_bytes.__getitem__, ids))
 
 
-class _Printed(dict):
-    """Piece -> its ids as decimal text; ``decoded`` holds the bytes those ids give."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder, self.decoded = encoder, {}
-
-    def __missing__(self, piece: str) -> str:
-        ids = self.encoder.piece(piece)
-        s = self[piece] = ",".join(map(str, ids))
-        self.decoded[piece] = self.encoder.decode(ids)
-        return s
-
-
-_ENCODERS: dict[tuple[str, str], tuple[Encoder, _Printed]] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> tuple[Encoder, _Printed]:
+def _encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each vocabulary in a Python worker, kept between tasks."""
     if (path, pattern) not in _ENCODERS:
-        e = Encoder(Vocabulary.load(SparkFiles.get(path)), pattern)
-        _ENCODERS[path, pattern] = e, _Printed(e)
+        _ENCODERS[path, pattern] = Encoder(Vocabulary.load(SparkFiles.get(path)), pattern)
     return _ENCODERS[path, pattern]
 
 
@@ -224,11 +231,12 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     id_type = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, _ = _encoder(name, pattern)
+        e = _encoder(name, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = pa.array([e.encode(t or "") for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                split = e.learn([t or "" for t in part.column(1).to_pylist()])
+                ids = pa.array([[i for p in found for i in e.ids[p]] for found in split], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
 
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -241,7 +249,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     id_type = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, _ = _encoder(name, ".")
+        e = _encoder(name, ".")
         for b in batches:
             out = [e.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
@@ -260,22 +268,24 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     id_type = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, printed = _encoder(name, pattern)
-        sha, get = hashlib.sha256, printed.__getitem__
+        e, sha = _encoder(name, pattern), hashlib.sha256
         for b in batches:
-            n_tokens, ids_sha, dec_sha = [], [], []
-            for text in b.column(1):
-                found = e.split(text.as_py() or "")
-                if len(printed) >= MEMO:
-                    printed.clear()
-                    printed.decoded.clear()
-                ids = ",".join(map(get, found))
-                n_tokens.append(ids.count(",") + 1 if found else 0)
-                ids_sha.append(sha(ids.encode()).hexdigest())
-                dec_sha.append(sha(b"".join(map(printed.decoded.__getitem__, found))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                n_tokens, ids_sha, dec_sha = [], [], []
+                split = e.learn([t or "" for t in part.column(1).to_pylist()])
+                printed, decoded = {}, {}  # of these texts' pieces: ids as text, bytes of the ids
+                for p in set().union(*split):
+                    ids = e.ids[p]
+                    printed[p], decoded[p] = ",".join(map(str, ids)), e.decode(ids)
+                for found in split:
+                    line = ",".join(map(printed.__getitem__, found))
+                    n_tokens.append(line.count(",") + 1 if found else 0)
+                    ids_sha.append(sha(line.encode()).hexdigest())
+                    dec_sha.append(sha(b"".join(map(decoded.__getitem__, found))).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())],
+                    [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()),
