@@ -6,19 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import bpe
+from riskloom.llm import bpe, decontam, neardup, pii, quality_cnn, toxicity_crf
 from riskloom.llm.common import read
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.sanitise(read(spark, sf_dir, "documents"))
+    counts = [pii.count("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return got.select("doc_id", *counts, F.sha2(pii.printed("base"), 256).alias("base_sha256"), pii.printed("spans").alias("spans"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = toxicity_crf.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op8_quality": op8_quality,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}
