@@ -36,7 +36,7 @@ from riskloom.llm.wordscan import mix, pieces, scan, shingles
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
-SLOTS = 1 << 20
+SLOTS, SLOT_BLOCK = 1 << 20, 1 << 12
 DRAWS = 16  # log2 of the table of random draws
 SEED = 20
 
@@ -94,7 +94,7 @@ def signatures(h: np.ndarray, weight: np.ndarray, first: np.ndarray, draws: tupl
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(idf of each slot, rows counted); SLOTS counters come to the driver."""
+    """(idf of each slot, rows counted); SLOTS counters come to the driver, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, dtype=np.int64), 0
         one = np.ones(SLOTS)
@@ -106,11 +106,23 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["slot", "c"])
 
-    rows = docs.select("text").mapInArrow(run, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
-    slot, c = rows["slot"].to_numpy(), rows["c"].to_numpy()
-    n = int(c[slot == -1].sum())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for block, slot, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                counts = np.zeros(SLOT_BLOCK, dtype=np.int64)
+                counts[slot.values.to_numpy() - block * SLOT_BLOCK] = c.values.to_numpy()
+                out.append(counts.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["block", "counts"])
+
+    counted = docs.select("text").mapInArrow(run, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c"))
+    counted = materialise(counted, "neardup_df")
+    n = counted.where("slot = -1").agg(F.sum("c")).first()[0] or 0
+    blocks = (counted.where("slot >= 0").groupBy(F.floor(F.col("slot") / SLOT_BLOCK).cast("int").alias("block"))
+              .agg(F.collect_list("slot").alias("slot"), F.collect_list("c").alias("c")).mapInArrow(pack, "block int, counts binary"))
     df = np.ones(SLOTS)
-    df[slot[slot >= 0]] = np.maximum(c[slot >= 0], 1)
+    for block, counts in blocks.collect():
+        df[block * SLOT_BLOCK:(block + 1) * SLOT_BLOCK] = np.maximum(np.frombuffer(counts, np.int64), 1)
     scale = np.log(max(n, 2))
     return (1 + np.maximum(np.log(max(n, 2)) - np.log(df), 0) / scale).astype(np.float32), n
 
