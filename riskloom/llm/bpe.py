@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -258,14 +259,16 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return df.select(id_col, ids_col).mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each whole text in one pass and keep the digests only.
+def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+            keep_ids: bool = False) -> DataFrame:
+    """Encode and decode each whole text in one pass and keep the digests, ids on demand.
 
     ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and
     ``decoded_sha256`` (bytes that the ids decode to), both lowercase hex.
     """
     name = ship(df.sparkSession, path)
     id_type = df.schema[id_col].dataType
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, sha = _encoder(name, pattern), hashlib.sha256
@@ -283,11 +286,15 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
                     n_tokens.append(line.count(",") + 1 if found else 0)
                     ids_sha.append(sha(line.encode()).hexdigest())
                     dec_sha.append(sha(b"".join(map(decoded.__getitem__, found))).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())],
-                    [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols = [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
+                if keep_ids:
+                    flat = np.fromiter((i for found in split for p in found for i in e.ids[p]), dtype=np.int32, count=sum(n_tokens))
+                    ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+        *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids])
     return df.select(id_col, text_col).mapInArrow(run, schema)

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontam, neardup, pii, quality_cnn, toxicity_crf
+import corpus_pipeline
+from riskloom.llm import bpe, decontam, licences, neardup, passages, pii, quality_cnn, site_style, topk, toxicity_crf
 from riskloom.llm.common import read
 
-BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BPE_RANKS = corpus_pipeline.BPE_RANKS
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +31,35 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; their source, language and number make up a tree."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 16).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    got = licences.scan(docs.select(path.alias("path"), "text"))
+    return got.withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = toxicity_crf.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts", "kept")
 
@@ -47,9 +68,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op4_licences": op4_licences,
     "op5_toxicity": op5_toxicity,
+    "op6_topk": op6_topk,
+    "op7_passages": op7_passages,
     "op8_quality": op8_quality,
+    "op9_html": op9_html,
     "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
