@@ -21,6 +21,8 @@ read; only path and text are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +72,10 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, path_c
     # Document frequencies of the templates' words, over all files.
     listed = F.array(*[F.lit(w) for w in vocabulary])
     seen = files.select(F.explode(F.array_intersect(words(F.col("text")), listed)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    total = files.agg(F.count("*").alias("n"))
-    weight = materialise(known.select("word").distinct().join(seen, "word", "left").crossJoin(total)  # one row
-                         .select("word", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"),
-                                 (F.log(1 + F.col("n")) + 1).alias("top")), "licence_idf")
-    w = {r["word"]: r["idf"] for r in weight.collect()}
-    top = weight.first()["top"]
+    n = files.count()
+    df = {r["word"]: r["df"] for r in seen.collect()}
+    w = {word: math.log((1 + n) / (1 + df.get(word, 0))) + 1 for word in vocabulary}
+    top = math.log(1 + n) + 1
     vectors: dict[tuple[str, str], dict[str, float]] = {}
     for r in known.collect():
         vectors.setdefault((r["licence"], r["template"]), {})[r["word"]] = r["tf"] * w[r["word"]]

@@ -105,10 +105,10 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     n_ct = materialise(n_ct, "pii_pairs")
     n_t = (docs.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("term"))
            .groupBy("term").agg(F.count("*").alias("n_t")))
-    n = docs.agg(F.count("*").alias("n"))
-    known = F.log2(F.col("n") / F.col("n_c"))
-    pmi = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    return (n_ct.join(n_t, "term").join(n_c, ["k", "c"]).crossJoin(n)  # n is one row
+    n = F.lit(docs.count())
+    known = F.log2(n / F.col("n_c"))
+    pmi = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    return (n_ct.join(n_t, "term").join(n_c, ["k", "c"])
             .select("k", "c", "term", (pmi / known).alias("share")).where(F.col("share") >= GENERALISE))
 
 
