@@ -31,7 +31,7 @@ from riskloom.llm.quality_cnn import logistic, sigmoid
 from riskloom.llm.sampling import fold, training_rows
 from riskloom.llm.wordscan import Words, mix, pieces, scan, shingles
 
-PER_CLASS, SAMPLE_BYTES = 2500, 8192
+PER_CLASS, SAMPLE_BYTES = 2000, 8192
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD, TAG = 0.3, 0.5
 TOXIC_SHARE = 0.25  # of documents, that the score assumes
