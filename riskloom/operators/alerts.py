@@ -1,8 +1,9 @@
 """Alert store operators.
 
 The store is two tables: ``alerts`` (one row per alert, D5 without the log
-array) and ``alert_logs`` in long form ``(alert_id, log_seq, operator, action,
-timestamp)``.  Keeping logs long means no alert's history is ever collected
+array) and ``alert_logs`` in long form ``(alert_key, alert_id, log_seq, operator, action,
+timestamp)``.  ``id`` is the short form that is shown; it has 32 bits and repeats
+in large stores, so every join uses ``alert_key``, which doesn't.  Keeping logs long means no alert's history is ever collected
 into one array inside a task; the D5 nested form is built only at the export
 edge for bounded selections.
 """
@@ -13,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.bands import backfill_tier, engine_decision, engine_tier, probability_to_score
+from ..functions.bands import backfill_tier, engine_tier, probability_to_score
 from ..functions.scalar import capitalise, clock_utc, hashed_alert_id, iso_utc
 from .ranking import global_row_number, last_non_null_before
 
-ALERT_COLUMNS = ["id", "transaction_id", "sender_id", "receiver_id", "amount", "risk_score", "risk_tier",
+ALERT_COLUMNS = ["alert_key", "id", "transaction_id", "sender_id", "receiver_id", "amount", "risk_score", "risk_tier",
                  "severity", "status", "reason", "timestamp", "assigned_to", "seq"]
-LOG_COLUMNS = ["alert_id", "log_seq", "operator", "action", "timestamp"]
+LOG_COLUMNS = ["alert_key", "alert_id", "log_seq", "operator", "action", "timestamp"]
 
 
 def reason_summary() -> Column:
@@ -59,6 +60,7 @@ def materialize_alerts(scored: DataFrame, store: DataFrame | None = None) -> tup
     if store is not None:
         first = first.join(store.select("transaction_id"), "transaction_id", "left_anti")
     alerts = first.select(
+        F.col("transaction_id").alias("alert_key"),
         hashed_alert_id("transaction_id").alias("id"),
         "transaction_id",
         "r.sender_id", "r.receiver_id", "r.amount", "r.risk_score", "r.risk_tier", "r.severity",
@@ -67,14 +69,19 @@ def materialize_alerts(scored: DataFrame, store: DataFrame | None = None) -> tup
         F.lit(K.UNASSIGNED).alias("assigned_to"),
         F.col("r.seq").alias("seq"),
     )
-    logs = alerts.select(
+    return alerts, opening_logs(alerts)
+
+
+def opening_logs(alerts: DataFrame) -> DataFrame:
+    """The log row that every alert starts with."""
+    return alerts.select(
+        "alert_key",
         F.col("id").alias("alert_id"),
         F.lit(0).cast("bigint").alias("log_seq"),
         F.lit(K.SYSTEM_OPERATOR).alias("operator"),
         F.lit(K.AUTO_EVAL_ACTION).alias("action"),
         F.col("timestamp"),
     )
-    return alerts, logs
 
 
 def existing_alert_for(store: DataFrame, scored: DataFrame) -> DataFrame:
@@ -143,7 +150,8 @@ def route_updates(updates: DataFrame, alerts: DataFrame) -> tuple[DataFrame, Dat
     reduced map-side before the shuffle.
     """
     newest = alerts.groupBy(F.col("sender_id").alias("account_id")).agg(
-        F.max_by("id", F.struct("seq", "id")).alias("alert_id"))
+        F.max_by(F.struct("alert_key", F.col("id").alias("alert_id")), F.struct("seq", "alert_key")).alias("a")) \
+        .select("account_id", "a.alert_key", "a.alert_id")
     routed = updates.join(newest, "account_id", "inner")
     rejected = updates.join(newest, "account_id", "left_anti")
     return routed, rejected
@@ -159,7 +167,10 @@ def validate_status(updates: DataFrame, status_col: str = "new_status") -> tuple
 
 
 def apply_updates(alerts: DataFrame, updates: DataFrame, bucket_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """R16 batch fold of ordered updates ``(alert_id, ts, update_seq, new_status, notes, assigned_to)``.
+    """R16 batch fold of ordered updates ``(alert_key, alert_id, ts, update_seq, new_status, notes, assigned_to)``.
+
+    Updates apply, and their log rows are numbered, in the order of ``(ts, update_seq)``.
+    An ``n_updates`` column of ``alerts`` counts what was applied before.
 
     Each update logs "Changed status from old to new" (even when unchanged),
     then an analyst note if any, then a re-assignment if an assignee is given.
@@ -167,11 +178,12 @@ def apply_updates(alerts: DataFrame, updates: DataFrame, bucket_seconds: int = 3
     ``last non-null before`` scan (W10) bucketed by time; final states are
     ``max_by`` aggregates.  Returns ``(alerts_after, update_logs)``.
     """
-    init = alerts.select(F.col("id").alias("alert_id"), F.col("status").alias("init_status"),
+    earlier = F.col("n_updates") if "n_updates" in alerts.columns else F.lit(0)
+    init = alerts.select("alert_key", earlier.cast("bigint").alias("earlier"), F.col("status").alias("init_status"),
                          F.coalesce(F.col("assigned_to"), F.lit(K.UNASSIGNED)).alias("init_assignee"))
     bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
-    scanned = last_non_null_before(updates, "alert_id", ["ts", "update_seq"], ["new_status", "assigned_to"], bucket)
-    s = scanned.join(init, "alert_id")
+    scanned = last_non_null_before(updates, "alert_key", ["ts", "update_seq"], ["new_status", "assigned_to"], bucket, count="n_before")
+    s = scanned.join(init, "alert_key")
     old_status = F.coalesce(F.col("new_status_before"), F.col("init_status"))
     new_status = F.coalesce(F.col("new_status"), old_status)
     old_assignee = F.coalesce(F.col("assigned_to_before"), F.col("init_assignee"))
@@ -188,24 +200,24 @@ def apply_updates(alerts: DataFrame, updates: DataFrame, bucket_seconds: int = 3
                         .alias("action"))),
     )
     logs = s.select(
-        "alert_id", "update_seq", "ts", when.alias("timestamp"),
+        "alert_key", "alert_id", (F.col("earlier") + F.col("n_before")).alias("n_before"), when.alias("timestamp"),
         F.explode_outer(F.array_compact(entries)).alias("e"),  # never empty: status entry always present
     ).select(
-        "alert_id",
-        (F.col("update_seq") * F.lit(4) + F.col("e.k") + F.lit(1)).cast("bigint").alias("log_seq"),
+        "alert_key", "alert_id",
+        (F.col("n_before") * F.lit(4) + F.col("e.k") + F.lit(1)).cast("bigint").alias("log_seq"),
         F.col("e.operator").alias("operator"), F.col("e.action").alias("action"), "timestamp",
     )
     order = F.struct(F.col("ts"), F.col("update_seq"))
-    final = updates.groupBy("alert_id").agg(
+    final = updates.groupBy("alert_key").agg(
         F.max_by("new_status", F.when(F.col("new_status").isNotNull(), order)).alias("last_status"),
         F.max_by("assigned_to", F.when(F.col("assigned_to").isNotNull(), order)).alias("last_assignee"),
-        F.count(F.lit(1)).alias("n_updates"),
+        F.count(F.lit(1)).alias("n_new"),
     )
-    after = alerts.join(final, alerts["id"] == final["alert_id"], "left").select(
-        *[F.col(c) for c in alerts.columns if c not in ("status", "assigned_to")],
+    after = alerts.join(final, "alert_key", "left").select(
+        *[F.col(c) for c in alerts.columns if c not in ("status", "assigned_to", "n_updates")],
         F.coalesce(F.col("last_status"), F.col("status")).alias("status"),
         F.coalesce(F.col("last_assignee"), F.col("assigned_to")).alias("assigned_to"),
-        F.coalesce(F.col("n_updates"), F.lit(0)).alias("n_updates"),
+        (earlier + F.coalesce(F.col("n_new"), F.lit(0))).cast("bigint").alias("n_updates"),
     )
     return after, logs
 
@@ -225,8 +237,10 @@ def ingest_alerts(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     ok = cap.isin(*K.ALERT_STATUSES)
     band = probability_to_score(F.col("risk_score") / F.lit(100.0))
     valid = requests.filter(ok)
+    key = F.concat(F.lit("ingest|"), F.col("seq").cast("string"))
     alerts = valid.select(
-        hashed_alert_id(F.concat(F.lit("ingest|"), F.col("seq").cast("string"))).alias("id"),
+        key.alias("alert_key"),
+        hashed_alert_id(key).alias("id"),
         "transaction_id",
         F.coalesce("sender_id", F.lit(K.MANUAL_DEFAULT_ACCOUNT)).alias("sender_id"),
         F.coalesce("receiver_id", F.lit(K.MANUAL_DEFAULT_ACCOUNT)).alias("receiver_id"),
@@ -240,7 +254,7 @@ def ingest_alerts(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         F.coalesce("assigned_to", F.lit(K.UNASSIGNED)).alias("assigned_to"),
         "seq",
     )
-    logs = alerts.select(F.col("id").alias("alert_id"), F.lit(0).cast("bigint").alias("log_seq"),
+    logs = alerts.select("alert_key", F.col("id").alias("alert_id"), F.lit(0).cast("bigint").alias("log_seq"),
                          F.lit(K.MANUAL_SYNC_OPERATOR).alias("operator"), F.lit(K.MANUAL_SYNC_ACTION).alias("action"),
                          F.lit("Now").alias("timestamp"))
     rejected = requests.filter(~ok)
@@ -288,20 +302,24 @@ def _template(t: str, row: Column, ml: Column) -> Column:
     return F.concat(F.lit(head), row.cast("string"), F.lit(mid), F.format_string("%.4f", ml), F.lit(tail))
 
 
-def sample_for_backfill(batch: DataFrame, key: str = "transaction_id_n") -> DataFrame:
-    """Deterministic 25 % sample — md5 of the key starts with 0–3."""
-    return batch.filter(F.substring(F.md5(F.col(key)), 1, 1).isin("0", "1", "2", "3"))
+def hash_fraction(key: Column) -> Column:
+    """A number in [0, 1) from the md5 of ``key``: the same for a row at any partitioning."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def sample_rows(batch: DataFrame, fraction: float, key: str = "transaction_id_n") -> DataFrame:
+    """A deterministic sample of the caller's ``fraction``, by the hash of the key."""
+    return batch.filter(hash_fraction(F.col(key)) < F.lit(float(fraction)))
 
 
 def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Alerts from a scored batch (sample → bands → templates → parity status).
+    """Alerts from every row of a scored batch (bands → templates → parity status).
 
-    Ids ``ALT-DS-%03d`` follow the sample's row order, numbered with the
+    Ids ``ALT-DS-%03d`` follow the batch's row order, numbered with the
     distributed ``global_row_number``; odd rows are Closed with two closing
     log entries.  P14: earlier backfill rows in ``store`` are dropped first.
     """
-    sample = sample_for_backfill(batch)
-    numbered = global_row_number(sample, [F.col("seq"), F.col("transaction_id_n")], "n")
+    numbered = global_row_number(batch, [F.col("seq"), F.col("transaction_id_n")], "n")
     score = F.greatest(F.rint(F.col("Final_Risk_Score")).cast("int"), F.lit(2))
     tier = backfill_tier(score)
     ml = F.col("ML_Risk")
@@ -311,6 +329,7 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
               .otherwise(_template(BACKFILL_REASONS["low"], row, ml)))
     closed = (F.col("n") - F.lit(1)) % F.lit(2) == F.lit(1)
     alerts = numbered.select(
+        F.format_string("ALT-DS-%03d", F.col("n")).alias("alert_key"),
         F.format_string("ALT-DS-%03d", F.col("n")).alias("id"),
         F.concat(F.lit("TXN_DS_"), (F.col("seq") + F.lit(1000)).cast("string")).alias("transaction_id"),
         F.format_string("ACC-DS-%03d", F.col("n")).alias("sender_id"),
@@ -324,7 +343,7 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
         F.col("seq"),
     )
     logs = alerts.select(
-        F.col("id").alias("alert_id"),
+        "alert_key", F.col("id").alias("alert_id"),
         F.explode_outer(F.array_compact(F.array(
             F.struct(F.lit(0).cast("bigint").alias("log_seq"), F.lit(K.SYSTEM_OPERATOR).alias("operator"),
                      F.lit(K.AUTO_EVAL_ACTION).alias("action"), F.lit(BACKFILL_OPEN_TIME).alias("timestamp")),
@@ -336,12 +355,9 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
                 F.lit(BACKFILL_CLOSE_NOTE).alias("action"),
                 F.lit(BACKFILL_CLOSE_TIME).alias("timestamp"))),
         ))).alias("l"),
-    ).select("alert_id", "l.*")
+    ).select("alert_key", "alert_id", "l.*")
     if store is not None:
         kept = store.filter(~(F.col("id").startswith("ALT-LOW-") | F.col("id").startswith("ALT-DS-")))
         alerts = kept.unionByName(alerts, allowMissingColumns=True)  # U1
     return alerts, logs
 
-
-def with_decision(df: DataFrame, score: str = "risk_score") -> DataFrame:
-    return df.withColumn("decision", engine_decision(F.col(score)))

@@ -222,19 +222,18 @@ NOTE_PREFIX = "Appended Analyst Note: "
 def merge_notes(local_notes: DataFrame, logs: DataFrame) -> DataFrame:
     """Analyst notes = local notes ∪ notes found in the audit log,
     skipping log notes whose text already exists for the alert (left_anti on
-    ``(alert_id, content)``).  ``local_notes``: alert_id, author, timestamp, content.
+    ``(alert_key, content)``).  Of equal log notes the earliest stays.
+    ``local_notes``: alert_key, alert_id, author, timestamp, content.
     """
-    from_logs = logs.filter(F.col("action").startswith(NOTE_PREFIX)).select(
-        "alert_id",
-        F.col("operator").alias("author"),
-        F.col("timestamp"),
-        F.expr(f"substr(action, {len(NOTE_PREFIX) + 1})").alias("content"),
-        F.lower(F.col("operator")).contains("system").alias("is_system"),
-        F.col("log_seq"),
-    ).dropDuplicates(["alert_id", "content"])
-    local = local_notes.select("alert_id", "author", "timestamp", "content",
+    notes = logs.filter(F.col("action").startswith(NOTE_PREFIX)).select(
+        "alert_key", F.expr(f"substr(action, {len(NOTE_PREFIX) + 1})").alias("content"),
+        F.struct("log_seq", "alert_id", F.col("operator").alias("author"), "timestamp").alias("r"))
+    from_logs = notes.groupBy("alert_key", "content").agg(F.min("r").alias("r")).select(
+        "alert_key", "r.alert_id", "r.author", "r.timestamp", "content",
+        F.lower("r.author").contains("system").alias("is_system"), "r.log_seq")
+    local = local_notes.select("alert_key", "alert_id", "author", "timestamp", "content",
                                F.lit(False).alias("is_system"), F.lit(-1).cast("bigint").alias("log_seq"))
-    new = from_logs.join(local.select("alert_id", "content"), ["alert_id", "content"], "left_anti")
+    new = from_logs.join(local.select("alert_key", "content"), ["alert_key", "content"], "left_anti")
     return local.unionByName(new)
 
 

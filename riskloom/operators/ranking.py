@@ -60,6 +60,7 @@ def last_non_null_before(
     values: list[str],
     bucket: Column,
     suffix: str = "_before",
+    count: str | None = None,
 ) -> DataFrame:
     """For each row, the last non-null value of each ``values`` column among
     earlier rows of the same ``key`` (W10 ``lag ignore nulls``), skew-safe.
@@ -74,25 +75,30 @@ def last_non_null_before(
     3. a window over that small summary (one row per key and bucket) carries
        the value of earlier buckets forward;
     4. the carry is joined back and used where the local answer is null.
+
+    ``count`` names a column for the number of earlier rows of the key.
     """
     ordered = [F.col(c) for c in order]
     w_local = (Window.partitionBy(key, "__bucket").orderBy(*ordered)
                .rowsBetween(Window.unboundedPreceding, -1))
     b = df.withColumn("__bucket", bucket)
-    local = b.select("*", *[F.last(v, ignorenulls=True).over(w_local).alias(f"__loc_{v}") for v in values])
+    local = b.select("*", F.count(F.lit(1)).over(w_local).alias("__loc_n"),
+                     *[F.last(v, ignorenulls=True).over(w_local).alias(f"__loc_{v}") for v in values])
     order_struct = F.struct(*ordered)
     summary = b.groupBy(key, "__bucket").agg(
+        F.count(F.lit(1)).alias("__sum_n"),
         *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), order_struct)).alias(f"__sum_{v}") for v in values]
     )
     w_carry = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        key, "__bucket",
+        key, "__bucket", F.coalesce(F.sum("__sum_n").over(w_carry), F.lit(0)).alias("__car_n"),
         *[F.last(f"__sum_{v}", ignorenulls=True).over(w_carry).alias(f"__car_{v}") for v in values],
     )
     out = local.join(carry, [key, "__bucket"], "left")
     return out.select(
         *[c for c in df.columns],
         *[F.coalesce(F.col(f"__loc_{v}"), F.col(f"__car_{v}")).alias(f"{v}{suffix}") for v in values],
+        *([(F.col("__loc_n") + F.col("__car_n")).alias(count)] if count else []),
     )
 
 

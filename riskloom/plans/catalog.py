@@ -108,16 +108,16 @@ def workflow(spark, sf_dir):
     # survives executor loss, not shared with other queries like a cache)
     ensure_checkpoint_dir(spark)
     alerts = alerts.checkpoint(eager=True)
-    logs = alerts.select(F.col("id").alias("alert_id"), F.lit(0).cast("bigint").alias("log_seq"),
-                         F.lit(K.SYSTEM_OPERATOR).alias("operator"), F.lit(K.AUTO_EVAL_ACTION).alias("action"),
-                         F.col("timestamp"))
+    logs = AL.opening_logs(alerts)
     routed, rejected = AL.route_updates(alert_updates(Tables(spark, sf_dir)), alerts)
     valid, invalid = AL.validate_status(routed)
     # the routed updates feed three consumers (final state, local scan,
     # bucket summary): materialise once instead of re-scanning and re-joining
     valid = valid.checkpoint(eager=True)
     after, update_logs = AL.apply_updates(alerts, valid)
-    return alerts, logs, after, update_logs, rejected
+    why = rejected.withColumn("reason", F.lit("unknown account")).unionByName(
+        invalid.select(*rejected.columns).withColumn("reason", F.lit("invalid status")))
+    return alerts, logs, after, update_logs, why
 
 
 def _alert_out(a):
@@ -145,8 +145,8 @@ def q_alert_telemetry(spark, sf_dir):
 def q_alert_workflow_state(spark, sf_dir):
     """Alert status and assignee after the ordered updates."""
     alerts, logs, after, update_logs, _ = workflow(spark, sf_dir)
-    n_logs = logs.unionByName(update_logs).groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
-    return after.join(n_logs, after["id"] == n_logs["alert_id"], "left").select(
+    n_logs = logs.unionByName(update_logs).groupBy("alert_key").agg(F.count(F.lit(1)).alias("n_logs"))
+    return after.join(n_logs, "alert_key", "left").select(
         "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),
         F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
 
@@ -160,9 +160,9 @@ def q_alert_workflow_logs(spark, sf_dir):
 
 @register("update_rejections")
 def q_update_rejections(spark, sf_dir):
-    """J1 left_anti: updates whose account has no alert (the 404 set)."""
+    """Updates whose account has no alert (the 404 set) or whose status isn't known."""
     _, _, _, _, rejected = workflow(spark, sf_dir)
-    return rejected.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return rejected.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("n_rejected"))
 
 
 @register("alert_view")
@@ -243,11 +243,18 @@ def q_alert_backfill(spark, sf_dir):
     """Backfill alerts from the scored-batch rows."""
     batch = AL.batch_risk_scores(scored(spark, sf_dir))
     alerts, logs = AL.backfill_alerts(batch)
-    n_logs = logs.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
-    return _alert_out(alerts).join(n_logs, F.col("id") == F.col("alert_id")).drop("alert_id") \
+    n_logs = logs.groupBy(F.col("alert_key").alias("id")).agg(F.count(F.lit(1)).alias("n_logs"))
+    return _alert_out(alerts).join(n_logs, "id") \
         .withColumn("n_logs", F.col("n_logs").cast("bigint"))
 
 
+@register("backfill_sample")
+def q_backfill_sample(spark, sf_dir):
+    """A quarter of the scored batch by the hash of its key, counted by band."""
+    s = AL.sample_rows(scored(spark, sf_dir), 0.25)
+    return s.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").cast("bigint").alias("sum_seq"))
+
+
 @register("alert_ingest")
 def q_alert_ingest(spark, sf_dir):
     """Manual ingest with derived tier/severity and status validation."""
@@ -287,11 +294,11 @@ def q_notes_merge(spark, sf_dir):
     alerts, logs, after, update_logs, _ = workflow(spark, sf_dir)
     routed, _ = AL.route_updates(alert_updates(Tables(spark, sf_dir)), alerts)
     local = routed.filter(F.col("event_type") == "error").select(
-        "alert_id", F.lit("Analyst (local)").alias("author"), AL.clock_utc("ts").alias("timestamp"),
+        "alert_key", "alert_id", F.lit("Analyst (local)").alias("author"), AL.clock_utc("ts").alias("timestamp"),
         F.col("notes").alias("content"))
     m = AN.merge_notes(local, update_logs)
-    return m.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_notes"),
-                                     F.count_if(F.col("log_seq") >= 0).alias("n_from_log"))
+    return m.groupBy("alert_key").agg(F.first("alert_id").alias("alert_id"), F.count(F.lit(1)).alias("n_notes"),
+                                      F.count_if(F.col("log_seq") >= 0).alias("n_from_log")).drop("alert_key")
 
 
 # ---------------------------------------------------------------- milestone 3
@@ -623,14 +630,6 @@ def q_rfe_selection(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, ranking int, selected boolean")
 
 
-@register("hyper_parameters")
-def q_hyper_parameters(spark, sf_dir):
-    """The hyper-parameter record of each classifier (n from the training rows)."""
-    data, _ = training_frame(spark, sf_dir)
-    n = data.count()
-    return spark.createDataFrame(MD.hyper_parameters(int(n * 0.8)), "model string, parameter string, value string")
-
-
 # ---------------------------------------------------------------- milestone 8 (anomaly)
 
 from ..operators import isolation as IF  # noqa: E402
@@ -674,10 +673,9 @@ def q_alert_snapshot_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "alert-snapshot")
     IO.write_alert_snapshot(after, logs.unionByName(update_logs), path)
     a, lg = IO.read_alert_snapshot(spark, path)
-    n_logs = lg.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
-    upd = update_logs.groupBy("alert_id").agg(F.countDistinct(F.floor(F.col("log_seq") / 4)).alias("n_updates"))
-    return a.join(n_logs, a["id"] == n_logs["alert_id"], "left").drop("alert_id") \
-        .join(upd, a["id"] == upd["alert_id"], "left").select(
+    n_logs = lg.groupBy("alert_key").agg(F.count(F.lit(1)).alias("n_logs"))
+    upd = update_logs.groupBy("alert_key").agg(F.countDistinct(F.floor(F.col("log_seq") / 4)).alias("n_updates"))
+    return a.join(n_logs, "alert_key", "left").join(upd, "alert_key", "left").select(
             "id", "status", "assigned_to", F.coalesce(F.col("n_updates"), F.lit(0)).cast("bigint").alias("n_updates"),
             F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
 
@@ -723,8 +721,8 @@ def q_stream_workflow_state(spark, sf_dir):
     WS.stage_updates(alert_updates(Tables(spark, sf_dir)), src)
     WS.run_workflow_stream(spark, src, spark.read.parquet(src).schema, base)
     a, lg, _ = WS.read_latest(spark, base)
-    n_logs = lg.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_logs"))
-    return a.join(n_logs, a["id"] == n_logs["alert_id"], "left").select(
+    n_logs = lg.groupBy("alert_key").agg(F.count(F.lit(1)).alias("n_logs"))
+    return a.join(n_logs, "alert_key", "left").select(
         "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),
         F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
 

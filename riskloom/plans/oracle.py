@@ -76,13 +76,16 @@ SELECT count(*) AS total_incidents_recorded, round(coalesce(avg(risk_score), 0.0
 FROM after"""
 
 ORACLE["alert_workflow_state"] = _workflow() + """,
-n_logs AS (SELECT alert_id, count(*) AS n FROM (SELECT id AS alert_id FROM alerts UNION ALL SELECT alert_id FROM update_logs) x GROUP BY alert_id)
+n_logs AS (SELECT alert_key, count(*) AS n FROM (SELECT transaction_id AS alert_key FROM alerts UNION ALL SELECT alert_key FROM update_logs) x GROUP BY alert_key)
 SELECT a.id, a.status, a.assigned_to, CAST(a.n_updates AS BIGINT) AS n_updates, CAST(coalesce(n.n, 0) AS BIGINT) AS n_logs
-FROM after a LEFT JOIN n_logs n ON n.alert_id = a.id"""
+FROM after a LEFT JOIN n_logs n ON n.alert_key = a.transaction_id"""
 
 ORACLE["alert_workflow_logs"] = _workflow() + "\nSELECT alert_id, CAST(log_seq AS BIGINT) AS log_seq, operator, action, timestamp FROM update_logs"
 
-ORACLE["update_rejections"] = _workflow() + "\nSELECT event_type, count(*) AS n_rejected FROM rejected GROUP BY event_type"
+ORACLE["update_rejections"] = _workflow() + """
+SELECT event_type, reason, count(*) AS n_rejected
+FROM (SELECT event_type, 'unknown account' AS reason FROM rejected UNION ALL SELECT event_type, 'invalid status' FROM invalid) r
+GROUP BY event_type, reason"""
 
 ORACLE["alert_view"] = _view() + """
 SELECT id, account_number, type, CAST(risk_score AS BIGINT) AS risk_score,
@@ -204,7 +207,7 @@ batch AS (
 sample AS (
   SELECT *, row_number() OVER (ORDER BY seq, transaction_id) AS n,
          greatest(CAST(round_even(final_risk, 0) AS BIGINT), 2) AS score
-  FROM batch WHERE substr(md5(transaction_id), 1, 1) IN ('0', '1', '2', '3')
+  FROM batch
 )
 SELECT printf('ALT-DS-%03d', n) AS id, 'TXN_DS_' || CAST(seq + 1000 AS VARCHAR) AS transaction_id,
        printf('ACC-DS-%03d', n) AS sender_id, printf('ACC-REC-%03d', n) AS receiver_id,
@@ -263,14 +266,19 @@ FROM (SELECT CAST(dayofweek(ts) + 1 AS BIGINT) AS dow, strftime(ts, '%a') AS day
       FROM transactions GROUP BY ALL) g"""
 
 ORACLE["notes_merge"] = _workflow() + """,
-local AS (SELECT alert_id, notes AS content FROM routed WHERE event_type = 'error'),
+local AS (SELECT alert_key, alert_id, notes AS content FROM all_routed WHERE event_type = 'error'),
 log_notes AS (
-  SELECT DISTINCT alert_id, substr(action, 24) AS content FROM update_logs
+  SELECT DISTINCT alert_key, alert_id, substr(action, 24) AS content FROM update_logs
   WHERE starts_with(action, 'Appended Analyst Note: ')
 ),
-new AS (SELECT l.* FROM log_notes l WHERE NOT EXISTS (SELECT 1 FROM local x WHERE x.alert_id = l.alert_id AND x.content = l.content)),
-u AS (SELECT alert_id, 0 AS from_log FROM local UNION ALL SELECT alert_id, 1 FROM new)
-SELECT alert_id, count(*) AS n_notes, count(*) FILTER (WHERE from_log = 1) AS n_from_log FROM u GROUP BY alert_id"""
+new AS (SELECT l.* FROM log_notes l WHERE NOT EXISTS (SELECT 1 FROM local x WHERE x.alert_key = l.alert_key AND x.content = l.content)),
+u AS (SELECT alert_key, alert_id, 0 AS from_log FROM local UNION ALL SELECT alert_key, alert_id, 1 FROM new)
+SELECT alert_id, n_notes, n_from_log
+FROM (SELECT alert_key, alert_id, count(*) AS n_notes, count(*) FILTER (WHERE from_log = 1) AS n_from_log FROM u GROUP BY alert_key, alert_id) g"""
+
+ORACLE["backfill_sample"] = _scored() + """
+SELECT risk_tier, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_seq
+FROM scored WHERE CAST(('0x' || substr(md5(transaction_id), 1, 8)) AS BIGINT) / 4294967296.0 < 0.25 GROUP BY risk_tier"""
 
 
 # ---------------------------------------------------------------- milestone 3

@@ -164,48 +164,58 @@ alerts AS (
 )"""
 
 
+STATES_SQL = "(" + ", ".join(f"'{s}'" for s in K.ALERT_STATUSES) + ")"
+
+
 def workflow_cte() -> str:
     """C4 updates, J1 routing and the R16 fold (needs ``alerts``)."""
     return f"""
 updates AS (
   SELECT 'ACC-' || CAST(user_id * 13 + 1 AS VARCHAR) AS account_id, event_id AS update_seq, ts, event_type,
-         CASE event_type WHEN 'view' THEN 'Investigating' WHEN 'error' THEN 'Escalated' WHEN 'purchase' THEN 'Closed' END AS new_status,
+         CASE WHEN event_id % 97 = 5 THEN 'archived' ELSE CASE event_type WHEN 'view' THEN 'Investigating' WHEN 'error' THEN 'Escalated' WHEN 'purchase' THEN 'Closed' END END AS new_status,
          CASE WHEN event_type IN ('click', 'error') THEN 'Event ' || event_type || ' value ' || format('{{:,.2f}}', value) END AS notes,
          CASE WHEN event_type = 'signup' THEN 'Analyst ' || CAST(user_id % 7 AS VARCHAR) END AS assigned_to
   FROM events
 ),
-newest AS (SELECT sender_id AS account_id, arg_max(id, seq) AS alert_id FROM alerts GROUP BY sender_id),
-routed AS (SELECT u.*, n.alert_id FROM updates u JOIN newest n ON n.account_id = u.account_id),
+newest AS (SELECT sender_id AS account_id, arg_max(transaction_id, (seq, transaction_id)) AS alert_key,
+                  arg_max(id, (seq, transaction_id)) AS alert_id FROM alerts GROUP BY sender_id),
+all_routed AS (
+  SELECT u.* EXCLUDE (new_status), n.alert_key, n.alert_id,
+         upper(substr(u.new_status, 1, 1)) || lower(substr(u.new_status, 2)) AS new_status
+  FROM updates u JOIN newest n ON n.account_id = u.account_id),
+routed AS (SELECT * FROM all_routed WHERE new_status IS NULL OR new_status IN {STATES_SQL}),
+invalid AS (SELECT * FROM all_routed WHERE new_status NOT IN {STATES_SQL}),
 rejected AS (SELECT u.* FROM updates u WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.account_id = u.account_id)),
 folded AS (
   SELECT r.*, a.status AS init_status, coalesce(a.assigned_to, '{K.UNASSIGNED}') AS init_assignee,
          last_value(r.new_status IGNORE NULLS) OVER w AS status_before,
          last_value(r.assigned_to IGNORE NULLS) OVER w AS assignee_before
-  FROM routed r JOIN alerts a ON a.id = r.alert_id
-  WINDOW w AS (PARTITION BY r.alert_id ORDER BY r.ts, r.update_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  FROM routed r JOIN alerts a ON a.transaction_id = r.alert_key
+  WINDOW w AS (PARTITION BY r.alert_key ORDER BY r.ts, r.update_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 steps AS (
   SELECT *, coalesce(status_before, init_status) AS old_status,
          coalesce(new_status, status_before, init_status) AS status_after,
          coalesce(assignee_before, init_assignee) AS old_assignee,
+         row_number() OVER (PARTITION BY alert_key ORDER BY ts, update_seq) - 1 AS n_before,
          strftime(ts, '%H:%M:%S') || ' UTC' AS log_time
   FROM folded
 ),
 update_logs AS (
-  SELECT alert_id, update_seq * 4 + 1 AS log_seq, '{K.ADMIN_OPERATOR}' AS operator,
+  SELECT alert_key, alert_id, n_before * 4 + 1 AS log_seq, '{K.ADMIN_OPERATOR}' AS operator,
          'Changed status from ' || old_status || ' to ' || status_after AS action, log_time AS timestamp FROM steps
   UNION ALL
-  SELECT alert_id, update_seq * 4 + 2, '{K.ADMIN_OPERATOR}', 'Appended Analyst Note: ' || notes, log_time
+  SELECT alert_key, alert_id, n_before * 4 + 2, '{K.ADMIN_OPERATOR}', 'Appended Analyst Note: ' || notes, log_time
   FROM steps WHERE length(coalesce(notes, '')) > 0
   UNION ALL
-  SELECT alert_id, update_seq * 4 + 3, '{K.ADMIN_OPERATOR}', 'Reassigned case from ' || old_assignee || ' to ' || assigned_to, log_time
+  SELECT alert_key, alert_id, n_before * 4 + 3, '{K.ADMIN_OPERATOR}', 'Reassigned case from ' || old_assignee || ' to ' || assigned_to, log_time
   FROM steps WHERE assigned_to IS NOT NULL
 ),
 last_step AS (
-  SELECT alert_id, status_after, n_updates,
+  SELECT alert_key, status_after, n_updates,
          coalesce(assigned_to, assignee_before, init_assignee) AS assignee_after
-  FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY ts DESC, update_seq DESC) AS rn,
-               count(*) OVER (PARTITION BY alert_id) AS n_updates FROM steps) x
+  FROM (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY ts DESC, update_seq DESC) AS rn,
+               count(*) OVER (PARTITION BY alert_key) AS n_updates FROM steps) x
   WHERE rn = 1
 ),
 after AS (
@@ -214,7 +224,7 @@ after AS (
          coalesce(l.status_after, a.status) AS status,
          coalesce(l.assignee_after, a.assigned_to) AS assigned_to,
          coalesce(l.n_updates, 0) AS n_updates
-  FROM alerts a LEFT JOIN last_step l ON l.alert_id = a.id
+  FROM alerts a LEFT JOIN last_step l ON l.alert_key = a.transaction_id
 )"""
 
 

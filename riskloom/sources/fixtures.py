@@ -130,10 +130,12 @@ def alert_updates(t: Tables) -> DataFrame:
     account has none.  Event types map to statuses (view → Investigating,
     error → Escalated, purchase → Closed); ``click`` and ``signup`` keep the
     current status, ``click``/``error`` add a note and ``signup`` re-assigns.
+    One event id in 97 asks for a status that doesn't exist and is to be rejected.
     Updates apply in ``(ts, event_id)`` order.
     """
     ev = t.events.select("event_id", "ts", "user_id", "event_type", "value")
     status = F.coalesce(
+        F.when(F.col("event_id") % 97 == 5, F.lit("archived")),
         *[F.when(F.col("event_type") == k, F.lit(v)) for k, v in UPDATE_STATUS.items()],
         F.lit(None).cast("string"),
     )

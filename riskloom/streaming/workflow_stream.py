@@ -56,10 +56,7 @@ def workflow_sink(base: str):
         alerts, logs, _ = read_latest(spark, base, before=version)
         routed, _ = route_updates(batch, alerts)
         valid, _ = validate_status(routed)
-        after, new_logs = apply_updates(alerts.drop("n_updates"), valid)
-        prev = alerts.select(F.col("id").alias("__id"), F.col("n_updates").alias("__prev"))
-        after = after.join(prev, after["id"] == prev["__id"]).withColumn(
-            "n_updates", F.col("n_updates") + F.col("__prev")).drop("__id", "__prev")
+        after, new_logs = apply_updates(alerts, valid)
         write_version(after, logs.unionByName(new_logs), base, version)
 
     return apply
