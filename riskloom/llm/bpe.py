@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v = vocabulary
         self.split = regex.compile(pattern).findall
+        self.printed = [str(i) for i in range(max(vocabulary.token_bytes, default=-1) + 1)]
         self.ids: dict[str, tuple[int, ...]] = {}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
@@ -204,7 +206,7 @@ class Encoder:
         return split
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.learn([text])[0] for i in self.ids[p]]
+        return list(chain.from_iterable(self.ids[p] for p in self.learn([text])[0]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.token_bytes.__getitem__, ids))
@@ -275,22 +277,18 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 part = b.slice(at, TOGETHER)
-                n_tokens, ids_sha, dec_sha = [], [], []
-                split = e.learn([t or "" for t in part.column(1).to_pylist()])
-                printed, decoded = {}, {}  # of these texts' pieces: ids as text, bytes of the ids
-                for p in set().union(*split):
-                    ids = e.ids[p]
-                    printed[p], decoded[p] = ",".join(map(str, ids)), e.decode(ids)
-                for found in split:
-                    line = ",".join(map(printed.__getitem__, found))
-                    n_tokens.append(line.count(",") + 1 if found else 0)
-                    ids_sha.append(sha(line.encode()).hexdigest())
-                    dec_sha.append(sha(b"".join(map(decoded.__getitem__, found))).hexdigest())
+                n_tokens, ids_sha, dec_sha, kept = [], [], [], []
+                for found in e.learn([t or "" for t in part.column(1).to_pylist()]):
+                    ids = list(chain.from_iterable(map(e.ids.__getitem__, found)))
+                    n_tokens.append(len(ids))
+                    ids_sha.append(sha(",".join(map(e.printed.__getitem__, ids)).encode()).hexdigest())
+                    dec_sha.append(sha(e.decode(ids)).hexdigest())
+                    if keep_ids:
+                        kept.append(np.array(ids, dtype=np.int32))
                 cols = [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
                 if keep_ids:
-                    flat = np.fromiter((i for found in split for p in found for i in e.ids[p]), dtype=np.int32, count=sum(n_tokens))
                     ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = T.StructType([
