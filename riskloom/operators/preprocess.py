@@ -75,7 +75,6 @@ class GovernancePreprocessor:
     max_leakage_correlation: float = K.LEAKAGE_CORRELATION
     numeric_strategy: str = "median"          # or "mean"
     categorical_strategy: str = "most_frequent"  # or "constant_missing"
-    median: str = "auto"
 
     def fit(self, df: DataFrame, target: str | None = K.TARGET_COLUMN, exclude: list[str] | None = None) -> PreprocessorModel:
         exclude = set(exclude or [])
@@ -83,7 +82,7 @@ class GovernancePreprocessor:
         numeric, categorical = split_columns(df.select(*[q(c) for c in cols]))
         n_rows = df.count()
         y_numeric = target is not None and isinstance(df.schema[target].dataType, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType, T.ByteType))
-        nprof = {r["feature"]: r for r in numeric_profile(df, numeric, target if y_numeric else None, self.median).collect()} if numeric else {}
+        nprof = {r["feature"]: r for r in numeric_profile(df, numeric, target if y_numeric else None).collect()} if numeric else {}
         cprof = {r["feature"]: r for r in categorical_profile(df, categorical).collect()} if categorical else {}
 
         def missing_frac(c):

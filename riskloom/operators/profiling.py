@@ -1,124 +1,112 @@
 """Column profiling and leakage audit.
 
-Wide tables (thousands of columns) are profiled in chunks of ``CHUNK`` (50)
-columns per aggregate: parquet reads each chunk's columns only, so the total
-bytes scanned equal one full scan, and each generated aggregate stays under
-the code-generation size limits.  Every statistic is a mergeable aggregate
-(partial aggregation map-side, one small final merge); categorical modes and
-separator tests go through a long-form ``groupBy(column, value)`` so no
-column's values are ever collected into one task.
+Every profile is one pass over the long form ``(feature, position, value)``: each row is
+unpivoted once, whatever the number of columns, and every statistic is a mergeable
+aggregate by feature (partial aggregation map-side).  Medians, modes and separator tests go
+through ``groupBy(feature, value)``, so no column's values are ever collected into one
+task, and are exact at any size.  NaN and the texts 'nan' and 'None' count as missing (S6).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..sources.tables import split_columns
-
-CHUNK = 50
-EXACT_MEDIAN_MAX_ROWS = 5_000_000
+from ..sources.tables import missing_to_null, split_columns
+from .ranking import prefix_sum
 
 
 def q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def _chunks(cols: list[str], size: int = CHUNK):
-    for i in range(0, len(cols), size):
-        yield cols[i:i + size]
-
+def clean(df: DataFrame, c: str) -> Column:
+    """Column ``c`` with what counts as missing turned to NULL."""
+    return missing_to_null(q(c), df.schema[c].dataType)
 
-def _long_stats(df: DataFrame, cols: list[str], exprs) -> DataFrame:
-    """Per column aggregates → long rows ``(column, position, stat...)``.
 
-    ``exprs(c)`` returns ``[(stat_name, aggregate Column), ...]`` for column
-    c; each chunk is one aggregate, stacked into long form with ``inline``.
-    """
-    parts = []
-    for chunk in _chunks(cols):
-        aggs, rows = [], []
-        for c in chunk:
-            pos = cols.index(c)
-            fields = []
-            for name, e in exprs(c):
-                alias = f"__{pos}_{name}"
-                aggs.append(e.alias(alias))
-                fields.append(F.col(alias).alias(name))
-            rows.append(F.struct(F.lit(c).alias("feature"), F.lit(pos).alias("position"), *fields))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def _unpivot(df: DataFrame, cols: list[str], kind: str, extra: list[Column] | None = None) -> DataFrame:
+    """Rows ``(*extra, feature, position, value)``, missing values as NULL."""
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), clean(df, c).cast(kind).alias("value"))
+                     for i, c in enumerate(cols)])
+    return df.select(*(extra or []), F.inline_outer(rows))
 
 
 def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per column missing count, fraction and dtype, most-missing first."""
+    """Per column missing count, fraction, dtype and rank, most-missing first (ties: column order)."""
     cols = columns or df.columns
-    dtypes = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
+    dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     n = F.count(F.lit(1))
-    prof = _long_stats(df, cols, lambda c: [("missing_count", n - F.count(q(c))),
-                                            ("missing_percentage", (n - F.count(q(c))) / n)])
+    prof = _unpivot(df, cols, "string").groupBy("feature", "position").agg(
+        (n - F.count("value")).alias("missing_count"), ((n - F.count("value")) / n).alias("missing_percentage"))
     dt = df.sparkSession.createDataFrame([(c, dtypes[c]) for c in cols], "feature string, dtype string")
-    return prof.join(F.broadcast(dt), "feature")
+    # one row per column is left here
+    rank = F.row_number().over(Window.orderBy(F.desc("missing_count"), "position"))
+    return prof.join(F.broadcast(dt), "feature").withColumn("missing_rank", rank).orderBy("missing_rank")
 
 
-def numeric_profile(df: DataFrame, numeric: list[str], target: str | None = None,
-                    median: str = "auto") -> DataFrame:
-    """A16/A18/A20/A31/A32 in one pass per chunk.
+def medians(values: DataFrame) -> DataFrame:
+    """Exact median of ``value`` by ``feature``: rows (feature, median).
 
-    ``corr_target`` is the pairwise-complete Pearson correlation, NULL when a
-    side is constant (ANSI-safe ``try_divide``; ``corr`` would throw).
-    ``median``: 'exact' (Spark's exact percentile — its value map grows with
-    the distinct values, so only for bounded inputs), 'approx'
-    (``percentile_approx``, bounded memory), or 'auto' (exact up to
-    ``EXACT_MEDIAN_MAX_ROWS`` rows).
+    Equal values are counted first; a distributed prefix sum over the distinct values
+    finds those that hold the middle ranks, so neither a feature nor a hot value is one
+    task's work.
     """
-    if median == "auto":
-        median = "exact" if df.count() <= EXACT_MEDIAN_MAX_ROWS else "approx"
+    counts = values.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranked = prefix_sum(counts, [F.col("feature"), F.col("value")], ["c"])
+    # ranks run on through all features: each starts at the least count before its values
+    span = ranked.groupBy("feature").agg(F.min("c_before").alias("start"), F.sum("c").alias("n"))
+    lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    at = F.col("c_before") - F.col("start")
+
+    def holds(rank: Column) -> Column:
+        return (at <= rank) & (rank < at + F.col("c"))
 
-    def exprs(c):
-        x = q(c).cast("double")
-        out = [("n", F.count(x)), ("var_pop", F.var_pop(x)), ("mean", F.avg(x)), ("min", F.min(x)),
-               ("max", F.max(x)),
-               ("median", F.median(x) if median == "exact" else F.percentile_approx(x, 0.5, 100000).cast("double"))]
-        if target is not None:
-            y = q(target).cast("double")
-            xp = F.when(y.isNotNull(), x)
-            yp = F.when(x.isNotNull(), y)
-            out.append(("corr_target", F.try_divide(F.covar_pop(xp, yp), F.stddev_pop(xp) * F.stddev_pop(yp))))
-        return out
+    middle = ranked.join(span, "feature").where(holds(lower) | holds(upper)).groupBy("feature").agg(
+        F.max(F.when(holds(lower), F.col("value"))).alias("lo"), F.max(F.when(holds(upper), F.col("value"))).alias("hi"))
+    return middle.select("feature", ((F.col("lo") + F.col("hi")) / 2).alias("median"))
 
-    return _long_stats(df, numeric, exprs)
+
+def numeric_profile(df: DataFrame, numeric: list[str], target: str | None = None) -> DataFrame:
+    """N, var_pop, mean, min, max, median and target correlation by column.
+
+    ``corr_target`` is the pairwise-complete Pearson correlation, NULL when a
+    side is constant (ANSI-safe ``try_divide``; ``corr`` would throw).
+    """
+    extra = [clean(df, target).cast("double").alias("y")] if target is not None else []
+    values = _unpivot(df, numeric, "double", extra)
+    x = F.col("value")
+    out = [F.count(x).alias("n"), F.var_pop(x).alias("var_pop"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max")]
+    if target is not None:
+        xp, yp = F.when(F.col("y").isNotNull(), x), F.when(x.isNotNull(), F.col("y"))
+        out.append(F.try_divide(F.covar_pop(xp, yp), F.stddev_pop(xp) * F.stddev_pop(yp)).alias("corr_target"))
+    stats = values.groupBy("feature", "position").agg(*out)
+    return stats.join(medians(values), "feature", "left")
 
 
 def categorical_profile(df: DataFrame, categorical: list[str]) -> DataFrame:
     """Distinct-≤1 test (min = max) and deterministic mode per column.
 
-    The mode goes through long form: ``groupBy(column, value).count()`` is
-    reduced map-side, then the most frequent value per column (ties → the
-    smallest) is a ``min_by`` over ``(-count, value)``.
+    The mode goes through ``groupBy(column, value).count()``, reduced map-side;
+    the most frequent value per column (ties → the smallest) is a ``min_by``.
     """
     if not categorical:
         schema = "feature string, position int, n long, n_distinct_le1 boolean, mode string"
         return df.sparkSession.createDataFrame([], schema)
-
-    base = _long_stats(df, categorical, lambda c: [
-        ("n", F.count(q(c))),
-        ("n_distinct_le1", F.coalesce(F.min(q(c).cast("string")) == F.max(q(c).cast("string")), F.lit(True))),
-    ])
-    lf = long_form(df, categorical)
-    counts = lf.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    values = _unpivot(df, categorical, "string")
+    base = values.groupBy("feature", "position").agg(
+        F.count("value").alias("n"), F.coalesce(F.min("value") == F.max("value"), F.lit(True)).alias("n_distinct_le1"))
+    counts = values.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     modes = counts.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("mode"))
     return base.join(modes, "feature", "left")
 
 
 def long_form(df: DataFrame, columns: list[str], extra: list[str] | None = None) -> DataFrame:
     """Unpivot ``columns`` to ``(column, value)`` strings (plus ``extra`` columns kept)."""
-    extra = extra or []
-    return df.select(*[q(e) for e in extra], F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), q(c).cast("string").alias("value")) for c in columns])))
+    return _unpivot(df, columns, "string", [q(e) for e in extra or []]).drop("position")
 
 
 def separator_test(df: DataFrame, categorical: list[str], target: str) -> DataFrame:

@@ -322,7 +322,7 @@ def feature_columns(df):
 
 def collinear_columns(df):
     num, _ = split_columns(df.select(*feature_columns(df)))
-    return [c for c in num if c != "F12_excess_missing"]
+    return num
 
 
 @register("missing_profile")
@@ -331,7 +331,8 @@ def q_missing_profile(spark, sf_dir):
     fm = features(spark, sf_dir)
     p = PR.missing_profile(fm, feature_columns(fm))
     return p.select("feature", F.col("missing_count").cast("bigint").alias("missing_count"),
-                    round6("missing_percentage").alias("missing_percentage"), "dtype")
+                    round6("missing_percentage").alias("missing_percentage"), "dtype",
+                    F.col("missing_rank").cast("bigint").alias("missing_rank"))
 
 
 @register("numeric_profile")
@@ -339,7 +340,7 @@ def q_numeric_profile(spark, sf_dir):
     """var_pop, mean, min, max, median, guarded target correlation."""
     fm = features(spark, sf_dir)
     num, _ = split_columns(fm.select(*feature_columns(fm)))
-    p = PR.numeric_profile(fm, num, TARGET, median="exact")
+    p = PR.numeric_profile(fm, num, TARGET)
     return p.select("feature", F.col("n").cast("bigint").alias("n"),
                     *[round6(c).alias(c) for c in ("var_pop", "mean", "min", "max", "median", "corr_target")])
 
@@ -373,7 +374,7 @@ def q_leakage_audit(spark, sf_dir):
 def q_preprocess_report(spark, sf_dir):
     """Decision per column and the fitted fill value."""
     fm = features(spark, sf_dir)
-    model = GovernancePreprocessor(median="exact").fit(fm, TARGET, exclude=["vec_id"])
+    model = GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"])
     r = model.report(spark)
     return r.select("feature", F.col("position").cast("bigint").alias("position"), "decision", "reason",
                     F.when(F.col("decision") == "kept", F.col("impute_value")).alias("impute_value_raw")) \
@@ -386,7 +387,7 @@ def q_preprocess_report(spark, sf_dir):
 def q_preprocessed_matrix(spark, sf_dir):
     """P4/G7 transform: fitted columns, imputed, per row (numeric rounded)."""
     fm = features(spark, sf_dir)
-    model = GovernancePreprocessor(median="exact").fit(fm, TARGET, exclude=["vec_id"])
+    model = GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"])
     out = model.transform(fm)
     long = out.select("vec_id", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"),
@@ -521,7 +522,7 @@ def mi_features(fm):
 def q_mutual_information(spark, sf_dir):
     """k=3 nearest-neighbour mutual information of every numeric feature with the target."""
     fm = features(spark, sf_dir)
-    mi = MI.mutual_information(fm, mi_features(fm), TARGET, "vec_id")
+    mi = MI.mutual_information(fm, mi_features(fm), TARGET)
     return mi.select("feature", "n", round6("mi").alias("mi"), round6("mi_raw").alias("mi_raw"))
 
 
@@ -529,7 +530,7 @@ def q_mutual_information(spark, sf_dir):
 def q_mi_top_features(spark, sf_dir):
     """The 40 highest-MI features (ties in column order) with their rank."""
     fm = features(spark, sf_dir)
-    mi = MI.mutual_information(fm, mi_features(fm), TARGET, "vec_id")
+    mi = MI.mutual_information(fm, mi_features(fm), TARGET)
     top = MI.top_k_features(mi, 40)
     return top.select("feature", F.col("position").cast("bigint").alias("position"),
                       F.col("mi_rank").cast("bigint").alias("mi_rank"), round6("mi").alias("mi"))
@@ -580,7 +581,7 @@ from ..operators import models as MD  # noqa: E402
 
 def training_frame(spark, sf_dir):
     fm = features(spark, sf_dir)
-    pre = GovernancePreprocessor(median="exact").fit(fm, TARGET, exclude=["vec_id"])
+    pre = GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"])
     out = pre.transform(fm)
     return out, pre.numeric_features
 
@@ -619,7 +620,7 @@ def q_rfe_selection(spark, sf_dir):
     data, feats_all = training_frame(spark, sf_dir)
     dropped = {r["col_j"] for r in SE.collinear_dropped(SE.collinear_pairs(data, feats_all)).collect()}
     feats = [f for f in feats_all if f not in dropped]
-    mi = MI.mutual_information(data, feats, TARGET, "vec_id")
+    mi = MI.mutual_information(data, feats, TARGET)
     top = [r["feature"] for r in MI.top_k_features(mi, 40).orderBy("position").collect()]
     ranking = MD.rfe_cv(data, top, TARGET, "vec_id", step=0.05, min_features=12, folds=3)
     rows = [(f, r, s) for f, r, s in ranking]

@@ -333,10 +333,11 @@ def _gov() -> str:
 
 def _missing() -> str:
     cols = feature_columns()
-    parts = [f"SELECT '{c}' AS feature, count(*) - count({_qi(c)}) AS missing_count, "
+    parts = [f"SELECT '{c}' AS feature, {i} AS position, count(*) - count({_qi(c)}) AS missing_count, "
              f"(count(*) - count({_qi(c)})) / count(*) AS missing_percentage, "
-             f"'{'string' if c in CATEGORICAL_FAULTS else 'double'}' AS dtype FROM features" for c in cols]
-    return with_ctes(features_cte()) + "\nSELECT feature, missing_count, round(missing_percentage, 6) AS missing_percentage, dtype FROM (" + \
+             f"'{'string' if c in CATEGORICAL_FAULTS else 'double'}' AS dtype FROM features" for i, c in enumerate(cols)]
+    return with_ctes(features_cte()) + "\nSELECT feature, missing_count, round(missing_percentage, 6) AS missing_percentage, dtype, " + \
+        "row_number() OVER (ORDER BY missing_count DESC, position) AS missing_rank FROM (" + \
         "\nUNION ALL ".join(parts) + ") m"
 
 
@@ -425,13 +426,13 @@ FROM flong f JOIN decided d USING (feature) WHERE d.decision = 'kept'"""
 
 
 def _collinear() -> str:
-    cols = [c for c in numeric_feature_columns() if c != "F12_excess_missing"]
+    cols = numeric_feature_columns()
     parts = [f"SELECT vec_id, '{c}' AS feature, {i} AS pos, CAST({_qi(c)} AS DOUBLE) AS v FROM features"
              for i, c in enumerate(cols)]
     return with_ctes(features_cte()) + ", lf AS (" + "\nUNION ALL ".join(parts) + f""")
 SELECT col_i, col_j, round(c, 6) AS abs_corr FROM (
   SELECT a.feature AS col_i, b.feature AS col_j, abs(corr(a.v, b.v)) AS c
-  FROM lf a JOIN lf b ON a.vec_id = b.vec_id AND a.pos < b.pos GROUP BY a.feature, b.feature
+  FROM lf a JOIN lf b ON a.vec_id = b.vec_id AND a.pos < b.pos AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.feature, b.feature
 ) x WHERE c IS NOT NULL AND NOT isnan(c) AND c > {K.COLLINEAR_THRESHOLD}"""
 
 
@@ -619,6 +620,12 @@ def _digamma_sql(n: str) -> str:
     return f"(CASE {cases} ELSE {asym} END)"
 
 
+def _mean_psi(n: str) -> str:
+    from ..operators.mutual_info import PSI_DIGITS
+
+    return f"CAST(sum(CAST(round({_digamma_sql(n)}, {PSI_DIGITS}) AS DECIMAL(20,{PSI_DIGITS}))) AS DOUBLE) / count(*)"
+
+
 def _mi() -> str:
     cols = numeric_feature_columns()
     lf = " UNION ALL ".join(
@@ -643,8 +650,7 @@ mm AS (
   FROM kd
 ),
 agg AS (
-  SELECT feature, position, count(*) AS n, avg({_digamma_sql('k_i')}) AS psi_k, avg({_digamma_sql('n_class')}) AS psi_ny,
-         avg({_digamma_sql('m')}) AS psi_m
+  SELECT feature, position, count(*) AS n, {_mean_psi('k_i')} AS psi_k, {_mean_psi('n_class')} AS psi_ny, {_mean_psi('m')} AS psi_m
   FROM mm GROUP BY feature, position
 ),
 mi AS (SELECT feature, position, n, {_digamma_sql('n')} + psi_k - psi_ny - psi_m AS mi_raw FROM agg)"""
@@ -655,7 +661,7 @@ SELECT feature, n, round(greatest(mi_raw, 0.0), 6) AS mi, round(mi_raw, 6) AS mi
 
 ORACLE["mi_top_features"] = _mi() + """
 SELECT feature, CAST(position AS BIGINT) AS position, CAST(mi_rank AS BIGINT) AS mi_rank, round(greatest(mi_raw, 0.0), 6) AS mi
-FROM (SELECT *, row_number() OVER (ORDER BY round(greatest(mi_raw, 0.0), 12) DESC, position) AS mi_rank FROM mi) r
+FROM (SELECT *, row_number() OVER (ORDER BY round(greatest(mi_raw, 0.0), 9) DESC, position) AS mi_rank FROM mi) r
 WHERE mi_rank <= 40"""
 
 

@@ -267,8 +267,10 @@ FAULT_COLUMNS_SQL = {
     "F_cat_deterministic_leak": "CASE WHEN F3924 = 1 THEN 'FLAG_APPROVED' ELSE 'FLAG_PENDING' END",
     "F_cat_ok": "'C' || CAST(vec_id % 3 AS VARCHAR)",
     "F_highly_predictive": "CAST(2.0 AS DOUBLE) * CAST(F3924 AS DOUBLE) + F3",
+    "F_nan_holes": "CASE WHEN vec_id % 7 <> 0 THEN F6 END",
+    "F_cat_nan_text": "CASE WHEN vec_id % 5 > 1 THEN 'D' || CAST(vec_id % 2 AS VARCHAR) END",
 }
-CATEGORICAL_FAULTS = ["F_cat_deterministic_leak", "F_cat_ok"]
+CATEGORICAL_FAULTS = ["F_cat_deterministic_leak", "F_cat_ok", "F_cat_nan_text"]
 
 
 def features_cte() -> str:

@@ -95,8 +95,9 @@ def feature_matrix(t: Tables, with_faults: bool = True) -> DataFrame:
 
     The fault columns mirror the governance demo: one mostly-missing, one
     constant, a near-copy of the target, a name leak, a collinear pair, a
-    categorical separator, a strongly predictive column and a harmless
-    categorical.  Noise is deterministic so the SQL oracle can rebuild it.
+    categorical separator, a strongly predictive column, a harmless
+    categorical, and a numeric and a text column whose gaps are NaN and
+    'nan' / 'None'.  Noise is deterministic so the SQL oracle can rebuild it.
     """
     e = t.embeddings
     y = (F.col("label") == 0).cast("int")
@@ -116,6 +117,9 @@ def feature_matrix(t: Tables, with_faults: bool = True) -> DataFrame:
         F.when(yv == 1, F.lit("FLAG_APPROVED")).otherwise(F.lit("FLAG_PENDING")).alias("F_cat_deterministic_leak"),
         F.concat(F.lit("C"), (F.col("vec_id") % 3).cast("string")).alias("F_cat_ok"),
         (F.lit(2.0) * yv + F.col("F3")).alias("F_highly_predictive"),
+        F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("F6")).alias("F_nan_holes"),
+        F.when(F.col("vec_id") % 5 == 0, F.lit("nan")).when(F.col("vec_id") % 5 == 1, F.lit("None"))
+        .otherwise(F.concat(F.lit("D"), (F.col("vec_id") % 2).cast("string"))).alias("F_cat_nan_text"),
     )
 
 

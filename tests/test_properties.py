@@ -42,7 +42,7 @@ def test_oversample_equalises_classes(spark, fm):
 
 def test_mutual_information_ranks_planted_feature_first(spark, fm):
     feats = ["F0", "F1", "F2", "F_highly_predictive", "F34_constant"]
-    mi = {r["feature"]: r["mi"] for r in MI.mutual_information(fm, feats, "F3924", "vec_id").collect()}
+    mi = {r["feature"]: r["mi"] for r in MI.mutual_information(fm, feats, "F3924").collect()}
     assert all(v >= 0 for v in mi.values())
     assert max(mi, key=mi.get) == "F_highly_predictive"
 
