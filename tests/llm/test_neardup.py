@@ -49,6 +49,15 @@ def test_chains_join_even_where_the_pivot_is_far(documents):
     assert {frozenset(i for i, _ in v) for v in classes(documents(docs)).values()} == brute.near_duplicate_classes(docs)
 
 
+def test_a_group_of_copies_around_the_threshold(documents):
+    rng = random.Random(11)
+    base = prose(rng, 150)
+    docs = [(i, near(rng, base, rng.randrange(0, 9))) for i in range(120)] + [(500 + i, near(rng, base[:130], rng.randrange(0, 9))) for i in range(40)]
+    got = {frozenset(i for i, _ in v) for v in classes(documents(docs)).values()}
+    assert got == {frozenset(docs[x][0] for x in s) for s in brute.near_duplicate_classes(docs)}
+    assert len(got) > 5  # some stay apart
+
+
 def test_hot_groups_and_odd_rows(documents):
     rng = random.Random(7)
     base, other = prose(rng, 200), prose(rng, 200)
