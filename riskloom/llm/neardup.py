@@ -8,11 +8,13 @@ weighted samples give ``BANDS`` band keys; texts that share one are candidates;
 a candidate pair whose weighted Jaccard similarity, computed on the whole sets, is
 ``THRESHOLD`` or more; classes are the connected components of the links.
 
-Candidates of a bucket are not paired with each other at once.  Every text of a bucket is
-verified against one pivot (each band draws its own).  1 - similarity is a metric, so what
-the pivot has told rules out most of the other pairs; of buckets that still hold more than
-one component, the rest of the pairs follows in rounds of growing reach until none is left.
-No pair is skipped for a bucket's size.
+Candidates of a bucket are not paired with each other.  Every text of a bucket is verified
+against its pivot, the text that shares most band keys with others (of near copies of one
+original, that nearest to it).  That leaves pairs of different components in one bucket.
+What a text has that no other component of those buckets has bounds its similarity to any
+text of theirs from above, together with both total weights; only pairs within that bound
+are verified, found by joining on narrow ranges of weight.  No pair is skipped for its
+bucket's size.
 
 Equal texts are one node from the start.  Null, empty and wordless texts are not near
 anything: each such distinct text is a class with its own copies (null counts as empty).
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialise, text_key
@@ -192,50 +194,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "neardup_nodes")
     member = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
-    # Each band has its own order of texts, so a group of near copies meets many pivots.
-    order = F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("node"))
-    pivots = member.groupBy("band", "key").agg(F.min(order)["node"].alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pivots = materialise(pivots, "neardup_pivots")
-    shared = materialise(member.join(pivots, ["band", "key"]), "neardup_members")
-    star = shared.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(member.join(sizes, ["band", "key"]), "neardup_shared")
+    central = shared.groupBy("node").agg(F.sum("n").alias("c"))
+    order = F.struct((-F.col("c")).alias("c"), "node")
+    pivots = shared.join(central, "node").groupBy("band", "key").agg(F.min(order)["node"].alias("pivot"))
+    shared = materialise(shared.select("band", "key", "node", "n").join(pivots, ["band", "key"]), "neardup_members")
+    star = shared.where("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     needed = shared.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node")
     keyed = docs.select(*text_key(), "text")
     texts = materialise(keyed.join(needed, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "neardup_texts")
     tested = _verify(star, texts, idf, "neardup_star")
-    far = 1 - THRESHOLD + 1e-9
-    links = tested.where(F.col("d") <= far)
+    near = F.col("d") <= 1 - THRESHOLD + 1e-9
+    links = tested.where(near)
     label = components(links.select("a", "b"))
-
-    # Buckets that still hold several components: the pairs that the pivot doesn't rule out.
-    both = tested.select("a", "b", "d").union(tested.select("b", "a", "d"))
-    at = (shared.join(both.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "d"), ["pivot", "node"], "left")
-          .select("band", "key", "node", F.coalesce("d", F.lit(0.0)).alias("d")))
-
-    def mixed(label: DataFrame, at: DataFrame) -> DataFrame:
-        named = at.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        split = named.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x != y and n > 2")
-        return named.join(split.select("band", "key", "n"), ["band", "key"])
-
-    done = 1
-    left = materialise(mixed(label, at), "neardup_left")
-    while left.where(F.col("n") > done).limit(1).count():
-        reach = done * 8
-        ranked = left.where(F.col("n") > done).select("*", F.row_number().over(_by_bucket()).alias("i"))
-        ranked = materialise(ranked, "neardup_ranked")
-        step = ranked.where(F.col("i") + done <= F.col("n")).select(
-            "band", "key", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("comp").alias("cx"),
-            F.explode(F.sequence(F.col("i") + done, F.least(F.col("i") + reach - 1, "n"))).alias("i"))
-        pairs = (step.join(ranked.select("band", "key", "i", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("comp").alias("cy")),
-                           ["band", "key", "i"])
-                 .where((F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= far))
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                 .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        more = _verify(pairs, texts, idf, "neardup_more")
-        tested, links = tested.unionByName(more), links.unionByName(more.where(F.col("d") <= far))
-        label = components(links.select("a", "b"))
-        done = reach
-        left = materialise(mixed(label, left.select("band", "key", "node", "d")), "neardup_left")
+    pairs = _left_over(shared, label, texts, idf).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = _verify(pairs, texts, idf, "neardup_more")
+    label = components(links.unionByName(more.where(near)).select("a", "b"))
 
     named = nodes.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     named = materialise(named.select("h1", "h2", "node", "first_id", "comp"), "neardup_named")
@@ -248,8 +223,58 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"])
 
 
-def _by_bucket() -> WindowSpec:
-    return Window.partitionBy("band", "key").orderBy(F.xxhash64("node"), "node")
+def _weighed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, comp, shingle, weight of rows (node, comp, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in pieces(b.column(2)):
+                h, weight, first = weighted_sets(texts, shared.value)
+                own = pa.array(np.repeat(np.arange(len(texts)), np.diff(first)))
+                part = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(h.view(np.int64)), pa.array(weight.astype(np.float64))],
+                                                 ["node", "comp", "shingle", "weight"])
+
+    return rows.select("node", "comp", "text").mapInArrow(run, "node bigint, comp bigint, shingle bigint, weight double")
+
+
+def _left_over(shared: DataFrame, label: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components that may still be similar.
+
+    Of a text of weight w, let u be the weight of shingles that only its own component has.
+    With a text of another component and weight v it shares at most w - u, so similarity t
+    needs w - u >= t / (1 + t) * (w + v), which is v <= ((w - u) (1 + t) / t) - w, and
+    v >= t w; and the same the other way round.
+    """
+    named = shared.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    by_bucket = named.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band", "key")
+    # a bucket of two has been verified in full
+    mixed = materialise(named.where("n > 2").join(by_bucket, ["band", "key"]).select("band", "key", "node", "comp"), "neardup_mixed")
+    members = mixed.select("node", "comp").distinct()
+    weighed = materialise(_weighed(members.join(texts, "node"), idf), "neardup_weighed")
+    only = weighed.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").select("shingle")
+    own = weighed.join(only, "shingle").groupBy("node").agg(F.sum("weight").alias("u"))
+    t, slack = THRESHOLD, 1e-6
+    w = weighed.groupBy("node").agg(F.sum("weight").alias("w")).join(own, "node", "left")
+    w = w.select("node", "w", (F.col("w") * t * (1 - slack)).alias("lo"),
+                 (((F.col("w") - F.coalesce("u", F.lit(0.0))) * (1 + t) / t - F.col("w")) * (1 + slack)).alias("hi"))
+    w = materialise(w.where("hi >= lo"), "neardup_bounds")
+    # In each bucket one component, the largest, need not be probed from: the others meet it.
+    largest = (mixed.groupBy("band", "key", "comp").agg(F.count("*").alias("c")).groupBy("band", "key")
+               .agg(F.max(F.struct("c", "comp"))["comp"].alias("largest")))
+    bounded = mixed.join(w, "node").withColumn("cell", _cell(F.col("w")))
+    probes = bounded.join(largest, ["band", "key"]).where("comp != largest").select(
+        "band", "key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("w").alias("wx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"),
+        F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi")))).alias("cell"))
+    met = probes.join(bounded, ["band", "key", "cell"])
+    fits = (F.col("comp") != F.col("cx")) & F.col("w").between(F.col("lx"), F.col("hx")) & F.col("wx").between(F.col("lo"), F.col("hi"))
+    return met.where(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def _cell(weight: Column) -> Column:
+    """Ranges of weight half a per cent wide."""
+    return F.floor(F.log(weight) / 0.005)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
