@@ -108,8 +108,6 @@ def with_attributions(df: DataFrame, model: ColumnModel, x: Mapping[str, Column]
     dep = model.depends_on()
     used = [f in background.means and f in dep for f in feats]
     terms = model.logit_terms(x)
-    if n <= PLAIN_ATTRIBUTION_MAX_FEATURES:
-        return _plain_attributions(df, model, x, p, background, name, feats, imp, used, terms)
     lit_arr = lambda vals, t: F.array(*[F.lit(v).cast(t) for v in vals])
     # Lambdas below read element fields only: per-row scalars travel inside the
     # zipped array (array_repeat is evaluated once per row).  A lambda that
@@ -155,48 +153,6 @@ def with_attributions(df: DataFrame, model: ColumnModel, x: Mapping[str, Column]
     return out.drop("__z", "__shift", "__total")
 
 
-PLAIN_ATTRIBUTION_MAX_FEATURES = 64
-
-
-def _plain_attributions(df, model, x, p, background, name, feats, imp, used, terms) -> DataFrame:
-    """Narrow models: one staged column per perturbed marginal and a plain
-    ``array(struct(...))`` of column references — fully code-generated.
-    Staged columns are referenced many times, so the optimizer keeps them
-    as columns instead of inlining their definitions."""
-    staged = df.select("*", (p - F.lit(background.expected_value)).alias("__shift"),
-                       *([terms[0].alias("__lsum")] if terms is not None else []))
-    margs = []
-    for f, u in zip(feats, used):
-        if not u:
-            continue
-        if terms is not None:
-            z = (F.col("__lsum") + F.lit(float(terms[2].get(f, 0.0))) * (F.lit(float(background.means[f])) - x[f])) \
-                / F.lit(float(terms[1]))
-            margs.append((p - sigmoid(z)).alias(f"__m_{f}"))
-        else:
-            perturbed = dict(x)
-            perturbed[f] = F.lit(float(background.means[f]))
-            margs.append((p - model.probability(perturbed)).alias(f"__m_{f}"))
-    staged = staged.select("*", *margs)
-    total = F.lit(0.0)
-    for f, u in zip(feats, used):
-        total = total + (F.col(f"__m_{f}") if u else F.lit(0.0))
-    staged = staged.select("*", total.alias("__total"))
-    shift, tot = F.col("__shift"), F.col("__total")
-    zero = F.abs(shift) < F.lit(K.ATTR_ZERO_SHIFT)
-    scaled = F.abs(tot) > F.lit(K.ATTR_SCALE_MIN)
-    items = []
-    for pos, (f, u) in enumerate(zip(feats, used)):
-        m = F.col(f"__m_{f}") if u else F.lit(0.0)
-        v = F.when(zero, F.lit(0.0)).when(scaled, m * (shift / tot)).otherwise(
-            shift * F.lit(float(imp.get(f, 1.0 / len(feats)))))
-        items.append(F.struct(F.lit(f).alias("feature"), F.lit(pos).alias("position"), v.alias("value"),
-                              x[f].cast("double").alias("raw_value")))
-    out = staged.select("*", F.array(*items).alias(name))
-    drop = ["__shift", "__total", "__lsum"] + [f"__m_{f}" for f, u in zip(feats, used) if u]
-    return out.drop(*[c for c in drop if c in out.columns])
-
-
 def key_drivers(attrs: Column) -> Column:
     """Signed value descending (stable), skip |v| < 1e-4, first three."""
     kept = F.filter(attrs, lambda a: F.abs(a["value"]) >= F.lit(K.DRIVER_MIN_ABS))

@@ -455,7 +455,7 @@ def q_cv_summary(spark, sf_dir):
 # ---------------------------------------------------------------- milestone 5
 
 from ..operators import attribution as AT  # noqa: E402
-from ..operators.column_models import ProxyModel  # noqa: E402
+from ..operators.column_models import LinearModel, ProxyModel  # noqa: E402
 
 
 def _z(c):
@@ -478,6 +478,20 @@ def q_local_attributions(spark, sf_dir):
                                           _z("raw_value").alias("raw_value"))
 
 
+@register("wide_attributions")
+def q_wide_attributions(spark, sf_dir):
+    """E1/E4/Y3 on a wide linear model: 64 dimensions and their 6 sums of ten, mean |attribution| by feature."""
+    fm = features(spark, sf_dir)
+    dims = [f"F{i}" for i in range(64)]
+    sums = [sum((F.col(f"F{10 * g + i}") for i in range(1, 10)), F.col(f"F{10 * g}")).alias(f"S{g}") for g in range(6)]
+    wide = fm.select("vec_id", *dims, *sums)
+    names = [*dims, *[f"S{g}" for g in range(6)]]
+    model = LinearModel(names, [((i * 7) % 11 - 5) / 10.0 for i in range(len(names))], -0.5)
+    ex = AT.explain(wide, model, AT.background_from_data(wide, model), "vec_id")
+    imp = AT.global_importance(AT.attribution_long(ex))
+    return imp.select("feature", F.col("position").cast("bigint").alias("position"), _z("mean_abs_attribution").alias("mean_abs_attribution"))
+
+
 @register("waterfall_steps")
 def q_waterfall_steps(spark, sf_dir):
     """Base, top-8 steps, Other bucket and final probability per row."""

@@ -703,3 +703,31 @@ ORACLE["stream_workflow_state"] = ORACLE["alert_workflow_state"]
 ORACLE["recent_quarter_tiers"] = _scored() + """
 SELECT risk_tier, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts
 FROM scored WHERE ts >= (SELECT max(ts) FROM scored) - INTERVAL 90 DAYS GROUP BY risk_tier"""
+
+
+def _wide_attributions() -> str:
+    """Perturbation attributions of the 70-feature linear model, written out per feature."""
+    names = [f"F{i}" for i in range(64)] + [f"S{g}" for g in range(6)]
+    weights = [((i * 7) % 11 - 5) / 10.0 for i in range(70)]
+    sums = ", ".join("(" + " + ".join(f"F{10 * g + i}" for i in range(10)) + f") AS S{g}" for g in range(6))
+    z = "CAST(-0.5 AS DOUBLE) + " + " + ".join(f"CAST({w!r} AS DOUBLE) * {n}" for n, w in zip(names, weights))
+    total = sum(abs(w) for w in weights)
+    rows = " UNION ALL ".join(
+        f"SELECT vec_id, '{n}' AS feature, {i} AS position, {n} AS x, CAST({w!r} AS DOUBLE) AS w, CAST({abs(w) / total!r} AS DOUBLE) AS imp, z, p FROM scored_w"
+        for i, (n, w) in enumerate(zip(names, weights)))
+    return with_ctes(features_cte()) + f""",
+wide AS (SELECT vec_id, {", ".join(f"F{i}" for i in range(64))}, {sums} FROM features),
+scored_w AS (SELECT *, 1.0 / (1.0 + exp(-z)) AS p FROM (SELECT *, {z} AS z FROM wide) s),
+long AS ({rows}),
+means AS (SELECT feature, avg(x) AS mean FROM long GROUP BY feature),
+ev AS (SELECT avg(p) AS ev FROM scored_w),
+marg AS (SELECT l.*, CASE WHEN w = 0 THEN 0.0 ELSE p - 1.0 / (1.0 + exp(-(z + w * (mean - x)))) END AS m, p - ev AS shift
+         FROM long l JOIN means USING (feature), ev),
+tot AS (SELECT vec_id, sum(m) AS total FROM marg GROUP BY vec_id),
+attr AS (SELECT feature, position, CASE WHEN abs(shift) < {K.ATTR_ZERO_SHIFT} THEN 0.0
+                WHEN abs(total) > {K.ATTR_SCALE_MIN} THEN m * (shift / total) ELSE shift * imp END AS value
+         FROM marg JOIN tot USING (vec_id))
+SELECT feature, CAST(position AS BIGINT) AS position, {_z('avg(abs(value))')} AS mean_abs_attribution FROM attr GROUP BY feature, position"""
+
+
+ORACLE["wide_attributions"] = _wide_attributions()
