@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # most entries of a worker's memo tables; a full table is emptied, which costs time only
-MEMO_PIECES, MEMO_PAIRS = 1_000_000, 1_000_000
+MEMO_PIECES, MEMO_PAIRS = 400_000, 500_000
 # texts whose new pieces are encoded together
-TOGETHER = 1024
+TOGETHER = 512
 
 
 class Vocabulary:
