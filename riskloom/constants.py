@@ -108,3 +108,10 @@ FIXTURE_COUNTRIES = [
     "US", "GB", "DE", "FR", "IR", "CN", "IN", "BR", "KP", "JP", "CA", "AU", "SY",
     "MX", "ZA", "SD", "IT", "ES", "CU", "KR", "NL", "SE", "CH", "SG", "AE",
 ]
+
+# FIXED VALUES — training order
+TRAINING_LEAKAGE_CORRELATION = 0.99
+TRAINING_MI_TOP = 40
+RFE_STEP = 0.15
+RFE_MIN_FEATURES = 12
+POSITIVE_CLASS_WEIGHT = 111.0

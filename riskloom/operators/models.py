@@ -17,6 +17,7 @@ reference's per-row ``predict_proba`` loops disappear.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -28,9 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .alerts import hash_fraction
 from .evaluate import confusion_metrics, roc_pr_auc, stratified_assign
+from .mutual_info import mutual_information, top_k_features
+from .preprocess import GovernancePreprocessor, PreprocessorModel
 from .ranking import global_row_number
+from .selection import collinear_dropped, collinear_pairs, force_include
 
+CLASS_WEIGHT = "__class_weight"
 MODEL_NAMES = ["xgboost", "lightgbm", "randomforest", "extratrees", "logisticregression"]
 
 
@@ -52,6 +58,8 @@ def estimators(n_train: int, seed: int = 42) -> dict:
                                              featureSubsetStrategy="sqrt", seed=seed),
         "xgboost": GBTClassifier(maxIter=100, maxDepth=4, stepSize=0.1, seed=seed),
         "lightgbm": GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed),
+        # the alternate pipeline's configuration; rows are weighted by class in fit()
+        "xgboost_weighted": GBTClassifier(maxIter=500, maxDepth=5, stepSize=0.03, subsamplingRate=0.8, seed=seed, weightCol=CLASS_WEIGHT),
     }
 
 
@@ -69,6 +77,7 @@ def hyper_parameters(n_train: int) -> list[tuple[str, str, str]]:
 def fit(train: DataFrame, features: list[str], label: str, names: list[str] | None = None) -> dict[str, PipelineModel]:
     n = train.count()
     est = estimators(n)
+    train = train.withColumn(CLASS_WEIGHT, F.when(F.col(label) == 1, F.lit(K.POSITIVE_CLASS_WEIGHT)).otherwise(F.lit(1.0)))
     out = {}
     for name in names or MODEL_NAMES:
         e = est[name].setFeaturesCol("features").setLabelCol(label)
@@ -104,38 +113,94 @@ def evaluation_record(df: DataFrame, prob: str, label: str, model: str) -> DataF
                                  "roc_auc", "pr_auc", "tn", "fp", "fn", "tp")
 
 
-def random_oversample(df: DataFrame, label: str, seed: int = 42, keep_original: bool = False) -> DataFrame:
-    """Draw the minority with replacement up to the majority size.
+def draws(spark, n: int, size: int, seed: int) -> DataFrame:
+    """``n`` rows (draw, pick) with pick in 1..size, from the md5 of the draw's number: the
+    same at any partitioning."""
+    key = F.concat(F.col("id").cast("string"), F.lit(f"|{seed}"))
+    return spark.range(n).select(F.col("id").alias("draw"), (F.floor(hash_fraction(key) * F.lit(size)) + 1).cast("long").alias("pick"))
 
-    Minority rows are numbered 1..m (distributed numbering); ``majority``
-    draws ``floor(rand·m)+1`` indexes and an equi-join on the index brings
-    the rows (the minority side is the small one).  As in the reference the
-    original minority rows are replaced unless ``keep_original``.
-    """
+
+def numbered_minority(df: DataFrame, label: str, key: str, seed: int = 42) -> tuple[DataFrame, object, int, int]:
+    """(minority rows with ``pick`` 1..m in md5 order of the key, its label, m, size of the majority)."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
+        return df.limit(0).withColumn("pick", F.lit(0).cast("long")), None, 0, 0
+    mino = min(counts, key=lambda c: (counts[c], c))
+    n_maj = max(n for c, n in counts.items() if c != mino)
+    rows = global_row_number(df.filter(F.col(label) == mino), [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), F.col(key)], "pick")
+    return rows, mino, counts[mino], n_maj
+
+
+def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42, keep_original: bool = False) -> DataFrame:
+    """Draw the minority with replacement up to the majority size.
+
+    Minority rows are numbered 1..m by the hash of ``key`` (distributed numbering); each
+    draw's number is hashed to an index and an equi-join on it brings the row (the
+    minority side is the small one).  As in the reference the original minority rows are
+    replaced unless ``keep_original``.
+    """
+    minority, mino, n_min, n_maj = numbered_minority(df, label, key, seed)
+    if n_min == n_maj:
         return df
-    maj = max(counts, key=counts.get)
-    mino = min(counts, key=counts.get)
-    n_maj, n_min = counts[maj], counts[mino]
-    if n_maj == n_min:
-        return df
-    minority = global_row_number(df.filter(F.col(label) == mino), [F.xxhash64(*df.columns), F.monotonically_increasing_id()], "__idx")
-    draws = df.sparkSession.range(n_maj).select((F.floor(F.rand(seed) * n_min) + 1).cast("long").alias("__idx"))
-    drawn = draws.join(minority, "__idx").drop("__idx")
-    parts = [df.filter(F.col(label) == maj), drawn]
+    drawn = draws(df.sparkSession, n_maj, n_min, seed).join(minority, "pick").select(*df.columns)
+    parts = [df.filter(F.col(label) != mino), drawn]
     if keep_original:
         parts.append(df.filter(F.col(label) == mino))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@dataclass
+class TrainingData:
+    """Training and held-out rows after preprocessing and selection fitted on the former only."""
+
+    train: DataFrame
+    test: DataFrame
+    features: list[str]
+    preprocessor: PreprocessorModel
+    dropped_collinear: list[str]
+
+
+def prepare_training(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, leakage: float = K.TRAINING_LEAKAGE_CORRELATION,
+                     top: int = K.TRAINING_MI_TOP, select: bool = True) -> TrainingData:
+    """Split, then fit preprocessing, collinearity and mutual information on the training rows.
+
+    Held-out rows pass through the fitted transforms and are seen by none of the fits.
+    """
+    assigned = stratified_assign(df, label, key, test_fraction=test_fraction)
+    rows = {held: assigned.filter(F.col("is_test") == held).select(*df.columns) for held in (False, True)}
+    pre = GovernancePreprocessor(max_leakage_correlation=leakage).fit(rows[False], label, exclude=[key])
+    train, test = pre.transform(rows[False]), pre.transform(rows[True])
+    feats, dropped = list(pre.numeric_features), []
+    if select:
+        gone = {r["col_j"] for r in collinear_dropped(collinear_pairs(train, feats)).collect()}
+        dropped = [f for f in feats if f in gone]
+        feats = [f for f in feats if f not in gone]
+        best = {r["feature"] for r in top_k_features(mutual_information(train, feats, label), top).collect()}
+        feats = force_include([f for f in feats if f in best], pre.numeric_features)
+    return TrainingData(train, test, feats, pre, dropped)
+
+
+def cross_validate(df: DataFrame, features: list[str], label: str, key: str, model: str = "logisticregression", folds: int = 5) -> DataFrame:
+    """M9: ``folds`` refits, each scored on the rows it has not seen: (fold, n, roc_auc)."""
+    assigned = stratified_assign(df, label, key, k=folds)
+    parts = []
+    for f in range(folds):
+        fitted = fit(assigned.filter(F.col("fold") != f), features, label, names=[model])[model]
+        held = positive_probability(fitted, assigned.filter(F.col("fold") == f), "p")
+        parts.append(roc_pr_auc(held, "p", label).select(F.lit(f).alias("fold"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "roc_auc"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def rfe_cv(df: DataFrame, features: list[str], label: str, key: str, step: float = 0.05, min_features: int = 20,
-           folds: int = 3) -> list[tuple[str, int, bool]]:
+           folds: int = 3, estimator=None) -> list[tuple[str, int, bool]]:
     """Recursive elimination by |LR coefficient|, ROC AUC over stratified folds.
 
-    Returns (feature, ranking, selected).  Each round fits ``folds`` L1
-    logistic models on the cluster; the loop itself only carries column lists.
+    Returns (feature, ranking, selected).  Each round fits ``folds`` models and one on all
+    rows on the cluster; the loop itself only carries column lists.  ``estimator(n)`` makes
+    an unfitted classifier with ``coefficients`` for n rows (Y2; default: L1 logistic).
     """
+    estimator = estimator or (lambda n: LogisticRegression(
+        elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False, maxIter=200, featuresCol="features", labelCol=label))
     assigned = stratified_assign(df, label, key, k=folds).cache()
     n = assigned.count()
     remaining = list(features)
@@ -143,23 +208,21 @@ def rfe_cv(df: DataFrame, features: list[str], label: str, key: str, step: float
     history = []
     while True:
         aucs = []
-        coefs = None
         for f in range(folds):
             tr = assigned.filter(F.col("fold") != f)
             te = assigned.filter(F.col("fold") == f)
-            lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False,
-                                    maxIter=200, featuresCol="features", labelCol=label)
-            pipe = Pipeline(stages=[VectorAssembler(inputCols=remaining, outputCol="features"), lr]).fit(tr)
+            pipe = Pipeline(stages=[VectorAssembler(inputCols=remaining, outputCol="features"), estimator(n)]).fit(tr)
             # exact (numBins=0) ROC AUC from MLlib for the inner loop; no checkpoints per fold
             ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label,
                                                metricName="areaUnderROC", numBins=0)
             aucs.append(ev.evaluate(pipe.transform(te.withColumn(label, F.col(label).cast("double")))))
-            c = [abs(v) for v in pipe.stages[-1].coefficients.toArray()]
-            coefs = c if coefs is None else [a + b for a, b in zip(coefs, c)]
+        # what goes next is decided by a fit on all rows, as in the final elimination
+        whole = Pipeline(stages=[VectorAssembler(inputCols=remaining, outputCol="features"), estimator(n)]).fit(assigned)
+        coefs = [abs(v) for v in whole.stages[-1].coefficients.toArray()]
         history.append((list(remaining), sum(aucs) / len(aucs)))
         if len(remaining) <= min_features:
             break
-        drop_n = max(1, int(math.ceil(step * len(features))))
+        drop_n = max(1, int(math.floor(step * len(features))))
         drop_n = min(drop_n, len(remaining) - min_features)
         order = sorted(range(len(remaining)), key=lambda i: (coefs[i], i))
         dropped = [remaining[i] for i in order[:drop_n]]

@@ -1,97 +1,89 @@
-"""SMOTE oversampling (G13) — Chawla et al. 2002 — with an exact k-NN that
-never forms all minority pairs.
-
-1. Project every minority point on its highest-variance feature (one
-   aggregate: p numbers).  Projection distance never exceeds Euclidean
-   distance.
-2. Upper bound R_i: the k-th smallest Euclidean distance to the k previous
-   and k next points in projection order inside the point's quantile bucket
-   (any k real neighbours bound the true k-NN distance).  Points whose
-   bucket is too small get no bound and fall back to the whole class.
-3. Band join: point i is sent to every projection bucket overlapping
-   [proj_i − R_i, proj_i + R_i]; candidates j sit in their own bucket; an
-   equi-join on the bucket and the filter |proj_i − proj_j| ≤ R_i keep a
-   superset of the true k nearest, ranked per i (bounded by the band).
-4. Synthesis: ``n_maj − n_min`` draws pick a minority row (equi-join on a
-   drawn index) and one of its k neighbours; x_new = x + u·(x_nn − x).
+"""SMOTE oversampling (G13) — Chawla et al. 2002.
+
+Neighbours are found among the minority in one of two ways that the caller chooses:
+
+* ``exact``: every minority row against every other, in blocks.  In many dimensions no
+  ordering rules pairs out, so this is quadratic; it is for minorities of at most
+  ``EXACT_ROWS`` rows and refuses larger ones.
+* ``projections``: ``PROJECTIONS`` fixed random directions; along each, the
+  ``REACH`` rows before and after are candidates, whose true distances decide.  Work is
+  linear in the rows, and neighbours far apart along all directions are missed.
+
+Synthesis: ``n_maj − n_min`` draws pick a minority row, one of its k neighbours and a
+fraction u, all from hashes of the draw's number, so a draw is the same at any
+partitioning; x_new = x + u·(x_nn − x).
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_row_number
+from .alerts import hash_fraction
+from .models import draws, numbered_minority
+
+EXACT_ROWS = 20_000
+PROJECTIONS, REACH = 12, 8
 
 
 def _dist(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def knn_minority(mino: DataFrame, features: list[str], k: int, buckets: int = 16) -> DataFrame:
-    """Exact k nearest neighbours ``(i, rank, j, dist)`` among ``mino`` (columns __i, features)."""
-    var = mino.agg(*[F.var_pop(F.col(f"`{f}`")).alias(f) for f in features]).first().asDict()
-    axis = max(features, key=lambda f: (var[f] or 0.0))
-    pts = mino.select("__i", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("__v"),
-                      F.col(f"`{axis}`").cast("double").alias("__p"))
-    n = pts.count()
-    nb = max(1, min(buckets, n // (4 * (k + 1))))
-    qs = [i / nb for i in range(1, nb)]
-    if qs:
-        edges = pts.agg(F.percentile_approx("__p", qs, 10000).alias("__q"))
-        pts = pts.crossJoin(F.broadcast(edges)).withColumn(
-            "__qb", F.size(F.filter("__q", lambda e: e <= F.col("__p")))).drop("__q")
-    else:
-        pts = pts.withColumn("__qb", F.lit(0))
-    w = Window.partitionBy("__qb").orderBy("__p", "__i")
-    near = [F.lag("__v", j).over(w) for j in range(1, k + 1)] + [F.lead("__v", j).over(w) for j in range(1, k + 1)]
-    pts = pts.select("*", F.array_compact(F.array(*near)).alias("__nv"))
-    ds = F.array_sort(F.transform("__nv", lambda v: _dist(F.col("__v"), v)))
-    pts = pts.select("__i", "__v", "__p", F.when(F.size("__nv") >= k, F.element_at(ds, k)).alias("__r"))
-    # band width: median radius (one number); unbounded points cover the whole class
-    width = pts.agg(F.percentile_approx("__r", 0.5, 10000)).first()[0] or 1.0
-    width = width if width > 0 else 1.0
-    lo_b, hi_b = pts.agg(F.min("__p"), F.max("__p")).first()
-    lo_bucket, hi_bucket = math.floor(lo_b / width), math.floor(hi_b / width)
-    lo = F.when(F.col("__r").isNull(), F.lit(lo_bucket)).otherwise(F.floor((F.col("__p") - F.col("__r")) / width))
-    hi = F.when(F.col("__r").isNull(), F.lit(hi_bucket)).otherwise(F.floor((F.col("__p") + F.col("__r")) / width))
-    probes = pts.select("__i", "__v", "__p", "__r",
-                        F.explode_outer(F.sequence(lo.cast("long"), hi.cast("long"))).alias("__b"))
-    cands = pts.select(F.col("__i").alias("__j"), F.col("__v").alias("__vj"), F.col("__p").alias("__pj"),
-                       F.floor(F.col("__p") / width).cast("long").alias("__b"))
-    pairs = probes.join(cands, "__b").filter(
-        (F.col("__i") != F.col("__j"))
-        & (F.col("__r").isNull() | (F.abs(F.col("__p") - F.col("__pj")) <= F.col("__r"))))
-    pairs = pairs.select("__i", "__j", _dist(F.col("__v"), F.col("__vj")).alias("dist"))
-    rk = Window.partitionBy("__i").orderBy("dist", "__j")
-    return pairs.select("*", F.row_number().over(rk).alias("rank")).filter(F.col("rank") <= k)
-
-
-def smote(df: DataFrame, features: list[str], label: str, k_neighbors: int = 3, seed: int = 42) -> DataFrame:
-    """Minority synthesised to the majority size (original rows kept)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return df
-    maj, mino_c = max(counts, key=counts.get), min(counts, key=counts.get)
-    n_maj, n_min = counts[maj], counts[mino_c]
-    if n_min < 2 or n_maj == n_min:
-        return df
+def _candidates(pts: DataFrame, n: int, width: int, method: str) -> DataFrame:
+    """(i, j, vi, vj) of pairs whose distance is to be taken."""
+    other = pts.select(F.col("pick").alias("j"), F.col("v").alias("vj"))
+    mine = pts.select(F.col("pick").alias("i"), F.col("v").alias("vi"))
+    if method == "exact":
+        if n > EXACT_ROWS:
+            raise ValueError(f"{n} minority rows: the exact neighbours are for at most {EXACT_ROWS}; use method='projections'")
+        return mine.join(other, F.col("i") != F.col("j"))
+    axes = np.random.default_rng(7).standard_normal((PROJECTIONS, width))
+    parts = []
+    for a in axes:
+        p = reduce(lambda x, y: x + y, [F.col("v")[d] * F.lit(float(w)) for d, w in enumerate(a)])
+        # ranges of about equal numbers of rows; a row meets the ends of the ranges beside its own
+        cuts = pts.select(p.alias("p")).agg(F.percentile_approx("p", [i / 64 for i in range(1, 64)], 10000)).first()[0] if n > 64 * 4 * REACH else []
+        placed = pts.select(F.col("pick").alias("i"), p.alias("p"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= p)).alias("b") if cuts else F.lit(0).alias("b"))
+        w = Window.partitionBy("b").orderBy("p", "i")
+        near = F.array_compact(F.array(*[f("i", k).over(w) for k in range(1, REACH + 1) for f in (F.lag, F.lead)]))
+        # outer form: an inner explode would have the window pushed into a filter
+        parts.append(placed.select("i", near.alias("near")).select("i", F.explode_outer("near").alias("j")).where("j is not null"))
+    pairs = reduce(DataFrame.unionByName, parts).distinct()
+    return pairs.join(mine, "i").join(other, "j")
+
+
+def knn_minority(pts: DataFrame, n: int, width: int, k: int, method: str = "exact") -> DataFrame:
+    """(i, rank, j, dist): k nearest among ``pts`` (pick, v), ties by number."""
+    d = _candidates(pts, n, width, method).select("i", "j", _dist(F.col("vi"), F.col("vj")).alias("dist"))
+    best = Window.partitionBy("i").orderBy("dist", "j")
+    return d.select("i", "j", "dist", F.row_number().over(best).alias("rank")).filter(F.col("rank") <= k)
+
+
+def synthetic(df: DataFrame, features: list[str], label: str, key: str, k_neighbors: int = 3, seed: int = 42, method: str = "exact") -> DataFrame:
+    """(draw, ``key``, neighbour, u, x): each synthetic row's origin and values; ``x`` in order of ``features``."""
+    minority, _, n_min, n_maj = numbered_minority(df, label, key, seed)
     k = min(k_neighbors, n_min - 1)
-    mino = global_row_number(df.filter(F.col(label) == mino_c).select(*[F.col(f"`{f}`") for f in features]),
-                             [F.xxhash64(*[F.col(f"`{f}`") for f in features])] + [F.col(f"`{f}`") for f in features],
-                             "__i")
-    nn = knn_minority(mino, features, k)
-    vec = mino.select("__i", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("__v"))
-    draws = df.sparkSession.range(n_maj - n_min).select(
-        F.col("id").alias("__d"),
-        (F.floor(F.rand(seed) * n_min) + 1).cast("long").alias("__i"),
-        (F.floor(F.rand(seed + 1) * k) + 1).cast("int").alias("rank"),
-        F.rand(seed + 2).alias("__u"))
-    base = draws.join(vec, "__i").join(nn.select("__i", "rank", "__j"), ["__i", "rank"])
-    other = vec.select(F.col("__i").alias("__j"), F.col("__v").alias("__vj"))
-    syn = base.join(other, "__j").select(
-        F.zip_with("__v", "__vj", lambda a, b: a + F.col("__u") * (b - a)).alias("__x"))
-    synth = syn.select(*[F.col("__x")[i].alias(f) for i, f in enumerate(features)], F.lit(mino_c).alias(label))
-    return df.select(*features, label).unionByName(synth)
+    pts = minority.select("pick", F.col(key).alias("key"), F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("v"))
+    nn = knn_minority(pts, n_min, len(features), max(k, 1), method)
+    number = F.col("draw").cast("string")
+    picked = draws(df.sparkSession, max(n_maj - n_min, 0) if k > 0 else 0, max(n_min, 1), seed).select(
+        "draw", F.col("pick").alias("i"), (F.floor(hash_fraction(F.concat(number, F.lit(f"|{seed + 1}"))) * F.lit(k)) + 1).cast("int").alias("rank"),
+        hash_fraction(F.concat(number, F.lit(f"|{seed + 2}"))).alias("u"))
+    mine = pts.select(F.col("pick").alias("i"), F.col("key").alias(key), "v")
+    other = pts.select(F.col("pick").alias("j"), F.col("key").alias("neighbour"), F.col("v").alias("vj"))
+    return picked.join(nn, ["i", "rank"]).join(mine, "i").join(other, "j").select(
+        "draw", key, "neighbour", "u", F.transform(F.arrays_zip("v", "vj", F.array_repeat("u", len(features)).alias("u")),
+                                                   lambda e: e["v"] + e["u"] * (e["vj"] - e["v"])).alias("x"))
+
+
+def smote(df: DataFrame, features: list[str], label: str, key: str, k_neighbors: int = 3, seed: int = 42, method: str = "exact") -> DataFrame:
+    """Minority synthesised to the majority size (original rows kept; no key on new ones)."""
+    _, mino, n_min, n_maj = numbered_minority(df, label, key, seed)
+    if n_min < 2 or n_maj == n_min:
+        return df.select(*features, label)
+    x = synthetic(df, features, label, key, k_neighbors, seed, method)
+    return df.select(*features, label).unionByName(x.select(*[F.col("x")[i].alias(f) for i, f in enumerate(features)], F.lit(mino).cast(df.schema[label].dataType).alias(label)))

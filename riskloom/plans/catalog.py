@@ -552,7 +552,7 @@ def q_mi_top_features(spark, sf_dir):
 
 # ---------------------------------------------------------------- milestone 9 (streaming)
 
-from ..session import scratch_path  # noqa: E402
+from ..session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from ..streaming import scorecard_stream as ST  # noqa: E402
 
 
@@ -593,20 +593,36 @@ def q_stream_telemetry(spark, sf_dir):
 from ..operators import models as MD  # noqa: E402
 
 
-def training_frame(spark, sf_dir):
-    fm = features(spark, sf_dir)
-    pre = GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"])
-    out = pre.transform(fm)
-    return out, pre.numeric_features
+def training_frame(spark, sf_dir, **options):
+    """Split first; preprocessing (and selection) fitted on the training rows only."""
+    return MD.prepare_training(features(spark, sf_dir), TARGET, "vec_id", **options)
+
+
+def whole_frame(spark, sf_dir):
+    """Every row through the preprocessor that was fitted on the training rows."""
+    d = training_frame(spark, sf_dir, select=False)
+    return d.preprocessor.transform(features(spark, sf_dir)), d.preprocessor.numeric_features
+
+
+@register("training_split")
+def q_training_split(spark, sf_dir):
+    """Held-out sizes and the medians that the preprocessor takes from training rows alone."""
+    d = training_frame(spark, sf_dir, select=False)
+    n = {r[0]: r[1] for r in d.train.groupBy(F.col(TARGET)).count().collect()}
+    held = {r[0]: r[1] for r in d.test.groupBy(F.col(TARGET)).count().collect()}
+    fills = [(f, float(d.preprocessor.impute_values[f])) for f in d.preprocessor.numeric_features]
+    return spark.createDataFrame(fills, "feature string, v double").select(
+        "feature", round6("v").alias("median"), *[F.lit(c.get(y, 0)).cast("bigint").alias(f"n_{k}_{y}") for k, c in (("train", n), ("test", held)) for y in (0, 1)])
 
 
 @register("model_metrics")
 def q_model_metrics(spark, sf_dir):
-    """Train on the stratified 80 %, evaluate on the 20 % hold-out."""
-    data, feats = training_frame(spark, sf_dir)
-    a = EV.stratified_assign(data, TARGET, "vec_id", k=5, test_fraction=0.2)
-    train, test = a.filter(~F.col("is_test")), a.filter(F.col("is_test"))
-    models = MD.fit(train, feats, TARGET)
+    """Split, fit on the training rows, select, balance, train, evaluate on the held-out 20 %."""
+    d = training_frame(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    train = MD.random_oversample(d.train, TARGET, "vec_id").checkpoint(eager=True)
+    test = d.test.checkpoint(eager=True)
+    models = MD.fit(train, d.features, TARGET)
     recs = []
     for name, m in models.items():
         recs.append(MD.evaluation_record(MD.positive_probability(m, test, "p"), "p", TARGET, name))
@@ -619,24 +635,28 @@ def q_model_metrics(spark, sf_dir):
                       "tn", "fp", "fn", "tp")
 
 
+@register("cross_validation")
+def q_cross_validation(spark, sf_dir):
+    """M9: five refits of the logistic model, each scored on its held-out fold."""
+    d = training_frame(spark, sf_dir)
+    cv = MD.cross_validate(d.train, d.features, TARGET, "vec_id")
+    return cv.select(F.col("fold").cast("bigint").alias("fold"), "n", round6("roc_auc").alias("roc_auc"))
+
+
 @register("oversampled_classes")
 def q_oversampled_classes(spark, sf_dir):
-    """Class counts after random oversampling of the minority (equal classes)."""
-    data, _ = training_frame(spark, sf_dir)
-    bal = MD.random_oversample(data, TARGET)
-    return bal.groupBy(F.col(TARGET).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """How often random oversampling takes each row (equal classes)."""
+    bal = MD.random_oversample(features(spark, sf_dir), TARGET, "vec_id")
+    return bal.groupBy("vec_id", F.col(TARGET).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("rfe_selection")
 def q_rfe_selection(spark, sf_dir):
     """G8→G9→G10 (G11) + U4: drop collinear columns, MI top-40 pre-prune, RFE-CV with
     L1 logistic regression, then append categorical columns and forced features."""
-    data, feats_all = training_frame(spark, sf_dir)
-    dropped = {r["col_j"] for r in SE.collinear_dropped(SE.collinear_pairs(data, feats_all)).collect()}
-    feats = [f for f in feats_all if f not in dropped]
-    mi = MI.mutual_information(data, feats, TARGET)
-    top = [r["feature"] for r in MI.top_k_features(mi, 40).orderBy("position").collect()]
-    ranking = MD.rfe_cv(data, top, TARGET, "vec_id", step=0.05, min_features=12, folds=3)
+    d = training_frame(spark, sf_dir)
+    data, feats_all, dropped = d.train, d.preprocessor.numeric_features, d.dropped_collinear
+    ranking = MD.rfe_cv(data, d.features, TARGET, "vec_id", step=K.RFE_STEP, min_features=K.RFE_MIN_FEATURES, folds=3)
     rows = [(f, r, s) for f, r, s in ranking]
     _, cats = split_columns(data.select(*[c for c in data.columns if c not in ("vec_id", TARGET)]))
     selected = SE.force_include([f for f, _, s in rows if s] + cats, feats_all)
@@ -653,7 +673,7 @@ from ..operators import isolation as IF  # noqa: E402
 @register("anomaly_scores")
 def q_anomaly_scores(spark, sf_dir):
     """Isolation-forest decision scores and ±1 labels for every feature-matrix row."""
-    data, feats = training_frame(spark, sf_dir)
+    data, feats = whole_frame(spark, sf_dir)
     model = IF.fit(data, feats, "vec_id", n_trees=100, psi=256, contamination=0.018)
     lab = IF.label(IF.score(data, model, "vec_id"), model["offset"])
     return lab.select("vec_id", round6("decision").alias("decision"), "anomaly_label")
@@ -755,18 +775,30 @@ def q_tree_shap_importance(spark, sf_dir):
     """Exact TreeSHAP of the boosted-tree model on every row; mean |φ| per feature."""
     from ..operators import tree_shap as TS
 
-    data, feats = training_frame(spark, sf_dir)
-    gbt = MD.fit(data, feats, TARGET, names=["xgboost"])["xgboost"].stages[-1]
+    d = training_frame(spark, sf_dir, select=False)
+    feats = d.preprocessor.numeric_features
+    gbt = MD.fit(d.train, feats, TARGET, names=["xgboost"])["xgboost"].stages[-1]
+    data = d.preprocessor.transform(features(spark, sf_dir))
     ex = TS.explain_trees(data, gbt, feats, "vec_id")
     return ex.groupBy("feature").agg(round6(F.avg(F.abs("shap"))).alias("mean_abs_shap"),
                                      round6(F.avg("shap")).alias("mean_shap"))
 
 
+@register("smote_rows")
+def q_smote_rows(spark, sf_dir):
+    """Each synthetic row's origin, neighbour, fraction and sum of values (exact neighbours)."""
+    from ..operators import smote as SM
+
+    x = SM.synthetic(features(spark, sf_dir), [f"F{i}" for i in range(64)], TARGET, "vec_id")
+    return x.select("draw", "vec_id", "neighbour", round6("u").alias("u"),
+                    F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("sum_x"))
+
+
 @register("smote_classes")
 def q_smote_classes(spark, sf_dir):
-    """Class counts after SMOTE (exact band-join k-NN among the minority)."""
+    """Class counts after SMOTE of the training rows (neighbours by projections)."""
     from ..operators import smote as SM
 
-    data, feats = training_frame(spark, sf_dir)
-    out = SM.smote(data, feats, TARGET)
+    d = training_frame(spark, sf_dir, select=False)
+    out = SM.smote(d.train, d.preprocessor.numeric_features, TARGET, "vec_id", method="projections")
     return out.groupBy(F.col(TARGET).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -731,3 +731,63 @@ SELECT feature, CAST(position AS BIGINT) AS position, {_z('avg(abs(value))')} AS
 
 
 ORACLE["wide_attributions"] = _wide_attributions()
+
+
+def _hash_fraction(key: str) -> str:
+    return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE))"
+
+
+def _minority() -> str:
+    return f"""
+sizes AS (SELECT {T} AS y, count(*) AS n FROM features GROUP BY {T}),
+mino AS (SELECT arg_min(y, (n, y)) AS y, min(n) AS n_min, max(n) AS n_maj FROM sizes),
+numbered AS (SELECT f.*, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS pick FROM features f, mino WHERE f.{T} = mino.y)"""
+
+
+ORACLE["oversampled_classes"] = with_ctes(features_cte(), _minority()) + f""",
+drawn AS (SELECT CAST(floor({_hash_fraction("CAST(d.range AS VARCHAR) || '|42'")} * n_min) + 1 AS BIGINT) AS pick FROM mino, range((SELECT n_maj FROM mino)) d)
+SELECT vec_id, CAST({T} AS BIGINT) AS label, count(*) AS n FROM drawn JOIN numbered USING (pick) GROUP BY ALL
+UNION ALL SELECT vec_id, CAST({T} AS BIGINT), 1 FROM features, mino WHERE {T} <> mino.y"""
+
+
+def _smote() -> str:
+    dims = ", ".join(f"F{i}" for i in range(64))
+    return with_ctes(features_cte(), _minority()) + f""",
+pts AS (SELECT pick, vec_id, [{dims}] AS v FROM numbered),
+pairs AS (SELECT a.pick AS i, b.pick AS j, sqrt(list_sum(list_transform(range(1, 65), lambda d: (a.v[d] - b.v[d]) * (a.v[d] - b.v[d])))) AS dist
+          FROM pts a JOIN pts b ON a.pick <> b.pick),
+nn AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM pairs),
+drawn AS (
+  SELECT d.range AS draw, CAST(floor({_hash_fraction("CAST(d.range AS VARCHAR) || '|42'")} * n_min) + 1 AS BIGINT) AS i,
+         CAST(floor({_hash_fraction("CAST(d.range AS VARCHAR) || '|43'")} * least(3, n_min - 1)) + 1 AS BIGINT) AS rank,
+         {_hash_fraction("CAST(d.range AS VARCHAR) || '|44'")} AS u
+  FROM mino, range((SELECT n_maj - n_min FROM mino)) d)
+SELECT draw, a.vec_id, b.vec_id AS neighbour, round(u, 6) AS u,
+       round(list_sum(list_transform(range(1, 65), lambda d: a.v[d] + u * (b.v[d] - a.v[d]))), 5) AS sum_x
+FROM drawn JOIN nn USING (i, rank) JOIN pts a ON a.pick = i JOIN pts b ON b.pick = j"""
+
+
+ORACLE["smote_rows"] = _smote()
+
+
+def _training_split() -> str:
+    """The governance decisions over the training rows alone, then their medians."""
+    split = f"""all_rows AS (SELECT * FROM features_all),
+ranked_rows AS (SELECT *, row_number() OVER (PARTITION BY {T} ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS class_rank,
+                       count(*) OVER (PARTITION BY {T}) AS n_class FROM all_rows),
+features AS (SELECT * EXCLUDE (class_rank, n_class) FROM ranked_rows WHERE class_rank > ceil(n_class * 0.2)),
+held AS (SELECT * FROM ranked_rows WHERE class_rank <= ceil(n_class * 0.2))"""
+    every = features_cte().replace("\nfeatures AS (", "\nfeatures_all AS (")
+    decisions = _decisions_cte().replace(f"abs(corr_target) >= {K.LEAKAGE_CORRELATION}", f"abs(corr_target) >= {K.TRAINING_LEAKAGE_CORRELATION}")
+    return with_ctes(every, split, _nstats_cte(), _long_cat_cte(), _cstats_cte()) + ", " + decisions + f"""
+SELECT feature, round(coalesce(median, 0.0), 6) AS median,
+       (SELECT count(*) FROM features WHERE {T} = 0) AS n_train_0, (SELECT count(*) FROM features WHERE {T} = 1) AS n_train_1,
+       (SELECT count(*) FROM held WHERE {T} = 0) AS n_test_0, (SELECT count(*) FROM held WHERE {T} = 1) AS n_test_1
+FROM decided WHERE decision = 'kept' AND is_num"""
+
+
+ORACLE["training_split"] = _training_split()
+
+ORACLE["smote_classes"] = with_ctes(features_cte()) + f""",
+kept AS (SELECT {T} AS y, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS n FROM features GROUP BY {T})
+SELECT CAST(y AS BIGINT) AS label, (SELECT max(n) FROM kept) AS n FROM kept"""

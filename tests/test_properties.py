@@ -35,7 +35,7 @@ def test_stratified_folds_partition_rows(spark, fm):
 
 
 def test_oversample_equalises_classes(spark, fm):
-    bal = MD.random_oversample(fm, "F3924")
+    bal = MD.random_oversample(fm, "F3924", "vec_id")
     counts = {r["F3924"]: r["n"] for r in bal.groupBy("F3924").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts[0] == counts[1]
 
@@ -74,19 +74,35 @@ def test_smote_knn_is_exact_and_balances(spark, fm):
     import numpy as np
 
     from riskloom.operators import smote as SM
-    from riskloom.operators.ranking import global_row_number
-
     feats = [f"F{i}" for i in range(16)]
-    mino = global_row_number(fm.filter("F3924 = 1").select(*feats),
-                             [F.xxhash64(*feats)] + [F.col(f) for f in feats], "__i")
-    got = {}
-    for r in SM.knn_minority(mino, feats, 3).collect():
-        got.setdefault(r["__i"], []).append((r["rank"], r["dist"]))
-    pdf = mino.toPandas()
-    X, ids = pdf[feats].to_numpy(), pdf["__i"].to_numpy()
+    pts = fm.filter("F3924 = 1").select(F.col("vec_id").alias("pick"), F.array(*feats).alias("v"))
+    n = pts.count()
+    near = {m: {(r["i"], r["rank"]): r["dist"] for r in SM.knn_minority(pts, n, 16, 3, m).collect()} for m in ("exact", "projections")}
+    rows = sorted((r["pick"], r["v"]) for r in pts.collect())
+    X = np.array([v for _, v in rows])
     D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(D, np.inf)
-    for a, i in enumerate(ids):
-        assert np.allclose([d for _, d in sorted(got[i])], np.sort(D[a])[:3])
-    counts = {r["F3924"]: r["count"] for r in SM.smote(fm, feats, "F3924").groupBy("F3924").count().collect()}
+    for a, (i, _) in enumerate(rows):
+        assert np.allclose([near["exact"][i, k] for k in (1, 2, 3)], np.sort(D[a])[:3])
+    same = np.mean([abs(near["projections"][p] - d) < 1e-9 for p, d in near["exact"].items()])
+    assert same > 0.6 and len(near["projections"]) == len(near["exact"])
+    counts = {r["F3924"]: r["count"] for r in SM.smote(fm, feats, "F3924", "vec_id").groupBy("F3924").count().collect()}
     assert counts[0] == counts[1]
+
+
+def test_exact_smote_refuses_large_minorities(spark, fm, monkeypatch):
+    from riskloom.operators import smote as SM
+
+    monkeypatch.setattr(SM, "EXACT_ROWS", 3)
+    with pytest.raises(ValueError):
+        SM.synthetic(fm, ["F0", "F1"], "F3924", "vec_id")
+
+
+def test_held_out_rows_cannot_change_the_fit(spark, fm):
+    from riskloom.operators import models as MD
+
+    a = MD.prepare_training(fm, "F3924", "vec_id", select=False)
+    held = {r["vec_id"] for r in a.test.select("vec_id").collect()}
+    changed = fm.withColumn("F0", F.when(F.col("vec_id").isin(*held), F.lit(1e9)).otherwise(F.col("F0")))
+    b = MD.prepare_training(changed, "F3924", "vec_id", select=False)
+    assert a.preprocessor.impute_values == b.preprocessor.impute_values and a.preprocessor.output_columns == b.preprocessor.output_columns
