@@ -3,11 +3,13 @@
 Vectors are cut into blocks of at most ``BLOCK`` rows by a hash of their id, stated queries
 into blocks of ``QUERIES``; every query block meets every vector block, one pair at a time.  Inside a block
 each dimension is a list sorted by value.  For a query the lists are read from the end its
-sign prefers, ``STEP`` of their length at a time; a row's seen terms plus the worst, or the
-next unread, values of the other lists are its lower and upper bound.  Reading stops when
-no row outside at most ``LEFT`` candidates, seen or not, can reach the k-th best lower
-bound; those candidates' scores are then resolved.  The blocks' results meet in one more
-aggregation by k.  All numbers are integers, so results are exact.
+sign prefers, in steps down to ``DEPTHS`` of their length; a row's seen terms plus the
+worst, or the next unread, values of the other lists are its lower and upper bound.  The
+queries of a block read in step, so a step is a few matrix products.  A query stops when no
+row outside at most ``LEFT`` candidates, seen or not, can reach its k-th best lower bound;
+those candidates' scores are then resolved.  The blocks' results meet in one more
+aggregation by k.  All numbers are integers and sums stay in the range where the floating
+point type is exact (components up to 2**20, say), so results are exact.
 
 Components are scaled to ``floor(SCALE * x)``.  Vectors that are null, empty or of another
 length than most, or that hold null or non-finite components, take no part; nor do rows
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import materialise
 
 SCALE = 256
-BLOCK, QUERIES = 4096, 512
-STEP = 1 / 16
+BLOCK, QUERIES = 4096, 256
+DEPTHS = (1 / 4, 1 / 2, 3 / 4, 7 / 8)
 LEFT = 64
 
 
@@ -37,53 +39,58 @@ class SortedBlock:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order].astype(np.int64)
-        self.by_value = np.argsort(self.rows, axis=0, kind="stable").T.copy()  # dimension x rank
-        self.sorted = np.take_along_axis(self.rows.T, self.by_value, axis=1)
+        self.ids, self.rows = ids[order], rows[order]
+        self.sorted = np.sort(self.rows, axis=0)
+        self.rank = np.argsort(np.argsort(self.rows, axis=0, kind="stable"), axis=0, kind="stable").astype(np.int32)
+        self.largest = int(np.abs(self.rows).max(initial=0))
 
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, without those of the query's own id."""
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score) of the k best rows of each query, without its own id's."""
         n, dims = self.rows.shape
-        own = slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))
-        read = np.flatnonzero(query)
-        up = query[read] > 0
-        seen = np.zeros(n)
-        missing = np.full(n, float((query[read] * np.where(up, self.sorted[read, 0], self.sorted[read, -1])).sum()))
-        # what a row lacks at worst; worst[d] is given back when list d shows the row
-        worst = query[read] * np.where(up, self.sorted[read, 0], self.sorted[read, -1])
-        shown = np.zeros((len(read), n), dtype=bool)
-        want, at, step = k + (own.stop - own.start), 0, max(1, int(n * STEP))
-        keep = np.arange(n)
-        while at < n and len(read):
-            to = min(n, at + step)
-            ranks = np.where(up[:, None], n - 1 - np.arange(at, to), np.arange(at, to))
-            rows = self.by_value[read[:, None], ranks]
-            terms = query[read][:, None] * self.sorted[read[:, None], ranks]
-            seen += np.bincount(rows.ravel(), terms.ravel(), n)
-            missing -= np.bincount(rows.ravel(), np.repeat(worst, to - at), n)
-            shown[np.arange(len(read))[:, None], rows] = True
-            at = to
-            if at == n:
+        bound = dims * self.largest * int(np.abs(queries).max(initial=0))
+        kind = np.float32 if 2 * bound < 1 << 24 else np.float64
+        x, low, high = self.rows.astype(kind), self.sorted[0].astype(kind), self.sorted[-1].astype(kind)
+        own = np.searchsorted(self.ids, query_ids), np.searchsorted(self.ids, query_ids, side="right")
+        todo, out, at = np.arange(len(queries)), [], 0
+        up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)  # lists read from the top, from the bottom
+        seen = np.zeros((len(queries), n), kind)
+        missing = np.repeat((up @ low + down @ high)[:, None], n, axis=1)  # the least that unread lists add
+        for depth in DEPTHS if n > 4 * (k + LEFT) else ():
+            to = int(n * depth)
+            tops, bottoms = self.rank >= n - to, self.rank < to
+            new_top, new_bottom = tops & (self.rank < n - at), bottoms & (self.rank >= at)
+            seen += up @ np.where(new_top, x, 0).T + down @ np.where(new_bottom, x, 0).T
+            missing -= (up * low) @ new_top.T.astype(kind) + (down * high) @ new_bottom.T.astype(kind)
+            lower = seen + missing
+            next_up, next_down = up * self.sorted[n - 1 - to].astype(kind), down * self.sorted[to].astype(kind)
+            upper = seen + (next_up.sum(axis=1) + next_down.sum(axis=1))[:, None]
+            upper -= next_up @ tops.T.astype(kind) + next_down @ bottoms.T.astype(kind)
+            for i, q in enumerate(todo):
+                lower[i, own[0][q]:own[1][q]] = upper[i, own[0][q]:own[1][q]] = -np.inf
+            bar = np.partition(lower, n - k, axis=1)[:, n - k]
+            may = upper >= bar[:, None]
+            done = may.sum(axis=1) <= LEFT + k
+            for i in np.flatnonzero(done):
+                out.append(self._resolved(todo[i], np.flatnonzero(may[i]), queries, k))
+            go = ~done
+            todo, up, down, seen, missing, at = todo[go], up[go], down[go], seen[go], missing[go], to
+            if not len(todo):
                 break
-            bar = np.partition(seen + missing, n - min(want, n))[n - min(want, n)]
-            following = np.where(up, n - 1 - at, at)
-            frontier = query[read] * self.sorted[read, following]
-            if frontier.sum() >= bar:  # a row that no list has shown could still qualify
-                continue
-            upper = seen + frontier.sum() - frontier @ shown
-            keep = np.flatnonzero(upper >= bar)
-            if len(keep) <= max(LEFT, want):
-                break
-            keep = np.arange(n)
-        scores = self.rows[keep] @ query
-        other = (keep < own.start) | (keep >= own.stop)
-        keep, scores = keep[other], scores[other]
-        top = np.lexsort((self.ids[keep], -scores))[:k]
-        return self.ids[keep[top]], scores[top]
+        for q in todo:  # read to the end
+            out.append(self._resolved(q, np.r_[0:own[0][q], own[1][q]:n], queries, k))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    def _resolved(self, q: int, rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores = self.rows[rows] @ queries[q]
+        if len(rows) > 4 * k:
+            some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            rows, scores = rows[some], scores[some]
+        top = np.lexsort((self.ids[rows], -scores))[:k]
+        return np.full(len(top), q), self.ids[rows[top]], scores[top]
 
 
 def scaled(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(SCALE * x.cast("double")).cast("int"))
+    return F.transform(vector, lambda x: F.floor(SCALE * x.cast("double")).cast("bigint"))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -104,7 +111,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                     part = b.slice(at, min(size, hi - at))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(bucket[lo])], pa.int64()), pa.array([part.column(1).to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                         pa.array([part.column(2).flatten().to_numpy().astype(np.int32).tobytes()], pa.binary())], ["bucket", "ids", "flat"])
+                         pa.array([part.column(2).flatten().to_numpy().astype(np.int64).tobytes()], pa.binary())], ["bucket", "ids", "flat"])
 
     return rows.select("bucket", "vec_id", "v").mapInArrow(run, "bucket bigint, ids binary, flat binary")
 
@@ -134,13 +141,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
             for q_ids, q_flat, ids, flat in zip(*b.columns, strict=True):
                 if last is None or not ids.equals(last):
                     last = ids
-                    block = SortedBlock(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(flat.as_py(), np.int32).reshape(-1, w))
-                out = []
-                for q, v in zip(np.frombuffer(q_ids.as_py(), np.int64).tolist(), np.frombuffer(q_flat.as_py(), np.int32).reshape(-1, w).astype(np.int64), strict=True):
-                    found, scores = block.best(q, v, k)
-                    out += [(q, i, s) for i, s in zip(found.tolist(), scores.tolist(), strict=True)]
-                cols = list(zip(*out, strict=True)) if out else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                    block = SortedBlock(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(flat.as_py(), np.int64).reshape(-1, w))
+                asked_ids = np.frombuffer(q_ids.as_py(), np.int64)
+                place, found, scores = block.best(asked_ids, np.frombuffer(q_flat.as_py(), np.int64).reshape(-1, w), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (asked_ids[place], found, scores)], ["query_id", "vec_id", "score"])
 
     found = pairs.select("q_ids", "q_flat", "ids", "flat").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
