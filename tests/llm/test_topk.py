@@ -53,8 +53,22 @@ def test_a_block_stops_early_when_one_group_stands_out():
     rng = np.random.default_rng(2)
     rows = rng.integers(-20, 20, (2000, 8))
     rows[:5] = 250
-    ids, scores = topk.SortedBlock(np.arange(2000), rows).best(-1, np.full(8, 100), 5)
-    assert ids.tolist() == [0, 1, 2, 3, 4] and scores.tolist() == [200000] * 5
+    place, ids, scores = topk.SortedBlock(np.arange(2000), rows).best(np.array([-1]), np.full((1, 8), 100), 5)
+    assert place.tolist() == [0] * 5 and ids.tolist() == [0, 1, 2, 3, 4] and scores.tolist() == [200000] * 5
+
+
+def test_blocks_against_full_products():
+    rng = np.random.default_rng(3)
+    for rows, queries in ((rng.integers(-60, 60, (3000, 64)), rng.integers(-60, 60, (40, 64))), (rng.integers(-2 ** 20, 2 ** 20, (1000, 16)), rng.integers(-2 ** 20, 2 ** 20, (9, 16))),
+                          (np.repeat(rng.integers(-9, 9, (30, 6)), 50, axis=0), rng.integers(-9, 9, (20, 6)))):
+        ids = rng.permutation(len(rows) * 2)[:len(rows)]
+        asked = ids[:len(queries)].copy()
+        place, found, scores = topk.SortedBlock(ids, rows).best(asked, queries, 5)
+        got = sorted(zip(place.tolist(), (-scores).tolist(), found.tolist()))
+        want = []
+        for q in range(len(queries)):
+            want += [(q, s, i) for s, i in sorted((int(-s), int(i)) for s, i in zip(rows @ queries[q], ids) if i != asked[q])[:5]]
+        assert got == sorted(want)
 
 
 def test_query(spark):
