@@ -556,6 +556,10 @@ from ..session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from ..streaming import scorecard_stream as ST  # noqa: E402
 
 
+# the staged files hold a year each, so requests come up to a year late
+YEARLY_FILES = "400 days"
+
+
 @register("stream_alerts")
 def q_stream_alerts(spark, sf_dir):
     """Transactions replayed as a file stream (with duplicates), scored,
@@ -565,7 +569,7 @@ def q_stream_alerts(spark, sf_dir):
     sink = scratch_path(spark, "alert-stream-sink")
     ST.stage_transactions(txn, src)
     schema = spark.read.parquet(src).schema
-    ST.run_alert_stream(spark, src, schema, sink)
+    ST.run_alert_stream(spark, src, schema, sink, delay=YEARLY_FILES)
     a = spark.read.parquet(sink)
     return a.groupBy("risk_tier", "severity").agg(F.count(F.lit(1)).alias("n_alerts"),
                                                  F.countDistinct("transaction_id").alias("n_transactions"),
@@ -580,8 +584,8 @@ def q_stream_telemetry(spark, sf_dir):
     out = scratch_path(spark, "telemetry-out")
     ST.stage_transactions(txn, src, replay_year=None)
     schema = spark.read.parquet(src).schema
-    ST.run_telemetry_stream(spark, src, schema, out)
-    t = spark.read.parquet(out)
+    ST.run_telemetry_stream(spark, src, schema, out, delay=YEARLY_FILES)
+    t = ST.read_telemetry(spark, out)
     # window start rendered in UTC regardless of the session time zone
     start = F.date_format(F.to_utc_timestamp("w.start", spark.conf.get("spark.sql.session.timeZone")), "yyyy-MM-dd")
     return t.select(start.alias("window_start"), "risk_tier", "n",
@@ -745,17 +749,17 @@ def q_feature_csv_scan(spark, sf_dir):
 
 @register("stream_workflow_state")
 def q_stream_workflow_state(spark, sf_dir):
-    """Update requests streamed week by week and folded onto versioned
-    alert snapshots; must equal the batch fold (alert_workflow_state)."""
+    """Update requests streamed into an append-only log and folded; must equal
+    the batch fold (alert_workflow_state)."""
     from ..streaming import workflow_stream as WS
 
-    alerts, logs = alert_store(spark, sf_dir)
-    base = scratch_path(spark, "workflow-state")
-    WS.write_version(alerts.withColumn("n_updates", F.lit(0).cast("long")), logs, base, 0)
-    src = scratch_path(spark, "workflow-updates")
-    WS.stage_updates(alert_updates(Tables(spark, sf_dir)), src)
+    alerts, _ = alert_store(spark, sf_dir)
+    updates = alert_updates(Tables(spark, sf_dir))
+    base, src = scratch_path(spark, "workflow-state"), scratch_path(spark, "workflow-updates")
+    WS.open_store(alerts, base, updates)
+    updates.repartition(16, "update_seq").write.parquet(src)
     WS.run_workflow_stream(spark, src, spark.read.parquet(src).schema, base)
-    a, lg, _ = WS.read_latest(spark, base)
+    a, lg = WS.current_state(spark, base)
     n_logs = lg.groupBy("alert_key").agg(F.count(F.lit(1)).alias("n_logs"))
     return a.join(n_logs, "alert_key", "left").select(
         "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),

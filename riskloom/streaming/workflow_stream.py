@@ -1,13 +1,12 @@
 """The alert workflow as a stream of update requests.
 
-Each micro-batch is folded onto the current alert snapshot with the batch
-operator (``apply_updates``): the snapshot's status/assignee are the state
-before the batch, the batch's updates are ordered by ``(ts, update_seq)``.
-The result is written as a new snapshot version named by the batch id, and
-a version is only visible once complete (``_SUCCESS``), so a batch replayed
-after a failure rewrites the same version instead of applying twice.
-State lives in the snapshot tables in the shared folder, not in executor
-memory — any number of alerts, no state-store size limit.
+The store is the alert table as it was opened and an append-only log of updates.  Each
+micro-batch routes and validates its requests and writes them under its own batch id, so
+a batch replayed after a failure writes the same rows again instead of applying twice.
+The current state is the batch operator (``apply_updates``) over the log: updates apply in
+the order of ``(ts, update_seq)`` whatever batch brought them.  ``compact`` folds what is
+settled into a new opening table, so the log that is folded stays short.  State lives in
+tables in the shared folder, not in executor memory.
 """
 
 from __future__ import annotations
@@ -15,66 +14,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alerts import apply_updates, route_updates, validate_status
-from ..sources.io import ALERT_SCHEMA, LOG_SCHEMA
+from ..operators.alerts import apply_updates, opening_logs, route_updates, validate_status
 from ..session import scratch_path
+from ..sources.io import ALERT_SCHEMA, LOG_SCHEMA
 
 STATE_SCHEMA = ALERT_SCHEMA + ", n_updates long"
+UPDATE_COLUMNS = ["alert_key", "alert_id", "account_id", "update_seq", "ts", "event_type", "new_status", "notes", "assigned_to"]
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "alerts/_SUCCESS")) \
-                and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "logs/_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+def open_store(alerts: DataFrame, base: str, updates: DataFrame) -> None:
+    """Write the opening tables; ``updates`` gives the requests' schema."""
+    alerts = alerts if "n_updates" in alerts.columns else alerts.withColumn("n_updates", F.lit(0).cast("long"))
+    alerts.select(*[c.split()[0] for c in STATE_SCHEMA.split(", ")]).write.parquet(f"{base}/alerts")
+    opening_logs(alerts).write.parquet(f"{base}/logs")
+    empty = route_updates(updates.limit(0), alerts)[0]
+    empty.select(*UPDATE_COLUMNS).write.parquet(f"{base}/updates/batch_id=-1")
 
 
-def write_version(alerts: DataFrame, logs: DataFrame, base: str, version: int) -> None:
-    alerts.write.mode("overwrite").parquet(f"{base}/v={version}/alerts")
-    logs.write.mode("overwrite").parquet(f"{base}/v={version}/logs")
+def workflow_sink(base: str):
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        alerts = batch.sparkSession.read.schema(STATE_SCHEMA).parquet(f"{base}/alerts")
+        routed, rejected = route_updates(batch, alerts)
+        valid, invalid = validate_status(routed)
+        valid.select(*UPDATE_COLUMNS).write.mode("overwrite").parquet(f"{base}/updates/batch_id={batch_id}")
+        refused = rejected.withColumn("reason", F.lit("unknown account")).unionByName(
+            invalid.select(*rejected.columns).withColumn("reason", F.lit("invalid status")))
+        refused.write.mode("overwrite").parquet(f"{base}/rejected/batch_id={batch_id}")
 
+    return apply
 
-def read_latest(spark: SparkSession, base: str, before: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    vs = [v for v in _versions(spark, base) if before is None or v < before]
-    v = vs[-1]
-    return (spark.read.schema(STATE_SCHEMA).parquet(f"{base}/v={v}/alerts"),
-            spark.read.schema(LOG_SCHEMA).parquet(f"{base}/v={v}/logs"), v)
 
+def current_state(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(alerts with ``n_updates``, all log rows)."""
+    alerts = spark.read.schema(STATE_SCHEMA).parquet(f"{base}/alerts")
+    updates = spark.read.parquet(f"{base}/updates").select(*UPDATE_COLUMNS)
+    after, logs = apply_updates(alerts, updates)
+    return after, spark.read.schema(LOG_SCHEMA).parquet(f"{base}/logs").unionByName(logs)
 
-def workflow_sink(base: str):
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1  # version 0 is the initial store
-        alerts, logs, _ = read_latest(spark, base, before=version)
-        routed, _ = route_updates(batch, alerts)
-        valid, _ = validate_status(routed)
-        after, new_logs = apply_updates(alerts, valid)
-        write_version(after, logs.unionByName(new_logs), base, version)
 
-    return apply
+def compact(spark: SparkSession, base: str, new_base: str) -> None:
+    """Open a new store at ``new_base`` from the current state of the one at ``base``."""
+    after, logs = current_state(spark, base)
+    after.select(*[c.split()[0] for c in STATE_SCHEMA.split(", ")]).write.parquet(f"{new_base}/alerts")
+    logs.write.parquet(f"{new_base}/logs")
+    spark.read.parquet(f"{base}/updates").select(*UPDATE_COLUMNS).limit(0).write.parquet(f"{new_base}/updates/batch_id=-1")
 
 
 def run_workflow_stream(spark: SparkSession, updates_path: str, schema, base: str,
-                        checkpoint: str | None = None, files_per_batch: int = 1) -> None:
+                        checkpoint: str | None = None, files_per_batch: int = 4) -> None:
     checkpoint = checkpoint or scratch_path(spark, "workflow-ckpt")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(updates_path)
     q = (stream.writeStream.foreachBatch(workflow_sink(base)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def stage_updates(updates: DataFrame, path: str) -> None:
-    """Write update requests one week per write, oldest first, so the file
-    source (which orders files by modification time) replays them in time order."""
-    wk = updates.withColumn("__week", F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-05")) / 7))
-    weeks = sorted(r["__week"] for r in wk.select("__week").distinct().collect())  # one row per week
-    for w in weeks:
-        wk.filter(F.col("__week") == w).drop("__week").coalesce(1).write.mode("append").parquet(path)
