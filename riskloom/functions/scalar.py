@@ -65,12 +65,6 @@ def compact_currency(x: Column | str) -> Column:
     )
 
 
-def as_double(x: Column | str, default: float | None = None) -> Column:
-    """float coercion with default (``try_cast`` never throws in ANSI mode)."""
-    c = col(x).try_cast("double")
-    return c if default is None else F.coalesce(c, F.lit(float(default)))
-
-
 def iso_utc(ts: Column | str) -> Column:
     """'%Y-%m-%dT%H:%M:%SZ'."""
     return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -92,12 +86,6 @@ def hashed_txn_id(key: Column | str) -> Column:
     return F.concat(F.lit("TXN-"), F.upper(F.substring(F.md5(col(key).cast("string")), 1, 12)))
 
 
-def min_max_unit(v: Column | str, lo: Column | str, hi: Column | str) -> Column:
-    """(v-min)/(max-min), 0.5 when the range is flat."""
-    v, lo, hi = col(v), col(lo), col(hi)
-    return F.when(hi - lo > 0, (v - lo) / (hi - lo)).otherwise(F.lit(0.5))
-
-
 def inverted_anomaly_risk(score: Column | str, lo: float, hi: float) -> Column:
     """((max - s)/(max - min))·100 clamped to [0,100]; 50 when flat."""
     denom = hi - lo

@@ -54,6 +54,7 @@ def alert_view(alerts: DataFrame) -> DataFrame:
         F.when(F.col("severity") == "Critical", F.lit("P1 - Immediate"))
         .when(F.col("severity") == "High", F.lit("P2 - Review")).otherwise(F.lit("P3 - Monitor")).alias("prio"),
         F.coalesce(F.col("assigned_to"), F.lit(K.UNASSIGNED)).alias("assigned_to"),
+        "timestamp",
     )
 
 
@@ -68,16 +69,6 @@ def telemetry(alerts: DataFrame) -> DataFrame:
     return alerts.agg(*aggs)
 
 
-def telemetry_grouping_sets(alerts: DataFrame) -> DataFrame:
-    """A4 alternative: one pass with GROUPING SETS ((status), (severity), ())."""
-    a = alerts.select("status", F.coalesce(F.col("severity"), F.lit("Medium")).alias("severity"), "risk_score")
-    a.createOrReplaceTempView("__alerts_gs")
-    return a.sparkSession.sql(
-        "SELECT status, severity, grouping_id(status, severity) AS level, count(*) AS n, "
-        "avg(risk_score) AS avg_score, max(risk_score) AS max_score FROM __alerts_gs "
-        "GROUP BY GROUPING SETS ((status), (severity), ())")
-
-
 def _pct(n: Column, total: Column) -> Column:
     return round_half_up_int(n / total * F.lit(100.0))
 
@@ -171,7 +162,7 @@ def outlier_points(view: DataFrame) -> DataFrame:
     """Score ≥ 50 rows with the chart rescale (balance → x capped at 290, score → y)."""
     o = view.filter(F.col("risk_score") >= 50)
     return o.select(
-        "id", "account_number", "risk_score", "balance",
+        "id", "account_number", "risk_score", "balance", "timestamp",
         F.least(F.col("balance") / F.lit(200000.0) * F.lit(280.0) + F.lit(20.0), F.lit(290.0)).alias("x"),
         (F.lit(220.0) - F.col("risk_score") / F.lit(100.0) * F.lit(180.0)).alias("y"),
         F.when(F.col("risk_score") >= 75, F.lit("Critical")).when(F.col("risk_score") >= 50, F.lit("High"))

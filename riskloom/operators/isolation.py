@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -84,7 +85,7 @@ def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi
     sampled = sampled.filter(F.col("__r") <= psi).select("tree", *features)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     nodes = sampled.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, features, max_depth), TREE_SCHEMA)
-    table = nodes.toPandas()  # ≤ n_trees·(2ψ−1) rows
+    table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)  # ≤ n_trees·(2ψ−1) rows
     model = {"nodes": table, "psi": psi, "features": features, "n_trees": n_trees, "offset": None}
     train_scores = score(df, model, id_col)
     model["offset"] = float(train_scores.agg(F.percentile_approx("score", contamination, 100000)).first()[0])
@@ -93,8 +94,7 @@ def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi
 
 def _path_lengths(X: np.ndarray, nodes: pd.DataFrame, n_trees: int) -> np.ndarray:
     total = np.zeros(len(X))
-    for t, tn in nodes.groupby("tree"):
-        tn = tn.sort_values("node")
+    for _, tn in nodes.groupby("tree"):  # nodes come sorted
         feat, thr = tn["feature"].to_numpy(), tn["threshold"].to_numpy()
         left, right = tn["left"].to_numpy(), tn["right"].to_numpy()
         size, depth = tn["size"].to_numpy(), tn["depth"].to_numpy()
@@ -106,7 +106,8 @@ def _path_lengths(X: np.ndarray, nodes: pd.DataFrame, n_trees: int) -> np.ndarra
             go_left = X[idx, f] < thr[cur[idx]]
             cur[idx] = np.where(go_left, left[cur[idx]], right[cur[idx]])
             active = feat[cur] >= 0
-        total += depth[cur] + np.array([c_factor(int(s)) for s in size[cur]])
+        length = depth + np.array([c_factor(int(s)) for s in size])  # once per node, not per row
+        total += length[cur]
     return total / n_trees
 
 
@@ -136,3 +137,15 @@ def label(scored: DataFrame, offset: float) -> DataFrame:
 def bounds(decisions: DataFrame) -> DataFrame:
     """min/max of the training decision scores (one-row table)."""
     return decisions.agg(F.min("decision").alias("anomaly_score_min"), F.max("decision").alias("anomaly_score_max"))
+
+
+def save(model: dict, spark, path: str) -> None:
+    """Node table and one record of the rest."""
+    spark.createDataFrame(model["nodes"]).write.mode("overwrite").parquet(f"{path}/nodes")
+    rest = json.dumps({k: v for k, v in model.items() if k != "nodes"})
+    spark.createDataFrame([(rest,)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+
+def load(spark, path: str) -> dict:
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"], ignore_index=True)
+    return {**json.loads(spark.read.text(f"{path}/state").first()[0]), "nodes": nodes}

@@ -11,7 +11,8 @@ Order of the checks: missingness → leakage (name, correlation, separator)
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ class PreprocessorModel:
         keep = [q(c) for c in df.columns if c not in self.output_columns and c not in self.input_columns]
         return df.select(*keep, *cols)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted state as one JSON record."""
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "state string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "PreprocessorModel":
+        return cls(**json.loads(spark.read.text(path).first()[0]))
+
     def report(self, spark: SparkSession) -> DataFrame:
         """One row per input column with the decision and its reason."""
         rows = []

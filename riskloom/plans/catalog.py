@@ -305,7 +305,7 @@ def q_notes_merge(spark, sf_dir):
 
 from ..operators import profiling as PR  # noqa: E402
 from ..operators import selection as SE  # noqa: E402
-from ..operators.preprocess import GovernancePreprocessor  # noqa: E402
+from ..operators.preprocess import GovernancePreprocessor, PreprocessorModel  # noqa: E402
 from ..sources.fixtures import feature_matrix  # noqa: E402
 from ..sources.tables import split_columns  # noqa: E402
 
@@ -806,3 +806,125 @@ def q_smote_classes(spark, sf_dir):
     d = training_frame(spark, sf_dir, select=False)
     out = SM.smote(d.train, d.preprocessor.numeric_features, TARGET, "vec_id", method="projections")
     return out.groupBy(F.col(TARGET).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- store paths, filters, exports
+
+
+@register("alerts_against_store")
+def q_alerts_against_store(spark, sf_dir):
+    """Requests against a store that holds every second alert: new alerts and requests that have one."""
+    ensure_checkpoint_dir(spark)
+    s = scored(spark, sf_dir).drop("transaction_id").checkpoint(eager=True)
+    store = AL.materialize_alerts(s)[0].filter("seq % 2 = 0").checkpoint(eager=True)
+    new, _ = AL.materialize_alerts(s, store)
+    known = AL.existing_alert_for(store, s)
+    return new.agg(F.lit("new").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("seq").cast("bigint").alias("sum_seq")).unionByName(
+        known.agg(F.lit("existing").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("seq").cast("bigint").alias("sum_seq")))
+
+
+@register("backfill_into_store")
+def q_backfill_into_store(spark, sf_dir):
+    """A back-fill replaces the store's earlier back-fill rows and keeps the others."""
+    ensure_checkpoint_dir(spark)
+    alerts = alert_store(spark, sf_dir)[0].checkpoint(eager=True)
+    old = F.when(F.col("seq") % 10 == 0, F.concat(F.lit("ALT-DS-"), F.col("seq").cast("string"))).when(
+        F.col("seq") % 10 == 1, F.concat(F.lit("ALT-LOW-"), F.col("seq").cast("string"))).otherwise(F.col("id"))
+    both, _ = AL.backfill_alerts(AL.batch_risk_scores(scored(spark, sf_dir)), alerts.withColumn("id", old))
+    return both.groupBy(F.col("id").startswith("ALT-DS-").alias("backfilled"), "status").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_score").cast("bigint").alias("sum_score"))
+
+
+@register("score_range_by_source")
+def q_score_range_by_source(spark, sf_dir):
+    """Scores 60 to 89 of each data source, by status tab."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    v = AN.score_range(AN.alert_view(after), 60, 89)
+    parts = [AN.data_source(v, src).groupBy(F.lit(src).alias("source"), "status").agg(F.count(F.lit(1)).alias("n"))
+             for src in ("live-all", "live-target", "live-dataset")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _flat_model():
+    return LinearModel([f"F{i}" for i in range(8)], [(i - 3) / 2.0 for i in range(8)], 0.25)
+
+
+@register("direct_predictions")
+def q_direct_predictions(spark, sf_dir):
+    """Probability and class of a linear model; a feature that a row lacks is its background mean."""
+    from ..operators.scoring import predict
+
+    fm = features(spark, sf_dir).withColumn("F7", F.when(F.col("vec_id") % 3 > 0, F.col("F7")))
+    p = predict(fm, _flat_model())
+    return p.select("vec_id", round6("fraud_probability").alias("fraud_probability"), F.col("predicted_class_label").cast("bigint").alias("label"))
+
+
+@register("linear_proxy")
+def q_linear_proxy(spark, sf_dir):
+    """(value - mean) x importance, mean |attribution| by feature."""
+    fm, model = features(spark, sf_dir), _flat_model()
+    weights = model.importance_weights()
+    a = AT.linear_proxy_attribution(fm, {f: 0.01 for f in model.features}, weights)
+    return a.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"attr_{f}").alias("v")) for f in model.features]))) \
+        .groupBy("feature").agg(round6(F.avg(F.abs("v"))).alias("mean_abs"))
+
+
+@register("selected_matrix")
+def q_selected_matrix(spark, sf_dir):
+    """P5: the selector's columns, one of which the table lacks."""
+    return SE.select_features(features(spark, sf_dir), ["F3", "F_missing", "F1"], "vec_id").select(
+        "vec_id", round6("F3").alias("F3"), round6("F_missing").alias("F_missing"), round6("F1").alias("F1"))
+
+
+@register("scorecard_records")
+def q_scorecard_records(spark, sf_dir):
+    """Fields of the nested scorecard record."""
+    from ..operators.scoring import scorecard_struct
+
+    r = scored(spark, sf_dir).select(scorecard_struct(None).alias("r"))
+    return r.select("r.transaction_id", F.col("r.scores.base_ml_score").cast("bigint").alias("base_ml_score"),
+                    F.col("r.scores.final_risk_score").cast("bigint").alias("final_risk_score"), "r.categorizations.risk_tier", "r.categorizations.action_decision",
+                    F.size("r.rules_audit.overrides").cast("bigint").alias("n_overrides"))
+
+
+@register("anomaly_blend")
+def q_anomaly_blend(spark, sf_dir):
+    """Scorecards with a given anomaly score and label blended in."""
+    txn = transactions(Tables(spark, sf_dir))
+    txn = txn.withColumn("anomaly_score", (F.col("seq") * 7 % 101) / F.lit(100.0) - F.lit(0.5)).withColumn(
+        "anomaly_label", F.when(F.col("seq") % 20 == 0, F.lit(-1)).otherwise(F.lit(1)))
+    s = score_transactions(txn, bounds=(-0.5, 0.5), with_attribution=False)
+    return s.groupBy("risk_tier", "is_unsupervised_outlier").agg(
+        F.count(F.lit(1)).alias("n"), round6(F.avg("anomaly_risk")).alias("avg_anomaly_risk"), F.sum("final_risk_score").cast("bigint").alias("sum_score"))
+
+
+@register("report_exports")
+def q_report_exports(spark, sf_dir):
+    """Explorer and outlier reports written as CSV and scanned back."""
+    _, _, after, _, _ = workflow(spark, sf_dir)
+    view = AN.alert_view(after)
+    ensure_checkpoint_dir(spark)
+    view = view.checkpoint(eager=True)
+    out = {"explorer": IO.explorer_export(view), "outliers": IO.outlier_export(AN.outlier_points(view))}
+    parts = []
+    for name, (score, df) in {"explorer": ("Risk Score", out["explorer"]), "outliers": ("Score", out["outliers"])}.items():
+        path = scratch_path(spark, f"report-{name}")
+        IO.export_csv(df, path)
+        back = spark.read.option("header", True).csv(path)
+        parts.append(back.agg(F.lit(name).alias("report"), F.lit(len(back.columns)).cast("bigint").alias("n_columns"), F.count(F.lit(1)).alias("n"),
+                              F.sum(F.col(f"`{score}`").cast("bigint")).cast("bigint").alias("sum_score")))
+    return parts[0].unionByName(parts[1])
+
+
+@register("preprocessor_roundtrip")
+def q_preprocessor_roundtrip(spark, sf_dir):
+    """A fitted preprocessor saved, loaded and applied; must equal preprocessed_matrix."""
+    fm = features(spark, sf_dir)
+    path = scratch_path(spark, "preprocessor")
+    GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"]).save(spark, path)
+    model = PreprocessorModel.load(spark, path)
+    out = model.transform(fm)
+    return out.select("vec_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 (round6(PR.q(c)) if c in model.numeric_features else F.lit(None).cast("double")).alias("value_numeric"),
+                 (PR.q(c) if c in model.categorical_features else F.lit(None).cast("string")).alias("value_text"))
+        for c in model.output_columns])))

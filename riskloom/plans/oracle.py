@@ -791,3 +791,62 @@ ORACLE["training_split"] = _training_split()
 ORACLE["smote_classes"] = with_ctes(features_cte()) + f""",
 kept AS (SELECT {T} AS y, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS n FROM features GROUP BY {T})
 SELECT CAST(y AS BIGINT) AS label, (SELECT max(n) FROM kept) AS n FROM kept"""
+
+
+# ---------------------------------------------------------------- store paths, filters, exports
+
+ORACLE["alerts_against_store"] = _alerts() + """,
+store AS (SELECT transaction_id FROM alerts WHERE seq % 2 = 0)
+SELECT 'new' AS kind, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_seq FROM alerts WHERE transaction_id NOT IN (SELECT transaction_id FROM store)
+UNION ALL
+SELECT 'existing', count(*), CAST(sum(seq) AS BIGINT) FROM scored WHERE transaction_id IN (SELECT transaction_id FROM store)"""
+
+ORACLE["backfill_into_store"] = _backfill().rsplit("SELECT printf('ALT-DS", 1)[0] + """, al AS (
+  SELECT 'Open' AS status, final_risk_score AS risk_score FROM scored WHERE final_risk_score > 25 AND seq % 10 > 1)
+SELECT true AS backfilled, CASE WHEN (n - 1) % 2 = 1 THEN 'Closed' ELSE 'Open' END AS status, count(*) AS n, CAST(sum(score) AS BIGINT) AS sum_score FROM sample GROUP BY ALL
+UNION ALL SELECT false, status, count(*), CAST(sum(risk_score) AS BIGINT) FROM al GROUP BY status"""
+
+ORACLE["score_range_by_source"] = _view() + """,
+r AS (SELECT * FROM view WHERE risk_score BETWEEN 60 AND 89)
+SELECT 'live-all' AS source, status, count(*) AS n FROM r GROUP BY status
+UNION ALL SELECT 'live-target', status, count(*) FROM r WHERE starts_with(id, 'ALT-TGT-') OR type = 'Mule Account' GROUP BY status
+UNION ALL SELECT 'live-dataset', status, count(*) FROM r WHERE starts_with(id, 'ALT-DS-') GROUP BY status"""
+
+_FLAT = [(f"F{i}", (i - 3) / 2.0) for i in range(8)]
+
+ORACLE["direct_predictions"] = with_ctes(features_cte()) + """
+SELECT vec_id, round(p, 6) AS fraud_probability, CAST(p >= 0.5 AS BIGINT) AS label
+FROM (SELECT vec_id, 1.0 / (1.0 + exp(-(CAST(0.25 AS DOUBLE) + """ + " + ".join(
+    f"CAST({w!r} AS DOUBLE) * " + (f"CASE WHEN vec_id % 3 > 0 THEN {f} ELSE CAST(0.0 AS DOUBLE) END" if f == "F7" else f) for f, w in _FLAT) + """))) AS p FROM features) x"""
+
+ORACLE["linear_proxy"] = with_ctes(features_cte()) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg(abs(({f} - CAST(0.01 AS DOUBLE)) * CAST({abs(w) / sum(abs(x) for _, x in _FLAT)!r} AS DOUBLE))), 6) AS mean_abs FROM features" for f, w in _FLAT)
+
+ORACLE["selected_matrix"] = with_ctes(features_cte()) + """
+SELECT vec_id, round(F3, 6) AS F3, CAST(0.0 AS DOUBLE) AS F_missing, round(F1, 6) AS F1 FROM features"""
+
+ORACLE["scorecard_records"] = _scored() + """
+SELECT transaction_id, ml_score AS base_ml_score, CAST(final_risk_score AS BIGINT) AS final_risk_score, risk_tier, action_decision,
+       CAST(triggered_rules_count AS BIGINT) AS n_overrides FROM scored"""
+
+
+def _anomaly_blend() -> str:
+    """The scorecard CTE with the given anomaly score blended in and rule U04 beside the others."""
+    sql = with_ctes(transactions_cte(), scored_cte())
+    risk = "greatest(CAST(0.0 AS DOUBLE), least(CAST(100.0 AS DOUBLE), (CAST(0.5 AS DOUBLE) - anomaly_score) / CAST(1.0 AS DOUBLE) * CAST(100.0 AS DOUBLE)))"
+    sql = sql.replace("  SELECT t.*,\n", "  SELECT t.*, (seq * 7 % 101) / CAST(100.0 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS anomaly_score, seq % 20 = 0 AS hit_u04,\n")
+    sql = sql.replace(f"CAST({K.ANOMALY_WEIGHT} AS DOUBLE) * CAST(0.0 AS DOUBLE)", f"CAST({K.ANOMALY_WEIGHT} AS DOUBLE) * {risk}")
+    a03 = K.RULE_SCORES[K.RULE_A03_ID][0]
+    sql = sql.replace(f"CASE WHEN hit_a03 THEN {a03} END) AS top_rule_score", f"CASE WHEN hit_a03 THEN {a03} END, CASE WHEN hit_u04 THEN {K.RULE_SCORES[K.RULE_U04_ID][0]} END) AS top_rule_score")
+    return sql + f"""
+SELECT risk_tier, hit_u04 AS is_unsupervised_outlier, count(*) AS n, round(avg({risk}), 6) AS avg_anomaly_risk, CAST(sum(final_risk_score) AS BIGINT) AS sum_score
+FROM scored GROUP BY ALL"""
+
+
+ORACLE["anomaly_blend"] = _anomaly_blend()
+
+ORACLE["report_exports"] = _view() + """
+SELECT 'explorer' AS report, CAST(5 AS BIGINT) AS n_columns, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS sum_score FROM view
+UNION ALL SELECT 'outliers', 4, count(*), CAST(sum(risk_score) AS BIGINT) FROM view WHERE risk_score >= 50"""
+
+ORACLE["preprocessor_roundtrip"] = ORACLE["preprocessed_matrix"]
