@@ -115,3 +115,40 @@ TRAINING_MI_TOP = 40
 RFE_STEP = 0.15
 RFE_MIN_FEATURES = 12
 POSITIVE_CLASS_WEIGHT = 111.0
+
+# FIXED VALUES — friendly names of known features (feature catalog lookup)
+FEATURE_DESCRIPTIONS = {
+    "F5": "Velocity of Incoming Transfers (24h)",
+    "F9": "Ratio of External Transfers",
+    "F11": "Account Age in Days",
+    "F24": "Device IP Risk Score",
+    "F26": "Distance from Typical Location",
+    "F40": "Count of Linked/Associated Profiles",
+    "F43": "Cross-Border Transaction Ratio",
+    "F46": "Velocity Change Ratio (7d)",
+    "F49": "High-Risk Hosting ASN Match",
+    "F52": "Deposit Frequency Deviation",
+    "F55": "Night-time Transfer Ratio",
+    "F60": "Multiple Beneficiary Count",
+    "F65": "Layering Chain Length",
+}
+
+# FIXED VALUES — backfill alert texts and times
+BACKFILL_TIMESTAMP = "2026-05-30T14:00:00Z"
+BACKFILL_OPEN_TIME = "14:00:00 UTC"
+BACKFILL_CLOSE_TIME = "15:00:00 UTC"
+BACKFILL_CLOSE_ACTION = "Changed status from Open to Closed"
+BACKFILL_CLOSE_NOTE = "Appended Analyst Note: System auto-resolve. Confirmed normal customer transfers."
+BACKFILL_REASONS = {
+    "high": "Dataset Target Fraud Account (Row {row}, Label F3924 = 1). ML probability: {ml}.",
+    "medium": "Dataset Medium Risk Account (Row {row}). Moderate risk characteristics. ML score: {ml}.",
+    "low": "Low Risk Dataset Account (Row {row}). Verified low-risk behavioral characteristics. ML score: {ml}.",
+}
+
+# FIXED VALUES — analyst view labels and alert-type keywords
+DEFAULT_HOLDER = "Robert P. Jenkins"
+BENEFICIARY_PREFIX = "Beneficiary: "
+PRIORITY_LABELS = {"Critical": "P1 - Immediate", "High": "P2 - Review"}
+DEFAULT_PRIORITY = "P3 - Monitor"
+MULE_KEYWORDS = ["mule", "target", "fraud"]
+NETWORK_KEYWORDS = ["network", "ip", "proxy", "sanction", "ofac"]

@@ -283,19 +283,6 @@ def batch_risk_scores(scored: DataFrame) -> DataFrame:
                  + F.lit(K.ANOMALY_WEIGHT) * F.coalesce(F.col("Anomaly_Risk"), F.lit(0.0)))
 
 
-# FIXED VALUES — backfill alert texts and times
-BACKFILL_TIMESTAMP = "2026-05-30T14:00:00Z"
-BACKFILL_OPEN_TIME = "14:00:00 UTC"
-BACKFILL_CLOSE_TIME = "15:00:00 UTC"
-BACKFILL_CLOSE_ACTION = "Changed status from Open to Closed"
-BACKFILL_CLOSE_NOTE = "Appended Analyst Note: System auto-resolve. Confirmed normal customer transfers."
-BACKFILL_REASONS = {
-    "high": "Dataset Target Fraud Account (Row {row}, Label F3924 = 1). ML probability: {ml}.",
-    "medium": "Dataset Medium Risk Account (Row {row}). Moderate risk characteristics. ML score: {ml}.",
-    "low": "Low Risk Dataset Account (Row {row}). Verified low-risk behavioral characteristics. ML score: {ml}.",
-}
-
-
 def _template(t: str, row: Column, ml: Column) -> Column:
     head, rest = t.split("{row}")
     mid, tail = rest.split("{ml}")
@@ -324,9 +311,9 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
     tier = backfill_tier(score)
     ml = F.col("ML_Risk")
     row = F.col("seq")
-    reason = (F.when(score >= 50, _template(BACKFILL_REASONS["high"], row, ml))
-              .when(score >= 25, _template(BACKFILL_REASONS["medium"], row, ml))
-              .otherwise(_template(BACKFILL_REASONS["low"], row, ml)))
+    reason = (F.when(score >= 50, _template(K.BACKFILL_REASONS["high"], row, ml))
+              .when(score >= 25, _template(K.BACKFILL_REASONS["medium"], row, ml))
+              .otherwise(_template(K.BACKFILL_REASONS["low"], row, ml)))
     closed = (F.col("n") - F.lit(1)) % F.lit(2) == F.lit(1)
     alerts = numbered.select(
         F.format_string("ALT-DS-%03d", F.col("n")).alias("alert_key"),
@@ -338,7 +325,7 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
         score.alias("risk_score"), tier.alias("risk_tier"), tier.alias("severity"),
         F.when(closed, F.lit("Closed")).otherwise(F.lit("Open")).alias("status"),
         reason.alias("reason"),
-        F.lit(BACKFILL_TIMESTAMP).alias("timestamp"),
+        F.lit(K.BACKFILL_TIMESTAMP).alias("timestamp"),
         F.when(closed, F.lit(K.ADMIN_OPERATOR)).otherwise(F.lit(K.UNASSIGNED)).alias("assigned_to"),
         F.col("seq"),
     )
@@ -346,14 +333,14 @@ def backfill_alerts(batch: DataFrame, store: DataFrame | None = None) -> tuple[D
         "alert_key", F.col("id").alias("alert_id"),
         F.explode_outer(F.array_compact(F.array(
             F.struct(F.lit(0).cast("bigint").alias("log_seq"), F.lit(K.SYSTEM_OPERATOR).alias("operator"),
-                     F.lit(K.AUTO_EVAL_ACTION).alias("action"), F.lit(BACKFILL_OPEN_TIME).alias("timestamp")),
+                     F.lit(K.AUTO_EVAL_ACTION).alias("action"), F.lit(K.BACKFILL_OPEN_TIME).alias("timestamp")),
             F.when(F.col("status") == "Closed", F.struct(
                 F.lit(1).cast("bigint").alias("log_seq"), F.lit(K.ADMIN_OPERATOR).alias("operator"),
-                F.lit(BACKFILL_CLOSE_ACTION).alias("action"), F.lit(BACKFILL_CLOSE_TIME).alias("timestamp"))),
+                F.lit(K.BACKFILL_CLOSE_ACTION).alias("action"), F.lit(K.BACKFILL_CLOSE_TIME).alias("timestamp"))),
             F.when(F.col("status") == "Closed", F.struct(
                 F.lit(2).cast("bigint").alias("log_seq"), F.lit(K.ADMIN_OPERATOR).alias("operator"),
-                F.lit(BACKFILL_CLOSE_NOTE).alias("action"),
-                F.lit(BACKFILL_CLOSE_TIME).alias("timestamp"))),
+                F.lit(K.BACKFILL_CLOSE_NOTE).alias("action"),
+                F.lit(K.BACKFILL_CLOSE_TIME).alias("timestamp"))),
         ))).alias("l"),
     ).select("alert_key", "alert_id", "l.*")
     if store is not None:

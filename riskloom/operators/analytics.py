@@ -7,6 +7,8 @@ global aggregate), so their cost is one scan of the alert table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +48,12 @@ def alert_view(alerts: DataFrame) -> DataFrame:
         conf.alias("confidence_val"),
         F.coalesce(F.col("status"), F.lit("Open")).alias("status"),
         F.col("severity"),
-        F.when(F.col("receiver_id").isNotNull(), F.concat(F.lit("Beneficiary: "), F.col("receiver_id")))
-        .otherwise(F.lit("Robert P. Jenkins")).alias("holder_name"),
+        F.when(F.col("receiver_id").isNotNull(), F.concat(F.lit(K.BENEFICIARY_PREFIX), F.col("receiver_id")))
+        .otherwise(F.lit(K.DEFAULT_HOLDER)).alias("holder_name"),
         amount.alias("balance"),
         (amount * F.lit(1.2)).alias("ytd_inflows"),
         amount.alias("ytd_outflows"),
-        F.when(F.col("severity") == "Critical", F.lit("P1 - Immediate"))
-        .when(F.col("severity") == "High", F.lit("P2 - Review")).otherwise(F.lit("P3 - Monitor")).alias("prio"),
+        F.coalesce(*[F.when(F.col("severity") == k, F.lit(v)) for k, v in K.PRIORITY_LABELS.items()], F.lit(K.DEFAULT_PRIORITY)).alias("prio"),
         F.coalesce(F.col("assigned_to"), F.lit(K.UNASSIGNED)).alias("assigned_to"),
         "timestamp",
     )
@@ -77,9 +78,8 @@ def dashboard_kpis(view: DataFrame) -> DataFrame:
     """A7–A10, A12–A14 in one global aggregate over the analyst view."""
     s = F.col("risk_score")
     typ = F.lower(F.coalesce(F.col("type"), F.lit("")))
-    mule = typ.contains("mule") | typ.contains("target") | typ.contains("fraud")
-    network = ~mule & (typ.contains("network") | typ.contains("ip") | typ.contains("proxy")
-                       | typ.contains("sanction") | typ.contains("ofac"))
+    mule = reduce(Column.__or__, [typ.contains(w) for w in K.MULE_KEYWORDS])
+    network = ~mule & reduce(Column.__or__, [typ.contains(w) for w in K.NETWORK_KEYWORDS])
     base = view.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(s < 50).alias("low_count"),

@@ -17,23 +17,6 @@ from .. import constants as K
 from .column_models import ColumnModel
 from .scoring import Background, resolve_features, with_attributions
 
-# FIXED VALUES — friendly names of known features (feature catalog lookup)
-FEATURE_DESCRIPTIONS = {
-    "F5": "Velocity of Incoming Transfers (24h)",
-    "F9": "Ratio of External Transfers",
-    "F11": "Account Age in Days",
-    "F24": "Device IP Risk Score",
-    "F26": "Distance from Typical Location",
-    "F40": "Count of Linked/Associated Profiles",
-    "F43": "Cross-Border Transaction Ratio",
-    "F46": "Velocity Change Ratio (7d)",
-    "F49": "High-Risk Hosting ASN Match",
-    "F52": "Deposit Frequency Deviation",
-    "F55": "Night-time Transfer Ratio",
-    "F60": "Multiple Beneficiary Count",
-    "F65": "Layering Chain Length",
-}
-
 
 def background_from_data(df: DataFrame, model: ColumnModel) -> Background:
     """Means of the resolved features where present, and the mean probability."""
@@ -149,7 +132,7 @@ def relative_importance(importance: DataFrame) -> DataFrame:
 def catalog_enrich(importance: DataFrame) -> DataFrame:
     """Feature id → friendly name/type, default 'Anonymized Feature <id>'."""
     spark = importance.sparkSession
-    cat = spark.createDataFrame(list(FEATURE_DESCRIPTIONS.items()), "feature string, name string")
+    cat = spark.createDataFrame(list(K.FEATURE_DESCRIPTIONS.items()), "feature string, name string")
     j = importance.join(F.broadcast(cat), "feature", "left")
     return j.select("*").withColumn("name", F.coalesce(F.col("name"), F.concat(F.lit("Anonymized Feature "), F.col("feature")))) \
         .withColumn("type", F.lit("Model Feature"))

@@ -191,8 +191,6 @@ ORACLE["case_narratives"] = _narratives()
 
 
 def _backfill() -> str:
-    from ..operators.alerts import BACKFILL_REASONS
-
     def tmpl(t):
         head, rest = t.split("{row}")
         mid, tail = rest.split("{ml}")
@@ -215,9 +213,9 @@ SELECT printf('ALT-DS-%03d', n) AS id, 'TXN_DS_' || CAST(seq + 1000 AS VARCHAR)
        CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium' ELSE 'Low' END AS risk_tier,
        CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium' ELSE 'Low' END AS severity,
        CASE WHEN (n - 1) % 2 = 1 THEN 'Closed' ELSE 'Open' END AS status,
-       CASE WHEN score >= 50 THEN {tmpl(BACKFILL_REASONS['high'])}
-            WHEN score >= 25 THEN {tmpl(BACKFILL_REASONS['medium'])}
-            ELSE {tmpl(BACKFILL_REASONS['low'])} END AS reason,
+       CASE WHEN score >= 50 THEN {tmpl(K.BACKFILL_REASONS['high'])}
+            WHEN score >= 25 THEN {tmpl(K.BACKFILL_REASONS['medium'])}
+            ELSE {tmpl(K.BACKFILL_REASONS['low'])} END AS reason,
        '2026-05-30T14:00:00Z' AS timestamp,
        CASE WHEN (n - 1) % 2 = 1 THEN '{K.ADMIN_OPERATOR}' ELSE '{K.UNASSIGNED}' END AS assigned_to,
        CAST(CASE WHEN (n - 1) % 2 = 1 THEN 3 ELSE 1 END AS BIGINT) AS n_logs
@@ -580,9 +578,8 @@ SELECT row_id, {K.WATERFALL_TOP_K + 2}, '{K.FINAL_STEP_LABEL}', CAST(0.0 AS DOUB
 
 
 def _importance() -> str:
-    from ..operators.attribution import FEATURE_DESCRIPTIONS
 
-    cat = ", ".join(f"('{k}', '{v}')" for k, v in FEATURE_DESCRIPTIONS.items())
+    cat = ", ".join(f"('{k}', '{v}')" for k, v in K.FEATURE_DESCRIPTIONS.items())
     return _explained() + f""",
 imp AS (SELECT feature, position, avg(abs(value)) AS score FROM attrs GROUP BY feature, position),
 cat AS (SELECT * FROM (VALUES {cat}) t(feature, name))"""
