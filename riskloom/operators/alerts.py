@@ -17,6 +17,7 @@ from .. import constants as K
 from ..functions.bands import backfill_tier, engine_tier, probability_to_score
 from ..functions.scalar import capitalise, clock_utc, hashed_alert_id, iso_utc
 from .ranking import global_row_number, last_non_null_before
+from .skew import salted_join
 
 ALERT_COLUMNS = ["alert_key", "id", "transaction_id", "sender_id", "receiver_id", "amount", "risk_score", "risk_tier",
                  "severity", "status", "reason", "timestamp", "assigned_to", "seq"]
@@ -147,13 +148,13 @@ def route_updates(updates: DataFrame, alerts: DataFrame) -> tuple[DataFrame, Dat
 
     Returns ``(routed, rejected)``; rejected rows are the 404s (no alert).
     ``max_by`` per account is a partial aggregate, so a hot account is
-    reduced map-side before the shuffle.
+    reduced map-side before the shuffle; the join back is salted.
     """
     newest = alerts.groupBy(F.col("sender_id").alias("account_id")).agg(
         F.max_by(F.struct("alert_key", F.col("id").alias("alert_id")), F.struct("seq", "alert_key")).alias("a")) \
         .select("account_id", "a.alert_key", "a.alert_id")
-    routed = updates.join(newest, "account_id", "inner")
-    rejected = updates.join(newest, "account_id", "left_anti")
+    routed = salted_join(updates, newest, "account_id", "update_seq")
+    rejected = salted_join(updates, newest, "account_id", "update_seq", "left_anti")
     return routed, rejected
 
 

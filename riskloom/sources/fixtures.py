@@ -8,11 +8,10 @@
 Plan shape for ``transactions`` at scale: lineitem is aggregated by order key
 (partial aggregation before the shuffle), orders are shuffled once by order
 key to meet it, and the per-customer first-order date is a ``groupBy`` +
-join rather than a window so a customer that owns a third of all orders is
-pre-aggregated map-side and split by AQE's skew-join instead of landing in
-one window task.  Customer and supplier lookups are plain equi-joins; AQE
-turns them into broadcasts only when the measured side is under the
-threshold.
+join rather than a window; the join is salted, so a customer that owns a
+third of all orders is spread over several tasks.  The supplier lookup is a
+plain equi-join; AQE turns such joins into broadcasts only when the measured
+side is under the threshold.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.skew import salted_join
 from .tables import Tables
 
 # metric name -> expression over the per-order line aggregate
@@ -56,10 +56,8 @@ def transactions(t: Tables) -> DataFrame:
     supp = t.supplier.select(F.col("s_suppkey"), _country("s_nationkey").alias("destination_country"))
     first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order_ts"))
 
-    by_cust = (
-        o.join(first, "o_custkey", "left")
-        .join(cust, o["o_custkey"] == cust["c_custkey"], "left")
-    )
+    known = first.join(cust, first["o_custkey"] == cust["c_custkey"], "left").drop("c_custkey")
+    by_cust = salted_join(o, known, "o_custkey", "o_orderkey", "left")
     lines = order_lines(t)
     j = (
         by_cust.join(lines, by_cust["o_orderkey"] == lines["l_orderkey"], "left")
