@@ -1,10 +1,11 @@
 """Operator 10: near-duplicate classes by improved consistent weighted sampling.
 
 A document is the weighted set of its five-word shingles: term frequency times
-``1 + ln(N / df) / ln(N)``, so weights of rare and common shingles differ by a factor
-of two at most.  ``df`` counts documents over the whole corpus in a table of ``SLOTS``
-hashed counters, whose size does not depend on the corpus.  ``BANDS * ROWS`` consistent
-weighted samples give ``BANDS`` band keys; texts that share one are candidates; a link is
+``sqrt(1 + ln(N / df) / ln(N))``.  The damped idf keeps the weights of rare and common
+shingles within a factor of 1.42: in a large group of copies, whose shingles are common,
+an edit must not count for much more than what it replaced.  ``df`` counts documents over
+the whole corpus in a table of ``SLOTS`` hashed counters, whose size does not depend on
+the corpus.  ``BANDS * ROWS`` consistent weighted samples give ``BANDS`` band keys; texts that share one are candidates; a link is
 a candidate pair whose weighted Jaccard similarity, computed on the whole sets, is
 ``THRESHOLD`` or more; classes are the connected components of the links.
 
@@ -126,7 +127,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     for block, counts in blocks.collect():
         df[block * SLOT_BLOCK:(block + 1) * SLOT_BLOCK] = np.maximum(np.frombuffer(counts, np.int64), 1)
     scale = np.log(max(n, 2))
-    return (1 + np.maximum(np.log(max(n, 2)) - np.log(df), 0) / scale).astype(np.float32), n
+    return np.sqrt(1 + np.maximum(np.log(max(n, 2)) - np.log(df), 0) / scale).astype(np.float32), n
 
 
 def _sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:

@@ -69,7 +69,7 @@ def near_duplicate_classes(docs, threshold=0.8):
         w = words(text)
         bags.append(collections.Counter(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else collections.Counter())
     df, n = collections.Counter(s for b in bags for s in b), len(docs)
-    weight = {s: 1 + math.log(n / c) / math.log(max(n, 2)) for s, c in df.items()}
+    weight = {s: math.sqrt(1 + math.log(n / c) / math.log(max(n, 2))) for s, c in df.items()}
     parent = list(range(n))
 
     def root(x):
