@@ -209,7 +209,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = F.col("d") <= 1 - THRESHOLD + 1e-9
     links = tested.where(near)
     label = components(links.select("a", "b"))
-    pairs = _left_over(shared, label, texts, idf).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = _left_over(shared, label, nodes, texts, idf).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = _verify(pairs, texts, idf, "neardup_more")
     label = components(links.unionByName(more.where(near)).select("a", "b"))
 
@@ -240,13 +240,14 @@ def _weighed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.select("node", "comp", "text").mapInArrow(run, "node bigint, comp bigint, shingle bigint, weight double")
 
 
-def _left_over(shared: DataFrame, label: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def _left_over(shared: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """Pairs (a, b) of one bucket and of different components that may still be similar.
 
     Of a text of weight w, let u be the weight of shingles that only its own component has.
     With a text of another component and weight v it shares at most w - u, so similarity t
     needs w - u >= t / (1 + t) * (w + v), which is v <= ((w - u) (1 + t) / t) - w, and
-    v >= t w; and the same the other way round.
+    v >= t w; and the same the other way round.  A pair is made in the first band that
+    both share, so once.
     """
     named = shared.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     by_bucket = named.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band", "key")
@@ -264,18 +265,21 @@ def _left_over(shared: DataFrame, label: DataFrame, texts: DataFrame, idf: np.nd
     # In each bucket one component, the largest, need not be probed from: the others meet it.
     largest = (mixed.groupBy("band", "key", "comp").agg(F.count("*").alias("c")).groupBy("band", "key")
                .agg(F.max(F.struct("c", "comp"))["comp"].alias("largest")))
-    bounded = mixed.join(w, "node").withColumn("cell", _cell(F.col("w")))
+    keys = nodes.select("node", F.col("bands").alias("keys"))
+    bounded = mixed.join(w, "node").join(keys, "node").withColumn("cell", _cell(F.col("w")))
     probes = bounded.join(largest, ["band", "key"]).where("comp != largest").select(
         "band", "key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("w").alias("wx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"),
-        F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi")))).alias("cell"))
-    met = probes.join(bounded, ["band", "key", "cell"])
+        F.col("keys").alias("kx"), F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi")))).alias("cell"))
     fits = (F.col("comp") != F.col("cx")) & F.col("w").between(F.col("lx"), F.col("hx")) & F.col("wx").between(F.col("lo"), F.col("hi"))
-    return met.where(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    first = F.array_position(F.zip_with("kx", "keys", lambda p, q: p == q), True) == F.col("band") + 1
+    other = bounded.select(F.col("band").alias("b2"), F.col("key").alias("k2"), F.col("cell").alias("c2"), "node", "comp", "w", "lo", "hi", "keys")
+    met = probes.join(other, (F.col("band") == F.col("b2")) & (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("c2")) & fits & first)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _cell(weight: Column) -> Column:
-    """Ranges of weight half a per cent wide."""
-    return F.floor(F.log(weight) / 0.005)
+    """Ranges of weight two per cent wide."""
+    return F.floor(F.log(weight) / 0.02)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
