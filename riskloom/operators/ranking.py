@@ -15,6 +15,10 @@ when an executor is lost and a stage is recomputed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,22 +108,36 @@ def last_non_null_before(
 
 def prefix_sum(df: DataFrame, order: list[Column], values: list[str], suffix: str = "_before",
                partitions: int | None = None) -> DataFrame:
-    """Exclusive running sums of ``values`` along a total ``order``, distributed.
+    """Exclusive running sums of the integer ``values`` along a total ``order``, distributed.
 
-    Range partitioning on the order key spreads the rows; each partition's
-    totals (one row per partition) give its offset, and a window partitioned
-    by the partition id adds the local running sum.  The partitioned frame is
-    checkpointed so the totals and the rows agree on the boundaries.
+    One shuffle: rows are range-partitioned and sorted on the order key, each partition
+    adds up its own rows as they come, and the partitions' totals (one row each) give the
+    offsets.  The summed frame is checkpointed so the totals and the rows agree on the
+    boundaries.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(spark)
-    ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
-    totals = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    counted = df.withColumns({v: F.coalesce(F.col(v), F.lit(0)).cast("bigint") for v in values})
+    ranged = counted.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    names = [*ranged.columns, *[f"__l_{v}" for v in values]]
+    places = [ranged.columns.index(v) for v in values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0] * len(places)
+        for b in batches:
+            local = []
+            for i, place in enumerate(places):
+                x = b.column(place).to_numpy()
+                upto = np.cumsum(x)
+                local.append(pa.array(upto - x + sums[i], pa.int64()))
+                sums[i] += int(upto[-1]) if len(upto) else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, *local], names)
+
+    schema = ranged.withColumns({f"__l_{v}": F.lit(0).cast("bigint") for v in values}).schema
+    local = ranged.mapInArrow(run, schema).checkpoint(eager=True)
+    totals = local.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}")
-                                       for v in values])
-    w_loc = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select("*", *[F.coalesce(F.sum(v).over(w_loc), F.lit(0)).alias(f"__l_{v}") for v in values])
+    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}") for v in values])
     out = local.join(F.broadcast(offsets), "__pid")
     return out.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__l_{v}")).alias(f"{v}{suffix}") for v in values])
