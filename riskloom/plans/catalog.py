@@ -688,8 +688,11 @@ def q_scorecard_with_anomaly(spark, sf_dir):
     """Transactions scored with the forest's decision score blended in and rule U04."""
     txn = transactions(Tables(spark, sf_dir))
     feats = ["F115", "F321", "F527", "F670"]
-    flat = txn.select("*", *[F.coalesce(F.try_element_at("custom_metrics", F.lit(f)), F.lit(0.0)).alias(f"m_{f}")
-                             for f in feats])
+    # the narrow frame feeds the count, the sample, the training scores and the result
+    flat = txn.select("seq", *[F.coalesce(F.try_element_at("custom_metrics", F.lit(f)), F.lit(0.0)).alias(f"m_{f}")
+                               for f in feats])
+    ensure_checkpoint_dir(spark)
+    flat = flat.checkpoint(eager=True)
     mfeats = [f"m_{f}" for f in feats]
     model = IF.fit(flat, mfeats, "seq", n_trees=100, psi=256, contamination=0.018)
     lab = IF.label(IF.score(flat, model, "seq"), model["offset"])
