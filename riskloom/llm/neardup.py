@@ -12,9 +12,10 @@ a candidate pair whose weighted Jaccard similarity, computed on the whole sets,
 Candidates of a bucket are not paired with each other.  Every text of a bucket is verified
 against its pivot, the text that shares most band keys with others (of near copies of one
 original, that nearest to it).  That leaves pairs of different components in one bucket.
-What a text has that no other component of those buckets has bounds its similarity to any
-text of theirs from above, together with both total weights; only pairs within that bound
-are verified, found by joining on narrow ranges of weight.  No pair is skipped for its
+What a text has that no other component of those buckets has can't be shared with theirs;
+the rest, added up in ``GROUPS`` hashed groups of shingles, bounds from above what two
+texts share.  Only pairs within that bound are verified, found by joining on narrow
+ranges of weight.  No pair is skipped for its
 bucket's size.
 
 Equal texts are one node from the start.  Null, empty and wordless texts are not near
@@ -42,6 +43,7 @@ BANDS, ROWS = 12, 3
 SLOTS, SLOT_BLOCK = 1 << 20, 1 << 12
 DRAWS = 16  # log2 of the table of random draws
 SEED = 20
+GROUPS = 32
 
 _SLOT_SHIFT = np.uint64(64 - 20)
 
@@ -243,11 +245,12 @@ def _weighed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
 def _left_over(shared: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """Pairs (a, b) of one bucket and of different components that may still be similar.
 
-    Of a text of weight w, let u be the weight of shingles that only its own component has.
-    With a text of another component and weight v it shares at most w - u, so similarity t
-    needs w - u >= t / (1 + t) * (w + v), which is v <= ((w - u) (1 + t) / t) - w, and
-    v >= t w; and the same the other way round.  A pair is made in the first band that
-    both share, so once.
+    Of a text of weight w, let s be the weight of shingles that other components have too.
+    With a text of another component and weight v it shares at most s, so similarity t
+    needs s >= t / (1 + t) * (w + v), which is v <= s (1 + t) / t - w, and
+    v >= t w; and the same the other way round.  Nor can two texts share more than the
+    lesser of their s in any group of shingles, summed over the groups.  A pair is made in
+    the first band that both share, so once.
     """
     named = shared.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     by_bucket = named.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band", "key")
@@ -256,11 +259,12 @@ def _left_over(shared: DataFrame, label: DataFrame, nodes: DataFrame, texts: Dat
     members = mixed.select("node", "comp").distinct()
     weighed = materialise(_weighed(members.join(texts, "node"), idf), "neardup_weighed")
     only = weighed.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").select("shingle")
-    own = weighed.join(only, "shingle").groupBy("node").agg(F.sum("weight").alias("u"))
     t, slack = THRESHOLD, 1e-6
-    w = weighed.groupBy("node").agg(F.sum("weight").alias("w")).join(own, "node", "left")
-    w = w.select("node", "w", (F.col("w") * t * (1 - slack)).alias("lo"),
-                 (((F.col("w") - F.coalesce("u", F.lit(0.0))) * (1 + t) / t - F.col("w")) * (1 + slack)).alias("hi"))
+    group = F.pmod(F.shiftright("shingle", 7), F.lit(GROUPS))
+    parts = [F.coalesce(F.sum(F.when(group == i, F.col("weight"))), F.lit(0.0)).cast("float") for i in range(GROUPS)]
+    common = weighed.join(only, "shingle", "left_anti").groupBy("node").agg(F.sum("weight").alias("s"), F.array(*parts).alias("parts"))
+    w = weighed.groupBy("node").agg(F.sum("weight").alias("w")).join(common, "node")
+    w = w.select("node", "w", "parts", (F.col("w") * t * (1 - slack)).alias("lo"), ((F.col("s") * (1 + t) / t - F.col("w")) * (1 + slack)).alias("hi"))
     w = materialise(w.where("hi >= lo"), "neardup_bounds")
     # In each bucket one component, the largest, need not be probed from: the others meet it.
     largest = (mixed.groupBy("band", "key", "comp").agg(F.count("*").alias("c")).groupBy("band", "key")
@@ -269,17 +273,19 @@ def _left_over(shared: DataFrame, label: DataFrame, nodes: DataFrame, texts: Dat
     bounded = mixed.join(w, "node").join(keys, "node").withColumn("cell", _cell(F.col("w")))
     probes = bounded.join(largest, ["band", "key"]).where("comp != largest").select(
         "band", "key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("w").alias("wx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"),
-        F.col("keys").alias("kx"), F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi")))).alias("cell"))
+        F.col("keys").alias("kx"), F.col("parts").alias("px"), F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi")))).alias("cell"))
     fits = (F.col("comp") != F.col("cx")) & F.col("w").between(F.col("lx"), F.col("hx")) & F.col("wx").between(F.col("lo"), F.col("hi"))
     first = F.array_position(F.zip_with("kx", "keys", lambda p, q: p == q), True) == F.col("band") + 1
-    other = bounded.select(F.col("band").alias("b2"), F.col("key").alias("k2"), F.col("cell").alias("c2"), "node", "comp", "w", "lo", "hi", "keys")
-    met = probes.join(other, (F.col("band") == F.col("b2")) & (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("c2")) & fits & first)
+    most = F.aggregate(F.zip_with("px", "parts", lambda p, q: F.least(p, q)), F.lit(0.0), lambda total, x: total + x)
+    enough = most * (1 + 1e-5) >= t / (1 + t) * (F.col("wx") + F.col("w"))
+    other = bounded.select(F.col("band").alias("b2"), F.col("key").alias("k2"), F.col("cell").alias("c2"), "node", "comp", "w", "lo", "hi", "keys", "parts")
+    met = probes.join(other, (F.col("band") == F.col("b2")) & (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("c2")) & fits & first & enough)
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _cell(weight: Column) -> Column:
-    """Ranges of weight two per cent wide."""
-    return F.floor(F.log(weight) / 0.02)
+    """Ranges of weight five per cent wide."""
+    return F.floor(F.log(weight) / 0.05)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
