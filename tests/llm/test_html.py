@@ -51,3 +51,8 @@ def test_query(spark):
         want[r.page_id] = (r.url, "\n".join(p for p in parts if p))
     rows = queries.op9_html(spark, SF_SMALL).collect()
     assert {r.page_id: (r.url, r.text) for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_empty_icons_hide_nothing(spark):
+    page = "<body><svg class='i'/><math/><svg class=j><path d='m'/></svg><article><p>Story <svg viewBox='0 0 1 1' />goes on</p><svg><text>gone</text></svg></article></body>"
+    assert texts(spark, [("http://a.b/c", page)]) == ["Story goes on"]
