@@ -5,9 +5,11 @@ classes.  A node is important if its content differs from page to page (one minu
 entropy of its blocks over the pages that have them) and if pages vary how they present it
 (the entropy of the styles of its children), blended by the number of those styles.  Hosts
 with few pages lean on the tree of all hosts (``PRIOR_PAGES``).  Elements that their tag,
-class, id or role names as menu, header, footer, sidebar, notice, advert, form or comments
-are of no importance; what stands in an ``article`` or ``main`` element is kept unless so
-named; any other branch has to reach ``KEEP``, or twice that on pages that have an article.
+class, id or role as a whole names as menu, header, footer, sidebar, notice, advert, form or
+comments are of no importance, a part of a name halves it; names of html, body and of what
+holds all articles, forms around a page, and ids of headings and sections say nothing.  What
+stands in an ``article`` or ``main`` element is kept unless so named; any other branch has
+to reach ``KEEP``, or twice that on pages that have an article.
 
 Text is decoded, white space inside a block becomes one blank, blocks are joined by line
 feeds in page order.  Whole pages are read and nothing kept is shortened.  Null or empty
@@ -49,8 +51,10 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(?P<raw>{UNSEEN})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
     re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
+NO_IDS = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}  # their ids are free text
+HOLDERS = ARTICLE | {"h1", "nav", "header", "footer"}
 
 
 @dataclass
@@ -58,33 +62,73 @@ class Element:
     tag: str
     style: str  # tag and classes
     path: str  # styles from the root, inline elements left out
-    aside: bool  # named as no part of the article, or inside such
-    article: bool
+    parent: Element | None
+    out: bool  # by its tag or as hidden no part of the article
+    named: bool  # the same by a whole name
+    hint: bool  # part of a name says so: lowers the importance
+    landmark: bool
+    article: bool  # a landmark or inside one
+    aside: bool = False  # all in all no part of the article, or inside such
+    faint: bool = False  # hinted at, or inside such
+    form: Element | None = None  # the outermost around it
+    holds: bool = False  # an article
+    wraps: bool = False  # parts of a page
     children: list[str] = field(default_factory=list)
 
 
 def _element(tag: str, attrs: str, parent: Element) -> Element:
-    classes, aside, landmark = [], False, tag in ARTICLE
+    classes, out, named, hint, landmark = [], False, False, False, tag in ARTICLE
+    root = tag in ("html", "body")
     if attrs:
         for name, *values in _ATTR.findall(attrs):
             value, name = "".join(values).lower(), name.lower()
             if name == "class":
                 classes = sorted(value.split())
-            if name in ("class", "id", "role"):
-                words = value.split()
-                aside |= any(w in ASIDE_NAMES or bool(ASIDE_NAMES & set(_NAME.findall(w))) for w in words)
+            if name in ("class", "role") or name == "id" and tag not in NO_IDS:
+                for w in () if root else value.split():
+                    parts = set(_NAME.findall(w))
+                    named |= w in ASIDE_NAMES or bool(parts) and parts <= ASIDE_NAMES
+                    hint |= bool(ASIDE_NAMES & parts)
                 landmark |= name == "role" and value in ARTICLE
-            aside |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    aside |= tag in ASIDE_TAGS and not (tag == "header" and parent.article)
+            out |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+    out |= tag in ASIDE_TAGS and tag != "form" and not (tag == "header" and parent.article)
     style = ".".join([tag, *classes])
     path = parent.path if tag in INLINE else f"{parent.path}>{style}"
-    return Element(tag, style, path, aside or parent.aside, landmark or parent.article)
+    return Element(tag, style, path, parent, out and not root, named, hint, landmark, landmark or parent.article)
+
+
+def _resolve(elements: list[Element], blocks: list[tuple[Element, str]]) -> None:
+    """Set aside and faint of all elements (parents come first).
+
+    A form or hinted element that holds parts of a page, or a form with half its text, is none; if all articles would go,
+    the names and forms around them do not count."""
+    for e in elements:
+        up = e
+        while up and e.landmark and not up.holds:
+            up.holds, up = True, up.parent
+        up = e if e.landmark else e.parent
+        while up and (e.landmark or e.tag in HOLDERS) and not up.wraps:
+            up.wraps, up = True, up.parent
+    sizes: dict[int, int] = {}
+    for e, text in blocks:
+        if e.form and not e.form.article:
+            sizes[id(e.form)] = sizes.get(id(e.form), 0) + len(text)
+    whole = sum(len(text) for _, text in blocks) if sizes else 0
+    for e in elements:
+        e.wraps |= e.form is e and 2 * sizes.get(id(e), 0) >= max(whole, 1)
+    for spare in (False, True):
+        for e in elements:
+            mine = e.out or (e.named or e.tag == "form" and not e.wraps) and not (spare and e.holds)
+            e.aside = mine or e.parent.aside
+            e.faint = e.hint and not e.wraps or e.parent.faint
+        if not all(e.aside for e in elements if e.landmark):
+            break
 
 
 def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """(blocks with their innermost block element, block elements) of a page, in order."""
-    root = Element("", "", "", False, False)
-    stack, blocks, seen, run = [root], [], [], []
+    root = Element("", "", "", None, False, False, False, False, False)
+    stack, blocks, seen, run, elements = [root], [], [], [], []
 
     def flush() -> None:
         if run:
@@ -124,6 +168,8 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
                 if stack[i].tag not in INLINE and stack[i].tag not in over:
                     break
         e = _element(tag, m["attrs"] or "", stack[-1])
+        e.form = stack[-1].form or (e if tag == "form" else None)
+        elements.append(e)
         if tag not in INLINE:
             stack[-1].children.append(e.style)
             seen.append(e)
@@ -132,6 +178,7 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     if at < len(page):
         run.append(entities.unescape(page[at:]))
     flush()
+    _resolve(elements, blocks)
     return blocks, seen
 
 
@@ -187,7 +234,7 @@ def main_text(page: str, faint: set[str], weak: set[str]) -> str:
     blocks, _ = parse(page)
     has_article = any(e.article and not e.aside for e, _ in blocks)
     low = faint if has_article else weak
-    return "\n".join(text for e, text in blocks if not e.aside and (e.article or e.path not in low))
+    return "\n".join(text for e, text in blocks if not e.aside and (e.path not in faint if e.faint else e.article or e.path not in low))
 
 
 def extract(pages: DataFrame) -> DataFrame:

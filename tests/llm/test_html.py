@@ -56,3 +56,16 @@ def test_query(spark):
 def test_empty_icons_hide_nothing(spark):
     page = "<body><svg class='i'/><math/><svg class=j><path d='m'/></svg><article><p>Story <svg viewBox='0 0 1 1' />goes on</p><svg><text>gone</text></svg></article></body>"
     assert texts(spark, [("http://a.b/c", page)]) == ["Story goes on"]
+
+
+def test_names_that_hide_no_article(spark):
+    story = "<h1>Head</h1><p>Story</p>"
+    pages = [f"<body class='single right-sidebar'><article>{story}</article></body>", f"<div class='no-sidebar'><article>{story}</article></div>",
+             f"<main class='has-header'>{story}</main>", f"<form id='aspnetForm'><div>{story}</div></form>", f"<body class=search><div class=widget><main>{story}</main></div></body>",
+             "<article><h2 id='search'>Head</h2><section id='related-work'><p>Story</p></section></article>",
+             "<article><h2 id='how-to-share' title='The hidden cost'>Head</h2><p data-id='footer' data-title='hidden gems'>Story</p></article>"]
+    assert texts(spark, [(f"http://h{i}.x/", p) for i, p in enumerate(pages)]) == ["Head\nStory"] * len(pages)
+    plain = "<body><nav>Menu</nav><form id=aspnetForm><div><p>A longer story</p></div></form><form><p>Find</p></form></body>"
+    assert texts(spark, [("http://a.b/", plain)]) == ["A longer story"]
+    page = "<article><p>Story</p><form><p>Mail</p></form></article><div class='related'><article>Other</article></div><p hidden>no</p><div role=search>Find</div>"
+    assert texts(spark, [("http://a.b/", page)]) == ["Story"]
