@@ -11,7 +11,9 @@ holds the entity.  Base spans are always generalised to their kind.
 N and n(t) count all documents, n(c,t) the documents with t near c.  Null texts count as
 empty.  Repeated rows and null ids each give a row; documents that agree in id and text
 count once for n(c) and n(c,t).  Only doc_id and text are read; ``sanitised`` keeps other
-columns.  Patterns use possessive repeats, so a text costs time in proportion to its length.
+columns.  Patterns use possessive repeats, so a text costs time in proportion to its
+length, but for entities with fewer than ``NEAR`` words in the last of ``CONTEXTS``, each of
+which reads the whole text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ PATTERNS = {
 MARK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"(?<!\p{L})\p{L}{3,}+"
 NEAR = 5
-CONTEXT = 160  # code points on each side of an entity in which its NEAR words are looked for
+# Code points on each side of an entity in which its NEAR words are looked for first; the
+# rest of the text is read only where these hold fewer whole ones.
+CONTEXTS = (160, 4096)
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.8
 
 KEY = ["doc_id", "h1", "h2"]
@@ -94,10 +98,16 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     def words(t: Column) -> Column:
         return F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0))
 
-    before = words(F.substring(F.col("text"), F.greatest(F.col("s") - CONTEXT, F.lit(0)) + 1, F.least("s", F.lit(CONTEXT))))
-    after = words(F.substring(F.col("text"), F.col("e") + 1, F.lit(CONTEXT)))
+    text, length = F.col("text"), F.length("text")
+    before, after = F.slice(F.reverse(words(F.substring(text, F.lit(1), F.col("s")))), 1, NEAR), F.slice(words(F.substring(text, F.col("e") + 1, length)), 1, NEAR)
+    for size in reversed(CONTEXTS):  # a run of letters at the edge may be a part of a word
+        left = F.regexp_replace(F.substring(text, F.col("s") - size + 1, F.lit(size)), r"^\p{L}++", "")
+        right = F.regexp_replace(F.substring(text, F.col("e") + 1, F.lit(size)), r"(?<!\p{L})\p{L}++$", "")
+        near_left, near_right = F.slice(F.reverse(words(left)), 1, NEAR), F.slice(words(right), 1, NEAR)
+        before = F.when((F.col("s") > size) & (F.size(near_left) == NEAR), near_left).otherwise(before)
+        after = F.when((length - F.col("e") > size) & (F.size(near_right) == NEAR), near_right).otherwise(after)
     entity = [F.col("k"), F.lower("m").alias("c")]
-    near = spans.select(*KEY, *entity, F.concat(F.slice(F.reverse(before), 1, NEAR), F.slice(after, 1, NEAR)).alias("near"))
+    near = spans.select(*KEY, *entity, F.concat(before, after).alias("near"))
     near = materialise(near, "pii_near")
     n_c = near.select(*KEY, "k", "c").distinct().groupBy("k", "c").agg(F.count("*").alias("n_c"))
     n_ct = (near.select(*KEY, "k", "c", F.explode("near").alias("term")).distinct()

@@ -49,6 +49,14 @@ def test_revealing_terms_are_found_and_replaced(documents):
     assert pii.sanitised(documents(rows)).count() == len(rows)
 
 
+def test_near_words_may_stand_far_off(documents):
+    rows = [(i, f"common words stand all over zorb blax number {i}") for i in range(60)]
+    for i, gap in enumerate((" 12" * 60, " " * 200, "." * 5000) * 2):
+        rows.append((100 + i, f"common words zorblaxian{gap} jo@x.org {gap}quuxian common words {i}"))
+    got = {r.doc_id: {x.m for x in r.terms} for r in pii.sanitise(documents(rows)).collect()}
+    assert all({"zorblaxian", "quuxian"} <= got[100 + i] for i in range(6))
+
+
 def test_empty_table_and_other_columns(documents):
     assert pii.sanitise(documents([])).collect() == []
     df = documents([(1, "a@b.cd")]).withColumnRenamed("lang", "base").withColumnRenamed("source", "spans")
