@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import bpe, decontam, licences, neardup, passages, pii, quality_cnn, site_style, topk, toxicity_crf
+from riskloom.llm import bpe, conversations, decontam, licences, neardup, passages, pii, quality_cnn, site_style, topk, toxicity_crf
 from riskloom.llm.common import read
 
 BPE_RANKS = corpus_pipeline.BPE_RANKS
@@ -64,6 +64,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_repair": op11_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -103,4 +108,43 @@ scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(r
            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hurt AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                                       lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 20 AS h FROM raw, crc),
+dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS time FROM hurt),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, time) AS i,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, time) AS seen,
+               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM dam),
+turns AS (SELECT *, left(role, 1) AS r, CASE WHEN cut = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                 lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM num),
+moves(q, e, r, z, role) AS (VALUES ('B', 'K', 's', 'S', NULL), ('B', 'K', 'u', 'U', NULL), ('S', 'K', 'u', 'U', NULL), ('U', 'K', 'a', 'A', NULL), ('A', 'K', 'u', 'U', NULL),
+  ('B', 'R', NULL, 'U', 'user'), ('S', 'R', NULL, 'U', 'user'), ('U', 'R', NULL, 'A', 'assistant'), ('A', 'R', NULL, 'U', 'user')),
+starts AS (SELECT q, '' AS ins, q AS p, 0 AS c, CAST([] AS VARCHAR[]) AS lines FROM (VALUES ('B'), ('S'), ('U'), ('A')) v(q)
+           UNION ALL SELECT q, 'I', z, 5, [role || ':'] FROM moves WHERE e = 'R'),
+options AS (SELECT s.q, s.ins || 'D' AS edit, s.c + 2 AS c, s.p AS z, s.lines, CAST(NULL AS VARCHAR) AS r, CAST(NULL AS VARCHAR) AS role, FALSE AS stays FROM starts s
+            UNION ALL SELECT s.q, s.ins || m.e, s.c + CASE m.e WHEN 'R' THEN 1 ELSE 0 END, m.z, s.lines, m.r, m.role, TRUE FROM starts s JOIN moves m ON m.q = s.p),
+best AS (SELECT conv_id, 0 AS i, 'B' AS q, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM (SELECT DISTINCT conv_id FROM conversations) c
+  UNION ALL
+  SELECT conv_id, i, z, w.cost, w.audit, w.lines FROM (
+    SELECT b.conv_id, t.i, o.z, min({'cost': b.cost + o.c + CASE WHEN o.stays AND t.fault = 't' THEN 5 ELSE 0 END, 'audit': b.audit || o.edit,
+           'lines': b.lines || o.lines || CASE WHEN o.stays THEN [coalesce(o.role, t.role) || ':' || t.text] ELSE [] END}) AS w
+    FROM best b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1
+    JOIN options o ON o.q = b.q AND (NOT o.stays OR (t.fault IN ('', 't') AND (o.r IS NULL OR o.r = t.r)))
+    GROUP BY b.conv_id, t.i, o.z) s),
+facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                 count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+ended AS (SELECT b.conv_id, min({'cost': b.cost + CASE b.q WHEN 'U' THEN 5 WHEN 'S' THEN 10 ELSE 0 END, 'audit': b.audit || CASE b.q WHEN 'U' THEN 'I' WHEN 'S' THEN 'II' ELSE '' END,
+                 'lines': b.lines || CASE b.q WHEN 'U' THEN ['assistant:'] WHEN 'S' THEN ['user:', 'assistant:'] ELSE [] END}) AS w
+          FROM best b LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id WHERE b.i = coalesce(f.n, 0) GROUP BY b.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(e.w.cost AS BIGINT) AS cost,
+       e.w.audit AS audit, sha256(array_to_string(e.w.lines, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
