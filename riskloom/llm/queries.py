@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import bpe, conversations, decontam, licences, neardup, passages, pii, quality_cnn, site_style, topk, toxicity_crf
+from riskloom.llm import bpe, conversations, decontam, importance, licences, neardup, passages, pii, quality_cnn, site_style, topk, toxicity_crf
 from riskloom.llm.common import read
 
 BPE_RANKS = corpus_pipeline.BPE_RANKS
@@ -68,6 +68,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations"))))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -147,4 +152,22 @@ SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
        CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(e.w.cost AS BIGINT) AS cost,
        e.w.audit AS audit, sha256(array_to_string(e.w.lines, chr(10))) AS repaired_sha256
 FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id""",
+    "op12_importance_resampling": f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+words AS (SELECT doc_id, row_number() OVER () AS row, TRUE AS corpus, {_WORDS} AS w FROM documents
+          UNION ALL SELECT item_id, -row_number() OVER (), FALSE, {_WORDS} FROM benchmark),
+runs AS (SELECT row, corpus, array_to_string(w[s:s + k - 1], ' ') AS f FROM words, (VALUES (1), (2), (3)) v(k), unnest(range(1, len(w) - k + 2)) r(s)),
+counted AS (SELECT row, corpus, f, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT f, list_transform(range(CAST(strlen(f) AS BIGINT)), lambda i: CAST('0x' || hex(encode(f))[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM (SELECT DISTINCT f FROM counted) d),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+cells AS (SELECT row, corpus, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+hist AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (corpus), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT corpus), 0) AS DOUBLE) AS t FROM cells GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS g FROM hist),
+sums AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight FROM cells JOIN gain USING (bucket) WHERE corpus GROUP BY row),
+draws AS (SELECT d.doc_id, len(d.w) >= 20 AS long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM words d LEFT JOIN sums USING (row) WHERE d.corpus),
+ranked AS (SELECT *, CASE WHEN long_enough THEN row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id NULLS FIRST) END AS place FROM draws)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM draws WHERE long_enough) * 5 // 100 THEN place END AS rank FROM ranked""",
 }
