@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import bpe, conversations, decontam, importance, licences, neardup, passages, pii, quality_cnn, site_style, topk, toxicity_crf
+from riskloom.llm import bpe, conversations, decontam, importance, licences, neardup, passages, pii, quality_cnn, simhash, site_style, topk, toxicity_crf
 from riskloom.llm.common import read
 
 BPE_RANKS = corpus_pipeline.BPE_RANKS
@@ -72,6 +72,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.classes(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_simhash": op13_simhash,
     "pipeline": corpus_pipeline.run,
 }
 
