@@ -41,6 +41,7 @@ SHARE = (5, 100)
 SEED = 42
 DIGIT = 12       # bits
 BLOCK = 1 << 14  # places; their windows and counts are all that one task holds
+PIECE = 1 << 18  # bytes of text whose features a task holds at a time, if one text has no more
 
 _POLY = 0xEDB88320
 
@@ -120,7 +121,7 @@ def histogram(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc, total = Crc(), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, some in pieces(b.column(0)):
+            for _, some in pieces(b.column(0), PIECE):
                 total += np.bincount(features(scan(some), crc)[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
@@ -151,7 +152,7 @@ def scored(docs: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = Crc()
         for b in batches:
-            for at, some in pieces(b.column(1)):
+            for at, some in pieces(b.column(1), PIECE):
                 w = scan(some)
                 bucket, owner = features(w, crc)
                 n = len(some)
