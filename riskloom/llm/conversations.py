@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -207,26 +208,34 @@ def parts(turns: DataFrame) -> DataFrame:
         no = chars = 0
         cut = True  # the conversation may have begun in an earlier partition or part
 
-        def emit(whole: bool) -> pa.RecordBatch:
-            row = {"conv_id": held[0]["conv_id"], "p": held[0]["p"], "no": no, **_part_of(held, whole)}
-            return pa.RecordBatch.from_pylist([row], arrow)
-
-        for b in batches:
-            for row in _rows(b):
-                if held and row["conv_id"] != held[0]["conv_id"]:
-                    yield emit(not cut)
-                    held, no, chars, cut = [], no + 1, 0, False
-                elif held and (len(held) == PART or chars + len(row["text"]) > PART_CHARS):
-                    yield emit(False)
-                    held, no, chars, cut = [], no + 1, 0, True
-                held.append(row)
-                chars += len(row["text"])
-        if held:
-            yield emit(False)
+        def made(whole: bool) -> dict:
+            return {"conv_id": held[0]["conv_id"], "p": held[0]["p"], "no": no, **_part_of(held, whole)}
+
+        def cuts() -> Iterator[dict]:
+            nonlocal held, no, chars, cut
+            for b in batches:
+                for row in _rows(b):
+                    if held and row["conv_id"] != held[0]["conv_id"]:
+                        yield made(not cut)
+                        held, no, chars, cut = [], no + 1, 0, False
+                    elif held and (len(held) == PART or chars + len(row["text"]) > PART_CHARS):
+                        yield made(False)
+                        held, no, chars, cut = [], no + 1, 0, True
+                    held.append(row)
+                    chars += len(row["text"])
+            if held:
+                yield made(False)
+
+        yield from _batches(cuts(), arrow)
 
     return ranged.mapInArrow(run, schema)
 
 
+def _batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 64) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, at_once)):
+        yield pa.RecordBatch.from_pylist(some, schema)
+
+
 def _rows(batch: pa.RecordBatch, at_once: int = 64) -> Iterator[dict]:
     for i in range(0, batch.num_rows, at_once):
         yield from batch.slice(i, at_once).to_pylist()
@@ -296,23 +305,26 @@ def repair(turns: DataFrame) -> DataFrame:
                                       + ", ".join(f"{c} bigint" for c in SUMMARY) + ", audit string")
     arrow = to_arrow_schema(schema)
 
-    def closed(chain: Chain) -> pa.RecordBatch:
+    def closed(chain: Chain) -> list[dict]:
         cost, path = chain.end()
         rows = [{"conv_id": part["conv_id"], "p": part["p"], "no": part["no"], "entry": q, "edits": audit, "last": False} for part, q, audit in path]
         rows[-1] |= {"last": True, "cost": cost, "audit": "".join(a for _, _, a in path), **_totals(path)}
-        return pa.RecordBatch.from_pylist(rows, arrow)
+        return rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         chain, before = None, None
         for b in batches:
-            for part in b.to_pylist():
+            for part in _rows(b):
                 if chain is None or part["conv_id"] != before:
                     if chain is not None:
-                        yield closed(chain)
+                        yield from closed(chain)
                     chain, before = Chain(), part["conv_id"]
                 chain.add(part)
         if chain is not None:
-            yield closed(chain)
+            yield from closed(chain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(chains(batches), arrow)
 
     chosen = facts.mapInArrow(run, schema)
     both = made.select("p", "no", "rows").join(chosen, ["p", "no"])
