@@ -1,17 +1,15 @@
 """Isolation forest (M6, R4, A33, F20) — Liu, Ting & Zhou 2008.
 
-* Sampling: tree t uses the ψ = min(256, n) rows with the smallest
-  ``xxhash64(id, t)``.  Each row first keeps only the trees whose hash falls
-  under a threshold sized for ~2ψ rows per tree (a narrow filter — never n×T
-  rows), then a window per tree (≈2ψ rows each) keeps the ψ smallest.
-* Fitting: ``groupBy(tree).applyInPandas`` grows one tree per group on its
-  ≤ψ rows with numpy (random feature, uniform threshold in the node's range,
-  depth limit ⌈log2 ψ⌉), seeded by the tree id → deterministic.
-* Scoring: the node table has at most T·(2ψ−1) rows — a proven bound — and is
-  broadcast to a ``mapInPandas`` that walks all trees for a batch of rows in
-  vectorised numpy.  score = −2^(−E[h]/c(ψ)); offset = the contamination
-  quantile of the training scores (``percentile_approx``);
-  decision = score − offset; label −1 when decision < 0.
+* Sampling: tree t uses the ψ = min(256, n) rows with the smallest md5 of id, tree and seed.
+  Each row first keeps only the trees whose hash falls under a threshold sized for
+  rather more than 2ψ rows per tree (a narrow filter — never n×T rows), then a window per tree
+  (≈2ψ rows each) keeps the ψ smallest.
+* Fitting: the trees grow together, level by level (``random_trees``): one feature that varies
+  in the node and a threshold between its ends, both drawn by hash, down to ⌈log2 ψ⌉ levels.
+* Scoring: the model is flat node arrays (at most T·4ψ entries) with each leaf's path length,
+  walked by SQL functions (``flat_trees``): no Python worker.
+  score = −2^(−E[h]/c(ψ)); offset = the contamination quantile of the training scores
+  (``percentile_approx``); decision = score − offset; label −1 when decision < 0.
 """
 
 from __future__ import annotations
@@ -19,11 +17,14 @@ from __future__ import annotations
 import json
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .alerts import hash_fraction
+from .flat_trees import FlatTrees, vector
+from .random_trees import grow, leaf_counts
+
 EULER = 0.5772156649015329
 
 
@@ -36,96 +37,38 @@ def c_factor(n: int) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-def _grow(pdf: pd.DataFrame, features: list[str], max_depth: int) -> pd.DataFrame:
-    tree = int(pdf["tree"].iloc[0])
-    rng = np.random.default_rng(1000003 * (tree + 1))
-    X = pdf[features].to_numpy(dtype=float)
-    rows = []  # node, feature, threshold, left, right, size, depth
-
-    def build(idx: np.ndarray, depth: int) -> int:
-        node = len(rows)
-        rows.append([node, -1, 0.0, -1, -1, len(idx), depth])
-        if depth >= max_depth or len(idx) <= 1:
-            return node
-        sub = X[idx]
-        lo, hi = np.nanmin(sub, axis=0), np.nanmax(sub, axis=0)
-        cand = np.where(hi > lo)[0]
-        if len(cand) == 0:
-            return node
-        f = int(rng.choice(cand))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        left_idx, right_idx = idx[sub[:, f] < thr], idx[sub[:, f] >= thr]
-        rows[node][1], rows[node][2] = f, thr
-        rows[node][3] = build(left_idx, depth + 1)
-        rows[node][4] = build(right_idx, depth + 1)
-        return node
-
-    build(np.arange(len(X)), 0)
-    out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
-    out.insert(0, "tree", tree)
-    return out
-
-
-TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
+def sample(df: DataFrame, features: list[str], id_col: str, n: int, n_trees: int, psi: int, seed: int = 42) -> DataFrame:
+    """(tree, x) of the ``psi`` rows that each tree is grown on."""
+    share = min(1.0, (2.0 * psi + 100.0) / max(n, 1))
+    key = lambda t: F.concat_ws("|", F.col(id_col).cast("string"), t.cast("string"), F.lit(str(seed)))
+    picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: hash_fraction(key(t)) < F.lit(share))
+    rows = df.select(F.col(id_col), vector(features).alias("x"), F.explode(picked).alias("tree"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.md5(key(F.col("tree"))), id_col))
+    return rows.withColumn("__place", place).where(F.col("__place") <= psi).select("tree", "x")
 
 
 def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi: int = 256,
-        contamination: float = 0.018) -> dict:
-    """M6 fit: returns the (bounded) node table on the driver plus ψ and the offset."""
+        contamination: float = 0.018, seed: int = 42) -> dict:
+    """M6 fit: the trees, ψ, the features and the offset."""
     n = df.count()
     psi = min(psi, n)
-    p_keep = min(1.0, 2.0 * psi / max(n, 1))
-    thr = int(p_keep * 2**63) if p_keep < 1.0 else None
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    h = lambda t: F.abs(F.xxhash64(F.col(id_col), t))
-    picked = F.filter(trees, lambda t: h(t) < F.lit(thr)) if thr is not None else trees
-    sampled = df.select(id_col, *features, F.explode_outer(picked).alias("tree")).filter(F.col("tree").isNotNull())
-    sampled = sampled.withColumn("__h", F.abs(F.xxhash64(F.col(id_col), F.col("tree"))))
-    sampled = sampled.withColumn("__r", F.row_number().over(Window.partitionBy("tree").orderBy("__h", id_col)))
-    sampled = sampled.filter(F.col("__r") <= psi).select("tree", *features)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    nodes = sampled.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, features, max_depth), TREE_SCHEMA)
-    table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)  # ≤ n_trees·(2ψ−1) rows
-    model = {"nodes": table, "psi": psi, "features": features, "n_trees": n_trees, "offset": None}
+    ensure_checkpoint_dir(df.sparkSession)
+    members = sample(df, features, id_col, n, n_trees, psi, seed).checkpoint(eager=True)  # ψ·T rows, read at every level
+    depth = int(math.ceil(math.log2(max(psi, 2))))
+    trees = grow(members, n_trees, depth, candidates=1, min_split=2, seed=seed, by_class=False)
+    for r in leaf_counts(members, trees, by_class=False):
+        trees.value[trees.at(r.tree, r.node)] = (r.node.bit_length() - 1) + c_factor(r.n)
+    model = {"trees": trees, "psi": psi, "features": features, "n_trees": n_trees, "offset": None}
     train_scores = score(df, model, id_col)
-    model["offset"] = float(train_scores.agg(F.percentile_approx("score", contamination, 100000)).first()[0])
+    offset = train_scores.agg(F.percentile_approx("score", contamination, 100000)).first()[0]
+    model["offset"] = None if offset is None else float(offset)
     return model
 
 
-def _path_lengths(X: np.ndarray, nodes: pd.DataFrame, n_trees: int) -> np.ndarray:
-    total = np.zeros(len(X))
-    for _, tn in nodes.groupby("tree"):  # nodes come sorted
-        feat, thr = tn["feature"].to_numpy(), tn["threshold"].to_numpy()
-        left, right = tn["left"].to_numpy(), tn["right"].to_numpy()
-        size, depth = tn["size"].to_numpy(), tn["depth"].to_numpy()
-        cur = np.zeros(len(X), dtype=int)
-        active = feat[cur] >= 0
-        while active.any():
-            idx = np.where(active)[0]
-            f = feat[cur[idx]]
-            go_left = X[idx, f] < thr[cur[idx]]
-            cur[idx] = np.where(go_left, left[cur[idx]], right[cur[idx]])
-            active = feat[cur] >= 0
-        length = depth + np.array([c_factor(int(s)) for s in size])  # once per node, not per row
-        total += length[cur]
-    return total / n_trees
-
-
 def score(df: DataFrame, model: dict, id_col: str) -> DataFrame:
     """``(id, score)`` with score = −2^(−E[h]/c(ψ)) (higher = more normal)."""
-    spark = df.sparkSession
-    nodes_b = spark.sparkContext.broadcast(model["nodes"])
-    feats, n_trees, cpsi = model["features"], model["n_trees"], c_factor(model["psi"])
-
-    def run(batches):
-        nodes = nodes_b.value
-        for pdf in batches:
-            X = pdf[feats].to_numpy(dtype=float)
-            eh = _path_lengths(X, nodes, n_trees)
-            yield pd.DataFrame({id_col: pdf[id_col], "score": -np.power(2.0, -eh / cpsi)})
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, *feats).mapInPandas(run, f"{id_col} {id_type}, score double")
+    path = model["trees"].total(vector(model["features"])) / F.lit(float(model["n_trees"]))
+    return df.select(id_col, (-F.pow(F.lit(2.0), -path / F.lit(c_factor(model["psi"])))).alias("score"))
 
 
 def label(scored: DataFrame, offset: float) -> DataFrame:
@@ -140,12 +83,11 @@ def bounds(decisions: DataFrame) -> DataFrame:
 
 
 def save(model: dict, spark, path: str) -> None:
-    """Node table and one record of the rest."""
-    spark.createDataFrame(model["nodes"]).write.mode("overwrite").parquet(f"{path}/nodes")
-    rest = json.dumps({k: v for k, v in model.items() if k != "nodes"})
-    spark.createDataFrame([(rest,)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+    """The model as one text record."""
+    record = json.dumps({**model, "trees": model["trees"].to_json()})
+    spark.createDataFrame([(record,)], "state string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load(spark, path: str) -> dict:
-    nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"], ignore_index=True)
-    return {**json.loads(spark.read.text(f"{path}/state").first()[0]), "nodes": nodes}
+    model = json.loads(spark.read.text(path).first()[0])
+    return {**model, "trees": FlatTrees.from_json(model["trees"])}

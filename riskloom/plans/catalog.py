@@ -931,3 +931,38 @@ def q_preprocessor_roundtrip(spark, sf_dir):
                  (round6(PR.q(c)) if c in model.numeric_features else F.lit(None).cast("double")).alias("value_numeric"),
                  (PR.q(c) if c in model.categorical_features else F.lit(None).cast("string")).alias("value_text"))
         for c in model.output_columns])))
+
+
+# ---------------------------------------------------------------- trees with random thresholds
+
+from ..operators import random_trees as RT  # noqa: E402
+from ..operators.flat_trees import FlatTrees  # noqa: E402
+
+DIMS = [f"F{i}" for i in range(64)]
+FOREST_TREES, FOREST_DEPTH = 20, 8
+
+
+def extra_trees_model(spark, sf_dir) -> FlatTrees:
+    return RT.extra_trees(features(spark, sf_dir), DIMS, TARGET, n_trees=FOREST_TREES, depth=FOREST_DEPTH)
+
+
+@register("extra_trees_splits")
+def q_extra_trees_splits(spark, sf_dir):
+    """M3: every node of a forest of random thresholds: its split, or its share of label 1."""
+    nodes = extra_trees_model(spark, sf_dir).nodes(spark)
+    return nodes.select(F.col("tree").cast("bigint").alias("tree"), F.col("node").cast("bigint").alias("node"),
+                        F.col("feature").cast("bigint").alias("feature"), round6("threshold").alias("threshold"), round6("value").alias("value"))
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark, sf_dir):
+    """A forest of 100 trees, saved, loaded and scored on every row, with the bounds of its decisions."""
+    fm = features(spark, sf_dir)
+    path = scratch_path(spark, "isolation-forest")
+    IF.save(IF.fit(fm, DIMS, "vec_id"), spark, path)
+    model = IF.load(spark, path)
+    lab = IF.label(IF.score(fm, model, "vec_id"), model["offset"])
+    b = IF.bounds(lab)
+    return lab.crossJoin(F.broadcast(b)).select("vec_id", round6("score").alias("score"), round6("decision").alias("decision"),
+                                                F.col("anomaly_label").cast("bigint").alias("anomaly_label"),
+                                                round6("anomaly_score_min").alias("least"), round6("anomaly_score_max").alias("most"))

@@ -847,3 +847,61 @@ SELECT 'explorer' AS report, CAST(5 AS BIGINT) AS n_columns, count(*) AS n, CAST
 UNION ALL SELECT 'outliers', 4, count(*), CAST(sum(risk_score) AS BIGINT) FROM view WHERE risk_score >= 50"""
 
 ORACLE["preprocessor_roundtrip"] = ORACLE["preprocessed_matrix"]
+
+
+# ---------------------------------------------------------------- trees with random thresholds
+
+from ..operators.isolation import EULER  # noqa: E402
+from .catalog import FOREST_DEPTH, FOREST_TREES  # noqa: E402
+
+_VECTOR = "[" + ", ".join(f"F{i}" for i in range(64)) + "]"
+
+
+def _random_levels(depth: int, candidates: int, min_split: int, by_class: bool) -> str:
+    """Levels of the trees over ``m0`` (tree, node, x, y): ``s<d>`` their splits, ``m<d>`` the rows that are still in a node."""
+    draw = "CAST(('0x' || substr(md5('42|' || tree || '|' || node || '|' || f || '|at'), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE)"
+    out = []
+    for d in range(depth):
+        mixed = "AND sum(y) > 0 AND sum(y) < count(*)" if by_class else ""
+        out.append(f"""c{d} AS MATERIALIZED (
+  SELECT tree, node, f, n, p, lo + {draw} * (hi - lo) AS thr,
+         row_number() OVER (PARTITION BY tree, node ORDER BY md5('42|' || tree || '|' || node || '|' || f)) AS place
+  FROM (SELECT tree, node, f - 1 AS f, count(*) AS n, sum(y) AS p, min(x[f]) AS lo, max(x[f]) AS hi FROM m{d}, range(1, 65) r(f)
+        GROUP BY ALL HAVING count(*) >= {min_split} {mixed} AND min(x[f]) < max(x[f])) s
+  QUALIFY place <= {candidates})""")
+        if by_class:
+            out.append(f"""s{d} AS MATERIALIZED (
+  SELECT tree, node, f, thr FROM (
+    SELECT c.tree, c.node, c.f, c.thr, c.place, c.n, c.p, count(*) FILTER (x[c.f + 1] < c.thr) AS nl, coalesce(sum(y) FILTER (x[c.f + 1] < c.thr), 0) AS pl
+    FROM m{d} m JOIN c{d} c ON c.tree = m.tree AND c.node = m.node GROUP BY ALL) t
+  WHERE nl > 0 AND nl < n
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY CAST(pl * (nl - pl) AS DOUBLE) / nl + CAST((p - pl) * (n - nl - p + pl) AS DOUBLE) / (n - nl), place) = 1)""")
+        else:
+            out.append(f"s{d} AS (SELECT tree, node, f, thr FROM c{d})")
+        out.append(f"m{d + 1} AS MATERIALIZED (SELECT m.tree, m.node * 2 + CASE WHEN m.x[s.f + 1] < s.thr THEN 0 ELSE 1 END AS node, m.x, m.y FROM m{d} m JOIN s{d} s ON s.tree = m.tree AND s.node = m.node)")
+    out.append("splits AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(depth)) + ")")
+    out.append("held AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT tree, node, y FROM m{d}" for d in range(depth + 1)) + ")")
+    out.append("leaves AS MATERIALIZED (SELECT tree, node, count(*) AS n, sum(y) AS p FROM held h WHERE NOT EXISTS (FROM splits s WHERE s.tree = h.tree AND s.node = h.node) GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+ORACLE["extra_trees_splits"] = with_ctes(features_cte(), f"m0 AS MATERIALIZED (SELECT t.range AS tree, 1 AS node, {_VECTOR} AS x, {T} AS y FROM features, range({FOREST_TREES}) t)",
+                                         _random_levels(FOREST_DEPTH, 8, 5, True)) + """
+SELECT tree, CAST(node AS BIGINT) AS node, CAST(f AS BIGINT) AS feature, round(thr, 6) AS threshold, CAST(0.0 AS DOUBLE) AS value FROM splits
+UNION ALL SELECT tree, CAST(node AS BIGINT), -1, 0.0, round(p / CAST(n AS DOUBLE), 6) FROM leaves"""
+
+ORACLE["isolation_forest"] = with_ctes(features_cte(), f"""pts AS (SELECT vec_id, {_VECTOR} AS x FROM features),
+m0 AS MATERIALIZED (SELECT t.range AS tree, 1 AS node, x, 0 AS y FROM pts, range(100) t
+       QUALIFY row_number() OVER (PARTITION BY t.range ORDER BY md5(vec_id || '|' || t.range || '|42'), vec_id) <= 256)""",
+                                       _random_levels(8, 1, 2, False)) + f""",
+walk0 AS MATERIALIZED (SELECT vec_id, x, t.range AS tree, 1 AS node FROM pts, range(100) t),
+""" + ",\n".join(f"""walk{d + 1} AS MATERIALIZED (SELECT w.vec_id, w.x, w.tree, CASE WHEN s.f IS NULL THEN w.node WHEN w.x[s.f + 1] < s.thr THEN w.node * 2 ELSE w.node * 2 + 1 END AS node
+  FROM walk{d} w LEFT JOIN s{d} s ON s.tree = w.tree AND s.node = w.node)""" for d in range(8)) + f""",
+size AS (SELECT least(256, count(*)) AS psi FROM pts),
+paths AS (SELECT vec_id, avg(floor(log2(l.node) + CAST(1e-9 AS DOUBLE)) + CASE WHEN l.n <= 1 THEN 0 WHEN l.n = 2 THEN 1 ELSE 2 * (ln(l.n - 1) + CAST({EULER} AS DOUBLE)) - 2 * (l.n - 1) / CAST(l.n AS DOUBLE) END) AS h
+          FROM walk8 w JOIN leaves l ON l.tree = w.tree AND l.node = w.node GROUP BY vec_id),
+scores AS (SELECT vec_id, -pow(CAST(2.0 AS DOUBLE), -h / (2 * (ln(psi - 1) + CAST({EULER} AS DOUBLE)) - 2 * (psi - 1) / CAST(psi AS DOUBLE))) AS score FROM paths, size),
+cut AS (SELECT quantile_disc(score, 0.018) AS c FROM scores),
+decisions AS (SELECT vec_id, score, score - c AS decision FROM scores, cut)
+SELECT vec_id, round(score, 6) AS score, round(decision, 6) AS decision, CAST(CASE WHEN decision < 0 THEN -1 ELSE 1 END AS BIGINT) AS anomaly_label,
+       round(min(decision) OVER (), 6) AS least, round(max(decision) OVER (), 6) AS most FROM decisions"""
