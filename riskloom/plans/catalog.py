@@ -966,3 +966,40 @@ def q_isolation_forest(spark, sf_dir):
     return lab.crossJoin(F.broadcast(b)).select("vec_id", round6("score").alias("score"), round6("decision").alias("decision"),
                                                 F.col("anomaly_label").cast("bigint").alias("anomaly_label"),
                                                 round6("anomaly_score_min").alias("least"), round6("anomaly_score_max").alias("most"))
+
+
+# ---------------------------------------------------------------- boosted trees
+
+from dataclasses import replace  # noqa: E402
+
+from ..operators import boosting as BO  # noqa: E402
+
+# rounds of the registered fits; each level of each tree is a job
+WEIGHTED_ROUNDS, LEAF_WISE_ROUNDS = 20, 10
+
+
+def _tree_rows(spark, model: BO.Boosted, number: int) -> DataFrame:
+    """Nodes of one tree: place among the splits (0 at a leaf), split and sums."""
+    tree, s = model.history[number], model.settings
+    place = {n: i + 1 for i, n in enumerate(tree.order)}
+    rows = []
+    for n in [*tree.order, *tree.leaves()]:
+        x, split = tree.nodes[n], n in place
+        rows.append((n, place.get(n, 0), x.feature if split else -1, model.cuts[x.feature][x.cut] if split else 0.0,
+                     x.gain if split else 0.0, x.count, x.g / BO.UNIT, x.h / BO.UNIT, 0.0 if split else tree.value(n, s)))
+    df = spark.createDataFrame(rows, "node bigint, place bigint, feature bigint, threshold double, gain double, n bigint, g double, h double, value double")
+    return df.withColumns({c: F.round(c, 5) for c in ("threshold", "gain", "g", "h", "value")})
+
+
+@register("boosted_tree")
+def q_boosted_tree(spark, sf_dir):
+    """M4: boosting of depth 5 with row and column samples and class weight 111; the first tree's nodes with their sums."""
+    model = BO.fit(features(spark, sf_dir), DIMS, TARGET, "vec_id", replace(BO.BOOSTED_WEIGHTED, trees=WEIGHTED_ROUNDS))
+    return _tree_rows(spark, model, 0).drop("place")
+
+
+@register("leaf_wise_tree")
+def q_leaf_wise_tree(spark, sf_dir):
+    """M5: best-first growth to 31 leaves; the first tree's nodes in the order of their splits."""
+    model = BO.fit(features(spark, sf_dir), DIMS, TARGET, "vec_id", replace(BO.LEAF_WISE, trees=LEAF_WISE_ROUNDS))
+    return _tree_rows(spark, model, 0)

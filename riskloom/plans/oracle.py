@@ -905,3 +905,59 @@ cut AS (SELECT quantile_disc(score, 0.018) AS c FROM scores),
 decisions AS (SELECT vec_id, score, score - c AS decision FROM scores, cut)
 SELECT vec_id, round(score, 6) AS score, round(decision, 6) AS decision, CAST(CASE WHEN decision < 0 THEN -1 ELSE 1 END AS BIGINT) AS anomaly_label,
        round(min(decision) OVER (), 6) AS least, round(max(decision) OVER (), 6) AS most FROM decisions"""
+
+
+# ---------------------------------------------------------------- boosted trees
+
+from ..operators import boosting as BO  # noqa: E402
+
+
+def _boosted(s: BO.Settings) -> str:
+    """All gainful splits of the first tree down to the settings' depth (``sp``), and every node's sums (``nd``)."""
+    cols = BO.columns_of(0, 64, s.columns, s.seed)
+    start = "(SELECT ln(avg(y) / (1 - avg(y))) FROM pts)" if s.from_mean else "CAST(0.0 AS DOUBLE)"
+    mixed = "(CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8)) AS HUGEINT) * 2654435761) % 4294967296"
+    taken = f"""SELECT vec_id, CAST(xor(v, v >> 13) AS DOUBLE) / 4294967296.0 AS share FROM (
+  SELECT vec_id, CAST((CAST(xor(v, v >> 15) AS HUGEINT) * 2246822519) % 4294967296 AS BIGINT) AS v FROM (SELECT vec_id, CAST({mixed} AS BIGINT) AS v FROM features) a) b"""
+    out = [f"pts AS (SELECT vec_id, CAST({T} AS DOUBLE) AS y, {_VECTOR} AS x FROM features)",
+           "longs AS (SELECT f - 1 AS f, x[f] AS v FROM pts, range(1, 65) r(f))",
+           f"cuts AS MATERIALIZED (SELECT f, list_sort(list_distinct(quantile_disc(v, [{', '.join(repr(i / s.bins) for i in range(1, s.bins))}]))) AS c FROM longs WHERE f IN ({', '.join(map(str, cols))}) GROUP BY f)",
+           f"taken AS ({taken})",
+           f"probs AS (SELECT vec_id, 1 / (1 + exp(-{start})) AS p FROM pts)",
+           f"""grads AS (SELECT vec_id, x, round_even((p - y) * w * {BO.UNIT}, 0) AS g, round_even(p * (1 - p) * w * {BO.UNIT}, 0) AS h
+  FROM (SELECT pts.vec_id, x, y, p, CASE WHEN y = 1 THEN CAST({s.positive_weight} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS w
+        FROM pts JOIN probs USING (vec_id) JOIN taken USING (vec_id) WHERE share < CAST({s.rows} AS DOUBLE)) a)""",
+           f"r0 AS MATERIALIZED (SELECT 1 AS node, g, h, x FROM grads)"]
+    u = repr(BO.UNIT)
+    for d in range(s.depth):
+        out.append(f"""b{d} AS MATERIALIZED (SELECT node, f, len(list_filter(c, lambda e: e <= x[f + 1])) AS bin, count(*) AS n, sum(g) AS g, sum(h) AS h FROM r{d}, cuts GROUP BY ALL)""")
+        out.append(f"""e{d} AS MATERIALIZED (
+  SELECT b.node, b.f, k.range AS cut, sum(b.n) FILTER (b.bin <= k.range) AS nl, sum(b.g) FILTER (b.bin <= k.range) AS gl, sum(b.h) FILTER (b.bin <= k.range) AS hl,
+         sum(b.n) AS n, sum(b.g) AS g, sum(b.h) AS h FROM b{d} b, range({s.bins - 1}) k GROUP BY ALL)""")
+        out.append(f"""sp{d} AS MATERIALIZED (
+  SELECT * FROM (SELECT *, (gl / {u}) * (gl / {u}) / (hl / {u} + {s.ridge}) + ((g - gl) / {u}) * ((g - gl) / {u}) / ((h - hl) / {u} + {s.ridge}) - (g / {u}) * (g / {u}) / (h / {u} + {s.ridge}) AS gain FROM e{d}
+                 WHERE nl >= {s.least_rows} AND n - nl >= {s.least_rows} AND hl / {u} >= {s.least_hessian} AND (h - hl) / {u} >= {s.least_hessian}) q
+  WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1)""")
+        out.append(f"""r{d + 1} AS MATERIALIZED (SELECT r.node * 2 + CASE WHEN x[s.f + 1] < c.c[s.cut + 1] THEN 0 ELSE 1 END AS node, r.g, r.h, r.x
+  FROM r{d} r JOIN sp{d} s ON s.node = r.node JOIN cuts c ON c.f = s.f)""")
+    out.append("sp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s.*, c.c[s.cut + 1] AS thr FROM sp{d} s JOIN cuts c ON c.f = s.f" for d in range(s.depth)) + ")")
+    out.append("nd AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT node, count(*) AS n, sum(g) / {u} AS g, sum(h) / {u} AS h FROM r{d} GROUP BY node" for d in range(s.depth + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _node_rows(s: BO.Settings, place: str) -> str:
+    return f"""SELECT CAST(n.node AS BIGINT) AS node, {place} CAST(coalesce(s.f, -1) AS BIGINT) AS feature, round(coalesce(s.thr, 0.0), 5) AS threshold, round(coalesce(s.gain, 0.0), 5) AS gain,
+       CAST(n.n AS BIGINT) AS n, round(n.g, 5) AS g, round(n.h, 5) AS h, round(CASE WHEN s.node IS NULL THEN -n.g / (n.h + {s.ridge}) * {s.rate} ELSE 0.0 END, 5) AS value"""
+
+
+ORACLE["boosted_tree"] = with_ctes(features_cte(), _boosted(BO.BOOSTED_WEIGHTED)) + "\n" + _node_rows(BO.BOOSTED_WEIGHTED, "") + " FROM nd n LEFT JOIN sp s ON s.node = n.node"
+
+ORACLE["leaf_wise_tree"] = "WITH RECURSIVE" + with_ctes(features_cte(), _boosted(BO.LEAF_WISE)).strip()[4:] + f""",
+every AS (SELECT list({{'gain': gain, 'last': -node}}) AS splits FROM sp),
+steps AS (SELECT 0 AS place, 0 AS node, list_filter(splits, lambda e: e.last = -1) AS open, splits FROM every
+  UNION ALL
+  SELECT place + 1, -best.last, list_concat(list_filter(open, lambda e: e.last <> best.last), list_filter(splits, lambda e: e.last IN (2 * best.last, 2 * best.last - 1))), splits
+  FROM (SELECT *, list_max(open) AS best FROM steps WHERE len(open) > 0 AND place < {BO.LEAF_WISE.leaves} - 1) q),
+chosen AS (SELECT s.*, t.place FROM sp s JOIN steps t ON t.node = s.node)
+""" + _node_rows(BO.LEAF_WISE, "CAST(coalesce(s.place, 0) AS BIGINT) AS place,") + """
+FROM nd n LEFT JOIN chosen s ON s.node = n.node WHERE n.node = 1 OR n.node // 2 IN (SELECT node FROM chosen)"""
