@@ -2,9 +2,13 @@
 
 Neighbours are found among the minority in one of two ways that the caller chooses:
 
-* ``exact``: every minority row against every other, in blocks.  In many dimensions no
-  ordering rules pairs out, so this is quadratic; it is for minorities of at most
-  ``EXACT_ROWS`` rows and refuses larger ones.
+* ``exact``, at any size: about sqrt(n) rows are pivots, a row belongs to its nearest one, and
+  rows ordered by (pivot, distance to it) make blocks of ``BLOCK``.  A row's k nearest of its
+  own block, or the k nearest pivots, bound how far its neighbours can be; by the triangle
+  inequality a block can hold one only if the row's distance to the block's
+  pivot is within that bound of the block's range of distances.  Rows meet just those blocks,
+  by a join.  How many pairs are left depends on the data: clusters are told apart,
+  in many dimensions without structure nothing rules pairs out (``neighbour_pairs`` counts them).
 * ``projections``: ``PROJECTIONS`` fixed random directions; along each, the
   ``REACH`` rows before and after are candidates, whose true distances decide.  Work is
   linear in the rows, and neighbours far apart along all directions are missed.
@@ -16,49 +20,118 @@ partitioning; x_new = x + u·(x_nn − x).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .alerts import hash_fraction
 from .models import draws, numbered_minority
+from .ranking import global_row_number
 
-EXACT_ROWS = 20_000
+BLOCK = 256
+SLACK = 1e-9  # bounds are widened by this share, against rounding
 PROJECTIONS, REACH = 12, 8
+RANGE = 4096  # rows of one range along a direction
 
 
 def _dist(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _candidates(pts: DataFrame, n: int, width: int, method: str) -> DataFrame:
-    """(i, j, vi, vj) of pairs whose distance is to be taken."""
+def _placed(pts: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """pick, v, the nearest pivot (``cell``), the distance to it and the distance to the k-th pivot that is another row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            d = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in v]) if len(pdf) else np.zeros((0, len(pivots)))
+            cell = d.argmin(axis=1) if len(pdf) else np.zeros(0, int)
+            others = d.copy()
+            own = pdf["pick"].to_numpy() - 1  # pivots are the rows of the first numbers
+            rows = np.flatnonzero(own < len(pivots))
+            others[rows, own[rows]] = np.inf
+            far = np.sort(others, axis=1)[:, k - 1] if len(pivots) >= k else np.full(len(pdf), np.inf)
+            yield pd.DataFrame({"pick": pdf["pick"], "v": pdf["v"], "cell": cell, "near": d[np.arange(len(d)), cell], "far": far})
+
+    return pts.select("pick", "v").mapInPandas(run, "pick bigint, v array<double>, cell int, near double, far double")
+
+
+def _probes(rows: DataFrame, blocks: pd.DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(i, vi, block): the blocks, but the row's own, that can hold a neighbour within ``bound``."""
+    blocks = blocks.sort_values(["cell", "block"])
+    first = np.searchsorted(blocks["cell"].to_numpy(), np.arange(len(pivots) + 1))
+    low, high, number = blocks["low"].to_numpy(), blocks["high"].to_numpy(), blocks["block"].to_numpy()
+    cell_low = np.array([low[a:b].min() if b > a else np.inf for a, b in zip(first, first[1:])])
+    cell_high = np.array([high[a:b].max() if b > a else -np.inf for a, b in zip(first, first[1:])])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            i, v, to = [], [], []
+            for pick, x, own, bound in zip(pdf["pick"], pdf["v"], pdf["block"], pdf["bound"]):
+                d = np.sqrt(((pivots - x) ** 2).sum(axis=1))
+                wide = bound * (1 + SLACK) + SLACK
+                for c in np.flatnonzero((d - wide <= cell_high) & (d + wide >= cell_low)):
+                    at = slice(first[c], first[c + 1])
+                    hit = number[at][(d[c] - wide <= high[at]) & (d[c] + wide >= low[at])]
+                    hit = hit[hit != own]
+                    i += [pick] * len(hit)
+                    v += [x] * len(hit)
+                    to += hit.tolist()
+            yield pd.DataFrame({"i": i, "vi": v, "block": to})
+
+    return rows.select("pick", "v", "block", "bound").mapInPandas(run, "i bigint, vi array<double>, block bigint")
+
+
+def neighbour_pairs(pts: DataFrame, n: int, k: int) -> DataFrame:
+    """(i, j, dist) of all pairs that can be among the k nearest of i: exact, by pivots."""
+    ensure_checkpoint_dir(pts.sparkSession)
+    pts = pts.select("pick", "v").checkpoint(eager=True)
+    pivots = np.array([r.v for r in pts.where(F.col("pick") <= max(k + 1, math.isqrt(n))).orderBy("pick").collect()], dtype=float)  # sqrt(n) rows
+    if n < 2:
+        return pts.select(F.col("pick").alias("i"), F.col("pick").alias("j"), F.lit(0.0).alias("dist")).limit(0)
+    numbered = global_row_number(_placed(pts, pivots, k), [F.col("cell"), F.col("near"), F.col("pick")], "no")
+    # a block is of one cell; its number rises with the order
+    rows = numbered.withColumn("block", F.floor((F.col("no") - 1) / BLOCK) * len(pivots) + F.col("cell")).drop("no").checkpoint(eager=True)
+    member = rows.select(F.col("pick").alias("j"), F.col("v").alias("vj"), "block")
+    asked = rows.select(F.col("pick").alias("i"), F.col("v").alias("vi"), "block")
+
+    def met(probes: DataFrame) -> DataFrame:
+        return probes.join(member, "block").where("i <> j").select("i", "j", _dist(F.col("vi"), F.col("vj")).alias("dist"))
+
+    at_home = met(asked)
+    bound = at_home.groupBy("i").agg(F.get(F.slice(F.array_sort(F.collect_list("dist")), k, 1), F.lit(0)).alias("home"))
+    # n / BLOCK + sqrt(n) rows of four numbers
+    blocks = rows.groupBy("cell", "block").agg(F.min("near").alias("low"), F.max("near").alias("high")).toPandas()
+    bounded = rows.join(bound, F.col("pick") == F.col("i"), "left").withColumn("bound", F.least("far", "home"))
+    return at_home.union(met(_probes(bounded, blocks, pivots)))
+
+
+def _by_projections(pts: DataFrame, n: int, width: int) -> DataFrame:
+    """(i, j, dist) of pairs that are near each other along one of the directions."""
     other = pts.select(F.col("pick").alias("j"), F.col("v").alias("vj"))
     mine = pts.select(F.col("pick").alias("i"), F.col("v").alias("vi"))
-    if method == "exact":
-        if n > EXACT_ROWS:
-            raise ValueError(f"{n} minority rows: the exact neighbours are for at most {EXACT_ROWS}; use method='projections'")
-        return mine.join(other, F.col("i") != F.col("j"))
     axes = np.random.default_rng(7).standard_normal((PROJECTIONS, width))
     parts = []
     for a in axes:
         p = reduce(lambda x, y: x + y, [F.col("v")[d] * F.lit(float(w)) for d, w in enumerate(a)])
-        # ranges of about equal numbers of rows; a row meets the ends of the ranges beside its own
-        cuts = pts.select(p.alias("p")).agg(F.percentile_approx("p", [i / 64 for i in range(1, 64)], 10000)).first()[0] if n > 64 * 4 * REACH else []
-        placed = pts.select(F.col("pick").alias("i"), p.alias("p"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= p)).alias("b") if cuts else F.lit(0).alias("b"))
-        w = Window.partitionBy("b").orderBy("p", "i")
+        # ranges of RANGE rows along the direction
+        placed = global_row_number(pts.select(F.col("pick").alias("i"), p.alias("p")), [F.col("p"), F.col("i")], "no")
+        w = Window.partitionBy(F.floor((F.col("no") - 1) / RANGE)).orderBy("no")
         near = F.array_compact(F.array(*[f("i", k).over(w) for k in range(1, REACH + 1) for f in (F.lag, F.lead)]))
         # outer form: an inner explode would have the window pushed into a filter
         parts.append(placed.select("i", near.alias("near")).select("i", F.explode_outer("near").alias("j")).where("j is not null"))
     pairs = reduce(DataFrame.unionByName, parts).distinct()
-    return pairs.join(mine, "i").join(other, "j")
+    return pairs.join(mine, "i").join(other, "j").select("i", "j", _dist(F.col("vi"), F.col("vj")).alias("dist"))
 
 
 def knn_minority(pts: DataFrame, n: int, width: int, k: int, method: str = "exact") -> DataFrame:
     """(i, rank, j, dist): k nearest among ``pts`` (pick, v), ties by number."""
-    d = _candidates(pts, n, width, method).select("i", "j", _dist(F.col("vi"), F.col("vj")).alias("dist"))
+    d = neighbour_pairs(pts, n, k) if method == "exact" else _by_projections(pts, n, width)
     best = Window.partitionBy("i").orderBy("dist", "j")
     return d.select("i", "j", "dist", F.row_number().over(best).alias("rank")).filter(F.col("rank") <= k)
 
