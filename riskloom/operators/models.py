@@ -22,7 +22,6 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -30,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .alerts import hash_fraction
-from .evaluate import confusion_metrics, roc_pr_auc, stratified_assign
+from . import l1_logistic as L1
+from .evaluate import confusion_metrics, roc_pr_auc, roc_pr_auc_by, stratified_assign
 from .mutual_info import mutual_information, top_k_features
 from .preprocess import GovernancePreprocessor, PreprocessorModel
 from .ranking import global_row_number
@@ -191,52 +191,48 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: str, mod
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def elimination_step(remaining: list[str], weight: list[float], n_features: int, step: float, least: int) -> list[str]:
+    """What one round of G10 drops: the least weights, ties in column order, at least one and never below ``least``."""
+    n = min(max(1, int(math.floor(step * n_features))), len(remaining) - least)
+    order = sorted(range(len(remaining)), key=lambda i: (weight[i], i))
+    return [remaining[i] for i in order[:max(n, 0)]]
+
+
+def eliminated_in(features: list[str], weights: dict[str, float], step: float, least: int) -> dict[str, int]:
+    """The round, from 1, in which each feature goes if its weight never changes; 0 if it stays."""
+    left, out, number = list(features), dict.fromkeys(features, 0), 0
+    while len(left) > least:
+        number += 1
+        for f in elimination_step(left, [weights[f] for f in left], len(features), step, least):
+            out[f] = number
+            left.remove(f)
+    return out
+
+
 def rfe_cv(df: DataFrame, features: list[str], label: str, key: str, step: float = 0.05, min_features: int = 20,
-           folds: int = 3, estimator=None) -> list[tuple[str, int, bool]]:
+           folds: int = 3, estimator=None, penalty: float = 10.0) -> list[tuple[str, int, bool]]:
     """Recursive elimination by |LR coefficient|, ROC AUC over stratified folds.
 
-    Returns (feature, ranking, selected).  Each round fits ``folds`` models and one on all
-    rows on the cluster; the loop itself only carries column lists.  ``estimator(n)`` makes
-    an unfitted classifier with ``coefficients`` for n rows (Y2; default: L1 logistic).
+    Returns (feature, ranking, selected).  A round fits the folds and the whole together
+    (``l1_logistic``, penalty 1/C), and one pass scores every row by the model that has not
+    seen it; what goes next is decided by the fit on all rows.  ``estimator`` is another way to
+    fit (Y2): from (rows of x, y, fold; width; folds to leave out, -1 for none) to coefficients,
+    a row a model, intercept first.
     """
-    estimator = estimator or (lambda n: LogisticRegression(
-        elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False, maxIter=200, featuresCol="features", labelCol=label))
-    assigned = stratified_assign(df, label, key, k=folds).cache()
-    n = assigned.count()
-    remaining = list(features)
-    ranking: dict[str, int] = {}
-    history = []
+    estimator = estimator or (lambda rows, width, models: L1.fit_folds(rows, width, penalty, models))
+    assigned = stratified_assign(df.select(key, label, *features), label, key, k=folds).select(key, label, "fold", *features).checkpoint(eager=True)
+    remaining, history = list(features), []
     while True:
-        aucs = []
-        for f in range(folds):
-            tr = assigned.filter(F.col("fold") != f)
-            te = assigned.filter(F.col("fold") == f)
-            pipe = Pipeline(stages=[VectorAssembler(inputCols=remaining, outputCol="features"), estimator(n)]).fit(tr)
-            # exact (numBins=0) ROC AUC from MLlib for the inner loop; no checkpoints per fold
-            ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label,
-                                               metricName="areaUnderROC", numBins=0)
-            aucs.append(ev.evaluate(pipe.transform(te.withColumn(label, F.col(label).cast("double")))))
-        # what goes next is decided by a fit on all rows, as in the final elimination
-        whole = Pipeline(stages=[VectorAssembler(inputCols=remaining, outputCol="features"), estimator(n)]).fit(assigned)
-        coefs = [abs(v) for v in whole.stages[-1].coefficients.toArray()]
-        history.append((list(remaining), sum(aucs) / len(aucs)))
-        if len(remaining) <= min_features:
+        models = [*range(folds), -1]
+        weights = estimator(L1.training_rows(assigned, remaining, label), len(remaining), models)
+        held = F.coalesce(*[F.when(F.col("fold") == m, L1.margin(weights[m], remaining)) for m in range(folds)])
+        aucs = [r.roc_auc for r in roc_pr_auc_by(assigned.select("fold", label, held.alias("p")), "p", label, ["fold"]).collect()]
+        known = [a for a in aucs if a is not None]
+        history.append((list(remaining), sum(known) / len(known) if known else 0.0))
+        dropped = elimination_step(remaining, [abs(w) for w in weights[-1][1:]], len(features), step, min_features) if len(remaining) > min_features else []
+        if not dropped:
             break
-        drop_n = max(1, int(math.floor(step * len(features))))
-        drop_n = min(drop_n, len(remaining) - min_features)
-        order = sorted(range(len(remaining)), key=lambda i: (coefs[i], i))
-        dropped = [remaining[i] for i in order[:drop_n]]
-        for d in dropped:
-            ranking[d] = 0
         remaining = [r for r in remaining if r not in dropped]
     best = max(history, key=lambda h: (h[1], -len(h[0])))[0]
     # ranking: 1 for the best subset, then by elimination round (later = better)
-    out = []
-    for f in features:
-        if f in best:
-            out.append((f, 1, True))
-        else:
-            rounds_survived = sum(1 for subset, _ in history if f in subset)
-            out.append((f, 1 + len(history) - rounds_survived, False))
-    assigned.unpersist()
-    return out
+    return [(f, 1, True) if f in best else (f, 1 + len(history) - sum(f in subset for subset, _ in history), False) for f in features]

@@ -1003,3 +1003,15 @@ def q_leaf_wise_tree(spark, sf_dir):
     """M5: best-first growth to 31 leaves; the first tree's nodes in the order of their splits."""
     model = BO.fit(features(spark, sf_dir), DIMS, TARGET, "vec_id", replace(BO.LEAF_WISE, trees=LEAF_WISE_ROUNDS))
     return _tree_rows(spark, model, 0)
+
+
+# ---------------------------------------------------------------- elimination from given weights
+
+@register("elimination_rounds")
+def q_elimination_rounds(spark, sf_dir):
+    """The round in which each feature goes when its weight is the difference of the classes' means."""
+    fm = features(spark, sf_dir)
+    gap = [F.round(F.abs(F.avg(F.when(F.col(TARGET) == 1, F.col(c))) - F.avg(F.when(F.col(TARGET) == 0, F.col(c)))), 9).alias(c) for c in DIMS]
+    weights = fm.agg(*gap).first().asDict()
+    rounds = MD.eliminated_in(DIMS, weights, K.RFE_STEP, K.RFE_MIN_FEATURES)
+    return spark.createDataFrame([(f, weights[f], rounds[f]) for f in DIMS], "feature string, weight double, dropped_in bigint").withColumn("weight", round6("weight"))

@@ -961,3 +961,9 @@ steps AS (SELECT 0 AS place, 0 AS node, list_filter(splits, lambda e: e.last = -
 chosen AS (SELECT s.*, t.place FROM sp s JOIN steps t ON t.node = s.node)
 """ + _node_rows(BO.LEAF_WISE, "CAST(coalesce(s.place, 0) AS BIGINT) AS place,") + """
 FROM nd n LEFT JOIN chosen s ON s.node = n.node WHERE n.node = 1 OR n.node // 2 IN (SELECT node FROM chosen)"""
+
+ORACLE["elimination_rounds"] = with_ctes(features_cte(), f"""gaps AS (SELECT f - 1 AS f, round(abs(avg(x[f]) FILTER (y = 1) - avg(x[f]) FILTER (y = 0)), 9) AS w
+  FROM (SELECT {_VECTOR} AS x, {T} AS y FROM features) p, range(1, 65) r(f) GROUP BY f),
+placed AS (SELECT *, row_number() OVER (ORDER BY w, f) - 1 AS place FROM gaps)""") + f"""
+SELECT 'F' || f AS feature, round(w, 6) AS weight,
+       CAST(CASE WHEN place >= 64 - {K.RFE_MIN_FEATURES} THEN 0 ELSE 1 + place // greatest(1, CAST(floor({K.RFE_STEP} * 64) AS INTEGER)) END AS BIGINT) AS dropped_in FROM placed"""
