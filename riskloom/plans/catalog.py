@@ -1015,3 +1015,28 @@ def q_elimination_rounds(spark, sf_dir):
     weights = fm.agg(*gap).first().asDict()
     rounds = MD.eliminated_in(DIMS, weights, K.RFE_STEP, K.RFE_MIN_FEATURES)
     return spark.createDataFrame([(f, weights[f], rounds[f]) for f in DIMS], "feature string, weight double, dropped_in bigint").withColumn("weight", round6("weight"))
+
+
+# ---------------------------------------------------------------- Shapley values of any model
+
+from ..operators import shapley as SH  # noqa: E402
+
+SHAPLEY_PAIRS = 4
+
+
+def _shapley(spark, sf_dir, pairs):
+    fm, model = features(spark, sf_dir), _flat_model()
+    background = fm.agg(*[F.avg(f).alias(f) for f in model.features]).first().asDict()
+    return SH.explained(fm, model, background, "vec_id", pairs).withColumn("shap", F.round("shap", 6))
+
+
+@register("shapley_exact")
+def q_shapley_exact(spark, sf_dir):
+    """Shapley values of a model's probability over all sets of its eight features."""
+    return _shapley(spark, sf_dir, None)
+
+
+@register("shapley_sampled")
+def q_shapley_sampled(spark, sf_dir):
+    """The same from drawn orders and their reverses."""
+    return _shapley(spark, sf_dir, SHAPLEY_PAIRS)

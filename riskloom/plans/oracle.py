@@ -967,3 +967,23 @@ ORACLE["elimination_rounds"] = with_ctes(features_cte(), f"""gaps AS (SELECT f -
 placed AS (SELECT *, row_number() OVER (ORDER BY w, f) - 1 AS place FROM gaps)""") + f"""
 SELECT 'F' || f AS feature, round(w, 6) AS weight,
        CAST(CASE WHEN place >= 64 - {K.RFE_MIN_FEATURES} THEN 0 ELSE 1 + place // greatest(1, CAST(floor({K.RFE_STEP} * 64) AS INTEGER)) END AS BIGINT) AS dropped_in FROM placed"""
+
+
+# ---------------------------------------------------------------- Shapley values of any model
+
+from .catalog import SHAPLEY_PAIRS  # noqa: E402
+
+_P8 = "1 / (1 + exp(-(CAST(0.25 AS DOUBLE) + " + " + ".join(f"CAST({w!r} AS DOUBLE) * CASE WHEN {{has}} THEN x[{i + 1}] ELSE b[{i + 1}] END".replace("{has}", f"({{set}} >> {i}) & 1 = 1") for i, (_, w) in enumerate(_FLAT)) + ")))"
+_SHAPLEY = with_ctes(features_cte(), f"""base AS (SELECT [{", ".join(f"avg({f})" for f, _ in _FLAT)}] AS b FROM features),
+sets AS MATERIALIZED (SELECT vec_id, m.range AS m, {_P8.replace("{set}", "m.range")} AS p FROM (SELECT vec_id, [{", ".join(f for f, _ in _FLAT)}] AS x FROM features) v, base, range(256) m)""")
+
+ORACLE["shapley_exact"] = _SHAPLEY + """
+SELECT a.vec_id, 'F' || f.range AS feature, round(sum((b.p - a.p) * factorial(bit_count(a.m)) * factorial(7 - bit_count(a.m)) / factorial(8)), 6) AS shap
+FROM range(8) f, sets a JOIN sets b ON b.vec_id = a.vec_id AND b.m = a.m + (1 << f.range) WHERE (a.m >> f.range) & 1 = 0 GROUP BY ALL"""
+
+ORACLE["shapley_sampled"] = _SHAPLEY + f""",
+places AS (SELECT r.range AS r, f.range AS f, row_number() OVER (PARTITION BY r.range ORDER BY md5('42|' || r.range || '|' || f.range)) - 1 AS place FROM range({SHAPLEY_PAIRS}) r, range(8) f),
+orders AS (SELECT 2 * r AS o, f, place FROM places UNION ALL SELECT 2 * r + 1, f, 7 - place FROM places),
+turns AS (SELECT a.o, a.f, CAST(coalesce(sum(1 << b.f), 0) AS BIGINT) AS before FROM orders a LEFT JOIN orders b ON b.o = a.o AND b.place < a.place GROUP BY ALL)
+SELECT a.vec_id, 'F' || t.f AS feature, round(avg(b.p - a.p), 6) AS shap
+FROM turns t JOIN sets a ON a.m = t.before JOIN sets b ON b.vec_id = a.vec_id AND b.m = t.before + (1 << t.f) GROUP BY ALL"""
