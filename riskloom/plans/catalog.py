@@ -1040,3 +1040,26 @@ def q_shapley_exact(spark, sf_dir):
 def q_shapley_sampled(spark, sf_dir):
     """The same from drawn orders and their reverses."""
     return _shapley(spark, sf_dir, SHAPLEY_PAIRS)
+
+
+# ---------------------------------------------------------------- keyed stream state
+
+@register("stream_keyed_state")
+def q_stream_keyed_state(spark, sf_dir):
+    """The update requests through keyed state with timers; must equal the fold of the log (stream_workflow_state)."""
+    from ..streaming import workflow_state as KS
+
+    alerts, logs = alert_store(spark, sf_dir)
+    updates = alert_updates(Tables(spark, sf_dir))
+    base, src, ckpt = (scratch_path(spark, n) for n in ("keyed-state", "keyed-updates", "keyed-ckpt"))
+    KS.open_state(alerts, base)
+    updates.repartition(8, "update_seq").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    KS.run_state_stream(spark, src, schema, base, ckpt, delay=YEARLY_FILES)
+    KS.close(spark, spark.read.schema(schema).parquet(src), src)
+    KS.run_state_stream(spark, src, schema, base, ckpt, delay=YEARLY_FILES)
+    after, update_logs = KS.state_of(spark, base)
+    n_logs = logs.select("alert_key").unionByName(update_logs.select("alert_key")).groupBy("alert_key").agg(F.count(F.lit(1)).alias("n_logs"))
+    return after.join(n_logs, "alert_key", "left").select(
+        "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),
+        F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))

@@ -987,3 +987,5 @@ orders AS (SELECT 2 * r AS o, f, place FROM places UNION ALL SELECT 2 * r + 1, f
 turns AS (SELECT a.o, a.f, CAST(coalesce(sum(1 << b.f), 0) AS BIGINT) AS before FROM orders a LEFT JOIN orders b ON b.o = a.o AND b.place < a.place GROUP BY ALL)
 SELECT a.vec_id, 'F' || t.f AS feature, round(avg(b.p - a.p), 6) AS shap
 FROM turns t JOIN sets a ON a.m = t.before JOIN sets b ON b.vec_id = a.vec_id AND b.m = t.before + (1 << t.f) GROUP BY ALL"""
+
+ORACLE["stream_keyed_state"] = ORACLE["stream_workflow_state"]
