@@ -56,3 +56,62 @@ def test_workflow_replay_order_and_compaction(spark, txn):
     WS.compact(spark, base, new)
     assert state(new) == state(once)
     assert spark.read.parquet(f"{base}/updates").filter(F.col("batch_id") >= 0).count() > 0
+
+
+def test_a_batch_reads_only_folders_that_can_match(spark, txn, monkeypatch):
+    path = scratch_path(spark, "sink")
+    ST.create_sink(spark, path, ST.ALERT_STREAM_SCHEMA)
+    write, timed = ST.alert_sink(path), ST.with_event_time(txn)
+    write(timed.where("seq % 3 = 0"), 0)
+    write(timed.where("seq % 3 = 1"), 1)
+    read = []
+    found = ST.possible_folders
+    monkeypatch.setattr(ST, "possible_folders", lambda keys, filters: read.append(found(keys, filters)) or read[-1])
+    write(timed.where("seq % 3 = 2"), 2)  # nothing of it is stored
+    first = spark.read.parquet(path).where("batch_id = 0").select("transaction_id").first()[0]
+    write(timed.where(F.col("transaction_id") == first), 3)
+    size = {b: sum(int(f.getLen()) for f in files(spark, f"{path}/batch_id={b}")) for b in (0, 1, 2)}
+    assert len(read[0]) <= 1 and len(read[1]) == 1 and read[1][0][0] == 0
+    b, k = read[1][0]
+    used = sum(int(f.getLen()) for f in files(spark, f"{path}/batch_id={b}/bucket={k}"))
+    assert 0 < used < sum(size.values()) / 8
+    rows = spark.read.parquet(path)
+    assert rows.count() == rows.select("transaction_id").distinct().count()
+
+
+def files(spark, path):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    while found.hasNext():
+        yield found.next()
+
+
+def test_keyed_state_equals_the_fold_and_replays(spark, txn):
+    from riskloom.streaming import workflow_state as KS
+
+    alerts, _ = materialize_alerts(score_transactions(txn))
+    alerts = alerts.limit(12).cache()
+    accounts = [r[0] for r in alerts.select("sender_id").distinct().collect()]
+    updates = alert_updates(Tables(spark, SF_SMALL)).limit(60).withColumn(
+        "account_id", F.element_at(F.array(*[F.lit(a) for a in accounts]), (F.col("update_seq") % len(accounts) + 1).cast("int"))).cache()
+    base, src, ckpt = (scratch_path(spark, n) for n in ("state", "src", "ckpt"))
+    KS.open_state(alerts, base)
+    schema = updates.schema
+    for part in (1, 0):  # the later half first
+        updates.where(F.col("update_seq") % 2 == part).coalesce(1).write.mode("append").parquet(src)
+        KS.run_state_stream(spark, src, schema, base, ckpt, "400 days")
+    waiting = spark.read.parquet(f"{base}/applied").count()
+    KS.close(spark, updates, src)
+    for _ in range(2):  # the second run has nothing to do
+        KS.run_state_stream(spark, src, schema, base, ckpt, "400 days")
+    once = scratch_path(spark, "store")
+    WS.open_store(alerts, once, updates)
+    WS.workflow_sink(once)(updates, 0)
+    want, want_logs = WS.current_state(spark, once)
+    got, got_logs = KS.state_of(spark, base)
+    cols = ["alert_key", "status", "assigned_to", "n_updates"]
+    assert waiting == 0
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    names = ["alert_key", "log_seq", "action", "timestamp"]
+    assert sorted(map(tuple, got_logs.select(names).collect())) == sorted(map(tuple, want_logs.where("log_seq > 0").select(names).collect()))
