@@ -1063,3 +1063,33 @@ def q_stream_keyed_state(spark, sf_dir):
     return after.join(n_logs, "alert_key", "left").select(
         "id", "status", "assigned_to", F.col("n_updates").cast("bigint").alias("n_updates"),
         F.coalesce(F.col("n_logs"), F.lit(0)).cast("bigint").alias("n_logs"))
+
+
+# ---------------------------------------------------------------- ML stages and versions of the store
+
+@register("ml_pipeline_matrix")
+def q_ml_pipeline_matrix(spark, sf_dir):
+    """The preprocessed matrix from a pyspark.ml Pipeline that was saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ..operators.ml_stages import GovernanceStage
+
+    fm, path = features(spark, sf_dir), scratch_path(spark, "governance-pipeline")
+    Pipeline(stages=[GovernanceStage(labelCol=TARGET, keyCol="vec_id")]).fit(fm).write().save(path)
+    return _matrix_rows(PipelineModel.load(path).transform(fm))
+
+
+@register("alert_store_versions")
+def q_alert_store_versions(spark, sf_dir):
+    """The opening store and the updated one committed in turn; rows of each version and status, and of seeds where no store is."""
+    from ..sources import snapshots as SN
+
+    alerts, logs, after, update_logs, _ = workflow(spark, sf_dir)
+    base = scratch_path(spark, "alert-store")
+    seeded, _ = SN.read(spark, base, seed=(alerts.where("seq % 100 = 0"), logs))
+    SN.commit(alerts, logs, base)
+    opened, _ = SN.read(spark, base)
+    SN.commit(after, logs.unionByName(update_logs), base)
+    updated, _ = SN.read(spark, base)
+    versions = [f.select(F.lit(n).alias("version"), "status") for n, f in (("seed", seeded), ("opened", opened), ("updated", updated))]
+    return versions[0].unionByName(versions[1]).unionByName(versions[2]).groupBy("version", "status").agg(F.count("*").alias("n"))
