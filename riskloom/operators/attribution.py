@@ -129,13 +129,23 @@ def relative_importance(importance: DataFrame) -> DataFrame:
                                    * F.lit(100.0)).alias("relative_pct"))
 
 
-def catalog_enrich(importance: DataFrame) -> DataFrame:
-    """Feature id → friendly name/type, default 'Anonymized Feature <id>'."""
+def catalog_enrich(importance: DataFrame, drivers: DataFrame | None = None) -> DataFrame:
+    """Feature id → friendly name/type, default 'Anonymized Feature <id>'.
+
+    With ``drivers`` (feature, type, shap_value, value: what is known of some features, a row each)
+    also shap_value and value; a feature that isn't among them is a 'Model Feature' with its
+    importance and '0.00'.
+    """
     spark = importance.sparkSession
     cat = spark.createDataFrame(list(K.FEATURE_DESCRIPTIONS.items()), "feature string, name string")
     j = importance.join(F.broadcast(cat), "feature", "left")
-    return j.select("*").withColumn("name", F.coalesce(F.col("name"), F.concat(F.lit("Anonymized Feature "), F.col("feature")))) \
-        .withColumn("type", F.lit("Model Feature"))
+    named = j.withColumn("name", F.coalesce(F.col("name"), F.concat(F.lit("Anonymized Feature "), F.col("feature"))))
+    if drivers is None:
+        return named.withColumn("type", F.lit("Model Feature"))
+    known = drivers.select("feature", F.col("type").alias("__t"), F.col("shap_value").alias("__s"), F.col("value").alias("__v"))
+    return named.join(known, "feature", "left").select(
+        *named.columns, F.coalesce("__t", F.lit("Model Feature")).alias("type"), F.coalesce("__s", "mean_abs_attribution").alias("shap_value"),
+        F.coalesce("__v", F.lit("0.00")).alias("value"))
 
 
 def beeswarm(long: DataFrame, top: DataFrame) -> DataFrame:

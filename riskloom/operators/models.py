@@ -24,11 +24,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from .alerts import hash_fraction
+from .column_models import ColumnModel
 from . import l1_logistic as L1
 from .evaluate import confusion_metrics, roc_pr_auc, roc_pr_auc_by, stratified_assign
 from .mutual_info import mutual_information, top_k_features
@@ -49,7 +50,7 @@ def normalise_model_name(name: str, available: list[str]) -> str:
 
 
 def estimators(n_train: int, seed: int = 42) -> dict:
-    """M1–M5 with the reference hyper-parameters (M12 record via ``hyper_parameters``)."""
+    """M1–M5 on MLlib with the reference hyper-parameters as far as it has them (``random_trees``, ``boosting`` and ``l1_logistic`` have all)."""
     return {
         "logisticregression": LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n_train, 1)),
                                                  standardization=False, maxIter=1000),
@@ -63,17 +64,6 @@ def estimators(n_train: int, seed: int = 42) -> dict:
     }
 
 
-def hyper_parameters(n_train: int) -> list[tuple[str, str, str]]:
-    """(model, parameter, value) rows."""
-    rows = []
-    for name, est in estimators(n_train).items():
-        for p, v in est.extractParamMap().items():
-            if p.name in ("maxIter", "maxDepth", "numTrees", "stepSize", "regParam", "elasticNetParam",
-                          "bootstrap", "featureSubsetStrategy", "seed", "standardization"):
-                rows.append((name, p.name, str(v)))
-    return rows
-
-
 def fit(train: DataFrame, features: list[str], label: str, names: list[str] | None = None) -> dict[str, PipelineModel]:
     n = train.count()
     est = estimators(n)
@@ -113,6 +103,20 @@ def evaluation_record(df: DataFrame, prob: str, label: str, model: str) -> DataF
                                  "roc_auc", "pr_auc", "tn", "fp", "fn", "tp")
 
 
+def anomaly_record(labelled: DataFrame, label: str, model: str = "isolationforest") -> DataFrame:
+    """M8: the record of the anomaly model: its -1 rows as class 1; areas are the fixed 0.5 and 0.0, as it gives no probability."""
+    c = confusion_metrics(labelled, label, F.col("anomaly_label") == -1)
+    return c.select(F.lit(model).alias("model"), "accuracy", "precision", "recall", "f1", F.lit(0.5).alias("roc_auc"), F.lit(0.0).alias("pr_auc"), "tn", "fp", "fn", "tp")
+
+
+def active_probability(request: str, models: dict[str, ColumnModel], x: dict) -> tuple[str, Column]:
+    """The name and probability of the model that ``request`` means; the fallback where there is none or it fails."""
+    if not models:
+        return "none", F.lit(K.PREDICTION_FALLBACK)
+    name = normalise_model_name(request, list(models))
+    return name, F.coalesce(models[name].probability(x), F.lit(K.PREDICTION_FALLBACK))
+
+
 def draws(spark, n: int, size: int, seed: int) -> DataFrame:
     """``n`` rows (draw, pick) with pick in 1..size, from the md5 of the draw's number: the
     same at any partitioning."""

@@ -77,6 +77,13 @@ class PreprocessorModel:
         return spark.createDataFrame(rows, "feature string, position int, decision string, reason string, impute_value string")
 
 
+    def audit(self, spark: SparkSession) -> DataFrame:
+        """What was dropped for which reason and what is left, as counts and lists."""
+        lists = {"missing_threshold": self.dropped_missing, "target_leakage": self.dropped_leakage, "low_variance": self.dropped_low_variance,
+                 "numeric": self.numeric_features, "categorical": self.categorical_features, "input": self.input_columns, "output": self.output_columns}
+        return spark.createDataFrame([(k, len(v), list(v)) for k, v in lists.items()], "section string, n long, features array<string>")
+
+
 @dataclass
 class GovernancePreprocessor:
     missing_threshold: float = K.MISSING_THRESHOLD

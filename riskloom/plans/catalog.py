@@ -388,13 +388,17 @@ def q_preprocessed_matrix(spark, sf_dir):
     """P4/G7 transform: fitted columns, imputed, per row (numeric rounded)."""
     fm = features(spark, sf_dir)
     model = GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"])
-    out = model.transform(fm)
-    long = out.select("vec_id", F.inline(F.array(*[
+    return _matrix_rows(model.transform(fm))
+
+
+def _matrix_rows(out):
+    """A preprocessed matrix in long form: value_numeric or value_text of each row and column."""
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema if f.name not in ("vec_id", TARGET)}
+    return out.select("vec_id", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"),
-                 (round6(PR.q(c)) if c in model.numeric_features else F.lit(None).cast("double")).alias("value_numeric"),
-                 (PR.q(c) if c in model.categorical_features else F.lit(None).cast("string")).alias("value_text"))
-        for c in model.output_columns])))
-    return long
+                 (round6(PR.q(c)) if kind == "double" else F.lit(None).cast("double")).alias("value_numeric"),
+                 (PR.q(c) if kind == "string" else F.lit(None).cast("string")).alias("value_text"))
+        for c, kind in kinds.items()])))
 
 
 @register("collinear_pairs")
@@ -924,17 +928,12 @@ def q_preprocessor_roundtrip(spark, sf_dir):
     fm = features(spark, sf_dir)
     path = scratch_path(spark, "preprocessor")
     GovernancePreprocessor().fit(fm, TARGET, exclude=["vec_id"]).save(spark, path)
-    model = PreprocessorModel.load(spark, path)
-    out = model.transform(fm)
-    return out.select("vec_id", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"),
-                 (round6(PR.q(c)) if c in model.numeric_features else F.lit(None).cast("double")).alias("value_numeric"),
-                 (PR.q(c) if c in model.categorical_features else F.lit(None).cast("string")).alias("value_text"))
-        for c in model.output_columns])))
+    return _matrix_rows(PreprocessorModel.load(spark, path).transform(fm))
 
 
 # ---------------------------------------------------------------- trees with random thresholds
 
+from ..functions import scalar as SC  # noqa: E402
 from ..operators import random_trees as RT  # noqa: E402
 from ..operators.flat_trees import FlatTrees  # noqa: E402
 
@@ -1093,3 +1092,107 @@ def q_alert_store_versions(spark, sf_dir):
     updated, _ = SN.read(spark, base)
     versions = [f.select(F.lit(n).alias("version"), "status") for n, f in (("seed", seeded), ("opened", opened), ("updated", updated))]
     return versions[0].unionByName(versions[1]).unionByName(versions[2]).groupBy("version", "status").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- audits, records and exports
+
+@register("preprocess_audit")
+def q_preprocess_audit(spark, sf_dir):
+    """Columns dropped by reason and what is left, counts and lists."""
+    a = GovernancePreprocessor().fit(features(spark, sf_dir), TARGET, exclude=["vec_id"]).audit(spark)
+    return a.select("section", "n", F.array_join("features", ",").alias("features"))
+
+
+@register("selection_audit")
+def q_selection_audit(spark, sf_dir):
+    """Collinear columns dropped, the 15 best by mutual information and the columns retained."""
+    fm = features(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    dropped = SE.collinear_dropped(SE.collinear_pairs(fm, collinear_columns(fm))).checkpoint(eager=True)
+    ranked = MI.top_k_features(MI.mutual_information(fm, mi_features(fm), TARGET), 40).checkpoint(eager=True)
+    gone = {r.col_j for r in dropped.collect()}
+    best = [r.feature for r in ranked.orderBy("mi_rank").collect()]
+    a = SE.audit(dropped, ranked, [f for f in best if f not in gone])
+    return a.select("section", "n", F.array_join("features", ",").alias("features"))
+
+
+@register("forced_features")
+def q_forced_features(spark, sf_dir):
+    """U4/P5: regulatory features that the matrix has join the selection behind the chosen ones, in their order."""
+    fm = features(spark, sf_dir).withColumnsRenamed({"F60": "F670", "F61": "F115", "F62": "F3894"})
+    chosen = SE.force_include(["F4", "F115", "F2"], fm.columns)
+    x = SE.select_features(fm, chosen, "vec_id")
+    return x.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in chosen])).alias("position", "e")) \
+        .groupBy(F.col("position").cast("bigint").alias("position"), F.col("e.feature").alias("feature")).agg(round6(F.sum("e.v")).alias("sum_value"))
+
+
+REQUESTS = ["XGBoost_classifier", "Random Forest", " logisticregression", "no such model"]
+
+
+@register("active_models")
+def q_active_models(spark, sf_dir):
+    """The model that each requested name means, and its mean probability; the fallback where no model is."""
+    fm = features(spark, sf_dir)
+    x = {f: F.col(f) for f in DIMS}
+    models = {n: LinearModel(["F0", "F1"], [1.0 + i, -0.5 * i], 0.1 * i) for i, n in enumerate(("logisticregression", "xgboost", "randomforest"))}
+    asked = [(r, *MD.active_probability(r, models, x)) for r in REQUESTS] + [("any", *MD.active_probability("any", {}, x))]
+    each = F.array(*[F.struct(F.lit(r).alias("request"), F.lit(n).alias("model"), p.alias("p")) for r, n, p in asked])
+    return fm.select(F.inline(each)).groupBy("request", "model").agg(round6(F.avg("p")).alias("mean_probability"))
+
+
+@register("anomaly_record")
+def q_anomaly_record(spark, sf_dir):
+    """M8: the evaluation record of the isolation forest."""
+    fm = features(spark, sf_dir)
+    model = IF.fit(fm, DIMS, "vec_id")
+    lab = IF.label(IF.score(fm, model, "vec_id"), model["offset"]).join(fm.select("vec_id", TARGET), "vec_id")
+    r = MD.anomaly_record(lab, TARGET)
+    return r.select("model", *[round6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")], "tn", "fp", "fn", "tp")
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    """Shares of the gains of a boosted model's splits, and attributions weighted by them."""
+    fm = features(spark, sf_dir)
+    weights = BO.fit(fm, DIMS, TARGET, "vec_id", replace(BO.BOOSTED, trees=1)).importance_weights()
+    used = {f: w for f, w in weights.items() if w}
+    a = AT.linear_proxy_attribution(fm, {f: 0.01 for f in used}, used)
+    sums = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("weight"), F.col(f"attr_{f}").alias("v")) for f, w in used.items()])
+    return a.select(F.inline(sums)).groupBy("feature").agg(round6(F.first("weight")).alias("weight"), round6(F.avg(F.abs("v"))).alias("mean_abs"))
+
+
+@register("metrics_report")
+def q_metrics_report(spark, sf_dir):
+    """The metrics record written as JSON and read back, then exported as CSV."""
+    record = EV.confusion_metrics(scored_labels(spark, sf_dir), "y", EV.predicted_label("probability")).select(
+        F.lit("proxy").alias("model"), "accuracy", "recall", "f1", "fp", "tn")
+    path, out = scratch_path(spark, "metrics"), scratch_path(spark, "metrics-csv")
+    IO.write_json_record(record, path)
+    IO.export_csv(IO.metrics_export(IO.read_json_record(spark, path, record.schema.simpleString()[7:-1].replace(":", " "))), out)
+    back = spark.read.option("header", True).csv(out)
+    return back.select(F.col("Model").alias("model"), F.col("Accuracy (%)").cast("double").alias("accuracy_pct"),
+                       F.col("FPR (%)").cast("double").alias("fpr_pct"), F.col("Recall (%)").cast("double").alias("recall_pct"), F.col("F1").cast("double").alias("f1"))
+
+
+@register("top_driver_report")
+def q_top_driver_report(spark, sf_dir):
+    """The four most important features with what one transaction shows of them, exported as CSV."""
+    ex, _ = explained(spark, sf_dir)
+    long = AT.attribution_long(ex)
+    top = AT.top_features(AT.global_importance(long), 4)
+    one = long.where("row_id = 'TXN-1'").select("feature", F.when(F.col("value") > 0, "Risk Increasing").otherwise("Risk Reducing").alias("type"),
+                                                F.col("value").alias("shap_value"), F.format_string("%.2f", "raw_value").alias("value"))
+    cards = AT.catalog_enrich(top, one)
+    path = scratch_path(spark, "drivers")
+    IO.export_csv(IO.importance_export(cards), path)
+    back = spark.read.option("header", True).csv(path).select(F.col("Feature ID").alias("feature"), F.col("Score").cast("double").alias("score"))
+    return cards.join(back, "feature").select("feature", "name", "type", _z("shap_value").alias("shap_value"), "value", _z("score").alias("score"))
+
+
+@register("sanctioned_origins")
+def q_sanctioned_origins(spark, sf_dir):
+    """Transactions from the countries of a given list (semi-join), with their money in short form."""
+    listed = spark.createDataFrame([(c,) for c in K.SANCTIONED_COUNTRIES], "code string")
+    t = IO.sanctioned_semi_join(transactions(Tables(spark, sf_dir)), listed, "origin_country")
+    sums = t.groupBy("origin_country").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("total"), F.min("amount").alias("least"))
+    return sums.select("origin_country", "n", SC.compact_currency("total").alias("total"), SC.compact_currency("least").alias("least"))

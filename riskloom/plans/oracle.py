@@ -989,3 +989,61 @@ SELECT a.vec_id, 'F' || t.f AS feature, round(avg(b.p - a.p), 6) AS shap
 FROM turns t JOIN sets a ON a.m = t.before JOIN sets b ON b.vec_id = a.vec_id AND b.m = t.before + (1 << t.f) GROUP BY ALL"""
 
 ORACLE["stream_keyed_state"] = ORACLE["stream_workflow_state"]
+
+ORACLE["ml_pipeline_matrix"] = ORACLE["preprocessed_matrix"]
+
+ORACLE["alert_store_versions"] = _workflow() + """
+SELECT 'seed' AS version, status, count(*) AS n FROM alerts WHERE seq % 100 = 0 GROUP BY status
+UNION ALL SELECT 'opened', status, count(*) FROM alerts GROUP BY status
+UNION ALL SELECT 'updated', status, count(*) FROM after GROUP BY status"""
+
+
+# ---------------------------------------------------------------- audits, records and exports
+
+ORACLE["preprocess_audit"] = f"""WITH r AS ({ORACLE["preprocess_report"]}),
+s AS (SELECT unnest(list_distinct([split_part(reason, ':', 1), 'input', CASE WHEN decision = 'kept' THEN 'output' ELSE 'input' END])) AS section, feature, position FROM r),
+names(section) AS (VALUES ('missing_threshold'), ('target_leakage'), ('low_variance'), ('numeric'), ('categorical'), ('input'), ('output'))
+SELECT n.section, count(s.feature) AS n, coalesce(string_agg(s.feature, ',' ORDER BY s.position), '') AS features FROM names n LEFT JOIN s ON s.section = n.section GROUP BY n.section"""
+
+ORACLE["selection_audit"] = f"""WITH p AS ({ORACLE["collinear_pairs"]}), m AS ({ORACLE["mi_top_features"]}), gone AS (SELECT DISTINCT col_j FROM p)
+SELECT 'collinear_dropped' AS section, count(*) AS n, coalesce(string_agg(col_j, ',' ORDER BY col_j), '') AS features FROM gone
+UNION ALL SELECT 'top_mutual_information', count(*), string_agg(feature, ',' ORDER BY mi_rank) FROM m WHERE mi_rank <= 15
+UNION ALL SELECT 'retained', count(*), string_agg(feature, ',' ORDER BY mi_rank) FROM m WHERE feature NOT IN (SELECT col_j FROM gone)"""
+
+ORACLE["forced_features"] = with_ctes(features_cte()) + "\n" + "\nUNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{f}' AS feature, round(sum({c}), 6) AS sum_value FROM features"
+    for i, (f, c) in enumerate([("F4", "F4"), ("F115", "F61"), ("F2", "F2"), ("F670", "F60"), ("F3894", "F62")]))
+
+_ACTIVE = [("XGBoost_classifier", "xgboost", 1), ("Random Forest", "randomforest", 2), (" logisticregression", "logisticregression", 0), ("no such model", "xgboost", 1)]
+ORACLE["active_models"] = with_ctes(features_cte()) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{r}' AS request, '{n}' AS model, round(avg(1 / (1 + exp(-(CAST({0.1 * i} AS DOUBLE) + CAST({1.0 + i} AS DOUBLE) * F0 + CAST({-0.5 * i} AS DOUBLE) * F1)))), 6) AS mean_probability FROM features"
+    for r, n, i in _ACTIVE) + f"\nUNION ALL SELECT 'any', 'none', CAST({K.PREDICTION_FALLBACK} AS DOUBLE)"
+
+ORACLE["anomaly_record"] = f"""WITH a AS ({ORACLE["isolation_forest"]}), y AS ({with_ctes(features_cte())} SELECT vec_id, {T} AS y FROM features),
+c AS (SELECT count(*) FILTER (y <> 1 AND anomaly_label = 1) AS tn, count(*) FILTER (y <> 1 AND anomaly_label = -1) AS fp,
+             count(*) FILTER (y = 1 AND anomaly_label = 1) AS fn, count(*) FILTER (y = 1 AND anomaly_label = -1) AS tp FROM a JOIN y USING (vec_id)),
+d AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS prec, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS rec FROM c)
+SELECT 'isolationforest' AS model, round((tp + tn) / CAST(tn + fp + fn + tp AS DOUBLE), 6) AS accuracy, round(prec, 6) AS precision, round(rec, 6) AS recall,
+       round(coalesce(2 * prec * rec / nullif(prec + rec, 0), 0.0), 6) AS f1, CAST(0.5 AS DOUBLE) AS roc_auc, CAST(0.0 AS DOUBLE) AS pr_auc, tn, fp, fn, tp FROM d"""
+
+ORACLE["tree_importance"] = with_ctes(features_cte(), _boosted(BO.BOOSTED)) + """,
+w AS (SELECT f, sum(gain) / (SELECT sum(gain) FROM sp) AS weight FROM sp GROUP BY f)
+SELECT 'F' || f AS feature, round(weight, 6) AS weight, round(avg(abs((v - CAST(0.01 AS DOUBLE)) * weight)), 6) AS mean_abs FROM w JOIN longs USING (f) GROUP BY f, weight"""
+
+ORACLE["metrics_report"] = f"""WITH m AS ({ORACLE["confusion_metrics"]})
+SELECT 'proxy' AS model, round((tp + tn) / CAST(tn + fp + fn + tp AS DOUBLE) * 100, 2) AS accuracy_pct, round(fp / CAST(greatest(fp + tn, 1) AS DOUBLE) * 100, 2) AS fpr_pct, round(recall * 100, 2) AS recall_pct, round(f1, 4) AS f1 FROM m"""
+
+ORACLE["top_driver_report"] = f"""WITH g AS ({ORACLE["global_importance"]}), l AS ({ORACLE["local_attributions"]}),
+top AS (SELECT * FROM g ORDER BY mean_abs_attribution DESC LIMIT 4)
+SELECT t.feature, t.name, CASE WHEN l.value > 0 THEN 'Risk Increasing' ELSE 'Risk Reducing' END AS type, l.value AS shap_value, printf('%.2f', l.raw_value) AS value, t.mean_abs_attribution AS score
+FROM top t JOIN l ON l.feature = t.feature AND l.row_id = 'TXN-1'"""
+
+
+def _compact(c: str) -> str:
+    return f"'$' || CASE WHEN {c} >= 1000000 THEN printf('%.2f', {c} / 1000000) || 'M' WHEN {c} >= 1000 THEN printf('%.1f', {c} / 1000) || 'k' ELSE printf('%.0f', {c}) END"
+
+
+ORACLE["sanctioned_origins"] = with_ctes(transactions_cte()) + f""",
+s AS (SELECT origin_country, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(20, 2))) AS DOUBLE) AS total, min(amount) AS least FROM transactions
+      WHERE origin_country IN ({', '.join(repr(c) for c in K.SANCTIONED_COUNTRIES)}) GROUP BY origin_country)
+SELECT origin_country, n, {_compact('total')} AS total, {_compact('least')} AS least FROM s"""
