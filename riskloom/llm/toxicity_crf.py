@@ -237,6 +237,16 @@ def toxic_spans(w: Words, p: np.ndarray) -> list[list[dict]]:
     return out
 
 
+def _pieces(line: str, most: int = SAMPLE_BYTES // 4) -> Iterator[str]:
+    """``line`` cut at blanks into pieces of at most ``most`` characters; a longer word is cut inside."""
+    while len(line) > most:
+        cut = line.rfind(" ", 1, most)
+        cut = most if cut < 0 else cut
+        yield line[:cut]
+        line = line[cut:].lstrip(" ")
+    yield line
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Field | None:
     sample = training_rows(docs, labels, label, FOLDS, HELD_OUT, PER_CLASS)
 
@@ -245,9 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Field | N
             out = []
             for t in b.column(1).to_pylist():
                 t = t or ""
-                if len(t) > SAMPLE_BYTES:  # whole lines by hash, as many as the bound takes
+                if len(t) > SAMPLE_BYTES:  # lines, or pieces of long ones, by hash, as many as the bound takes
                     kept, room = [], SAMPLE_BYTES
-                    for line in sorted(t.split("\n"), key=lambda x: zlib.crc32(x.encode())):
+                    for line in sorted((x for line in t.split("\n") for x in _pieces(line)), key=lambda x: zlib.crc32(x.encode())):
                         if len(line) <= room:
                             kept.append(line)
                             room -= len(line)

@@ -85,3 +85,30 @@ def test_held_out_rows_and_conflicts_never_train(spark, documents):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1, 0)], "doc_id bigint, quality int")
     ids = {r.doc_id for r in sampling.training_rows(docs, labels, "quality", 5, 0, 1000).collect()}
     assert ids == {i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 0 and i != 1}
+
+
+def test_rows_of_one_id_train_once(spark, documents):
+    docs = documents([(1, f"text {i}") for i in range(3000)] + [(2, "other"), (3, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)] * 5, "doc_id bigint, quality int")
+    rows = sampling.training_rows(docs, labels, "quality", 5, 6, 10).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3]
+    again = sampling.training_rows(docs.repartition(5), labels, "quality", 5, 6, 10).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_long_lines_train_in_pieces(spark, documents):
+    line = "you filthy scum go away now " * 400
+    assert all(len(p) <= 2048 for p in toxicity_crf._pieces(line)) and "".join(toxicity_crf._pieces("x" * 5000)) == "x" * 5000
+    assert " ".join(p.strip() for p in toxicity_crf._pieces(line)).split() == line.split()
+    rng = np.random.default_rng(1)
+
+    def one_line(i, insult):  # of its own words, so that none is a copy of another
+        words = rng.choice([f"calm{j}" for j in range(3000)], 1500)
+        words[::25] = "moron" if insult else "garden"
+        words[7::50] = "scum" if insult else "quiet"
+        return " ".join(words)
+
+    docs = documents([(i, one_line(i, True)) for i in range(300)] + [(1000 + i, one_line(i, False)) for i in range(300)])
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(1000 + i, 0) for i in range(300)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity_crf.classify(docs, labels).collect()}
+    assert np.mean([got[i] for i in range(300)]) > 0.9 and np.mean([got[1000 + i] for i in range(300)]) < 0.1

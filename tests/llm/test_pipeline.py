@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from riskloom.llm import quality_cnn
 
@@ -47,3 +49,12 @@ def test_run_and_empty_table(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, SF_SMALL)
         assert out.collect() == []
+
+
+def test_a_column_called_score_keeps_its_values(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumn("score", F.col("doc_id") * 0.5).withColumn("own_1", F.lit("x"))
+    kept = dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, SF_SMALL)
+    assert kept.columns == docs.columns and kept.schema["score"].dataType == docs.schema["score"].dataType
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    rows = kept.collect()
+    assert rows and all(tuple(r) == want[r.doc_id] for r in rows)
