@@ -1,7 +1,9 @@
 """Training-data pipeline over ``documents``: five stages, each written before the next.
 
-Stages 1 to 4 return the columns of documents; what one drops or changes is gone for the
-next.  The last returns each kept document's tokens.
+Stages 1 to 4 return the columns of documents, extra ones too, whatever they are called; what
+one drops or changes is gone for the next.  The last returns each kept document's tokens.
+A null text counts as empty in every stage; a text of any length is read whole; an empty
+table gives no rows; rows of one id are scored, checked and tokenised each for itself.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the classifier's threshold."""
     model = quality_cnn.train(docs, read(spark, sf_dir, "labels"))
-    return quality_cnn.score(docs, model).where(F.col("score") >= quality_cnn.THRESHOLD).select(*docs.columns)
+    # a column of documents may be called score too: its values wait under another name
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    waiting = docs.select("text", *[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own) if c != "text"])
+    kept = quality_cnn.score(waiting, model).where(F.col("score") >= quality_cnn.THRESHOLD)
+    return kept.select(*[F.col("text" if c == "text" else o).alias(c) for c, o in zip(docs.columns, own)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
