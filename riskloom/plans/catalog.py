@@ -1196,3 +1196,26 @@ def q_sanctioned_origins(spark, sf_dir):
     t = IO.sanctioned_semi_join(transactions(Tables(spark, sf_dir)), listed, "origin_country")
     sums = t.groupBy("origin_country").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("total"), F.min("amount").alias("least"))
     return sums.select("origin_country", "n", SC.compact_currency("total").alias("total"), SC.compact_currency("least").alias("least"))
+
+
+# ---------------------------------------------------------------- trainers with the reference's settings
+
+from ..operators import trainers as TN  # noqa: E402
+
+TRAINER_ROUNDS = 20  # in place of 100 and 500, for the time of a registered query
+
+
+@register("trainer_metrics")
+def q_trainer_metrics(spark, sf_dir):
+    """M1/M3–M5/M7: boosting level-wise, weighted and leaf-wise, random-threshold trees and L1 logistic on the training rows; records on the held-out ones."""
+    d = training_frame(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    train = MD.random_oversample(d.train, TARGET, "vec_id").checkpoint(eager=True)
+    p = TN.fit(train, d.features, TARGET, "vec_id", rounds=TRAINER_ROUNDS)
+    p["ensemble"] = (p["xgboost"] + p["lightgbm"] + p["extratrees"]) / F.lit(3.0)
+    test = d.test.select(TARGET, *[c.alias(f"p_{n}") for n, c in p.items()]).checkpoint(eager=True)
+    records = [MD.evaluation_record(test, f"p_{n}", TARGET, n) for n in p]
+    out = records[0]
+    for r in records[1:]:
+        out = out.unionByName(r)
+    return out.select("model", *[round6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")], "tn", "fp", "fn", "tp")
