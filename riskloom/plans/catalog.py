@@ -1202,7 +1202,7 @@ def q_sanctioned_origins(spark, sf_dir):
 
 from ..operators import trainers as TN  # noqa: E402
 
-TRAINER_ROUNDS = 20  # in place of 100 and 500, for the time of a registered query
+TRAINER_ROUNDS = 8  # in place of 100 and 500, for the time of a registered query
 
 
 @register("trainer_metrics")
