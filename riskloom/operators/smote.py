@@ -44,7 +44,7 @@ def _dist(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _placed(pts: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+def _placed(pts: DataFrame, pivots: np.ndarray, numbers: np.ndarray, k: int) -> DataFrame:
     """pick, v, the nearest pivot (``cell``), the distance to it and the distance to the k-th pivot that is another row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -52,8 +52,8 @@ def _placed(pts: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
             d = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in v]) if len(pdf) else np.zeros((0, len(pivots)))
             cell = d.argmin(axis=1) if len(pdf) else np.zeros(0, int)
             others = d.copy()
-            own = pdf["pick"].to_numpy() - 1  # pivots are the rows of the first numbers
-            rows = np.flatnonzero(own < len(pivots))
+            own = np.minimum(np.searchsorted(numbers, pdf["pick"].to_numpy()), len(numbers) - 1)
+            rows = np.flatnonzero(numbers[own] == pdf["pick"].to_numpy())  # pivots are rows too
             others[rows, own[rows]] = np.inf
             far = np.sort(others, axis=1)[:, k - 1] if len(pivots) >= k else np.full(len(pdf), np.inf)
             yield pd.DataFrame({"pick": pdf["pick"], "v": pdf["v"], "cell": cell, "near": d[np.arange(len(d)), cell], "far": far})
@@ -82,7 +82,7 @@ def _probes(rows: DataFrame, blocks: pd.DataFrame, pivots: np.ndarray) -> DataFr
                     i += [pick] * len(hit)
                     v += [x] * len(hit)
                     to += hit.tolist()
-            yield pd.DataFrame({"i": i, "vi": v, "block": to})
+            yield pd.DataFrame({"i": pd.Series(i, dtype="int64"), "vi": pd.Series(v, dtype=object), "block": pd.Series(to, dtype="int64")})
 
     return rows.select("pick", "v", "block", "bound").mapInPandas(run, "i bigint, vi array<double>, block bigint")
 
@@ -91,10 +91,11 @@ def neighbour_pairs(pts: DataFrame, n: int, k: int) -> DataFrame:
     """(i, j, dist) of all pairs that can be among the k nearest of i: exact, by pivots."""
     ensure_checkpoint_dir(pts.sparkSession)
     pts = pts.select("pick", "v").checkpoint(eager=True)
-    pivots = np.array([r.v for r in pts.where(F.col("pick") <= max(k + 1, math.isqrt(n))).orderBy("pick").collect()], dtype=float)  # sqrt(n) rows
     if n < 2:
         return pts.select(F.col("pick").alias("i"), F.col("pick").alias("j"), F.lit(0.0).alias("dist")).limit(0)
-    numbered = global_row_number(_placed(pts, pivots, k), [F.col("cell"), F.col("near"), F.col("pick")], "no")
+    first = pts.orderBy("pick").limit(max(k + 1, math.isqrt(n))).collect()  # sqrt(n) rows; picks are drawn by hash
+    pivots, numbers = np.array([r.v for r in first], dtype=float), np.array([r.pick for r in first])
+    numbered = global_row_number(_placed(pts, pivots, numbers, k), [F.col("cell"), F.col("near"), F.col("pick")], "no")
     # a block is of one cell; its number rises with the order
     rows = numbered.withColumn("block", F.floor((F.col("no") - 1) / BLOCK) * len(pivots) + F.col("cell")).drop("no").checkpoint(eager=True)
     member = rows.select(F.col("pick").alias("j"), F.col("v").alias("vj"), "block")

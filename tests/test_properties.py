@@ -90,12 +90,15 @@ def test_smote_knn_is_exact_and_balances(spark, fm):
     assert counts[0] == counts[1]
 
 
-def test_exact_smote_refuses_large_minorities(spark, fm, monkeypatch):
+def test_exact_neighbours_meet_over_many_blocks(spark, fm, monkeypatch):
     from riskloom.operators import smote as SM
 
-    monkeypatch.setattr(SM, "EXACT_ROWS", 3)
-    with pytest.raises(ValueError):
-        SM.synthetic(fm, ["F0", "F1"], "F3924", "vec_id")
+    feats = [f"F{i}" for i in range(4)]
+    pts = fm.select(F.col("vec_id").alias("pick"), F.array(*feats).alias("v"))
+    n = pts.count()
+    want = [(r["i"], r["rank"], r["j"]) for r in SM.knn_minority(pts, n, 4, 3).collect()]
+    monkeypatch.setattr(SM, "BLOCK", 16)
+    assert sorted(want) == sorted((r["i"], r["rank"], r["j"]) for r in SM.knn_minority(pts, n, 4, 3).collect())
 
 
 def test_held_out_rows_cannot_change_the_fit(spark, fm):
