@@ -16,7 +16,14 @@ A representative may hold only a fragment of what later documents share.  So whe
 of the first hash function has a window that is not inside a verified passage, all exact
 stretches of ``LEAST`` shingles of its windows are keys of a second round: documents with
 one such stretch have ``WORDS`` equal words (by 64-bit hashes, as in the first round), whoever comes first, so no exact repeat is lost.
-Edited passages without ``WORDS`` equal words in a row have the first round alone.
+
+Edited passages without ``WORDS`` equal words in a row get a third round.  Each place of a
+shared min-hash is keyed again, once for each pair of ``REACHES``, with the least hashes
+of the shingles before and after it; keys that span fewer than ``SPAN`` shingles are left
+out, so lines and short fragments make none.  The documents of such a key, unless one
+class already holds all their places, meet one of them that is drawn by a hash of key and
+document: with ``f`` fragments in a key, a pair is missed there with probability
+``f / (f + 2)`` at most, and a passage has dozens of keys, each drawn anew.
 
 Null texts count as empty; texts below ``WORDS`` words and rows with null ids have no
 passages.  Rows that share an id are one document: passages that it repeats itself are not
@@ -30,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialise
@@ -42,6 +49,11 @@ HALF = LEAST // 2  # of LEAST shingles, so many stand on one side of any of them
 ODD = np.uint64(0x9E3779B97F4A7C15)
 HASHES, ENOUGH = 4, 2
 THRESHOLD = 0.8
+# Shingles before and after a place among which the third round takes the least hashes.
+REACHES = ((6, 38), (38, 6), (8, 26), (26, 8), (8, 34), (34, 8), (12, 22), (22, 12), (14, 26), (26, 14),
+           (17, 17), (20, 20), (24, 24), (28, 28), (32, 32), (44, 44))
+SPAN = 24
+AROUND = 2 * LEAST  # shingles on each side of a place that are verified for it
 
 
 def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,6 +200,46 @@ def stretches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "todo", "cover").mapInArrow(run, f"what bigint, doc_id {id_type}, at int, seen boolean")
 
 
+def _least(scrambled: np.ndarray, begin: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray:
+    """Place of the least value in each begin:end of at most ``reach`` places; begin where there are none."""
+    at = np.minimum(begin[:, None] + np.arange(reach), np.maximum(end - 1, begin)[:, None])
+    return at[np.arange(len(at)), np.argmin(scrambled[at], axis=1)]
+
+
+def surroundings(docs: DataFrame) -> DataFrame:
+    """what (hash of a place's key and its surroundings), doc_id, at, cls for the places ``spots``
+    (key, at, cls: the class of the passage that holds it, or null) of each text."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, texts in pieces(b.column(1)):
+                h, owner, _ = shingles(scan(texts), SHINGLE)
+                first = np.searchsorted(owner, np.arange(len(texts) + 1))
+                lists = b.column(2).slice(start, len(texts))
+                own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                flat, ids = lists.flatten(), b.column(0).slice(start, len(texts))
+                at = first[own] + flat.field(1).to_numpy(zero_copy_only=False)
+                inside = np.flatnonzero(at < first[own + 1])  # a text of the same id may be longer
+                key = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for j, (left, right) in enumerate(REACHES):
+                    salt = np.uint64((j + 11) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+                    scrambled = mix(h ^ salt)
+                    for part in range(0, len(inside), 4096):
+                        i = inside[part:part + 4096]
+                        here, low, high = at[i], first[own[i]], first[own[i] + 1]
+                        before = _least(scrambled, np.maximum(here - left, low), here, left)
+                        after = _least(scrambled, np.minimum(here + 1, high - 1), np.minimum(here + 1 + right, high), right)
+                        far = np.flatnonzero(after - before >= SPAN)
+                        i = i[far]
+                        what = mix(mix(mix(key[i] + salt) * ODD + h[before[far]]) * ODD + h[after[far]])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(what.view(np.int64)), ids.take(pa.array(own[i])), pa.array((at[i] - first[own[i]]).astype(np.int32)), flat.field(2).take(pa.array(i))],
+                            ["what", "doc_id", "at", "cls"])
+
+    return docs.select("doc_id", "text", "spots").mapInArrow(run, f"what bigint, doc_id {id_type}, at int, cls {id_type}")
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     id_type = pairs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "n_words", "class_doc_id", "class_start", "class_words", "similarity"]
@@ -231,13 +283,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # What both windows can share lies on one diagonal around the shared place.
     left, right = F.least(F.col("at") - F.col("lo"), F.col("rat") - F.col("rlo")), F.least(F.col("hi") - F.col("at"), F.col("rhi") - F.col("rat"))
     slack = F.ceil((left + right) * 0.25).cast("int")  # for insertions and deletions inside
-    hits = materialise(hits.select("doc_id", "rep", "k", F.greatest(F.col("at") - left - slack, F.lit(0)).alias("lo"), (F.col("at") + right + slack).alias("hi"),
+    hits = materialise(hits.select("key", "at", "doc_id", "rep", "k", F.greatest(F.col("at") - left - slack, F.lit(0)).alias("lo"), (F.col("at") + right + slack).alias("hi"),
                                    F.greatest(F.col("rat") - left - slack, F.lit(0)).alias("rlo"), (F.col("rat") + right + slack).alias("rhi"),
                                    "before", "after", "again",
                                    F.when(F.col("k") == 0, F.greatest("lo", F.col("at") - LEAST + 1)).alias("wlo"),
                                    F.when(F.col("k") == 0, F.least("hi", F.col("at") + LEAST)).alias("whi")), "passage_hits")
     held = hits.where("k = 0").select("doc_id", "wlo", "whi", "before", "after", "again")
-    hits = hits.where("doc_id != rep").drop("before", "after", "again", "wlo", "whi")
+    places = hits.where("doc_id != rep").select("key", "doc_id", "at").union(reps.select("key", "rep", "rat"))
+    hits = hits.where("doc_id != rep").drop("key", "at", "before", "after", "again", "wlo", "whi")
     pair = Window.partitionBy("doc_id", "rep").orderBy("lo", "hi", "k")
     past = F.max("hi").over(pair.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("new", F.when(past.isNull() | (F.col("lo") >= past), 1).otherwise(0)).withColumn("run", F.sum("new").over(pair))
@@ -245,12 +298,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
              .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rlo").alias("rlo"), F.max("rhi").alias("rhi"), F.countDistinct("k").alias("n"))
              .where(F.col("n") >= ENOUGH).drop("n", "run"))
     pairs = materialise(pairs, "passage_pairs")
+    rows = materialise(_compared(docs, pairs).distinct(), "passage_rows")
+    second = materialise(_second_round(docs, held, rows), "passage_second")
+    third = materialise(_third_round(docs, places, rows), "passage_third")
+    rows = rows.unionByName(second).unionByName(third).distinct()
+    return rows.unionByName(_own(rows))
+
+
+def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages of ``pairs`` (doc_id, rep and ranges of both), by their texts."""
     used = pairs.select("doc_id").union(pairs.select("rep")).distinct()
     texts = materialise(docs.join(used, "doc_id", "left_semi").distinct(), "passage_texts")
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text")), "rep")
-    rows = materialise(_verified(both).distinct(), "passage_rows")
-    rows = rows.unionByName(materialise(_second_round(docs, held, rows), "passage_second")).distinct()
-    return rows.unionByName(_own(rows))
+    return _verified(pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text")), "rep"))
 
 
 def _own(rows: DataFrame) -> DataFrame:
@@ -286,3 +345,34 @@ def _second_round(docs: DataFrame, held: DataFrame, rows: DataFrame) -> DataFram
     long = F.col("last").cast("long") - F.col("lo") + WORDS
     return pairs.select("doc_id", F.col("lo").cast("long").alias("start"), long.alias("n_words"), F.col("rep").alias("class_doc_id"),
                         (F.col("lo") + F.col("off")).cast("long").alias("class_start"), long.alias("class_words"), F.lit(1.0).alias("similarity"))
+
+
+def _third_round(docs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of passages around ``places`` (key, doc_id, at) that lie in no one class of ``rows``."""
+    cover = rows.unionByName(_own(rows)).select(
+        "doc_id", F.col("start").cast("int").alias("at"), F.struct((F.col("start") + F.col("n_words") - (SHINGLE - 1)).cast("int").alias("hi"), F.col("class_doc_id").alias("cls")).alias("held"))
+    both = places.distinct().select("doc_id", "at", "key", F.lit(None).cast(cover.schema["held"].dataType).alias("held"), F.lit(1).alias("turn")).union(
+        cover.distinct().select("doc_id", "at", F.lit(None).cast("bigint"), "held", F.lit(0)))
+    far = F.max("held").over(Window.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    spots = materialise(both.withColumn("far", far).where("turn = 1").select("doc_id", "key", "at", F.when(F.col("far.hi") > F.col("at"), F.col("far.cls")).alias("cls")), "passage_spots")
+
+    def open_keys(found: DataFrame, key: str, *more: Column) -> DataFrame:
+        """Keys of several documents that no one class holds."""
+        one = (F.count("cls") == F.count("*")) & (F.min("cls") == F.max("cls"))
+        return found.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), one.alias("one"), *more).where("least != last and not coalesce(one, false)").drop("least", "last", "one")
+
+    spots = spots.join(materialise(open_keys(spots, "key"), "passage_open"), "key")
+    listed = materialise(spots.groupBy("doc_id").agg(F.collect_set(F.struct("key", "at", "cls")).alias("spots")), "passage_listed")
+    found = materialise(surroundings(docs.join(listed, "doc_id")).distinct(), "passage_surroundings")
+    drawn = F.min(F.struct(F.xxhash64("doc_id", "what").alias("draw"), F.col("doc_id").alias("rep"), F.col("at").alias("rat"), F.col("cls").alias("rcls"))).alias("r")
+    reps = materialise(open_keys(found, "what", drawn).select("what", "r.rep", "r.rat", "r.rcls"), "passage_drawn")
+    # Two places of one class are already linked by it.
+    met = found.join(reps, "what").where("doc_id != rep and not coalesce(cls = rcls, false)").select(
+        F.greatest("doc_id", "rep").alias("doc_id"), F.least("doc_id", "rep").alias("rep"),
+        F.when(F.col("doc_id") > F.col("rep"), F.col("at")).otherwise(F.col("rat")).alias("at"), F.when(F.col("doc_id") > F.col("rep"), F.col("rat")).otherwise(F.col("at")).alias("rat")).distinct()
+    line = Window.partitionBy("doc_id", "rep").orderBy("at", "rat")
+    gap, turn = F.col("at") - F.lag("at").over(line), F.abs(F.col("rat") - F.lag("rat").over(line))
+    runs = met.withColumn("new", F.when(gap.isNull() | (gap > AROUND) | (turn > 2 * AROUND), 1).otherwise(0)).withColumn("run", F.sum("new").over(line))
+    pairs = runs.groupBy("doc_id", "rep", "run").agg(
+        F.greatest(F.min("at") - AROUND, F.lit(0)).alias("lo"), (F.max("at") + AROUND).alias("hi"), F.greatest(F.min("rat") - AROUND, F.lit(0)).alias("rlo"), (F.max("rat") + AROUND).alias("rhi")).drop("run")
+    return _compared(docs, materialise(pairs, "passage_met")).distinct()

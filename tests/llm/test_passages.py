@@ -94,3 +94,38 @@ def test_repetitive_repeats_are_found(documents):
         rows += [(10 * n + i, " ".join(words(rng, rng.randrange(90, 110)) + w + words(rng, 100))) for i, w in enumerate((p[:48], p[:55], p[:58]))]
     got = {r.doc_id for r in passages.repeats(documents(rows)).collect()}
     assert brute.repeated_words(rows, passages.WORDS) <= got
+
+
+def edited(rng, p, edits):
+    """``p`` with single words replaced, removed or put in, far enough from each other for a similarity of 0.8."""
+    p, step = list(p), len(p) // (edits + 1)
+    for n in range(edits, 0, -1):
+        at = n * step + rng.randrange(-3, 4)
+        p[at:at + rng.choice((0, 1, 1))] = rng.choice(([], ["edited"], ["edited"])) or ["put"]
+    return p
+
+
+def test_earlier_quotes_hide_no_edited_passage(documents):
+    rng = random.Random(11)
+    docs, want = {}, set()
+    for n in range(150):  # quotes of both ends before and between two versions of a passage
+        edits, length = ((1, 80), (1, 62), (2, 125))[n % 3]
+        p = words(rng, length)
+        q = edited(rng, p, edits)
+        for i, w in enumerate((p[:45], p[-45:], p, q[:45], q[-45:], p[8:53], q)):
+            docs[10 * n + i] = words(rng, rng.randrange(60, 120)) + w + words(rng, 100)
+        want |= {10 * n + 2, 10 * n + 6}
+    rows = passages.repeats(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()
+    got = {r.doc_id for r in rows}
+    exact = brute.repeated_words([(i, " ".join(w)) for i, w in docs.items()], passages.WORDS)
+    assert got - want <= exact  # nothing else but what an edit leaves whole
+    assert len(want & got) >= 0.98 * len(want)
+    assert all(r.doc_id // 10 == r.class_doc_id // 10 and r.similarity >= 0.8 for r in rows)
+
+
+def test_edited_copies_of_a_hot_passage_are_no_square(documents):
+    rng = random.Random(12)
+    p = words(rng, 90)
+    docs = [(i, " ".join(words(rng, 20) + (p if i % 2 else edited(rng, p, 1)) + words(rng, 20))) for i in range(300)]
+    got = passages.repeats(documents(docs)).collect()
+    assert {r.doc_id for r in got} == set(range(300)) and len(got) < 6000
