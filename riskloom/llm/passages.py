@@ -20,9 +20,9 @@ one such stretch have ``WORDS`` equal words (by 64-bit hashes, as in the first r
 Edited passages without ``WORDS`` equal words in a row get a third round.  Each place of a
 shared min-hash is keyed again, once for each pair of ``REACHES``, with the least hashes
 of the shingles before and after it; keys that span fewer than ``SPAN`` shingles are left
-out, so lines and short fragments make none.  The documents of such a key, unless one
-class already holds all their places, meet one of them that is drawn by a hash of key and
-document: with ``f`` fragments in a key, a pair is missed there with probability
+out, so lines and short fragments make none.  Places inside verified passages are taken
+only where the same min-hash also has others, one drawn place a class.  The documents of
+such a key meet one of them that is drawn by a hash of key and document: with ``f`` fragments in a key, a pair is missed there with probability
 ``f / (f + 2)`` at most, and a passage has dozens of keys, each drawn anew.
 
 Null texts count as empty; texts below ``WORDS`` words and rows with null ids have no
@@ -348,26 +348,29 @@ def _second_round(docs: DataFrame, held: DataFrame, rows: DataFrame) -> DataFram
 
 
 def _third_round(docs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of passages around ``places`` (key, doc_id, at) that lie in no one class of ``rows``."""
+    """Rows of passages around ``places`` (key, doc_id, at), at least one of the two outside the passages of ``rows``."""
     cover = rows.unionByName(_own(rows)).select(
         "doc_id", F.col("start").cast("int").alias("at"), F.struct((F.col("start") + F.col("n_words") - (SHINGLE - 1)).cast("int").alias("hi"), F.col("class_doc_id").alias("cls")).alias("held"))
-    both = places.distinct().select("doc_id", "at", "key", F.lit(None).cast(cover.schema["held"].dataType).alias("held"), F.lit(1).alias("turn")).union(
-        cover.distinct().select("doc_id", "at", F.lit(None).cast("bigint"), "held", F.lit(0)))
+    both = places.select("doc_id", "at", "key", F.lit(None).cast(cover.schema["held"].dataType).alias("held"), F.lit(1).alias("turn")).union(
+        cover.select("doc_id", "at", F.lit(None).cast("bigint"), "held", F.lit(0)))
     far = F.max("held").over(Window.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
     spots = materialise(both.withColumn("far", far).where("turn = 1").select("doc_id", "key", "at", F.when(F.col("far.hi") > F.col("at"), F.col("far.cls")).alias("cls")), "passage_spots")
 
     def open_keys(found: DataFrame, key: str, *more: Column) -> DataFrame:
-        """Keys of several documents that no one class holds."""
-        one = (F.count("cls") == F.count("*")) & (F.min("cls") == F.max("cls"))
-        return found.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), one.alias("one"), *more).where("least != last and not coalesce(one, false)").drop("least", "last", "one")
-
-    spots = spots.join(materialise(open_keys(spots, "key"), "passage_open"), "key")
+        """Keys of several documents, not all of which have the place in a passage."""
+        return (found.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), (F.count("cls") < F.count("*")).alias("some"), *more)
+                .where("least != last and some").drop("least", "last", "some"))
+
+    spots = materialise(spots.join(open_keys(spots, "key"), "key"), "passage_open")
+    # Of the places that a class holds, one drawn for each key stands for the class.
+    drawn = F.min(F.struct(F.xxhash64("doc_id", "key").alias("draw"), "doc_id", "at")).alias("r")
+    classes = spots.where("cls is not null").groupBy("key", "cls").agg(drawn).select("r.doc_id", "key", "r.at", "cls")
+    spots = spots.where("cls is null").select("doc_id", "key", "at", "cls").union(classes)
     listed = materialise(spots.groupBy("doc_id").agg(F.collect_set(F.struct("key", "at", "cls")).alias("spots")), "passage_listed")
-    found = materialise(surroundings(docs.join(listed, "doc_id")).distinct(), "passage_surroundings")
+    found = materialise(surroundings(docs.join(listed, "doc_id")), "passage_surroundings")
     drawn = F.min(F.struct(F.xxhash64("doc_id", "what").alias("draw"), F.col("doc_id").alias("rep"), F.col("at").alias("rat"), F.col("cls").alias("rcls"))).alias("r")
     reps = materialise(open_keys(found, "what", drawn).select("what", "r.rep", "r.rat", "r.rcls"), "passage_drawn")
-    # Two places of one class are already linked by it.
-    met = found.join(reps, "what").where("doc_id != rep and not coalesce(cls = rcls, false)").select(
+    met = found.join(reps, "what").where("doc_id != rep and (cls is null or rcls is null)").select(
         F.greatest("doc_id", "rep").alias("doc_id"), F.least("doc_id", "rep").alias("rep"),
         F.when(F.col("doc_id") > F.col("rep"), F.col("at")).otherwise(F.col("rat")).alias("at"), F.when(F.col("doc_id") > F.col("rep"), F.col("rat")).otherwise(F.col("at")).alias("rat")).distinct()
     line = Window.partitionBy("doc_id", "rep").orderBy("at", "rat")
