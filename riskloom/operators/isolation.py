@@ -7,7 +7,7 @@
 * Fitting: the trees grow together, level by level (``random_trees``): one feature that varies
   in the node and a threshold between its ends, both drawn by hash, down to ⌈log2 ψ⌉ levels.
 * Scoring: the model is flat node arrays (at most T·4ψ entries) with each leaf's path length,
-  walked by SQL functions (``flat_trees``): no Python worker.
+  walked in numpy over Arrow batches (``flat_trees``).
   score = −2^(−E[h]/c(ψ)); offset = the contamination quantile of the training scores
   (``percentile_approx``); decision = score − offset; label −1 when decision < 0.
 """
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .alerts import hash_fraction
 from .flat_trees import FlatTrees, vector
 from .random_trees import grow, leaf_counts
 
@@ -41,8 +40,9 @@ def sample(df: DataFrame, features: list[str], id_col: str, n: int, n_trees: int
     """(tree, x) of the ``psi`` rows that each tree is grown on."""
     share = min(1.0, (2.0 * psi + 100.0) / max(n, 1))
     key = lambda t: F.concat_ws("|", F.col(id_col).cast("string"), t.cast("string"), F.lit(str(seed)))
-    picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: hash_fraction(key(t)) < F.lit(share))
-    rows = df.select(F.col(id_col), vector(features).alias("x"), F.explode(picked).alias("tree"))
+    rows = df.select(F.col(id_col), vector(features).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    if share < 1:  # hash_fraction(key) < share, as hex digits
+        rows = rows.where(F.md5(key(F.col("tree"))) < F.lit(f"{math.ceil(share * (1 << 32)):08x}"))
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.md5(key(F.col("tree"))), id_col))
     return rows.withColumn("__place", place).where(F.col("__place") <= psi).select("tree", "x")
 
@@ -50,6 +50,12 @@ def sample(df: DataFrame, features: list[str], id_col: str, n: int, n_trees: int
 def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi: int = 256,
         contamination: float = 0.018, seed: int = 42) -> dict:
     """M6 fit: the trees, ψ, the features and the offset."""
+    return fit_scored(df, features, id_col, n_trees, psi, contamination, seed)[0]
+
+
+def fit_scored(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi: int = 256,
+               contamination: float = 0.018, seed: int = 42) -> tuple[dict, DataFrame]:
+    """``fit``'s model and the training rows' ``(id, score)``, checkpointed: every row walks the trees once."""
     n = df.count()
     psi = min(psi, n)
     ensure_checkpoint_dir(df.sparkSession)
@@ -59,10 +65,10 @@ def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi
     for r in leaf_counts(members, trees, by_class=False):
         trees.value[trees.at(r.tree, r.node)] = (r.node.bit_length() - 1) + c_factor(r.n)
     model = {"trees": trees, "psi": psi, "features": features, "n_trees": n_trees, "offset": None}
-    train_scores = score(df, model, id_col)
+    train_scores = score(df, model, id_col).checkpoint(eager=True)
     offset = train_scores.agg(F.percentile_approx("score", contamination, 100000)).first()[0]
     model["offset"] = None if offset is None else float(offset)
-    return model
+    return model, train_scores
 
 
 def score(df: DataFrame, model: dict, id_col: str) -> DataFrame:
