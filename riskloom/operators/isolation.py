@@ -62,7 +62,7 @@ def fit_scored(df: DataFrame, features: list[str], id_col: str, n_trees: int = 1
     members = sample(df, features, id_col, n, n_trees, psi, seed).checkpoint(eager=True)  # ψ·T rows, read at every level
     depth = int(math.ceil(math.log2(max(psi, 2))))
     trees = grow(members, n_trees, depth, candidates=1, min_split=2, seed=seed, by_class=False)
-    for r in leaf_counts(members, trees, by_class=False):
+    for r in leaf_counts(members, trees):
         trees.value[trees.at(r.tree, r.node)] = (r.node.bit_length() - 1) + c_factor(r.n)
     model = {"trees": trees, "psi": psi, "features": features, "n_trees": n_trees, "offset": None}
     train_scores = score(df, model, id_col).checkpoint(eager=True)
