@@ -37,6 +37,8 @@ from .ranking import global_row_number
 BLOCK = 256
 SLACK = 1e-9  # bounds are widened by this share, against rounding
 PROJECTIONS, REACH = 12, 8
+PROBES = 16384  # probes that a task holds at a time, but for those of one row
+PLACED = 1024  # rows whose distances to the pivots are held at a time
 RANGE = 4096  # rows of one range along a direction
 
 
@@ -47,7 +49,7 @@ def _dist(a, b):
 def _placed(pts: DataFrame, pivots: np.ndarray, numbers: np.ndarray, k: int) -> DataFrame:
     """pick, v, the nearest pivot (``cell``), the distance to it and the distance to the k-th pivot that is another row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[i:i + PLACED].reset_index(drop=True) for b in batches for i in range(0, max(len(b), 1), PLACED)):
             v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, pivots.shape[1]))
             d = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in v]) if len(pdf) else np.zeros((0, len(pivots)))
             cell = d.argmin(axis=1) if len(pdf) else np.zeros(0, int)
@@ -82,6 +84,9 @@ def _probes(rows: DataFrame, blocks: pd.DataFrame, pivots: np.ndarray) -> DataFr
                     i += [pick] * len(hit)
                     v += [x] * len(hit)
                     to += hit.tolist()
+                if len(i) >= PROBES:  # a row's probes can be many: they leave in pieces
+                    yield pd.DataFrame({"i": i, "vi": v, "block": to})
+                    i, v, to = [], [], []
             yield pd.DataFrame({"i": pd.Series(i, dtype="int64"), "vi": pd.Series(v, dtype=object), "block": pd.Series(to, dtype="int64")})
 
     return rows.select("pick", "v", "block", "bound").mapInPandas(run, "i bigint, vi array<double>, block bigint")
