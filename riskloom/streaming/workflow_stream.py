@@ -26,8 +26,9 @@ def open_store(alerts: DataFrame, base: str, updates: DataFrame) -> None:
     """Write the opening tables; ``updates`` gives the requests' schema."""
     alerts = alerts if "n_updates" in alerts.columns else alerts.withColumn("n_updates", F.lit(0).cast("long"))
     alerts.select(*[c.split()[0] for c in STATE_SCHEMA.split(", ")]).write.parquet(f"{base}/alerts")
-    opening_logs(alerts).write.parquet(f"{base}/logs")
-    empty = route_updates(updates.limit(0), alerts)[0]
+    opened = alerts.sparkSession.read.schema(STATE_SCHEMA).parquet(f"{base}/alerts")  # the store is built once
+    opening_logs(opened).write.parquet(f"{base}/logs")
+    empty = route_updates(updates.limit(0), opened.limit(0))[0]
     empty.select(*UPDATE_COLUMNS).write.parquet(f"{base}/updates/batch_id=-1")
 
 
