@@ -38,6 +38,8 @@ from .ranking import global_row_number
 from .selection import collinear_dropped, collinear_pairs, force_include
 
 CLASS_WEIGHT = "__class_weight"
+TASK = 1 << 14  # rows that a task of a fit should at least have
+DRAWN_BY_TASK = {"randomforest"}  # MLlib draws these models' rows task by task
 MODEL_NAMES = ["xgboost", "lightgbm", "randomforest", "extratrees", "logisticregression"]
 
 
@@ -65,6 +67,8 @@ def estimators(n_train: int, seed: int = 42) -> dict:
 
 
 def fit(train: DataFrame, features: list[str], label: str, names: list[str] | None = None) -> dict[str, PipelineModel]:
+    """The models ``names`` on ``train``, in tasks of at least ``TASK`` rows: a boosted tree is a job a level, hundreds in all,
+    and hundreds of tasks of a few rows each would take nearly all of their time.  Where tasks draw the rows, they stay as they are."""
     n = train.count()
     est = estimators(n)
     train = train.withColumn(CLASS_WEIGHT, F.when(F.col(label) == 1, F.lit(K.POSITIVE_CLASS_WEIGHT)).otherwise(F.lit(1.0)))
@@ -72,7 +76,7 @@ def fit(train: DataFrame, features: list[str], label: str, names: list[str] | No
     for name in names or MODEL_NAMES:
         e = est[name].setFeaturesCol("features").setLabelCol(label)
         pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), e])
-        out[name] = pipe.fit(train)
+        out[name] = pipe.fit(train if name in DRAWN_BY_TASK else train.coalesce(max(1, math.ceil(n / TASK))))
     return out
 
 
