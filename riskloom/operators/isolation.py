@@ -2,7 +2,7 @@
 
 * Sampling: tree t uses the ψ = min(256, n) rows with the smallest md5 of id, tree and seed.
   Each row first keeps only the trees whose hash falls under a threshold sized for
-  rather more than 2ψ rows per tree (a narrow filter — never n×T rows), then a window per tree
+  rather more than 2ψ rows per tree (digests of a batch in numpy — never n×T rows), then a window per tree
   (≈2ψ rows each) keeps the ψ smallest.
 * Fitting: the trees grow together, level by level (``random_trees``): one feature that varies
   in the node and a threshold between its ends, both drawn by hash, down to ⌈log2 ψ⌉ levels.
@@ -16,10 +16,15 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.digests import drawn
 from ..session import ensure_checkpoint_dir
 from .flat_trees import FlatTrees, vector
 from .random_trees import grow, leaf_counts
@@ -40,13 +45,30 @@ def sample(df: DataFrame, features: list[str], id_col: str, n: int, n_trees: int
     """(tree, x) of the ``psi`` rows that each tree is grown on."""
     share = min(1.0, (2.0 * psi + 100.0) / max(n, 1))
     key = lambda t: F.concat_ws("|", F.col(id_col).cast("string"), t.cast("string"), F.lit(str(seed)))
-    rows = df.select(F.col(id_col), vector(features).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    if share < 1:  # hash_fraction(key) < share, as hex digits
-        rows = rows.where(F.md5(key(F.col("tree"))) < F.lit(f"{math.ceil(share * (1 << 32)):08x}"))
+    rows = df.select(F.col(id_col), vector(features).alias("x"))
+    if share < 1:  # hash_fraction(key) < share, as numbers
+        rows = _drawn(rows, id_col, n_trees, math.ceil(share * (1 << 32)), seed)
+    else:
+        rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.md5(key(F.col("tree"))), id_col))
     return rows.withColumn("__place", place).where(F.col("__place") <= psi).select("tree", "x")
 
 
+def _drawn(rows: DataFrame, id_col: str, n_trees: int, limit: int, seed: int) -> DataFrame:
+    """(id, x, tree) of the rows whose md5 of id, tree and seed starts with a number below ``limit``."""
+    tails = [f"{t}|{seed}".encode() for t in range(n_trees)]
+    schema = T.StructType([*rows.schema.fields, T.StructField("tree", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, tree = drawn(b.column(2), tails, limit)
+            kept = b.select([0, 1]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(tree.astype(np.int32))], schema.names)
+
+    # a null id is left out of the key, with its separator
+    return rows.withColumn("__key", F.concat_ws("|", F.col(id_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+
+
 def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, psi: int = 256,
         contamination: float = 0.018, seed: int = 42) -> dict:
     """M6 fit: the trees, ψ, the features and the offset."""
