@@ -91,11 +91,21 @@ def _side(h: np.ndarray, at: np.ndarray, begin: np.ndarray, has: np.ndarray, sal
     return pa.array(mix(value).view(np.int64), mask=~has)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """key (hash function and min-hash), k, doc_id, at, lo, hi (shingles, hi exclusive), and of the
+def _twice(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the shingle at each place stands at another less than LEAST places away too."""
+    out, here = np.zeros(len(at), bool), h[at]
+    for j in range(1, LEAST):
+        out |= (h[np.minimum(at + j, len(h) - 1)] == here) & (at + j < len(h))
+        out |= (h[np.maximum(at - j, 0)] == here) & (at >= j)
+    return out
+
+
+def windows(docs: DataFrame, sides_too: bool = True) -> DataFrame:
+    """key (hash function and min-hash), k, doc_id, at, lo, hi (shingles, hi exclusive), and, if asked for, of the
     first hash function before, after: hashes of the HALF shingles on each side inside the window,
     again: the key where its shingle stands near twice, so that equal stretches may differ in their place."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["key", "k", "doc_id", "at", "lo", "hi"] + ["before", "after", "again"] * sides_too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,20 +118,24 @@ def windows(docs: DataFrame) -> DataFrame:
                     lo, at, hi = compact_windows(mix(h ^ salt), first, LEAST)
                     own = owner[at]
                     base = first[own]
-                    sides = [pa.nulls(len(at), pa.int64())] * 3
-                    if k == 0:
-                        order = np.argsort(h, kind="stable")
-                        near = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (np.diff(order) < LEAST))
-                        twice = np.zeros(len(h), bool)
-                        twice[order[near]] = twice[order[near + 1]] = True
+                    sides = [pa.nulls(len(at), pa.int64())] * 3 if sides_too else []
+                    if sides and k == 0:
                         sides = [_side(h, at, at - HALF, at - lo >= HALF, 1), _side(h, at, at + 1, hi - at > HALF, 2),
-                                 pa.array(mix(h[at] + np.uint64(3)).view(np.int64), mask=~twice[at])]
+                                 pa.array(mix(h[at] + np.uint64(3)).view(np.int64), mask=~_twice(h, at))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(mix(h[at] + salt).view(np.int64)), pa.array(np.full(len(at), k, np.int32)), ids.take(pa.array(own)),
                          pa.array((at - base).astype(np.int32)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32)), *sides],
-                        ["key", "k", "doc_id", "at", "lo", "hi", "before", "after", "again"])
+                        names)
+
+    columns = f"key bigint, k int, doc_id {id_type}, at int, lo int, hi int" + ", before bigint, after bigint, again bigint" * sides_too
+    return docs.select("doc_id", "text").mapInArrow(run, columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"key bigint, k int, doc_id {id_type}, at int, lo int, hi int, before bigint, after bigint, again bigint")
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -130,16 +144,21 @@ def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, floa
     The stretch from the first to the last shared shingle is taken if it is similar
     enough; else it is cut at its longest break, and the parts are tried.
     """
-    if len(a) == len(b) >= LEAST and (a == b).all():
+    if len(a) < LEAST or len(b) < LEAST:
+        return []
+    if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)]
-    order = np.argsort(b, kind="stable")
+    order = b.argsort(kind="stable")
     ranked = b[order]
-    at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
+    at = np.minimum(ranked.searchsorted(a), len(b) - 1)
     shared = ranked[at] == a
     partner = order[at]
-    edge = np.flatnonzero(np.diff(np.r_[0, shared.astype(np.int8), 0]))
+    framed = np.zeros(len(a) + 2, bool)
+    framed[1:-1] = shared
+    edge = (framed[1:] != framed[:-1]).nonzero()[0]
     heads, tails = edge[::2], edge[1::2]
-    upto = np.concatenate([[0], np.cumsum(shared)])
+    upto = np.zeros(len(a) + 1, np.int64)
+    shared.cumsum(out=upto[1:])
     least = 2 * THRESHOLD / (1 + THRESHOLD)  # of equal sets' shingles that are shared then
     out, todo = [], [(0, len(heads))] if len(heads) else []
     while todo:
@@ -148,16 +167,22 @@ def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, floa
         if hi - lo < LEAST:
             continue
         if upto[hi] - upto[lo] >= 0.9 * least * (hi - lo):
-            here = np.flatnonzero(shared[lo:hi])
+            here = shared[lo:hi].nonzero()[0]
             there = partner[lo:hi][here]
-            there = there[np.abs(there - here - np.median(there - here)) <= hi - lo]
+            off = there - here
+            sorted_off = np.sort(off)
+            median = (int(sorted_off[(len(off) - 1) // 2]) + int(sorted_off[len(off) // 2])) / 2
+            there = there[np.abs(off - median) <= hi - lo]
             # without any near their median, the partners of a repetitive text lie all over
             x, y = (int(there.min()), int(there.max()) + 1) if len(there) else (0, 0)
-            both = len(np.intersect1d(a[lo:hi], b[x:y]))
-            similarity = both / (len(np.unique(a[lo:hi])) + len(np.unique(b[x:y])) - both)
-            if similarity >= THRESHOLD and y - x >= LEAST:
-                out.append((lo, hi, x, y, similarity))
-                continue
+            if y - x >= LEAST:
+                one, other = _distinct(a[lo:hi]), _distinct(b[x:y])
+                all_of = np.sort(np.concatenate([one, other]))
+                both = int(np.count_nonzero(all_of[1:] == all_of[:-1]))
+                similarity = both / (len(one) + len(other) - both)
+                if similarity >= THRESHOLD:
+                    out.append((lo, hi, x, y, similarity))
+                    continue
         if j - i > 1:
             cut = i + 1 + int(np.argmax(heads[i + 1:j] - tails[i:j - 1]))
             todo += [(i, cut), (cut, j)]
@@ -240,30 +265,53 @@ def surroundings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "spots").mapInArrow(run, f"what bigint, doc_id {id_type}, at int, cls {id_type}")
 
 
+def cuts(docs: DataFrame) -> DataFrame:
+    """doc_id, lo, hi, part: the words of the shingles lo:hi of each text, for its ranges ``todo``."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, texts in pieces(b.column(1)):
+                w = scan(texts)
+                lists = b.column(2).slice(start, len(texts))
+                own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                begin, end = w.first[own] + lo, np.minimum(w.first[own] + hi + SHINGLE - 1, w.first[own + 1])
+                some = np.flatnonzero(end - begin >= WORDS)  # no passage is shorter
+                for at in range(0, len(some), 4096):
+                    i = some[at:at + 4096]
+                    bounds = zip(w.start[begin[i]].tolist(), w.end[end[i] - 1].tolist(), strict=True)
+                    parts = pa.array([w.data[x:y].tobytes() for x, y in bounds], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(start, len(texts)).take(pa.array(own[i])), pa.array(lo[i].astype(np.int32)), pa.array(hi[i].astype(np.int32)), parts],
+                        ["doc_id", "lo", "hi", "part"])
+
+    return docs.select("doc_id", "text", "todo").mapInArrow(run, f"doc_id {id_type}, lo int, hi int, part binary")
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     id_type = pairs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "n_words", "class_doc_id", "class_start", "class_words", "similarity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 64):
-                b = batch.slice(part, 64)
-                (ha, oa, _), (hb, ob, _) = (shingles(scan(next(pieces(b.column(i), 1 << 62))[1]), SHINGLE) for i in (6, 7))
+            for part in range(0, batch.num_rows, 256):
+                b = batch.slice(part, 256)
+                (ha, oa, _), (hb, ob, _) = (shingles(scan(b.column(i).cast(pa.large_binary()).view(pa.large_string())), SHINGLE) for i in (4, 5))
                 fa, fb = (np.searchsorted(o, np.arange(b.num_rows + 1)) for o in (oa, ob))
-                lo, hi, rlo, rhi = (b.column(i).to_numpy() for i in range(2, 6))
+                lo, rlo = (b.column(i).to_numpy() for i in (2, 3))
                 rows, found = [], []
                 for i in range(b.num_rows):
-                    x, y = ha[fa[i]:fa[i + 1]][lo[i]:hi[i]], hb[fb[i]:fb[i + 1]][rlo[i]:rhi[i]]
-                    if len(x) and len(y):
-                        for p, q, r, s, j in aligned(x, y):
-                            rows.append(i)
-                            found.append((int(lo[i]) + p, q - p + SHINGLE - 1, int(rlo[i]) + r, s - r + SHINGLE - 1, j))
+                    for p, q, r, s, j in aligned(ha[fa[i]:fa[i + 1]], hb[fb[i]:fb[i + 1]]):
+                        rows.append(i)
+                        found.append((int(lo[i]) + p, q - p + SHINGLE - 1, int(rlo[i]) + r, s - r + SHINGLE - 1, j))
                 at, cols = pa.array(rows, pa.int64()), list(zip(*found, strict=True)) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), b.column(1).take(at),
                      pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], names)
 
-    return pairs.select("doc_id", "rep", "lo", "hi", "rlo", "rhi", "text", "rep_text").mapInArrow(
+    return pairs.select("doc_id", "rep", "lo", "rlo", "part", "rep_part").mapInArrow(
         run, f"doc_id {id_type}, start bigint, n_words bigint, class_doc_id {id_type}, class_start bigint, class_words bigint, similarity double")
 
 
@@ -276,7 +324,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     found = windows(docs)
     one = F.struct("doc_id", "at", "lo", "hi")
-    reps = (found.groupBy("key").agg(F.min(one).alias("r"), F.max("doc_id").alias("last")).where("r.doc_id != last")
+    reps = (windows(docs, sides_too=False).groupBy("key").agg(F.min(one).alias("r"), F.max("doc_id").alias("last")).where("r.doc_id != last")
             .select("key", F.col("r.doc_id").alias("rep"), F.col("r.at").alias("rat"), F.col("r.lo").alias("rlo"), F.col("r.hi").alias("rhi")))
     reps = materialise(reps, "passage_reps")
     hits = found.join(reps, "key").where("doc_id != rep or k = 0")
@@ -306,10 +354,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The passages of ``pairs`` (doc_id, rep and ranges of both), by their texts."""
-    used = pairs.select("doc_id").union(pairs.select("rep")).distinct()
-    texts = materialise(docs.join(used, "doc_id", "left_semi").distinct(), "passage_texts")
-    return _verified(pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text")), "rep"))
+    """The passages of ``pairs`` (doc_id, rep and ranges of both), by the words in these ranges, cut out of each text once."""
+    used = pairs.select("doc_id", "lo", "hi").union(pairs.select("rep", "rlo", "rhi")).distinct()
+    todo = used.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("todo"))
+    parts = materialise(cuts(docs.join(todo, "doc_id")).distinct(), "passage_parts")
+    return _verified(pairs.join(parts, ["doc_id", "lo", "hi"]).join(parts.toDF("rep", "rlo", "rhi", "rep_part"), ["rep", "rlo", "rhi"]))
 
 
 def _own(rows: DataFrame) -> DataFrame:

@@ -15,23 +15,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_WORD = np.zeros(256, dtype=bool)
-_IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _S31, _S29 = np.uint64(31), np.uint64(29)
+_BLOCK = 1 << 14  # values that are scrambled at a time, so that they stay in the cache
 # keeps the first n bytes of a little-endian 8-byte lane
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    h = (h ^ (h >> _S31)) * _M1
-    h = (h ^ (h >> _S29)) * _M2
-    return h ^ (h >> _S31)
+    out = np.empty_like(h)
+    for at in range(0, len(h), _BLOCK):
+        part, to = h[at:at + _BLOCK], out[at:at + _BLOCK]
+        shifted = part >> _S31
+        np.bitwise_xor(part, shifted, out=to)
+        to *= _M1
+        np.right_shift(to, _S29, out=shifted)
+        to ^= shifted
+        to *= _M2
+        np.right_shift(to, _S31, out=shifted)
+        to ^= shifted
+    return out
 
 
 @dataclass
@@ -95,8 +100,12 @@ def scan(texts: pa.Array) -> Words:
     raw, off = buffers(texts)
     n = len(raw)
     data = np.zeros(n + 8, dtype=np.uint8)  # so that 8 bytes can be read at any start
-    data[:n] = _LOWER[raw]
-    word = _IS_WORD[data[:n + 1]]
+    upper = (raw - np.uint8(65) < np.uint8(26)).view(np.uint8)  # differences wrap around, so one comparison is a range
+    upper <<= np.uint8(5)
+    np.bitwise_or(raw, upper, out=data[:n])
+    word = data[:n + 1] >= np.uint8(128)
+    word |= data[:n + 1] - np.uint8(97) < np.uint8(26)
+    word |= data[:n + 1] - np.uint8(48) < np.uint8(10)
     word[n:] = False
     edge = np.empty(n + 1, dtype=bool)  # a word starts here, before knowing of text ends
     edge[0] = word[0]

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from riskloom.llm import passages
+from riskloom.llm.wordscan import scan, shingles
 
 from ..conftest import SF_SMALL
 from . import brute
@@ -129,3 +131,41 @@ def test_edited_copies_of_a_hot_passage_are_no_square(documents):
     docs = [(i, " ".join(words(rng, 20) + (p if i % 2 else edited(rng, p, 1)) + words(rng, 20))) for i in range(300)]
     got = passages.repeats(documents(docs)).collect()
     assert {r.doc_id for r in got} == set(range(300)) and len(got) < 6000
+
+
+def test_pairs_are_compared_by_the_words_in_their_ranges(spark):
+    """Each text is scanned once and only its ranges meet the other's; equal ids of different texts meet in all ways (op7, CPU seconds)."""
+    rng = random.Random(5)
+    some = lambda n: [f"W{rng.randrange(10**6)}é" for _ in range(n)]
+    shared = some(70)
+    edited = [*shared[:30], "other", *shared[31:]]
+    rows = [(1, some(300) + shared + some(40)), (2, some(5) + edited + some(500)), (2, shared), (3, some(3)), (4, None)]
+    docs = spark.createDataFrame([(i, t and "  ".join(t) + "!") for i, t in rows], "doc_id bigint, text string")
+    pairs = [(2, 1, 0, 100, 250, 400), (3, 1, 0, 90, 250, 340), (4, 1, 0, 90, 250, 340), (2, 1, 900, 990, 250, 340)]
+    found = passages._compared(docs, spark.createDataFrame(pairs, "doc_id bigint, rep bigint, lo int, hi int, rlo int, rhi int"))
+    assert "text" not in found._jdf.queryExecution().optimizedPlan().toString()  # whole texts no longer travel with pairs
+    want = set()
+    for d, r, lo, hi, rlo, rhi in pairs:
+        for a in (t for i, t in rows if i == d and t):
+            for b in (t for i, t in rows if i == r):
+                (x, _, _), (y, _, _) = (shingles(scan(pa.array([" ".join(t)])), passages.SHINGLE) for t in (a, b))
+                want |= {(d, lo + p, q - p + passages.SHINGLE - 1, r, rlo + s, e - s + passages.SHINGLE - 1, j) for p, q, s, e, j in passages.aligned(x[lo:hi], y[rlo:rhi])}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) == 2
+
+
+def test_repeats_near_a_place_are_found_by_looking_around_it():
+    """The same marks as by ordering all shingles of a text (op7, CPU seconds)."""
+    rng = np.random.default_rng(3)
+    for n, many in ((0, 1), (1, 1), (40, 5), (400, 30), (400, 3000)):
+        h = rng.integers(0, many, n).astype(np.uint64)
+        want = [any(abs(i - j) < passages.LEAST and i != j and h[i] == h[j] for j in range(n)) for i in range(n)]
+        assert passages._twice(h, np.arange(n)).tolist() == want
+
+
+def test_representatives_are_found_without_the_sides_of_windows(spark):
+    """The first pass over the texts makes no sides, which only the second reads (op7, CPU seconds)."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], "doc_id bigint, text string")
+    short, whole = passages.windows(docs, sides_too=False), passages.windows(docs)
+    assert short.columns == ["key", "k", "doc_id", "at", "lo", "hi"]
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, whole.select(short.columns).collect()))
