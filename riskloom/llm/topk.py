@@ -1,7 +1,7 @@
 """Operator 6: exact top-k inner products by no-random-access aggregation.
 
-Vectors are cut into blocks of at most ``BLOCK`` rows by a hash of their id, stated queries
-into blocks of ``QUERIES``; every query block meets every vector block, one pair at a time.  Inside a block
+Vectors are dealt into blocks of about ``BLOCK`` rows, stated queries into blocks of about
+``QUERIES``; every query block meets every vector block, one pair at a time.  Inside a block
 each dimension is a list sorted by value.  For a query the lists are read from the end its
 sign prefers, in steps down to ``DEPTHS`` of their length; a row's seen terms plus the
 worst, or the next unread, values of the other lists are its lower and upper bound.  The
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import materialise
 
 SCALE = 256
-BLOCK, QUERIES = 4096, 256
+BLOCK, QUERIES = 8192, 256
+KINDS = (np.int16, np.int32, np.int64)
 DEPTHS = (1 / 4, 1 / 2, 3 / 4, 7 / 8)
 LEFT = 64
 
@@ -101,51 +102,64 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """(bucket, ids, flat): rows that stand together, in blocks of one bucket and at most ``size``."""
+    """(block, ids, flat): the rows (vec_id, v) of each partition in numbered blocks of at most ``size``, values in as few bytes as they need."""
+    def block(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, flat = (np.concatenate(c) for c in zip(*parts, strict=True))
+        kind = next(t for t in KINDS if len(flat) == 0 or np.iinfo(t).min <= flat.min() and flat.max() <= np.iinfo(t).max)
+        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([flat.astype(kind).tobytes()], pa.binary())], ["ids", "flat"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            bucket = b.column(0).to_numpy()
-            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            for lo, hi in zip(heads, [*heads[1:], len(bucket)], strict=True):
-                for at in range(lo, hi, size):
-                    part = b.slice(at, min(size, hi - at))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(bucket[lo])], pa.int64()), pa.array([part.column(1).to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                         pa.array([part.column(2).flatten().to_numpy().astype(np.int64).tobytes()], pa.binary())], ["bucket", "ids", "flat"])
+            at = 0
+            while at < b.num_rows:
+                some = b.slice(at, min(size - held, b.num_rows - at))
+                parts.append((some.column(0).to_numpy().astype(np.int64), some.column(1).flatten().to_numpy().astype(np.int64)))
+                at, held = at + some.num_rows, held + some.num_rows
+                if held == size:
+                    yield block(parts)
+                    parts, held = [], 0
+        if held:
+            yield block(parts)
+
+    return rows.select("vec_id", "v").mapInArrow(run, "ids binary, flat binary").withColumn("block", F.monotonically_increasing_id())
+
 
-    return rows.select("bucket", "vec_id", "v").mapInArrow(run, "bucket bigint, ids binary, flat binary")
+def _unpacked(ids: pa.Scalar, flat: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, flat = np.frombuffer(ids.as_py(), np.int64), flat.as_py()
+    kind = next(t for t in KINDS if np.dtype(t).itemsize * len(ids) * width == len(flat))
+    return ids, np.frombuffer(flat, kind).astype(np.int64).reshape(-1, width)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query (a condition on ``id_col``) its k best rows."""
     rows = _usable(vectors, id_col, vector_col)
-    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "w")).alias("x"))
-    most = widths.first()["x"]
+    counted = rows.withColumnRenamed("vec_id", id_col).groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.count_if(queries).alias("q"))
+    most = counted.agg(F.max(F.struct("n", "w", "q")).alias("x")).first()["x"]
     if most is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    n, w = most
-    buckets = -(-n // BLOCK)
+    n, w, q = most
     rows = rows.where(F.size("v") == w)
     asked = rows.withColumnRenamed("vec_id", id_col).where(queries).groupBy(F.col(id_col).alias("vec_id")).agg(F.min("v").alias("v"))
-    hashed = rows.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(buckets)))
-    blocks = materialise(_packed(hashed.repartition("bucket").sortWithinPartitions("bucket"), BLOCK), "topk_blocks")
-    # The blocks of stated queries are repeated for every bucket of rows and meet it there.
-    asked = materialise(_packed(asked.withColumn("bucket", F.lit(0).cast("long")), QUERIES), "topk_queries")
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"),
-                         F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    pairs = blocks.join(asked, "bucket")
+    # rows are dealt evenly, so a partition is about a block
+    blocks = materialise(_packed(rows.repartition(-(-n // BLOCK)), 2 * BLOCK), "topk_blocks")
+    asked = materialise(_packed(asked.repartition(max(1, -(-q // QUERIES))), 2 * QUERIES), "topk_queries")
+    # Every task gets blocks, each followed by all queries: a block's rows cross once, queries once a block, and nothing but block numbers is broadcast.
+    asked = asked.select("ids", "flat").crossJoin(F.broadcast(blocks.select("block")))
+    dealt = blocks.select("block", F.lit(0).alias("kind"), "ids", "flat").unionByName(asked.select("block", F.lit(1).alias("kind"), "ids", "flat"))
+    dealt = dealt.repartition(-(-n // BLOCK), "block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, None
+        block = None
         for b in batches:
-            for q_ids, q_flat, ids, flat in zip(*b.columns, strict=True):
-                if last is None or not ids.equals(last):
-                    last = ids
-                    block = SortedBlock(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(flat.as_py(), np.int64).reshape(-1, w))
-                asked_ids = np.frombuffer(q_ids.as_py(), np.int64)
-                place, found, scores = block.best(asked_ids, np.frombuffer(q_flat.as_py(), np.int64).reshape(-1, w), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (asked_ids[place], found, scores)], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("q_ids", "q_flat", "ids", "flat").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+            for asks, ids, flat in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                some = _unpacked(ids, flat, w)
+                if not asks:
+                    block = SortedBlock(*some)
+                    continue
+                place, found, scores = block.best(*some, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (some[0][place], found, scores)], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
