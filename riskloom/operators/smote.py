@@ -6,9 +6,10 @@ Neighbours are found among the minority in one of two ways that the caller choos
   rows ordered by (pivot, distance to it) make blocks of ``BLOCK``.  A row's k nearest of its
   own block, or the k nearest pivots, bound how far its neighbours can be; by the triangle
   inequality a block can hold one only if the row's distance to the block's
-  pivot is within that bound of the block's range of distances.  Rows meet just those blocks,
-  by a join.  How many pairs are left depends on the data: clusters are told apart,
-  in many dimensions without structure nothing rules pairs out (``neighbour_pairs`` counts them).
+  pivot is within that bound of the block's range of distances.  A task holds the rows of ``GROUP``
+  blocks while all other groups pass by, and measures just the pairs of those blocks: by a matrix
+  product, then, where that leaves a pair in doubt, by the sum over the columns.  How many pairs are
+  left depends on the data: clusters are told apart, in many dimensions without structure nothing rules pairs out.
 * ``projections``: ``PROJECTIONS`` fixed random directions; along each, the
   ``REACH`` rows before and after are candidates, whose true distances decide.  Work is
   linear in the rows, and neighbours far apart along all directions are missed.
@@ -26,6 +27,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ from .ranking import global_row_number
 BLOCK = 256
 SLACK = 1e-9  # bounds are widened by this share, against rounding
 PROJECTIONS, REACH = 12, 8
-PROBES = 16384  # probes that a task holds at a time, but for those of one row
+GROUP = 16  # blocks whose rows a task holds while all others pass
+EPS = float(np.finfo(float).eps)
+PROBES = 1 << 20  # pairs that a task measures at a time, but for those of one row
 PLACED = 1024  # rows whose distances to the pivots are held at a time
 RANGE = 4096  # rows of one range along a direction
 
@@ -63,37 +68,111 @@ def _placed(pts: DataFrame, pivots: np.ndarray, numbers: np.ndarray, k: int) ->
     return pts.select("pick", "v").mapInPandas(run, "pick bigint, v array<double>, cell int, near double, far double")
 
 
-def _probes(rows: DataFrame, blocks: pd.DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(i, vi, block): the blocks, but the row's own, that can hold a neighbour within ``bound``."""
-    blocks = blocks.sort_values(["cell", "block"])
-    first = np.searchsorted(blocks["cell"].to_numpy(), np.arange(len(pivots) + 1))
-    low, high, number = blocks["low"].to_numpy(), blocks["high"].to_numpy(), blocks["block"].to_numpy()
-    cell_low = np.array([low[a:b].min() if b > a else np.inf for a, b in zip(first, first[1:])])
-    cell_high = np.array([high[a:b].max() if b > a else -np.inf for a, b in zip(first, first[1:])])
+class _Group:
+    """Rows of consecutive blocks with their k nearest so far: (row, dist, j), a null distance as -1, which comes first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            i, v, to = [], [], []
-            for pick, x, own, bound in zip(pdf["pick"], pdf["v"], pdf["block"], pdf["bound"]):
-                d = np.sqrt(((pivots - x) ** 2).sum(axis=1))
-                wide = bound * (1 + SLACK) + SLACK
-                for c in np.flatnonzero((d - wide <= cell_high) & (d + wide >= cell_low)):
-                    at = slice(first[c], first[c + 1])
-                    hit = number[at][(d[c] - wide <= high[at]) & (d[c] + wide >= low[at])]
-                    hit = hit[hit != own]
-                    i += [pick] * len(hit)
-                    v += [x] * len(hit)
-                    to += hit.tolist()
-                if len(i) >= PROBES:  # a row's probes can be many: they leave in pieces
-                    yield pd.DataFrame({"i": i, "vi": v, "block": to})
-                    i, v, to = [], [], []
-            yield pd.DataFrame({"i": pd.Series(i, dtype="int64"), "vi": pd.Series(v, dtype=object), "block": pd.Series(to, dtype="int64")})
-
-    return rows.select("pick", "v", "block", "bound").mapInPandas(run, "i bigint, vi array<double>, block bigint")
+    def __init__(self, pick: np.ndarray, v: np.ndarray, void: np.ndarray, block: np.ndarray, far: np.ndarray, pivots: np.ndarray, k: int):
+        self.pick, self.v, self.void, self.block, self.k = pick, v, void, block, k
+        self.columns, self.squares = np.ascontiguousarray(v.T), (v * v).sum(axis=1)
+        self.row, self.dist, self.j = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.new: list[tuple] = []
+        self.limit = np.full(len(pick), np.inf)  # the square of the k-th distance
+        home = np.full(len(pick), np.nan)
+        for _, at in _runs(block):
+            rows = np.arange(at.start, at.stop)
+            for some in (rows[i:i + max(1, PROBES // len(rows))] for i in range(0, len(rows), max(1, PROBES // len(rows)))):
+                r, m = (x.ravel() for x in np.meshgrid(some, rows, indexing="ij"))
+                r, m = r[r != m], m[r != m]
+                d = self._exact(r, self.columns[:, at], void[at], m - at.start)
+                self.new.append((r, d, pick[m]))
+                full = np.sort(np.where(d < 0, np.nan, d).reshape(len(some), -1), axis=1)  # nulls and NaN at the end
+                known = (~(d < 0)).reshape(len(some), -1).sum(axis=1)
+                if full.shape[1] >= k:
+                    home[some] = np.where(known >= k, full[:, k - 1], np.nan)
+        self._merge()
+        self.bound = np.fmin(far, home)
+        with np.errstate(invalid="ignore"):
+            self.to_pivots = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in v])
+
+    def _exact(self, rows: np.ndarray, columns: np.ndarray, void: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Distances of pairs, summed in the order of the columns."""
+        total = np.zeros(len(rows))
+        for mine, other in zip(self.columns, columns):
+            step = mine[rows] - other[members]
+            total += step * step
+        return np.where(self.void[rows] | void[members], -1.0, np.sqrt(total))
+
+    def _merge(self) -> None:
+        row, dist, j = (np.concatenate(c) for c in zip((self.row, self.dist, self.j), *self.new))
+        order = np.lexsort((j, dist, row))
+        row, dist, j = row[order], dist[order], j[order]
+        start = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - start < self.k
+        self.row, self.dist, self.j, self.new = row[keep], dist[keep], j[keep], []
+        last = (np.arange(len(row)) - start == self.k - 1) & ~np.isnan(dist)
+        self.limit[row[last]] = np.maximum(dist[last], 0) ** 2
+
+    def meet(self, other: tuple, cells: tuple[np.ndarray, np.ndarray], ranges: dict[int, tuple[float, float]]) -> None:
+        """The rows of a group's blocks, ``other`` = (pick, v, void, block), that can be near rows of this one in other blocks."""
+        pick, v, void, block = other
+        low, high = cells
+        wide = self.bound * (1 + SLACK) + SLACK
+        for number, at in _runs(block):
+            c, (least, most) = int(number % len(low)), ranges[number]
+            d = self.to_pivots[:, c]
+            hit = np.flatnonzero((self.block != number) & (d - wide <= most) & (d + wide >= least) & (d - wide <= high[c]) & (d + wide >= low[c]))
+            columns, squares = np.ascontiguousarray(v[at].T), (v[at] * v[at]).sum(axis=1)
+            step = max(1, PROBES // (at.stop - at.start))
+            for rows in (hit[i:i + step] for i in range(0, len(hit), step)):
+                sizes = self.squares[rows][:, None] + squares
+                near = sizes - 2.0 * (self.v[rows] @ columns)  # but for rounding
+                r, m = np.nonzero(~(near > self.limit[rows][:, None] * (1 + SLACK) + (8 + 4 * len(columns)) * EPS * sizes) | void[at])
+                if len(r):
+                    self.new.append((rows[r], self._exact(rows[r], columns, void[at], m), pick[at][m]))
+                if sum(len(x[0]) for x in self.new) >= PROBES:
+                    self._merge()
+        if self.new:
+            self._merge()
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.pick[self.row]), pa.array(self.j), pa.array(self.dist, pa.float64(), mask=self.dist < 0)], ["i", "j", "dist"])
+
+
+def _runs(block: np.ndarray) -> Iterator[tuple[int, slice]]:
+    cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+        yield int(block[lo]), slice(lo, hi)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(g, pick, v, void, block, far): the rows of a group in the order of their blocks, as bytes; void are those with null values."""
+    def row(g: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        flat = pc.list_flatten(t["v"]).combine_chunks()
+        void = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(t), -1).any(axis=1)
+        far = t["far"].to_numpy()  # NaN if null
+        data = t["pick"].to_numpy().astype(np.int64), flat.to_numpy(zero_copy_only=False).astype(float), void, t["block"].to_numpy().astype(np.int64), far.astype(float)
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], ["g", "pick", "v", "void", "block", "far"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for b in batches:
+            if b.num_rows:
+                for g, at in _runs(b.column(0).to_numpy()):
+                    if g != last and parts:
+                        yield row(last, parts)
+                        parts = []
+                    last = g
+                    parts.append(b.slice(at.start, at.stop - at.start))
+        if parts:
+            yield row(last, parts)
+
+    dealt = rows.withColumn("g", F.floor((F.col("no") - 1) / (BLOCK * GROUP)).cast("long")).repartition("g").sortWithinPartitions("g", "no")
+    return dealt.select("g", "pick", "v", "block", "far").mapInArrow(run, "g bigint, pick binary, v binary, void binary, block binary, far binary")
 
 
 def neighbour_pairs(pts: DataFrame, n: int, k: int) -> DataFrame:
-    """(i, j, dist) of all pairs that can be among the k nearest of i: exact, by pivots."""
+    """(i, j, dist) of the k nearest of each i among all rows: exact, by pivots."""
     ensure_checkpoint_dir(pts.sparkSession)
     pts = pts.select("pick", "v").checkpoint(eager=True)
     if n < 2:
@@ -102,19 +181,35 @@ def neighbour_pairs(pts: DataFrame, n: int, k: int) -> DataFrame:
     pivots, numbers = np.array([r.v for r in first], dtype=float), np.array([r.pick for r in first])
     numbered = global_row_number(_placed(pts, pivots, numbers, k), [F.col("cell"), F.col("near"), F.col("pick")], "no")
     # a block is of one cell; its number rises with the order
-    rows = numbered.withColumn("block", F.floor((F.col("no") - 1) / BLOCK) * len(pivots) + F.col("cell")).drop("no").checkpoint(eager=True)
-    member = rows.select(F.col("pick").alias("j"), F.col("v").alias("vj"), "block")
-    asked = rows.select(F.col("pick").alias("i"), F.col("v").alias("vi"), "block")
+    rows = numbered.withColumn("block", F.floor((F.col("no") - 1) / BLOCK) * len(pivots) + F.col("cell")).checkpoint(eager=True)
+    # n / BLOCK + sqrt(n) rows of four numbers
+    blocks = rows.groupBy("cell", "block").agg(F.min("near").alias("low"), F.max("near").alias("high")).toPandas().sort_values(["cell", "block"])
+    at = np.searchsorted(blocks["cell"].to_numpy(), np.arange(len(pivots) + 1))
+    low, high = blocks["low"].to_numpy(dtype=float), blocks["high"].to_numpy(dtype=float)
+    cells = (np.array([low[a:b].min() if b > a else np.inf for a, b in zip(at, at[1:])]), np.array([high[a:b].max() if b > a else -np.inf for a, b in zip(at, at[1:])]))
+    ranges = dict(zip(blocks["block"].tolist(), zip(low.tolist(), high.tolist())))
+    groups = _packed(rows).checkpoint(eager=True)
+    # a group's task holds its rows; all other groups pass it one at a time
+    parts = ["pick", "v", "void", "block", "far"]
+    others = groups.crossJoin(F.broadcast(groups.select(F.col("g").alias("to")))).where("g <> to")
+    dealt = groups.select(F.col("g").alias("to"), F.lit(0).alias("kind"), *parts).unionByName(others.select("to", F.lit(1).alias("kind"), *parts))
+    dealt = dealt.repartition(-(-n // (BLOCK * GROUP)), "to").sortWithinPartitions("to", "kind")
 
-    def met(probes: DataFrame) -> DataFrame:
-        return probes.join(member, "block").where("i <> j").select("i", "j", _dist(F.col("vi"), F.col("vj")).alias("dist"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = None
+        for b in batches:
+            for kind, *data in zip(b.column(1).to_pylist(), *b.columns[2:]):
+                pick, v, void, block, far = (np.frombuffer(x.as_py(), t) for x, t in zip(data, (np.int64, float, bool, np.int64, float)))
+                v = v.reshape(len(pick), -1)
+                if not kind:
+                    if group is not None:
+                        yield group.found()
+                    group = _Group(pick, v, void, block, far, pivots, k)
+                group.meet((pick, v, void, block), cells, ranges)
+        if group is not None:
+            yield group.found()
 
-    at_home = met(asked)
-    bound = at_home.groupBy("i").agg(F.get(F.slice(F.array_sort(F.collect_list("dist")), k, 1), F.lit(0)).alias("home"))
-    # n / BLOCK + sqrt(n) rows of four numbers
-    blocks = rows.groupBy("cell", "block").agg(F.min("near").alias("low"), F.max("near").alias("high")).toPandas()
-    bounded = rows.join(bound, F.col("pick") == F.col("i"), "left").withColumn("bound", F.least("far", "home"))
-    return at_home.union(met(_probes(bounded, blocks, pivots)))
+    return dealt.mapInArrow(run, "i bigint, j bigint, dist double")
 
 
 def _by_projections(pts: DataFrame, n: int, width: int) -> DataFrame:
